@@ -18,7 +18,7 @@ from frameflow.llm.common import LOWER_ALNUM, save, table
 WINDOW = 10
 #: An automaton is built of at most so many bytes of items; more items are split over several, each of which scans the texts.
 AUTOMATON_BYTES = 24_000_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KINDS = {
     "doc_id": pa.int64(), "n_words": pa.int64(), "hit": pa.list_(pa.list_(pa.int64())), "items": pa.list_(pa.string()), "spans": pa.list_(pa.list_(pa.int64()))
 }

@@ -32,7 +32,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}", True, 0.7, r"\bip\b|host|server|address|login"),
     Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])", True, 0.8, "card|visa|credit|debit|pay|kreditkarte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", True, 0.7, "call|phone|tel|mobile|fax|ring", "+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", False, 0.8, "iban|account|bank|transfer|konto|compte|cuenta"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3})?+)(?![A-Za-z0-9])", False, 0.8, "iban|account|bank|transfer|konto|compte|cuenta"),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", False, 0.4, r"ssn|social security|\bss\b|tax"),
 )
 #: Added kinds below this score are not reported; base kinds are reported whatever their score.

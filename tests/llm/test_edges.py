@@ -173,16 +173,16 @@ def test_decontamination_odd(spark, odd):
     text = {r.doc_id: r.text for r in odd.collect()}
     items = [(1, " ".join(text[3].split()[20:50])), (2, "Élan, vital!"), (3, None), (4, ""), (5, "word"), (None, "twice the same"), (2, "élan vital")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    frames = {"documents": pd.DataFrame([(r.doc_id, r.text) for r in odd.where("doc_id <> 8").collect()], columns=["doc_id", "text"]), "benchmark": pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})}
+    frames = {"documents": pd.DataFrame([(r.doc_id, r.text) for r in odd.where("doc_id not in (8, 9)").collect()], columns=["doc_id", "text"]), "benchmark": pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})}
     want = duck_rows(decontaminate.OP5_SQL, tables=frames)
     for limit in (decontaminate.AUTOMATON_BYTES, 100):  # one automaton, several
-        hits = decontaminate.benchmark_hits(odd.where("doc_id <> 8"), bench, limit)
+        hits = decontaminate.benchmark_hits(odd.where("doc_id not in (8, 9)"), bench, limit)
         n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
         got = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
         assert spark_rows(got) == want
         for r in hits.where("doc_id in (3, 10)").collect():
             for (a, b), (x, y) in zip(r.hit, r.spans, strict=True):
-                assert [w.lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text[r.doc_id][x:y])] == [w.decode() for w in decontaminate.words(text[r.doc_id])[a:b]]
+                assert [w.lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text[r.doc_id][x:y])] == [w.decode() for w in decontaminate.words(text[r.doc_id])[a:b]]
     empty = decontaminate.benchmark_hits(odd, bench.limit(0), keep=["source"])
     assert empty.where(F.size("hit") > 0).count() == 0 and empty.count() == odd.count() and "source" in empty.columns
 
@@ -209,7 +209,7 @@ def base_spans(text):
 PII_TEXTS = [
     "a@b.c.d@e.fg and x%y@h-i.j_k@l.m é😀 me@x.org.", "1.2.3.4.5.6.7.8 256.1.1.1 010.000.0255.1 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 378282246310005 1" + "0" * 30, "+49 (30) 123456-78 +1 +1() 2 +12345678901234567890 ++4420 7946 0958)",
     "4111 1111 1111 1111 2 5500005555555559 0 0 0 0", "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 XX82WEST12345698765433", "ssn 078-05-1120 vs 078-05-1121x; version 123-45-6789", None, "", "@" * 50 + "a@" + "b." * 3000 + "c", "9 " * 5000,
-    "1" * 100_000 + "." + "x" * 100_000 + "@", "+" + "1(" * 20_000, "a.b@c", "12 34 56", "+1 (2) 3.4-5 6 7 8 9\n+4 5",
+    "1" * 1000 + "." + "x" * 1000 + "@", "+" + "1(" * 20_000, "a.b@c", "12 34 56", "+1 (2) 3.4-5 6 7 8 9\n+4 5",
 ]
 
 
@@ -223,12 +223,14 @@ def test_pii_against_brute_force(spark, sf_dir):
     got = {x.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in x.found] for x in pii.find_pii(docs).collect()}
     for i, t in rows:
         assert [s for s in got[i] if s.split(":")[0] in base] == list(base_spans(t or "")), t[:80] if t else t
+    long = spark.createDataFrame([(1, "1" * 100_000 + "." + "x" * 100_000 + "@"), (2, "1.2.3.4 " * 3000)], "doc_id bigint, text string")
+    assert {x.doc_id: len(x.found) for x in pii.find_pii(long).collect()} == {1: 0, 2: 3000}
     extra = [s for i in (100_005, 100_006) for s in got[i] if s.split(":")[0] not in base]
     assert [e.split(":")[0] for e in extra] == ["iban", "iban", "ssn"]
 
 
 def test_fingerprints_against_brute_force(spark, odd):
-    rows = [(r.doc_id, r.text or "") for r in odd.where("doc_id <> 8").collect()] + [(20, "ﬁne  Éte"), (21, "fine éte".upper()), (-5, "x")]
+    rows = [(r.doc_id, r.text or "") for r in odd.where("doc_id not in (8, 9)").collect()] + [(20, "ﬁne  Éte"), (21, "fine éte".upper()), (-5, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     order = sorted(rows, reverse=True)
     for stretches in (1, 3, 50):
