@@ -11,37 +11,40 @@ from frameflow.llm.common import save
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(id, component) for each vertex of ``edges`` (a, b); component is the smallest id reachable.
 
-    Each round every vertex moves to the neighbour (or itself) that comes first in an order drawn
-    anew per round, and the edges are renamed, made distinct and freed of loops. A drawn order
+    Each round every vertex moves to the neighbour (or itself) that comes first in an order (by id, then drawn
+    anew per round), from there on three times, and the edges are renamed, made distinct and freed of loops. A drawn order
     shrinks chains as well as stars by a constant factor, so rounds grow with the logarithm of
     the graph. Only minima are gathered per vertex, and renaming joins saved tables, so that a hub
     with many edges is combined before the shuffle or split by the join. Nulls in a or b are
     no edges; no edges give an empty table.
     """
     live = save(edges.where("a < b or b < a").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), name)
-    moved: DataFrame | None = None
-    for turn in range(max_rounds):
-        if live.isEmpty():
-            break
-        rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))
+    steps: list[DataFrame] = []
+    while not live.isEmpty():
+        if len(steps) == max_rounds:
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+        # by id at first: candidate links point to the smallest id of their bucket, so most stars fold at once
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(steps))) if steps else F.col(c).cast("long")  # noqa: B023, E731
         both = live.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("id"), F.col("a").alias("to")))
         first = both.groupBy("id").agg(F.min(F.struct(rank("to").alias("r"), F.col("to"))).alias("m"))
         own = F.struct(rank("id").alias("r"), F.col("id").alias("to"))
-        step = save(first.select("id", F.least("m", own)["to"].alias("to")), name)
+        near = save(first.select("id", F.least("m", own)["to"].alias("to")), name)
+        # on to where that vertex goes, and once more: ranks fall along the way, so it has no loops
+        on = near.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        twice = save(near.join(on, "to").select("id", F.col("then").alias("to")), name)
+        on = twice.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        steps.append(save(twice.join(on, "to").select("id", F.col("then").alias("to")), name))
         live = save(
-            live.join(step.select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
-            .join(step.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+            live.join(steps[-1].select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
+            .join(steps[-1].select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y").selectExpr("least(x, y) a", "greatest(x, y) b").distinct(),
             name,
         )
-        if moved is None:
-            moved = step
-        else:
-            after = step.select(F.col("id").alias("to"), F.col("to").alias("then"))
-            moved = save(moved.join(after, "to", "left").select("id", F.coalesce("then", "to").alias("to")), name)
-    else:
-        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
-    if moved is None:
+    if not steps:
         return live.selectExpr("a id", "b component")
+    moved = steps[0]
+    for step in steps[1:]:
+        moved = moved.join(step.select(F.col("id").alias("to"), F.col("to").alias("then")), "to", "left").select("id", F.coalesce("then", "to").alias("to"))
+    moved = save(moved, name)
     least = save(moved.groupBy("to").agg(F.min("id").alias("m")), name)
     return moved.join(least, "to").select("id", F.least("id", "m").alias("component"))

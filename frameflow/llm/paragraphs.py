@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.partenum import mix, shingles
-from frameflow.llm.simjoin import only_ids, similar_components
+from frameflow.llm.simjoin import SETS, mix, only_ids, sets_of, shingles, similar_components
 
 #: A pair at a similarity of 0.8 meets in one of 20 bands of 4 rows with probability 0.99997.
 BANDS, ROWS = 20, 4
@@ -26,11 +25,11 @@ _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E377
 _BATCH = 65_536
 
 
-def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(number, words) of the paragraphs (between line ends) with enough words; numbers count all paragraphs."""
+def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, bytes]]:
+    """(number, words joined by blanks) of the paragraphs (between line ends) with enough words; numbers count all paragraphs."""
     for no, line in enumerate(text.encode().split(b"\n") if text else ()):
         if len(line) >= 2 * min_words - 1 and len(w := line.translate(LOWER_BLANK).split()) >= min_words:
-            yield no, w
+            yield no, b" ".join(w)
 
 
 def pid(doc: int, no: int) -> int:
@@ -60,7 +59,7 @@ def _units(min_words: int):
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 for no, w in paragraphs(text.as_py(), min_words):
                     ids.append(pid(doc.as_py(), no))
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                    keys.append(xxhash.xxh3_128_digest(w))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["id", "key"])
 
     return run
@@ -80,7 +79,7 @@ def _signed(min_words: int):
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 for no, w in paragraphs(text.as_py(), min_words):
-                    key = xxhash.xxh3_128_digest(b" ".join(w))
+                    key = xxhash.xxh3_128_digest(w)
                     if key in seen:
                         continue
                     seen.add(key)
@@ -95,12 +94,8 @@ def _signed(min_words: int):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            sets = [shingles(line.translate(LOWER_BLANK).split(), SHINGLE).tobytes() for line in (x.as_py().encode() for x in part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+def _line_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [shingles(line.as_py().encode().translate(LOWER_BLANK), SHINGLE) for line in batch.column("line")]
 
 
 def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -124,7 +119,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
         lines = have.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select(
             (F.shiftleft("doc_id", SHIFT) + F.col("no")).alias("id"), "line"
         )
-        return only_ids(lines, ids, "id").select("id", "line").mapInArrow(_sets, "id bigint, set binary").dropDuplicates(["id"])
+        return only_ids(lines, ids, "id").select("id", "line").mapInArrow(sets_of("id", _line_sets), SETS).dropDuplicates(["id"])
 
     linked = save(similar_components(signed, sets, NUM, DEN, "paragraph"), "paragraph-links")
     of_class = save(keyed.join(classes, "key").select("id", "least").distinct(), "of-class")

@@ -14,38 +14,18 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import only_ids, similar_components
+from frameflow.llm.simjoin import _M1, _M2, _M3, SETS, mix, only_ids, sets_of, shingles, similar_components
 
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Second-level partitions of each first-level one, and how many of them may differ.
 N2, K2 = 3, 1
 #: Largest size of a band over its smallest.
 BAND = 1.4
-_M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _ROWS = 65_536
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(words: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; fewer words than a shingle make one; none none."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    n = max(1, len(words) - size + 1)
-    acc = np.full(n, np.uint64(min(size, len(words))), np.uint64)
-    for i in range(min(size, len(words))):
-        acc = mix(acc * _M1 + h[i : i + n])
-    return np.unique(acc)
-
-
 def document_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    return shingles(text.encode().translate(LOWER_BLANK).split() if text else [], size)
+    return shingles(text.encode().translate(LOWER_BLANK) if text else b"", size)
 
 
 @cache
@@ -81,9 +61,10 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         if n1 == 1 and 2 * tops[band] * (den - num) // (den + num) == 0:  # only equal sets are linked
             out.append(mix(np.array([mix(s + np.uint64(band)).sum(dtype=np.uint64)])))
         else:
-            part = (mix(s + _M1) % np.uint64(n1 * N2)).astype(np.int64)
+            # values of the set are random bits already: some choose the part, all are summed
+            part = (s >> np.uint64(16)).astype(np.int64) % (n1 * N2)
             sums = np.zeros(n1 * N2, np.uint64)
-            np.add.at(sums, part, mix(s ^ _M2))
+            np.add.at(sums, part, s)
             sums = mix(sums).reshape(n1, N2)
             acc = mix(np.arange(n1, dtype=np.uint64) + np.uint64((band + 1) << 32))[:, None] + mix(np.arange(len(subsets), dtype=np.uint64) + _M3)[None, :]
             for j in range(N2 - K2):
@@ -139,16 +120,6 @@ def _signed(size: int, num: int, den: int):
     return run
 
 
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([document_set(t.as_py(), size).tobytes() for t in part.column(1)], pa.binary())], names=["id", "set"])
-
-    return run
-
-
 def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable over links den * |both| >= num * |either|.
 
@@ -166,7 +137,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: in
 
     def sets(ids: DataFrame) -> DataFrame:
         have = only_ids(texts.withColumnRenamed("doc_id", "id"), ids, "id").select("id", "text")
-        return have.mapInArrow(_sets(size), "id bigint, set binary").dropDuplicates(["id"])
+        return have.mapInArrow(sets_of("id", lambda batch: [document_set(t.as_py(), size) for t in batch.column("text")]), SETS).dropDuplicates(["id"])
 
     linked = save(similar_components(signed, sets, num, den, "jaccard"), "linked")
     # of a class, several tasks may each have signed one document: the class is joined over all of them
