@@ -119,7 +119,7 @@ def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFra
         lines = have.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select(
             (F.shiftleft("doc_id", SHIFT) + F.col("no")).alias("id"), "line"
         )
-        return only_ids(lines, ids, "id").select("id", "line").mapInArrow(sets_of("id", _line_sets), SETS).dropDuplicates(["id"])
+        return only_ids(lines, ids, "id").select("id", "line").mapInArrow(sets_of("id", _line_sets), SETS)
 
     linked = save(similar_components(signed, sets, NUM, DEN, "paragraph"), "paragraph-links")
     of_class = save(keyed.join(classes, "key").select("id", "least").distinct(), "of-class")

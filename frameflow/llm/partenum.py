@@ -137,7 +137,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: in
 
     def sets(ids: DataFrame) -> DataFrame:
         have = only_ids(texts.withColumnRenamed("doc_id", "id"), ids, "id").select("id", "text")
-        return have.mapInArrow(sets_of("id", lambda batch: [document_set(t.as_py(), size) for t in batch.column("text")]), SETS).dropDuplicates(["id"])
+        return have.mapInArrow(sets_of("id", lambda batch: [document_set(t.as_py(), size) for t in batch.column("text")]), SETS)
 
     linked = save(similar_components(signed, sets, num, den, "jaccard"), "linked")
     # of a class, several tasks may each have signed one document: the class is joined over all of them

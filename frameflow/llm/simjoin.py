@@ -116,18 +116,20 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int,
     """The saved pairs (a, b) whose sets have den * |both| >= num * |either|.
 
     sets(ids) gives (id, n, sketch, set): a set's size, its odd sketch and its sorted values. Sizes and sketches, about a
-    sixteenth of the sets, decide most pairs; the sets themselves only meet for the rest.
+    sixteenth of the sets, decide most pairs; the sets themselves are only made, and meet, for the rest. An id may have several sets; any counts.
     """
-    ids = save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
-    have = save(sets(ids), name)
+    def ids_of(p: DataFrame) -> DataFrame:
+        return save(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
-    def side(end: str, n: str, value: str, column: str) -> DataFrame:
+    def side(have: DataFrame, end: str, n: str, value: str, column: str) -> DataFrame:
         return have.select(F.col("id").alias(end), F.col("n").alias(n), F.col(column).alias(value))
 
-    sized = pairs.join(side("a", "n", "x", "sketch"), "a").join(side("b", "m", "y", "sketch"), "b").where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    near = save(sized.mapInArrow(_maybe_linked(num, den), "a bigint, b bigint"), name)
-    both = near.join(side("a", "n", "x", "set"), "a").join(side("b", "m", "y", "set"), "b")
-    return save(both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a bigint, b bigint"), name)
+    have = save(sets(ids_of(pairs)).select("id", "n", "sketch"), name)
+    sized = pairs.join(side(have, "a", "n", "x", "sketch"), "a").join(side(have, "b", "m", "y", "sketch"), "b").where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+    near = save(sized.mapInArrow(_maybe_linked(num, den), "a bigint, b bigint").distinct(), name)
+    have = save(sets(ids_of(near)).select("id", "n", "set"), name)
+    both = near.join(side(have, "a", "n", "x", "set"), "a").join(side(have, "b", "m", "y", "set"), "b")
+    return save(both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a bigint, b bigint").distinct(), name)
 
 
 def similar_components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
