@@ -1,2 +1,383 @@
-QUERIES = {}
-SQL = {}
+"""Queries over the given tables: each operator applied to a whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frameflow.functions import media
+from frameflow.functions.numeric import finite_or_null, half_up, rounded, share
+from frameflow.operators import boxes as bx
+from frameflow.operators import fusion, intervals, rules, text, tiles, timeline
+from frameflow.plans.sql import SQL  # noqa: F401
+from frameflow.sources import fixtures as fx
+
+RULES = timeline.CutRules()
+
+
+def _diffs(s, d):
+    return fx.frame_diffs(s, d)
+
+
+def segments_raw(s: SparkSession, d: str) -> DataFrame:
+    return timeline.cut_segments(_diffs(s, d), RULES)
+
+
+def segments_grown(s, d):
+    return timeline.grow_short(segments_raw(s, d), RULES)
+
+
+def segments_merged(s, d):
+    return timeline.absorb_short(segments_grown(s, d), RULES)
+
+
+def segments_capped(s, d):
+    return timeline.cap_segments(segments_merged(s, d), 5)
+
+
+def segments_final(s, d):
+    return timeline.segments(_diffs(s, d), RULES)
+
+
+def frame_diffs(s, d):
+    return _diffs(s, d)
+
+
+def luma_diff(s, d):
+    return timeline.luma_difference(fx.vector_frames(s, d))
+
+
+def keyframe_plan(s, d):
+    return timeline.keyframe_plan(segments_final(s, d), 3)
+
+
+def keyframe_left_join(s, d):
+    segs = segments_final(s, d).select("recording_id", "index", "id")
+    return segs.join(keyframe_plan(s, d).select("recording_id", "index", "at"), ["recording_id", "index"], "left")
+
+
+def spread_sample(s, d):
+    return timeline.even_sample(segments_final(s, d), 4).select("recording_id", "index", "start")
+
+
+def head_limit(s, d):
+    return timeline.head(segments_final(s, d), 2).select("recording_id", "index", "start")
+
+
+def chapters(s, d):
+    return timeline.chapters(segments_final(s, d))
+
+
+def _tiles(s, d):
+    return tiles.tile_stats(fx.gray_frames(s, d), 8, 8, 4)
+
+
+def tile_stats(s, d):
+    return _tiles(s, d)
+
+
+def tile_label(s, d):
+    return _tiles(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def area_shares(s, d):
+    return tiles.area_shares(_tiles(s, d))
+
+
+def mean_shares(s, d):
+    ids = fx.gray_frames(s, d).select("frame_id", "recording_id")
+    return tiles.mean_shares(tiles.area_shares(_tiles(s, d)).join(ids, "frame_id"))
+
+
+def tile_blocks(s, d):
+    return tiles.merge_blocks(_tiles(s, d))
+
+
+def iou_pairs(s, d):
+    return bx.iou_pairs(fx.boxes(s, d))
+
+
+def nms(s, d):
+    return bx.suppress(fx.boxes(s, d))
+
+
+def object_counts(s, d):
+    return bx.class_counts(fx.boxes(s, d))
+
+
+def score_filter(s, d):
+    return fx.boxes(s, d).where("score >= 0.5").groupBy("frame_id").agg(F.count(F.lit(1)).alias("kept"), F.max("score").alias("best"))
+
+
+def decode_detections(s, d):
+    """Vectors read as 8 boxes of 4 coordinates and 4 class scores each."""
+    v = fx.table(s, d, "embeddings")
+    data = F.transform("embedding", lambda x, i: F.when(i % 8 < 4, 100.0 + F.round(x.cast("double") * 64) * 2).otherwise(x.cast("double")))
+    t = v.select(F.col("vec_id").alias("frame_id"), data.alias("data"), F.lit(4).alias("pad_x"), F.lit(8).alias("pad_y"), F.lit(2.0).alias("factor"), F.lit(300).alias("width"), F.lit(200).alias("height"))
+    return bx.decode(t, 8, 0.05)
+
+
+def speech_intervals(s, d):
+    spoken = fx.speech(s, d)
+    return intervals.speech_intervals(fx.silences(spoken), spoken.groupBy("recording_id").agg(F.max("s_end").alias("duration")), 10.0)
+
+
+def parse_silences(s, d):
+    sil = fx.silences(fx.speech(s, d))
+    line = F.concat(F.lit("[s] silence_start: "), F.col("start").cast("string"), F.lit("\nframe=1\n[s] silence_end: "), F.col("end").cast("string"))
+    logs = sil.groupBy("recording_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("start", line.alias("line"))))["line"], "\n").alias("text"))
+    return intervals.parse_silences(logs)
+
+
+def plan_cuts(s, d):
+    spoken = fx.speech(s, d)
+    return intervals.plan_cuts(spoken.groupBy("recording_id").agg(F.max("s_end").alias("duration")), fx.silences(spoken), 8.0, 6.0)
+
+
+def merge_intervals(s, d):
+    return intervals.merge_intervals(speech_intervals(s, d), 4, 20.0)
+
+
+def speech_overlap(s, d):
+    spoken = fx.speech(s, d)
+    return intervals.text_within(fx.grid_segments(spoken), spoken)
+
+
+def assign_segments(s, d):
+    spoken = fx.speech(s, d)
+    segs = fx.grid_segments(spoken).where("index % 3 <> 1")
+    return intervals.assign_to_segments(spoken, segs)
+
+
+def assign_unplaced(s, d):
+    return assign_segments(s, d).where("index is null").select("recording_id", "item")
+
+
+def transcript_text(s, d):
+    return intervals.transcript(fx.speech(s, d))
+
+
+def _evidence_texts(s, d):
+    doc = fx.table(s, d, "documents")
+    shell = "$ npm run build\nerror: failed\n> git status\n# done\n"
+    code = "function a() {\n  return b === c;\n}\nconst x = () => y;\n"
+    v = F.pmod("doc_id", F.lit(5))
+    return doc.select("doc_id", F.when(v == 1, F.concat(F.lit(shell), F.left("text", F.lit(200)))).when(v == 2, F.concat(F.lit(code), F.left("text", F.lit(200)))).when(v == 3, "").otherwise(F.col("text")).alias("text"))
+
+
+def text_evidence(s, d):
+    return _evidence_texts(s, d).select("doc_id", *(c.cast("long").alias(k) for k, c in text.text_evidence(F.col("text")).items()))
+
+
+def _facts(s, d):
+    e = _evidence_texts(s, d).select("doc_id", *(c.alias(k) for k, c in text.text_evidence(F.col("text")).items()))
+    part = lambda m, by: F.pmod(F.col("doc_id") * m, F.lit(by)) / float(by)
+    return e.select(
+        "doc_id", "shell_hits", "code_hits", "line_count", share(part(3, 11)).alias("text"), share(part(5, 13)).alias("picture"), share(part(7, 17)).alias("flat"), share(part(2, 7)).alias("dark"),
+        share(part(11, 19)).alias("person"), F.pmod("doc_id", F.lit(3)).alias("objects"), part(13, 23).alias("motion"),
+    )
+
+
+def segment_kind(s, d):
+    return _facts(s, d).select("doc_id", rules.first_kind().alias("kind"))
+
+
+def kind_reason(s, d):
+    named = _facts(s, d).withColumn("kind", rules.first_kind())
+    return named.select("doc_id", "kind", rules.reason(F.col("kind")).alias("reason"))
+
+
+def group_kinds(s, d):
+    named = segment_kind(s, d).select(F.pmod("doc_id", F.lit(20)).alias("recording_id"), F.floor(F.col("doc_id") / 20).alias("index"), "kind")
+    return rules.group_kinds(named)
+
+
+def keywords(s, d):
+    return text.keywords(fx.table(s, d, "documents").select(F.lit(1).alias("k"), "text"), "k").select("term", "n")
+
+
+def keywords_cjk(s, d):
+    rows = [(1, "npm run build. the build failed. 开始 开始演示 演示"), (2, "演示文稿 a.b. C++ x-"), (3, None)]
+    return text.keywords(s.createDataFrame(rows, "k int, text string"), "k")
+
+
+def _lines(s, d):
+    li = fx.table(s, d, "lineitem")
+    row = fx.boxes(s, d).select("frame_id", "id", "x", "y", "w", "h", F.when(F.col("class") == 0, F.col("score")).alias("confidence"))
+    return row.withColumn("text", F.when(F.pmod(F.col("id"), F.lit(4)) == 0, " ").otherwise(F.concat(F.lit("line "), F.col("id").cast("string")))) if li is not None else row
+
+
+def region_filter(s, d):
+    return text.in_region(_lines(s, d), 12, 6, 20, 3).select("frame_id", "id")
+
+
+def confidence_filter(s, d):
+    return text.confident(_lines(s, d), 0.6).select("frame_id", "id")
+
+
+def map_lines(s, d):
+    return text.map_lines(_lines(s, d), 0.75, -20, 3).select("frame_id", "id", "x", "y", "w", "h", "cx", "cy")
+
+
+def reading_order(s, d):
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "id")))
+    return _lines(s, d).groupBy("frame_id").agg(F.array_join(F.transform(ordered, lambda r: r["id"].cast("string")), ",").alias("ids"))
+
+
+def polygon_bbox(s, d):
+    pts = F.array(F.array(F.col("x"), F.col("y") + 1), F.array(F.col("x") + F.col("w"), F.col("y")), F.array(F.col("x") + 2, F.col("y") + F.col("h")))
+    return _lines(s, d).select("frame_id", "id", *(c.alias(k) for k, c in text.polygon_box(pts).items()))
+
+
+def _sizes(s, d):
+    return fx.table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 1931 + 1).alias("w"), (F.col("p_size") * 37 + F.col("p_partkey") % 11 + 1).cast("long").alias("h"))
+
+
+def fit_inside(s, d):
+    w, h, scaled = media.fit_inside(F.col("w"), F.col("h"), 320)
+    return _sizes(s, d).select("p_partkey", w.alias("width"), h.alias("height"), scaled.alias("scaled"))
+
+
+def analysis_size(s, d):
+    w, h = media.analysis_size(F.col("w"), F.col("h"), 320)
+    return _sizes(s, d).select("p_partkey", w.alias("width"), h.alias("height"))
+
+
+def letterbox(s, d):
+    return _sizes(s, d).select("p_partkey", media.letterbox_pad(F.col("w"), 640).alias("pad_x"), media.letterbox_pad(F.col("h"), 640).alias("pad_y"))
+
+
+def ocr_scale(s, d):
+    return _sizes(s, d).select("p_partkey", media.read_scale(F.col("w"), F.col("h")).alias("scale"))
+
+
+def half_decode(s, d):
+    bits = F.pmod(F.col("p_partkey") * 7919, F.lit(31744)) + F.when(F.col("p_size") % 2 == 0, 32768).otherwise(0)
+    return fx.table(s, d, "part").select("p_partkey", finite_or_null(media.half_to_float(bits.cast("int"))).alias("value"))
+
+
+def parse_rate(s, d):
+    r = F.col("p_partkey") % 6
+    text_ = F.when(r == 0, "30000/1001").when(r == 1, "0/0").when(r == 2, "").when(r == 3, F.concat(F.col("p_size").cast("string"), F.lit("/1"))).when(r == 4, "25").otherwise(F.concat(F.lit("24000/"), (F.col("p_size") + 990).cast("string")))
+    return fx.table(s, d, "part").select("p_partkey", media.parse_rate(text_).alias("rate"))
+
+
+def rotation(s, d):
+    tag = F.when(F.col("p_size") % 3 == 0, (F.col("p_size") * 90).cast("int"))
+    side = F.when(F.col("p_size") % 3 == 1, (F.col("p_size") * 90 - 900).cast("int"))
+    return fx.table(s, d, "part").select("p_partkey", media.rotation(tag, side).cast("long").alias("degrees"))
+
+
+def rate_check(s, d):
+    rate = F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("double"))
+    return fx.table(s, d, "part").select("p_partkey", media.constant_rate(rate, F.col("p_size") + (F.col("p_partkey") % 5) * 0.1).alias("constant"))
+
+
+def language_tag(s, d):
+    names = F.element_at(F.array(*map(F.lit, ("ch", " EN ", "japan", "fr-FR", "??", "", "zh-TW", "de"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return fx.table(s, d, "part").select("p_partkey", media.language_tag(names).alias("tag"))
+
+
+def container_for(s, d):
+    names = F.element_at(F.array(*map(F.lit, ("a.mp4", "b.M4V", "c.x.mov", "d.mkv", "e.wav", "f", "g.txt", "dir.mp3/h"))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return fx.table(s, d, "part").select("p_partkey", media.container_for(names).alias("container"))
+
+
+def escape_value(s, d):
+    return fx.table(s, d, "part").select("p_partkey", media.escaped(F.concat(F.lit("C:\\"), F.col("p_name"), F.lit("'s"))).alias("escaped"))
+
+
+def tail_lines(s, d):
+    return fx.table(s, d, "documents").select("doc_id", media.tail_lines(F.col("text"), 2).alias("tail"))
+
+
+def last_json_line(s, d):
+    body = F.concat(F.lit("log\n{\"k\": 1}\n"), F.col("props"), F.lit("\n{broken\nend"))
+    return fx.table(s, d, "events").select("event_id", media.last_json_line(body).alias("json"))
+
+
+def tensor_layout(s, d):
+    a, b = F.col("p_partkey") % 40, F.col("p_size").cast("long") * 30
+    return fx.table(s, d, "part").select("p_partkey", media.tensor_layout(a, b).alias("layout"))
+
+
+def probe_facts(s, d):
+    js = F.concat(F.lit('{"streams":[{"width":'), (F.col("p_size") * 10).cast("string"), F.lit(',"height":100,"r_frame_rate":"30/1"}],"format":{"duration":"'), F.col("p_retailprice").cast("string"), F.lit('"}}'))
+    j = F.from_json(js, "streams array<struct<width:int,height:int,r_frame_rate:string>>, format struct<duration:string>")
+    t = fx.table(s, d, "part").select("p_partkey", j.alias("j"))
+    first = F.get(F.col("j.streams"), F.lit(0))
+    problems = F.filter(F.array(F.when(first["width"] > 400, "wide"), F.when(F.col("j.format.duration").cast("double") < 1000, "short")), lambda x: x.isNotNull())
+    return t.select("p_partkey", first["width"].cast("long").alias("width"), media.parse_rate(first["r_frame_rate"]).alias("rate"), F.col("j.format.duration").cast("double").alias("duration"), F.array_join(problems, ";").alias("problems"))
+
+
+def capture_verdict(s, d):
+    o = fx.table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("asked"), (F.lit(0.8) + (F.col("o_orderkey") % 26) / 100).alias("part"), (F.lit(0.85) + (F.col("o_custkey") % 16) / 100).alias("kept"))
+    c = o.withColumn("dur", F.col("asked") * F.col("part")).withColumn("expected", half_up(F.col("dur") * 30)).withColumn("frames", F.floor(F.col("expected") * F.col("kept")))
+    short, dropped = F.col("dur") < 0.9 * F.col("asked"), F.coalesce(F.try_divide(F.col("frames"), F.col("expected")) < 0.9, F.lit(False))
+    return c.select("o_orderkey", short.alias("short_take"), dropped.alias("dropped"), (~short & ~dropped).alias("ok"))
+
+
+def missing_needs(s, d):
+    have = fx.table(s, d, "lineitem").select("l_orderkey", "l_returnflag").distinct()
+    needs = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
+    return have.groupBy("l_orderkey").agg(F.array_join(F.array_except(needs, F.collect_list("l_returnflag")), ",").alias("missing"))
+
+
+def time_grid(s, d):
+    dur = fx.speech(s, d).groupBy("recording_id").agg(F.max("s_end").alias("duration"))
+    return dur.select("recording_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("recording_id", "i", rounded(F.col("i") * F.col("duration") / 7, 3).alias("at"))
+
+
+def parse_list(s, d):
+    lines = fx.table(s, d, "events").select("user_id", "event_id", F.concat(F.lit(" V.. "), F.col("event_type"), F.lit("   text of it")).alias("line"))
+    named = lines.select("user_id", "event_id", F.regexp_extract("line", r"^\s*\S+\s+(\S+)", 1).alias("name"))
+    return named.groupBy("user_id", "name").agg(F.min("event_id").alias("first"))
+
+
+def lossless_json(s, d):
+    v = F.when(F.col("event_id") % 4 == 0, float("nan")).when(F.col("event_id") % 4 == 1, float("inf")).when(F.col("event_id") % 4 == 2, F.lit(-0.0)).otherwise(F.floor("value").cast("double"))
+    return fx.table(s, d, "events").select("event_id", F.to_json(F.struct(finite_or_null(v).alias("v"), F.col("event_type").alias("t")), fusion.JSON).alias("json"))
+
+
+def frame_split(s, d):
+    """Byte texts cut into whole frames of 64 bytes; the rest is carried."""
+    b = fx.table(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("b"))
+    n = F.floor(F.length("b") / 64).cast("int")
+    return b.where(n > 0).select("doc_id", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("doc_id", "i", F.sha2(F.substring("b", F.col("i") * 64 + 1, F.lit(64)), 256).alias("frame"))
+
+
+def _fused(s, d):
+    spoken = fx.speech(s, d)
+    segs = fx.grid_segments(spoken).withColumn("id", timeline.segment_id(F.col("index")))
+    said = intervals.text_within(segs.select("recording_id", "index", "start", "end"), spoken)
+    lines = said.select("recording_id", "index", F.length("text").cast("long").alias("lines"))
+    objects = fx.boxes(s, d).where("score >= 0.9").groupBy(F.col("frame_id").alias("recording_id")).agg(F.count(F.lit(1)).alias("objects")).withColumn("index", F.lit(1))
+    return fusion.fuse(segs, said, lines, objects)
+
+
+def fuse_segments(s, d):
+    return _fused(s, d)
+
+
+def doc_summary(s, d):
+    return fusion.document(_fused(s, d)).drop("document", "warnings")
+
+
+def doc_warnings(s, d):
+    return fusion.document(_fused(s, d)).select("recording_id", "warnings")
+
+
+def structure_document(s, d):
+    return fusion.document(_fused(s, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        frame_diffs, luma_diff, segments_raw, segments_grown, segments_merged, segments_capped, segments_final, keyframe_plan, keyframe_left_join, spread_sample, head_limit, chapters,
+        tile_stats, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, score_filter, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
+        assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, keywords_cjk, region_filter, confidence_filter, map_lines, reading_order,
+        polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
+        probe_facts, capture_verdict, missing_needs, time_grid, parse_list, lossless_json, frame_split, fuse_segments, doc_summary, doc_warnings, structure_document,
+    )
+}
