@@ -200,7 +200,7 @@ SQL = {
     "capture_verdict": """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS asked, 0.8::DOUBLE + (o_orderkey % 26) / 100.0::DOUBLE AS part, 0.85::DOUBLE + (o_custkey % 16) / 100.0::DOUBLE AS kept FROM orders), c AS (SELECT *, asked * part AS dur, floor(asked * part * 30 + 0.5)::BIGINT AS e FROM o),
       v AS (SELECT o_orderkey, dur < 0.9::DOUBLE * asked AS short_take, e > 0 AND floor(e * kept) / e < 0.9::DOUBLE AS dropped FROM c) SELECT *, NOT short_take AND NOT dropped AS ok FROM v""",
     "missing_needs": "WITH h AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(f, x)), ',') AS missing FROM h",
-    "time_grid": f"WITH {_SPEECH} SELECT recording_id, i::INT AS i, floor(i * duration / 7 * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS "at" FROM dur, (SELECT unnest(range(8)) AS i)",
+    "time_grid": f"WITH {_SPEECH} SELECT recording_id, i::INT AS i, floor(i * duration / 7 * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS at FROM dur, (SELECT unnest(range(8)) AS i)",
     "parse_list": "SELECT user_id, event_type AS name, min(event_id) AS first FROM events GROUP BY ALL",
     "fuse_segments": f"WITH {_FUSED} SELECT * FROM fu",
     "doc_summary": f"""WITH {_FUSED} SELECT recording_id, count(*) AS segments, max("end") AS duration, count(speech) AS spoken, sum(objects)::BIGINT AS objects FROM fu GROUP BY 1""",
