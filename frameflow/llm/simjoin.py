@@ -57,27 +57,33 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(mix(acc))
 
 
-def odd_sketch(s: np.ndarray) -> bytes:
-    """Bits that say for each of 2^k cells, two or more per value, whether an odd number of values falls there."""
-    cells = 1 << max(6, (2 * len(s) - 1).bit_length() if len(s) else 6)
+#: 64-bit words of the short sketch that candidates of one bucket are compared by.
+SHORT = 8
+
+
+def odd_sketch(s: np.ndarray, cells: int = 0) -> bytes:
+    """Bits that say for each of 2^k cells, by default two or more per value, whether an odd number of values falls there."""
+    cells = cells or 1 << max(6, (2 * len(s) - 1).bit_length() if len(s) else 6)
     return np.packbits(np.bincount((mix(s ^ _M3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def sets_of(key: str, sets: Callable[[pa.RecordBatch], list[np.ndarray]]):
-    """For mapInArrow: (id, n, sketch, set) of the batches' sets, a few hundred rows at a time."""
+    """For mapInArrow: (id, n, short, sketch, set) of the batches' sets, a few hundred rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 own = sets(part)
-                columns = [part.column(key), pa.array([len(s) for s in own], pa.int64()), pa.array(map(odd_sketch, own), pa.binary()), pa.array((s.tobytes() for s in own), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sketch", "set"])
+                columns = [part.column(key), pa.array([len(s) for s in own], pa.int64())]
+                columns.append(pa.array([np.frombuffer(odd_sketch(s, 64 * SHORT), np.int64) for s in own], pa.list_(pa.int64())))
+                columns += [pa.array(map(odd_sketch, own), pa.binary()), pa.array((s.tobytes() for s in own), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "short", "sketch", "set"])
 
     return run
 
 
-SETS = "id bigint, n bigint, sketch binary, set binary"
+SETS = "id bigint, n bigint, short array<bigint>, sketch binary, set binary"
 
 
 def _maybe_linked(num: int, den: int):
@@ -158,11 +164,13 @@ def similar_components(signatures: DataFrame, sets: Callable[[DataFrame], DataFr
     placed = save(inside.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c")), name)
     mixed = save(placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), name)
     open_ = save(placed.join(mixed, "sig", "left_semi"), name)
-    other = open_.select("sig", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = (
-        open_.withColumnRenamed("id", "a").join(other, "sig").where("a < b and c <> d").select("a", "b").distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
+    shorts = save(sets(save(open_.select("id").distinct(), name)).select("id", "n", *(F.get("short", F.lit(i)).alias(f"s{i}") for i in range(SHORT))), name)
+    sketched = save(open_.join(shorts, "id"), name)
+    one, other = sketched.withColumnRenamed("id", "a"), sketched.select("sig", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SHORT)))
+    # sizes and short sketches must allow the link, or the pair is not even written
+    apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(SHORT))
+    allowed = f"a < b and c <> d and {den} * least(n, m) >= {num} * greatest(n, m) and {den + num} * ({apart}) <= {den - num} * (n + m)"
+    pairs = one.join(other, "sig").where(allowed).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     rest = save(pairs, name)
     if rest.isEmpty():
         return found
