@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -103,6 +104,33 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _dealt(cuts: list[int], nulls: bool):
+    """(part, ghost, doc_id, h, text): each row in its stretch, and the first of a stretch in the one before as well.
+
+    A stretch reaches from a cut down to above the next cut, so that its first document is the cut itself; stretch 0 is the highest.
+    Null ids are a stretch of their own at the end. The first stretch of all follows the last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ascending, n = np.array(cuts, np.int64), len(cuts)
+        for batch in batches:
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy()
+            at = np.searchsorted(ascending, ids)
+            part = np.where(null, n if n else 0, n - 1 - at)
+            first = np.flatnonzero(null if not n else null | (~null & (ascending[np.minimum(at, n - 1)] == ids)))
+            before = np.where(part[first] == 0, n if nulls and n else max(n - 1, 0), part[first] - 1)
+            rows = np.concatenate([np.arange(len(ids)), first])
+            h = np.array([xxhash.xxh3_64_intdigest(t.as_py() or "") for t in batch.column(1)], np.uint64).view(np.int64)
+            ghost = np.concatenate([np.zeros(len(ids)), np.ones(len(first))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([part, before]), pa.int32()), pa.array(ghost, pa.int32()), batch.column(0).take(pa.array(rows)), pa.array(h[rows]), batch.column(1).take(pa.array(rows))],
+                names=["part", "ghost", "doc_id", "h", "text"],
+            )
+
+    return run
+
+
 def edited_fingerprints(docs: DataFrame, stretches: int | None = None) -> DataFrame:
     """docs (doc_id, text) -> the contract's row for each document and its follower in descending doc_id.
 
@@ -117,23 +145,8 @@ def edited_fingerprints(docs: DataFrame, stretches: int | None = None) -> DataFr
     cuts, top, nulls, last = texts.agg(
         F.percentile_approx("doc_id", [i / n for i in range(n)], 10_000), F.max("doc_id"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")
     ).first()
-    # a stretch holds (lower cut, upper cut]; its first document is the upper cut itself
     uppers = sorted({*(cuts or []), *([top] if top is not None else []), *([last] if last is not None else [])}, reverse=True)
-    end = len(uppers) - (not nulls)
-    bounds = F.array(*(F.lit(u).cast("long") for u in uppers)) if uppers else F.array().cast("array<bigint>")
-    is_cut = F.coalesce(F.array_contains(bounds, F.col("doc_id")), F.lit(False))
-    # nulls form a stretch after the last cut, whose first row nothing sends back; the last real stretch gets it by a ghost of its own
-    ghosts = F.when(is_cut & (F.col("doc_id") == F.lit(top)), F.array(F.lit(end))).when(is_cut, F.array(F.col("part") - 1)).when(F.col("doc_id").isNull() & F.lit(len(uppers) > 0), F.array(F.lit(len(uppers) - 1))).otherwise(F.array().cast("array<int>"))
-    # part: how many cuts are at or above the id, less one, by bisection
-    found, step = texts.withColumn("upto", F.lit(0)), 1 << max(0, len(uppers).bit_length() - 1)
-    while uppers and step:
-        found = found.withColumn("upto", F.when(F.get(bounds, F.col("upto") + (step - 1)) >= F.col("doc_id"), F.col("upto") + step).otherwise(F.col("upto")))
-        step //= 2
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(uppers))).otherwise(F.col("upto") - 1)
-    dealt = found.select("doc_id", "text", part.alias("part"), F.xxhash64("text").alias("h")).withColumn("to", F.concat(F.array(F.struct(F.col("part"), F.lit(0).alias("ghost"))), F.transform(ghosts, lambda p: F.struct(p.alias("part"), F.lit(1).alias("ghost")))))
-    if top is None:  # only null ids: one stretch that follows itself
-        dealt = dealt.withColumn("to", F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("ghost")), F.struct(F.lit(0).alias("part"), F.lit(1).alias("ghost"))))
-    spread = dealt.select(F.explode("to").alias("to"), "doc_id", "h", "text").select("to.part", "to.ghost", "doc_id", "h", "text")
+    spread = texts.mapInArrow(_dealt(uppers[::-1], bool(nulls)), "part int, ghost int, doc_id bigint, h bigint, text string")
     ordered = spread.repartition(partitions, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "h")
     return ordered.select("part", "ghost", "doc_id", "text").mapInArrow(_edited, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
