@@ -159,11 +159,15 @@ def similar_components(signatures: DataFrame, sets: Callable[[DataFrame], DataFr
     links = verified(stars, sets, num, den, name)
     found = save(connected_components(links, name), name)
 
-    # buckets with ids of different components, other than those two-id buckets already decided
-    inside = members.select("sig", "id").unionByName(members.select("sig", F.col("centre").alias("id")).distinct())
-    placed = save(inside.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("c")), name)
-    mixed = save(placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig"), name)
-    open_ = save(placed.join(mixed, "sig", "left_semi"), name)
+    # buckets whose ids are not all in their centre's component; only these are read on
+    def placed(rows: DataFrame) -> DataFrame:
+        own = found.select("id", F.col("component").alias("c"))
+        centres = found.select(F.col("id").alias("centre"), F.col("component").alias("d"))
+        return rows.join(own, "id", "left").join(centres, "centre", "left").select("sig", "id", "centre", F.coalesce("c", "id").alias("c"), F.coalesce("d", "centre").alias("d"))
+
+    mixed = save(placed(members).where("c <> d").select("sig").distinct(), name)
+    within = save(placed(members.join(mixed, "sig", "left_semi")), name)
+    open_ = save(within.select("sig", "id", "c").unionByName(within.select("sig", F.col("centre").alias("id"), F.col("d").alias("c")).distinct()), name)
     shorts = save(sets(save(open_.select("id").distinct(), name)).select("id", "n", *(F.get("short", F.lit(i)).alias(f"s{i}") for i in range(SHORT))), name)
     sketched = save(open_.join(shorts, "id"), name)
     one, other = sketched.withColumnRenamed("id", "a"), sketched.select("sig", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SHORT)))
