@@ -17,10 +17,13 @@ from frameflow.llm.components import connected_components
 from frameflow.llm.simjoin import _M1, _M2, _M3, SETS, mix, only_ids, sets_of, shingles, similar_components
 
 NUM, DEN, SHINGLE = 85, 100, 4
-#: Second-level partitions of each first-level one, and how many of them may differ.
-N2, K2 = 3, 1
+#: Second-level partitions of each first-level one, and how many of them may differ. (3, 1) makes half as many signatures again, each of
+#: a third more values: fewer chance candidates, but those are settled inside the bucket join, while every signature is shuffled.
+N2, K2 = 2, 1
 #: Largest size of a band over its smallest.
 BAND = 1.4
+#: Signatures keep 48 bits: zero bytes take no room in the shuffle, and a chance collision only adds a candidate.
+_SIGNATURE = np.uint64(0xFFFFFFFFFFFF0000)
 _ROWS = 65_536
 
 
@@ -49,7 +52,7 @@ def _scheme(top: int, num: int, den: int) -> tuple[int, np.ndarray]:
 
 
 def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """64-bit PartEnum signatures of a non-empty set: two sets with den * |both| >= num * |either| share at least one.
+    """48-bit PartEnum signatures of a non-empty set: two sets with den * |both| >= num * |either| share at least one.
 
     A set signs in its own band of sizes and, if a larger partner could be in a later one, in that too.
     """
@@ -73,7 +76,7 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         if len(s) * den < num * (tops[band] + 1):  # a partner has at most size * den / num
             break
         band += 1
-    return np.concatenate(out)
+    return np.concatenate(out) & _SIGNATURE
 
 
 def _keys(size: int):
