@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import SETS, mix, only_ids, sets_of, shingles, similar_components
+from frameflow.llm.simjoin import _M1, SETS, mix, only_ids, sets_of, shingles, similar_components, word_hashes
 
 #: A pair at a similarity of 0.8 meets in one of 20 bands of 4 rows with probability 0.99997.
 BANDS, ROWS = 20, 4
@@ -22,7 +22,8 @@ MIN_WORDS = 20
 #: A paragraph's id is its document's, shifted, plus its number.
 SHIFT = 21
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BATCH = 65_536
+#: Bytes of text that are signed at once.
+_BATCH = 1 << 20
 
 
 def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, bytes]]:
@@ -38,16 +39,25 @@ def pid(doc: int, no: int) -> int:
     return (doc << SHIFT) + no
 
 
-def band_signatures(s: np.ndarray) -> np.ndarray:
-    """One 64-bit signature for each band of minima."""
-    least = np.empty(BANDS * ROWS, np.uint64)
-    for i in range(0, len(s), 4096):
-        m = mix(s[i : i + 4096][None, :] * _SEEDS[:, None]).min(axis=1)
-        least = np.minimum(least, m) if i else m
-    acc = np.arange(BANDS, dtype=np.uint64)
+def band_signatures(texts: list[bytes]) -> np.ndarray:
+    """A row of BANDS 48-bit signatures for each paragraph, given as words joined by blanks; all are worked on at once. Short ones are filled up to a shingle."""
+    texts = [t + b" \0" * max(0, SHINGLE - 1 - t.count(b" ")) for t in texts]
+    h = word_hashes(b" ".join(texts))
+    count = np.array([t.count(b" ") + 1 for t in texts])
+    ends = np.cumsum(count)
+    # shingles at every word; those that reach into the next paragraph stand between an end and a start
+    acc = np.zeros(len(h) - SHINGLE + 1, np.uint64)
+    for i in range(SHINGLE):
+        acc = acc * _M1 + h[i : i + len(acc)]
+    acc = mix(acc)
+    at = np.stack([ends - count, ends - SHINGLE + 1], axis=1).ravel()[:-1]
+    # shingles are random values already, so a product with an odd seed is order enough
+    least = np.stack([np.minimum.reduceat(acc * seed, at)[::2] for seed in _SEEDS])
+    rows = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(texts), axis=1)
     for r in range(ROWS):
-        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[r::ROWS])
-    return acc
+        rows = mix(rows * _M1 + least[r::ROWS])
+    # zero bytes take no room in the shuffle, and a chance collision only adds a candidate
+    return rows.T & np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def _units(min_words: int):
@@ -70,11 +80,12 @@ def _signed(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        sig: list[np.ndarray] = []
+        words: list[bytes] = []
         ids: list[int] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["sig", "id"])
+            return pa.RecordBatch.from_arrays([pa.array(band_signatures(words).ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["sig", "id"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -83,11 +94,12 @@ def _signed(min_words: int):
                     if key in seen:
                         continue
                     seen.add(key)
-                    sig.append(band_signatures(shingles(w, SHINGLE)))
+                    words.append(w)
                     ids.append(pid(doc.as_py(), no))
-                if len(ids) * BANDS >= _BATCH:
-                    yield flush()
-                    sig, ids = [], []
+                    held += len(w)
+                    if held >= _BATCH:
+                        yield flush()
+                        words, ids, held = [], [], 0
         if ids:
             yield flush()
 
