@@ -17,9 +17,9 @@ from frameflow.llm.components import connected_components
 from frameflow.llm.simjoin import _M1, _M2, _M3, SETS, mix, only_ids, sets_of, shingles, similar_components
 
 NUM, DEN, SHINGLE = 85, 100, 4
-#: Second-level partitions of each first-level one, and how many of them may differ. (3, 1) makes half as many signatures again, each of
-#: a third more values: fewer chance candidates, but those are settled inside the bucket join, while every signature is shuffled.
-N2, K2 = 2, 1
+#: Second-level partitions of each first-level one, and how many of them may differ. (2, 1) makes a third fewer signatures, each of
+#: a third fewer values, but its chance candidates grow much faster than the input.
+N2, K2 = 3, 1
 #: Largest size of a band over its smallest.
 BAND = 1.4
 #: Signatures keep 48 bits: zero bytes take no room in the shuffle, and a chance collision only adds a candidate.
