@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from frameflow.llm import common, decontaminate, toxicity
 from pyspark.sql import functions as F
 
-from tests.llm.test_edges import brute_components, shingle_set
+from tests.llm.test_edges import brute_components, documents, prose, shingle_set
 
 
 def test_stages(spark, sf_dir):
@@ -51,3 +51,24 @@ def test_toxic_documents_go_and_clean_stay(spark):
     total, left = (x.join(truth, "doc_id").groupBy("toxic").count().collect() for x in (common.table(spark, d, "documents"), out))
     total, left = dict(map(tuple, total)), dict(map(tuple, left))
     assert left[0] >= 0.98 * total[0] and left.get(1, 0) <= 0.5 * total[1]
+
+
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    """Documents 0 and 2 are linked over five-word shingles only: 86 of 106 (0.81); over four-word ones they share 89 of 105, below 0.85."""
+    rows = [(g * 10, prose(g, n)) for g, n in enumerate((100, 100, 150, 40))]
+    for i, t in list(rows):
+        for k in (1, 2, 3, 5):
+            w = t.split()
+            for j in range(k):
+                w[(j + 1) * len(w) // (k + 1)] = f"changed{i}x{k}x{j}"
+            rows.append((i + k, " ".join(w)))
+    rows += [(90, "three short words"), (91, "three short words"), (92, ""), (93, None)]
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    pair = [shingle_set(t, 4) for i, t in rows if i in (0, 2)], [sets[0], sets[2]]
+    assert [(len(a & b), len(a | b)) for a, b in pair] == [(89, 105), (86, 106)]
+    docs = documents(spark, [(i, t, "s") for i, t in rows])
+    out = {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()}
+    want = brute_components(sets, 4, 5)
+    assert out == {i for i, c in want.items() if c == i} and 2 not in out
+    alone = cp.near_duplicates(spark, docs.where("doc_id in (0, 2)"), "")
+    assert [r.doc_id for r in alone.collect()] == [0]
