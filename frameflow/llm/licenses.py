@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,8 @@ TEMPLATES = (
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
 _BLOCK_END = re.compile(r"\n[ \t\r]*\n")
+#: The words of LOWER_ALNUM.
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def bigrams(text: str) -> set[tuple[bytes, bytes]]:
@@ -71,8 +74,8 @@ def bigrams(text: str) -> set[tuple[bytes, bytes]]:
     return set(zip(w, w[1:], strict=False))
 
 
-def units(text: str) -> Iterator[tuple[int, int]]:
-    """Spans in code points of what is compared: every line, every block between empty lines that has several lines, and the whole text."""
+def units(text: str, matcher: Matcher | None = None) -> Iterator[tuple[int, int]]:
+    """Spans in code points of what is compared: every line, every block between empty lines that has several lines, the whole text, and the matcher's passages."""
     spans = {}
     at = 0
     for line in text.split("\n"):
@@ -85,6 +88,13 @@ def units(text: str) -> Iterator[tuple[int, int]]:
     if at:
         spans[at, len(text)] = None
     spans[0, len(text)] = None
+    matcher = matcher or _published()
+    if found := matcher.passages(text):
+        known = [(*span, hit[1]) for span in spans if (hit := matcher.best(bigrams(text[slice(*span)])))]
+        for start, end in found:
+            name = matcher.best(bigrams(text[start:end]))[1]
+            if not any(a <= start and end <= b and name == n for a, b, n in known):
+                spans[start, end] = None
     yield from spans
 
 
@@ -113,6 +123,57 @@ class Matcher:
                 found = (dice, self.names[i], i)
         return found
 
+    def passages(self, text: str) -> list[tuple[int, int]]:
+        """Spans of runs of words, wherever lines and blocks end, that reach the threshold: from and to a bigram of the template, the best of those that overlap.
+
+        Runs of other templates of one licence may overlap; of two licences the better stays.
+        """
+        shared = Counter(i for b in bigrams(text) & self.holders.keys() for i in self.holders[b])
+        near = [i for i, n in shared.items() if 2 * n / (n + self.sizes[i]) >= self.threshold]
+        if not near:
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b].encode().translate(LOWER_ALNUM) for a, b in spans]
+        pairs = list(zip(words, words[1:], strict=False))
+        found = [(-dice, -n, at, end, self.names[i], i) for i in near for dice, n, at, end in self._runs(pairs, i)]
+        kept: list[tuple] = []
+        # what stands is looked up by word, so that many runs cost no more than their lengths
+        over: dict[int, list[tuple]] = {}
+        for run in sorted(found):
+            _, _, at, end, name, i = run
+            if not any(o[4] != name or o[5] == i for k in range(at, end + 2) for o in over.get(k, ())):
+                kept.append(run)
+                for k in range(at, end + 2):
+                    over.setdefault(k, []).append(run)
+        return sorted({(spans[at][0], spans[end + 1][1]) for _, _, at, end, *_ in kept})
+
+    def _runs(self, pairs: list[tuple[bytes, bytes]], i: int) -> Iterator[tuple[float, int, int, int]]:
+        """(dice, shared, first pair, last pair) of the best run from each pair of template i that reaches the threshold.
+
+        A run goes no further than to its first pair's next occurrence, as the run without the first is no worse from there on.
+        """
+        size, t = self.sizes[i], self.threshold
+        hit = [i in self.holders.get(p, ()) for p in pairs]
+        for at in (k for k, h in enumerate(hit) if h):
+            seen, n, best = {pairs[at]}, 1, (2 / (1 + size), 1, at)
+            for end in range(at + 1, len(pairs)):
+                p = pairs[end]
+                if p == pairs[at] or 2 * size / (len(seen) + size) < t:
+                    break
+                if p in seen:
+                    continue
+                seen.add(p)
+                n += hit[end]
+                if hit[end] and 2 * n / (len(seen) + size) > best[0]:
+                    best = (2 * n / (len(seen) + size), n, end)
+            if best[0] >= t:
+                yield best[0], best[1], at, best[2]
+
+
+@cache
+def _published() -> Matcher:
+    return Matcher(TEMPLATES, THRESHOLD)
+
 
 _SCHEMA = "doc_id bigint, matches array<struct<start:bigint,end:bigint,license:string,template:int,dice:double>>"
 _MATCH = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("template", pa.int32()), ("dice", pa.float64())])
@@ -125,7 +186,7 @@ def _scan(templates: tuple[tuple[str, str], ...], threshold: float):
             out = []
             for text in batch.column(1):
                 text, found = text.as_py() or "", []
-                for start, end in units(text):
+                for start, end in units(text, matcher):
                     if hit := matcher.best(bigrams(text[start:end])):
                         found.append({"start": start, "end": end, "license": hit[1], "template": hit[2], "dice": hit[0]})
                 out.append(sorted(found, key=lambda m: (m["start"], m["end"])))
@@ -137,7 +198,7 @@ def _scan(templates: tuple[tuple[str, str], ...], threshold: float):
 def license_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs (doc_id, text) -> doc_id and ``matches``: start, end (code points), license, template number, dice; by start, then end.
 
-    Every line, block and whole text is compared with every template whose size and bigrams allow the threshold, and
+    Every line, block, whole text and passage (a run of words anywhere, across lines and blocks or inside a line) is compared with every template whose size and bigrams allow the threshold, and
     matches its best one (ties: by name, then number). Null and empty texts, and units of fewer than two words, match nothing. Rows that
     repeat a doc_id are scanned each; other columns are ignored. Row by row: no shuffle. The templates are code, so small.
     """

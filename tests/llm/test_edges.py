@@ -268,6 +268,34 @@ def test_licenses_against_brute_force(spark, sf_dir):
     assert "MIT" in found[len(texts) - 2] and "Apache-2.0" in found[len(texts) - 1]
 
 
+def test_licenses_in_longer_documents(spark):
+    """Notices of several paragraphs, wrapped, in a longer document; one inside a line; all runs of words by brute force."""
+    ends = {"MIT": ("following conditions:", "the Software.", "THE SOFTWARE."), "Apache-2.0": ("with the License.", "LICENSE-2.0", "the License."), "GPL-3.0": ("later version.", "more details.", "licenses/>."), "ISC": ("in all copies.", "THIS SOFTWARE.")}
+    rows, want = [], {}
+    for name, cuts in ends.items():
+        text = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+        for c in cuts:
+            text = text.replace(c + " ", c + "\n\n", 1)
+        for wrapped in (text, re.sub(r"((?:\S+ ){9})", r"\1\n", text)):
+            want[len(rows)] = name
+            rows.append((len(rows), f"{prose(len(rows), 150)}\n\nCopyright é 2020\n\n{wrapped}\n\n{prose(50 + len(rows), 200)}", "s"))
+    for line, name in (("The library is small. Released under the MIT License. See the site for more about this project.", "MIT"), ("é, notes 😀 of ours; licensed under CC BY-SA 4.0, as ever", "CC-BY-SA-4.0")):
+        want[len(rows)] = name
+        rows.append((len(rows), line, "s"))
+    rows.append((99, "\n".join("the software is " + prose(i, 30) for i in range(20)), "s"))
+    found = {r.doc_id: r.matches for r in licenses.license_matches(documents(spark, rows)).collect()}
+    assert {i: {m.license for m in found[i]} for i in want} == {i: {n} for i, n in want.items()} and not found[99]
+    assert rows[8][1][found[8][0].start : found[8][0].end] == "Released under the MIT License" and found[8][0].dice == 1.0
+    sets, r = [licenses.bigrams(t) for _, t in licenses.TEMPLATES], random.Random(7)
+    for _ in range(30):
+        pick = licenses.TEMPLATES[r.choice([0, 1, 2, 4, 6, 7, 9, 10, 15, 17, 18])][1].split()
+        w = prose(r.random(), 8).split() + [x if r.random() < 0.9 else "other" for x in pick] + prose(r.random(), 8).split()
+        best = max((2 * len(u & s) / (len(u) + len(s)) for a in range(len(w)) for b in range(a + 2, len(w) + 1) if (u := licenses.bigrams(" ".join(w[a:b]))) for s in sets), default=0)
+        got = licenses.Matcher(licenses.TEMPLATES, licenses.THRESHOLD)
+        dice = [got.best(licenses.bigrams(" ".join(w)[a:b]))[0] for a, b in got.passages(" ".join(w))]
+        assert max(dice, default=0) == (best if best >= licenses.THRESHOLD else 0)
+
+
 def test_toxicity_learns_and_ignores_identity(spark):
     r, rows, labels = random.Random(4), [], []
     for i in range(1500):
