@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameflow.llm.common import partitions_of, save, table
+from frameflow.llm.simjoin import only_ids
 
 _ROWS = 512
 
@@ -54,8 +55,10 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     prints = save(texts.mapInArrow(_prints, "doc_id bigint, fingerprint string"), "prints")
     several = save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("fingerprint", "first"), "buckets")
     inside = save(prints.join(several, "fingerprint").distinct(), "inside")
-    mine = inside.join(texts, "doc_id").select("doc_id", "fingerprint", "first", F.col("text").alias("text"))
-    firsts = save(several.withColumnRenamed("first", "doc_id").join(texts, "doc_id").select("fingerprint", F.col("text").alias("text_of_first")), "firsts")
+    # texts outside buckets of several are left out before the shuffle
+    own = only_ids(texts, save(inside.select("doc_id").distinct(), "inside-ids"), "doc_id")
+    mine = inside.join(own, "doc_id").select("doc_id", "fingerprint", "first", F.col("text").alias("text"))
+    firsts = save(several.withColumnRenamed("first", "doc_id").join(only_ids(texts, several.select(F.col("first").alias("doc_id")).distinct(), "doc_id"), "doc_id").select("fingerprint", F.col("text").alias("text_of_first")), "firsts")
     checked = save(mine.join(firsts, "fingerprint").select("doc_id", "fingerprint", "text", "text_of_first").mapInArrow(_compared, "doc_id bigint, fingerprint string, same boolean"), "checked")
     placed = prints.join(checked.groupBy("doc_id", "fingerprint").agg(F.max("same").alias("same")), ["doc_id", "fingerprint"], "left").join(several, "fingerprint", "left")
     return placed.select("doc_id", "fingerprint", F.when(F.col("same"), F.col("first")).otherwise(F.col("doc_id")).alias("class_id"))
@@ -151,5 +154,11 @@ def edited_fingerprints(docs: DataFrame, stretches: int | None = None) -> DataFr
     return ordered.select("part", "ghost", "doc_id", "text").mapInArrow(_edited, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def digests_and_classes(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> the rows of edited_fingerprints with class_id, the smallest doc_id with the same canonical bytes; null for a null doc_id."""
+    classes = exact_classes(docs).where("doc_id IS NOT NULL").distinct()
+    return edited_fingerprints(docs).join(classes, ["doc_id", "fingerprint"], "left").select(*_OUT, "class_id")
+
+
 def op8_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return digests_and_classes(table(spark, sf_dir, "documents"))

@@ -252,6 +252,22 @@ def test_fingerprints_against_brute_force(spark, odd):
     assert classes[21] == 20 and classes[7] == classes[4] == classes[3] == 3 and classes[2] == classes[6] == classes[1] == 1
 
 
+def test_digest_query_groups_exact_copies(odd, spark, tmp_path):
+    """The query's classes over all documents, not only a document's follower: copies far apart in doc_id, repeated rows and null ids."""
+    far = spark.createDataFrame([(1000, odd.where("doc_id = 3").first().text.title()), (None, "a"), (None, "a"), (40, "ﬁne  Éte"), (2000, "fine éte".upper())], "doc_id bigint, text string")
+    docs = odd.select("doc_id", "text").unionByName(far)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = fingerprints.op8_canonical_digest(spark, str(tmp_path)).collect()
+    least = {}
+    for r in docs.collect():
+        if r.doc_id is not None:
+            key = fingerprints.canonical(r.text)
+            least[key] = min(r.doc_id, least.get(key, r.doc_id))
+    want = [(r.doc_id, None if r.doc_id is None else least[fingerprints.canonical(r.text)]) for r in docs.collect()]
+    assert sorted(map(str, ((r.doc_id, r.class_id) for r in out))) == sorted(map(str, want))
+    assert {r.doc_id: r.class_id for r in out}[1000] == 3 and {r.doc_id: r.class_id for r in out}[2000] == 40
+
+
 def test_licenses_against_brute_force(spark, sf_dir):
     texts = [r.text for r in common.table(spark, sf_dir, "documents").limit(60).collect()] + [None, "", "MIT", licenses.TEMPLATES[3][1].replace(". ", ".\n"), "x\n\n" + licenses.TEMPLATES[5][1].replace(", ", ",\n") + "\n\ny"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
