@@ -9,14 +9,15 @@ from frameflow.llm.common import save
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(id, component) for each vertex of ``edges`` (a, b); component is the smallest id reachable.
+    """(id, component) for each vertex of ``edges`` (a, b); component is the smallest id reachable. Ids are of any type that has an order.
 
     Each round every vertex moves to the neighbour (or itself) that comes first in an order (by id, then drawn
     anew per round), from there on three times, and the edges are renamed, made distinct and freed of loops. A drawn order
     shrinks chains as well as stars by a constant factor, so rounds grow with the logarithm of
-    the graph. Only minima are gathered per vertex, and renaming joins saved tables, so that a hub
-    with many edges is combined before the shuffle or split by the join. Nulls in a or b are
-    no edges; no edges give an empty table.
+    the graph. Only vertices that still have edges take part in a round, and where each ends is put together from the last round
+    back to the first, so that all rounds together move a few times the vertices. Only minima are gathered per vertex, and
+    renaming joins saved tables, so that a hub with many edges is combined before the shuffle or split by the join.
+    Nulls in a or b are no edges; no edges give an empty table.
     """
     live = save(edges.where("a < b or b < a").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), name)
     steps: list[DataFrame] = []
@@ -24,7 +25,7 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         if len(steps) == max_rounds:
             raise RuntimeError(f"components are not settled after {max_rounds} rounds")
         # by id at first: candidate links point to the smallest id of their bucket, so most stars fold at once
-        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(steps))) if steps else F.col(c).cast("long")  # noqa: B023, E731
+        rank = lambda c: F.xxhash64(F.col(c), F.lit(len(steps))) if steps else F.lit(0).cast("long")  # noqa: B023, E731
         both = live.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(live.select(F.col("b").alias("id"), F.col("a").alias("to")))
         first = both.groupBy("id").agg(F.min(F.struct(rank("to").alias("r"), F.col("to"))).alias("m"))
         own = F.struct(rank("id").alias("r"), F.col("id").alias("to"))
@@ -42,9 +43,10 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         )
     if not steps:
         return live.selectExpr("a id", "b component")
-    moved = steps[0]
-    for step in steps[1:]:
-        moved = moved.join(step.select(F.col("id").alias("to"), F.col("to").alias("then")), "to", "left").select("id", F.coalesce("then", "to").alias("to"))
-    moved = save(moved, name)
+    # from the last round back: each map is joined with the smaller one of the rounds after it
+    moved = steps[-1]
+    for step in reversed(steps[:-1]):
+        later = moved.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        moved = save(step.join(later, "to", "left").select("id", F.coalesce("then", "to").alias("to")), name)
     least = save(moved.groupBy("to").agg(F.min("id").alias("m")), name)
     return moved.join(least, "to").select("id", F.least("id", "m").alias("component"))

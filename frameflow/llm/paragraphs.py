@@ -1,29 +1,43 @@
-"""Substring dedup: MinHash banding over paragraphs, exact Jaccard, removals by connected components."""
+"""Substring dedup: MinHash banding over paragraphs, exact Jaccard, removals by connected components; passages inside paragraphs by content-defined pieces."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import _M1, SETS, mix, only_ids, sets_of, shingles, similar_components, word_hashes
+from frameflow.llm.simjoin import _M1, BROADCAST_IDS, dealt, mix, pool_rows, pool_schema, shingles, similar_components, word_hashes
 
-#: A pair at a similarity of 0.8 meets in one of 20 bands of 4 rows with probability 0.99997.
-BANDS, ROWS = 20, 4
+#: A pair at a similarity of 0.8 meets in one of 14 bands of 3 rows with probability 0.99996.
+BANDS, ROWS = 14, 3
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Shorter paragraphs are left alone: headings, list items and notices recur in documents that share nothing else.
+#: Shorter paragraphs are not banded: headings, list items and notices recur in documents that share nothing else.
 MIN_WORDS = 20
-#: A paragraph's id is its document's, shifted, plus its number.
-SHIFT = 21
+#: A cut stands where the value of two neighbouring words is the least within so many words on either side, so it depends on these words alone.
+REACH = 4
+#: A piece reaches from a cut to the first cut that is so many words on.
+PIECE_WORDS = 24
+#: Where no value is the least over a stretch of more than twice this many words (a word repeated on and on), cuts stand at this distance.
+STEP = 12
+#: How words are valued for cuts: fixed numbers that the SQL has too.
+CUT_FACTOR, CUT_PRIME, CUT_SPREAD, CUT_RANGE = 40503, 1000003, 2654435761, 2**32
+
+#: A paragraph is named by its document and its number there.
+ID = "struct<doc:bigint,no:int>"
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Bytes of text that are signed at once.
 _BATCH = 1 << 20
+_FULL = np.int64(1) << np.int64(40)
+# two polynomials over the words' hashes tell pieces apart by 128 bits; sums from the start are moved to a piece's start by the inverse
+_BASES = tuple((m, np.uint64(pow(int(m), -1, 2**64))) for m in (_M1, np.uint64(0xD6E8FEB86659FD93)))
 
 
 def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, bytes]]:
@@ -33,10 +47,8 @@ def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, bytes]]:
             yield no, b" ".join(w)
 
 
-def pid(doc: int, no: int) -> int:
-    if not -(2**42) <= doc < 2**42 or no >= 2**SHIFT:
-        raise ValueError(f"doc_id {doc}, paragraph {no}: ids of 43 bits and 2^{SHIFT} paragraphs a document can be told apart")
-    return (doc << SHIFT) + no
+def _ids(docs: list[int], nos: list[int]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(docs, pa.int64()), pa.array(nos, pa.int32())], ["doc", "no"])
 
 
 def band_signatures(texts: list[bytes]) -> np.ndarray:
@@ -61,16 +73,17 @@ def band_signatures(texts: list[bytes]) -> np.ndarray:
 
 
 def _units(min_words: int):
-    """(id, key) of each paragraph: key is a 128-bit digest of its shingle set."""
+    """(id, key) of each paragraph: key is a 128-bit digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            docs, nos, keys = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, w in paragraphs(text.as_py(), min_words):
-                    ids.append(pid(doc.as_py(), no))
+                    docs.append(doc)
+                    nos.append(no)
                     keys.append(xxhash.xxh3_128_digest(w))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["id", "key"])
+            yield pa.RecordBatch.from_arrays([_ids(docs, nos), pa.array(keys, pa.binary())], names=["id", "key"])
 
     return run
 
@@ -81,74 +94,203 @@ def _signed(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         words: list[bytes] = []
-        ids: list[int] = []
+        docs: list[int] = []
+        nos: list[int] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(band_signatures(words).ravel().view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["sig", "id"])
+            return dealt(band_signatures(words).ravel(), _ids(np.repeat(np.array(docs, np.int64), BANDS), np.repeat(np.array(nos, np.int32), BANDS)))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, w in paragraphs(text.as_py(), min_words):
                     key = xxhash.xxh3_128_digest(w)
                     if key in seen:
                         continue
                     seen.add(key)
                     words.append(w)
-                    ids.append(pid(doc.as_py(), no))
+                    docs.append(doc)
+                    nos.append(no)
                     held += len(w)
                     if held >= _BATCH:
                         yield flush()
-                        words, ids, held = [], [], 0
-        if ids:
+                        words, docs, nos, held = [], [], [], 0
+        if docs:
             yield flush()
 
     return run
 
 
-def _line_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [shingles(line.as_py().encode().translate(LOWER_BLANK), SHINGLE) for line in batch.column("line")]
+def _pooled(min_words: int):
+    """Of (doc_id, text, nos) the paragraphs that are wanted, with what they are compared by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs: list[int] = []
+            nos: list[int] = []
+            words: list[str] = []
+            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                wanted = set(wanted)
+                for no, w in paragraphs(text.as_py(), min_words):
+                    if no in wanted:
+                        docs.append(doc)
+                        nos.append(no)
+                        words.append(w.decode())
+                if len(words) >= 512:
+                    yield pool_rows(_ids(docs, nos), words, [_set(w) for w in words])
+                    docs, nos, words = [], [], []
+            if words:
+                yield pool_rows(_ids(docs, nos), words, [_set(w) for w in words])
+
+    return run
+
+
+def _set(words: str) -> np.ndarray:
+    return shingles(words.encode(), SHINGLE)
+
+
+def near_paragraphs(texts: DataFrame, min_words: int) -> DataFrame:
+    """texts (doc_id, text) -> (id, component): the paragraphs in a cluster of two or more, each with the smallest of its cluster."""
+    keyed = save(texts.mapInArrow(_units(min_words), f"id {ID}, key binary"), "paragraphs")
+    classes = save(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "equal")
+    signed = texts.mapInArrow(_signed(min_words), f"sig bigint, id {ID}, bucket bigint")
+
+    def pool_of(ids: DataFrame) -> DataFrame:
+        # the documents that hold wanted paragraphs; then only those paragraphs are cut out
+        wanted = save(ids.groupBy(F.col("id.doc").alias("doc_id")).agg(F.collect_list("id.no").alias("nos")), "wanted")
+        size = wanted.agg(F.coalesce(F.sum(F.size("nos") + 2), F.lit(0))).first()[0]
+        have = texts.join(F.broadcast(wanted) if size <= BROADCAST_IDS else wanted, "doc_id").select("doc_id", "text", "nos")
+        return have.mapInArrow(_pooled(min_words), pool_schema(ID))
+
+    linked = save(similar_components(signed, pool_of, _set, NUM, DEN, "paragraph"), "paragraph-links")
+    of_class = keyed.join(classes, "key").select("id", "least").distinct()
+    edges = of_class.selectExpr("least a", "id b").unionByName(linked.selectExpr("component a", "id b")).where("a <> b")
+    return save(connected_components(edges, "paragraph-clusters"), "paragraph-clusters")
+
+
+def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a text is cut: word numbers from 0 to the number of words. data: its bytes, A-Z lower-cased; starts, ends: of the words in it.
+
+    Word i begins a piece if the value of words i - 1 and i is less than those of the REACH words before and not above those of the REACH words after. A word is
+    valued by its bytes' number, the first and the last; stretches without such a place are cut every STEP words.
+    """
+    w = np.minimum(ends - starts, 999) * 65536 + data[starts].astype(np.int64) * 256 + data[ends - 1]
+    v = (w[:-1] * CUT_FACTOR + w[1:]) % CUT_PRIME * CUT_SPREAD % CUT_RANGE
+    edge = np.full(REACH, _FULL)
+    wide = np.concatenate([edge, v, edge])
+    before = np.min([wide[REACH - k : REACH - k + len(v)] for k in range(1, REACH + 1)], axis=0)
+    after = np.min([wide[REACH + k : REACH + k + len(v)] for k in range(1, REACH + 1)], axis=0)
+    cuts = np.concatenate([[0], np.flatnonzero((v < before) & (v <= after)) + 1, [len(w)]])
+    far = np.flatnonzero(np.diff(cuts) > 2 * STEP)
+    if len(far):
+        cuts = np.sort(np.concatenate([cuts, *(np.arange(cuts[i] + STEP, cuts[i + 1] - STEP + 1, STEP) for i in far)]))
+    return cuts
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, check, doc_id, from, until) of the pieces of whole texts; from, until are code points."""
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(t) if t == np.int64 else np.concatenate(c).astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["key", "check", "doc_id", "from", "until"])
+
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            lower = (text.as_py() or "").encode().translate(LOWER_BLANK)
+            data = np.frombuffer(lower, np.uint8)
+            at = np.flatnonzero(data != 32)
+            if len(at) < 2 * PIECE_WORDS - 1:
+                gaps = np.empty(0, np.int64)
+            else:
+                gaps = np.flatnonzero(np.diff(at) > 1)
+            if len(gaps) + 1 < PIECE_WORDS:
+                continue
+            starts, ends = np.concatenate([at[:1], at[gaps + 1]]), np.concatenate([at[gaps] + 1, at[-1:] + 1])
+            cuts = word_cuts(data, starts, ends)
+            until = np.searchsorted(cuts, cuts + PIECE_WORDS)
+            first, last = cuts[until < len(cuts)], cuts[until[until < len(cuts)]]
+            h = word_hashes(lower)
+            for column, (base, inverse) in zip(columns, _BASES, strict=False):
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(h * np.cumprod(np.full(len(h), base)))])
+                column.append(mix((sums[last] - sums[first]) * np.cumprod(np.full(len(h) + 1, inverse))[first]))
+            # bytes that start a character, counted up to each place
+            chars = np.cumsum((data & 0xC0) != 0x80)
+            columns[2].append(np.full(len(first), doc, np.int64))
+            columns[3].append(chars[starts[first]] - 1)
+            columns[4].append(chars[ends[last - 1] - 1])
+            held += len(first)
+            if held >= 65_536:
+                yield flush()
+                columns, held = [[], [], [], [], []], 0
+    if held:
+        yield flush()
+
+
+def shared_passages(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text) -> doc_id, start, end, cluster_doc, removed: the passages that other documents hold too, wherever these stand in lines.
+
+    Each text's words are cut where their content says so, so a passage of some fifty words holds the same whole pieces in every document. Equal pieces (128-bit digests of their words) of
+    several documents stay in the one with the smallest doc_id; overlapping pieces of a document that stay, or that go, make one passage.
+    """
+    pieces = save(texts.mapInArrow(_pieces, "key bigint, check bigint, doc_id bigint, from int, until int"), "pieces")
+    shared = pieces.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "check", "least")
+    hits = save(pieces.join(save(shared, "shared-pieces"), ["key", "check"]).select("doc_id", "from", "until", "least", (F.col("doc_id") != F.col("least")).alias("removed")), "hits")
+    along = Window.partitionBy("doc_id", "removed").orderBy("from", "until")
+    fresh = F.col("from") > F.coalesce(F.max("until").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    marked = hits.withColumn("fresh", fresh.cast("long"))
+    islands = marked.withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return islands.groupBy("doc_id", "removed", "island").agg(F.min("from").alias("start"), F.max("until").alias("end"), F.min("least").alias("cluster_doc")).select("doc_id", "start", "end", "cluster_doc", "removed")
 
 
 def duplicate_paragraphs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs (doc_id, text) -> a row for each paragraph in a cluster of two or more: doc_id, paragraph, cluster_doc, cluster_paragraph, removed.
+    """docs (doc_id, text) -> a row for each duplicate: doc_id, kind, paragraph, start, end, cluster_doc, cluster_paragraph, removed.
 
-    Paragraphs stand between line ends; those of at least min_words words are compared as sets of five-word shingles (A-Z lower-cased), and
+    kind ``paragraph``: paragraphs stand between line ends; those of at least min_words words are compared as sets of five-word shingles (A-Z lower-cased), and
     linked where the exact Jaccard similarity is 0.8 or more. Candidates share a MinHash band. A cluster is a connected component; it
     stays where (doc_id, paragraph) is smallest and is removed elsewhere, within a document too. Equal paragraphs are one class
-    by a 128-bit digest and are never paired. Null and empty texts have no paragraphs; rows without doc_id are left
-    out; rows that repeat a doc_id are one document, of which equal paragraph numbers are one paragraph. Other columns are ignored.
+    by a 128-bit digest and are never paired. start and end are null.
+
+    kind ``passage``: a stretch [start, end) of a text, in code points, of 24 words or more that other documents hold word for word, also inside lines and across them
+    (``shared_passages``); it stays in the smallest of these documents. paragraph and cluster_paragraph are null.
+
+    Null and empty texts have no duplicates; rows without doc_id are left
+    out; rows that repeat a doc_id are one document, of which equal paragraph numbers are one paragraph. Ids may be any longs. Other columns are ignored.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    keyed = save(texts.mapInArrow(_units(min_words), "id bigint, key binary"), "paragraphs")
-    classes = save(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "equal")
-    signed = texts.mapInArrow(_signed(min_words), "sig bigint, id bigint")
-
-    def sets(ids: DataFrame) -> DataFrame:
-        wanted = save(ids.groupBy(F.shiftright("id", SHIFT).alias("doc_id")).agg(F.collect_set(F.col("id").bitwiseAND(2**SHIFT - 1)).alias("nos")), "wanted")
-        # the documents that hold wanted paragraphs; then only those paragraphs are cut out
-        have = only_ids(texts, save(wanted.select("doc_id"), "wanted-docs"), "doc_id")
-        lines = have.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select(
-            (F.shiftleft("doc_id", SHIFT) + F.col("no")).alias("id"), "line"
-        )
-        return only_ids(lines, ids, "id").select("id", "line").mapInArrow(sets_of("id", _line_sets), SETS)
-
-    linked = save(similar_components(signed, sets, NUM, DEN, "paragraph"), "paragraph-links")
-    of_class = save(keyed.join(classes, "key").select("id", "least").distinct(), "of-class")
-    edges = of_class.selectExpr("least a", "id b").unionByName(linked.selectExpr("component a", "id b")).where("a <> b")
-    found = save(connected_components(edges, "paragraph-clusters"), "paragraph-clusters")
-    doc, no = (lambda c: F.shiftright(c, SHIFT)), (lambda c: F.col(c).bitwiseAND(2**SHIFT - 1))
-    return found.select(
-        doc("id").alias("doc_id"), no("id").alias("paragraph"), doc("component").alias("cluster_doc"), no("component").alias("cluster_paragraph"), (F.col("id") != F.col("component")).alias("removed")
+    no = lambda c: F.lit(None).cast("int").alias(c)
+    lines = near_paragraphs(texts, min_words).select(
+        F.col("id.doc").alias("doc_id"), F.lit("paragraph").alias("kind"), F.col("id.no").alias("paragraph"), no("start"), no("end"),
+        F.col("component.doc").alias("cluster_doc"), F.col("component.no").alias("cluster_paragraph"), (F.col("id") != F.col("component")).alias("removed"),
     )
+    passages = shared_passages(texts).select("doc_id", F.lit("passage").alias("kind"), no("paragraph"), "start", "end", "cluster_doc", no("cluster_paragraph"), "removed")
+    return lines.unionByName(passages)
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, lines: pd.Series, spans: pd.Series) -> pd.Series:
+    def one(t: str, gone, cut) -> str:
+        keep = np.ones(len(t), bool)
+        for a, b in cut if cut is not None else ():
+            keep[a:b] = False
+        out, at, gone = [], 0, set(gone if gone is not None else ())
+        for i, line in enumerate(t.split("\n")):
+            if i not in gone:
+                out.append("".join(c for c, k in zip(line, keep[at : at + len(line)], strict=True) if k))
+            at += len(line) + 1
+        return "\n".join(out)
+
+    return pd.Series([None if t is None else one(t, g, [(c["start"], c["end"]) for c in s] if s is not None else None) for t, g, s in zip(text, lines, spans, strict=True)])
 
 
 def without_duplicates(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with their removed paragraphs cut out of text; all other columns as they are."""
-    gone = save(found.where("removed").groupBy(F.col("doc_id").alias("__gone_doc")).agg(F.collect_set(F.col("paragraph").cast("int")).alias("__gone")), "gone")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    joined = docs.join(gone, docs["doc_id"] == gone["__gone_doc"], "left")
-    return joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)).drop("__gone", "__gone_doc")
+    """docs with their removed paragraphs and passages cut out of text; line ends inside a passage stay. All other columns as they are."""
+    removed = found.where("removed").groupBy(F.col("doc_id").alias("__gone_doc"))
+    lines = F.collect_set("paragraph").alias("__lines")
+    spans = F.collect_set(F.when(F.col("kind") == "passage", F.struct("start", "end"))).alias("__spans")
+    joined = docs.join(save(removed.agg(lines, spans), "gone"), docs["doc_id"] == F.col("__gone_doc"), "left")
+    return joined.withColumn("text", F.when(F.col("__gone_doc").isNull(), F.col("text")).otherwise(_without("text", "__lines", "__spans"))).drop("__gone_doc", "__lines", "__spans")
 
 
 def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +316,42 @@ reach AS (
   SELECT DISTINCT d1, p1, d1 AS d, p1 AS p FROM both_ways
   UNION
   SELECT r.d1, r.p1, b.d2, b.p2 FROM reach r JOIN both_ways b ON b.d1 = r.d AND b.p1 = r.p
-), c AS (SELECT d1, p1, min(row(d, p)) AS least FROM reach GROUP BY ALL)
-SELECT d1 AS doc_id, p1 AS paragraph, least[1] AS cluster_doc, least[2] AS cluster_paragraph, (d1, p1) <> least AS removed FROM c
+), c AS (SELECT d1, p1, min(row(d, p)) AS least FROM reach GROUP BY ALL),
+tokens AS (
+  SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS ts FROM documents)
+), spread AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM tokens),
+words AS (
+  SELECT doc_id, t, CAST(upto - length(t) AS INT) AS a, CAST(upto AS INT) AS z, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k,
+    count(*) OVER (PARTITION BY doc_id) AS n,
+    least(strlen(t), 999) * 65536 + (instr('0123456789ABCDEF', hex(t)[1]) - 1) * 4096 + (instr('0123456789ABCDEF', hex(t)[2]) - 1) * 256
+      + (instr('0123456789ABCDEF', hex(t)[-2]) - 1) * 16 + instr('0123456789ABCDEF', hex(t)[-1]) - 1 AS w
+  FROM spread WHERE NOT regexp_matches(t, '[\x20\x09-\x0D]')
+), valued AS (
+  SELECT doc_id, k, n, (lag(w) OVER (PARTITION BY doc_id ORDER BY k) * 40503 + w) % 1000003 * 2654435761 % 4294967296 AS v FROM words
+), least_at AS (
+  SELECT doc_id, k, n, v,
+    min(v) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS before,
+    min(v) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS after
+  FROM valued
+), natural_cuts AS (
+  SELECT doc_id, k FROM least_at WHERE k = 0 OR (v < coalesce(before, 1e18) AND v <= coalesce(after, 1e18))
+  UNION SELECT doc_id, n FROM words
+), gaps AS (SELECT doc_id, k, lead(k) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM natural_cuts),
+cuts AS (
+  SELECT doc_id, k FROM natural_cuts
+  UNION SELECT doc_id, unnest(range(k + 12, next - 11, 12)) FROM gaps WHERE next - k > 24
+), pieces AS (
+  SELECT x.doc_id, x.k AS k, min(y.k) AS m FROM cuts x JOIN cuts y ON x.doc_id = y.doc_id AND y.k >= x.k + 24 AND y.k <= x.k + 48 GROUP BY ALL
+), texts AS (
+  SELECT p.doc_id, p.k, min(a) AS a, max(z) AS z, md5(string_agg(t, ' ' ORDER BY words.k)) AS key
+  FROM pieces p JOIN words ON words.doc_id = p.doc_id AND words.k >= p.k AND words.k < p.m GROUP BY ALL
+), several AS (SELECT key, min(doc_id) AS least FROM texts GROUP BY key HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, a, z, least, doc_id <> least AS removed FROM texts JOIN several USING (key)),
+starts AS (SELECT *, CASE WHEN a > coalesce(max(z) OVER (PARTITION BY doc_id, removed ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS fresh FROM hits),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, removed ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS island FROM starts)
+SELECT d1 AS doc_id, 'paragraph' AS kind, CAST(p1 AS INT) AS paragraph, CAST(NULL AS INT) AS start, CAST(NULL AS INT) AS "end",
+  least[1] AS cluster_doc, CAST(least[2] AS INT) AS cluster_paragraph, (d1, p1) <> least AS removed FROM c
+UNION ALL
+SELECT doc_id, 'passage', NULL, min(a), max(z), min(least), NULL, removed FROM islands GROUP BY doc_id, removed, island
 """

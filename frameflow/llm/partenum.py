@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import _M1, _M2, _M3, SETS, mix, only_ids, sets_of, shingles, similar_components
+from frameflow.llm.simjoin import _M1, _M3, dealt, mix, only_ids, pool_rows, pool_schema, shingles, similar_components
 
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Second-level partitions of each first-level one, and how many of them may differ. (2, 1) makes a third fewer signatures, each of
@@ -101,7 +101,7 @@ def _signed(size: int, num: int, den: int):
         n = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "id"])
+            return dealt(np.concatenate(out), pa.array(np.concatenate(ids)))
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -123,6 +123,17 @@ def _signed(size: int, num: int, den: int):
     return run
 
 
+def _pooled(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                yield pool_rows(part.column(0), texts, [document_set(t, size) for t in texts])
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id: the smallest doc_id reachable over links den * |both| >= num * |either|.
 
@@ -136,13 +147,12 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: in
     own = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = save(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
     several = save(classes.where("least < most"), "several")
-    signed = texts.where("doc_id IS NOT NULL").mapInArrow(_signed(size, num, den), "sig bigint, id bigint")
+    signed = texts.where("doc_id IS NOT NULL").mapInArrow(_signed(size, num, den), "sig bigint, id bigint, bucket bigint")
 
-    def sets(ids: DataFrame) -> DataFrame:
-        have = only_ids(texts.withColumnRenamed("doc_id", "id"), ids, "id").select("id", "text")
-        return have.mapInArrow(sets_of("id", lambda batch: [document_set(t.as_py(), size) for t in batch.column("text")]), SETS)
+    def pool_of(ids: DataFrame) -> DataFrame:
+        return only_ids(texts.withColumnRenamed("doc_id", "id"), ids, "id").select("id", "text").mapInArrow(_pooled(size), pool_schema("bigint"))
 
-    linked = save(similar_components(signed, sets, num, den, "jaccard"), "linked")
+    linked = save(similar_components(signed, pool_of, lambda t: document_set(t, size), num, den, "jaccard"), "linked")
     # of a class, several tasks may each have signed one document: the class is joined over all of them
     of_class = save(keyed.join(several.select("key", "least"), "key").select("doc_id", "least").distinct(), "of-class")
     bridges = of_class.join(linked.withColumnRenamed("id", "doc_id"), "doc_id").selectExpr("least a", "component b").where("a <> b")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,14 @@ from frameflow.llm.common import save
 from frameflow.llm.components import connected_components
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-#: Ids are broadcast up to this many (16 MB of longs); a larger table of ids is joined by a shuffle.
+#: Ids are broadcast up to this many (16 MB of longs), pairs of ids up to a quarter of it; larger tables are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A signature that recurs so often among the rows of one flush is dealt in two levels.
+HOT = 8
+#: Rounds of drawn centres before the pairs of what is still apart are listed.
+ROUNDS = 6
+#: Remains with so many pairs are listed at once.
+FEW_PAIRS = 50_000
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -61,56 +68,61 @@ def shingles(data: bytes, size: int) -> np.ndarray:
 SHORT = 8
 
 
-def odd_sketch(s: np.ndarray, cells: int = 0) -> bytes:
-    """Bits that say for each of 2^k cells, by default two or more per value, whether an odd number of values falls there."""
-    cells = cells or 1 << max(6, (2 * len(s) - 1).bit_length() if len(s) else 6)
-    return np.packbits(np.bincount((mix(s ^ _M3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """SHORT words of bits that say for each of 64 * SHORT cells whether an odd number of values falls there."""
+    cells = 64 * SHORT
+    return np.packbits(np.bincount((mix(s ^ _M3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
-def sets_of(key: str, sets: Callable[[pa.RecordBatch], list[np.ndarray]]):
-    """For mapInArrow: (id, n, short, sketch, set) of the batches' sets, a few hundred rows at a time."""
+def dealt(sig: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """(sig, id, bucket): the signature rows of one flush, in two levels where a signature is hot.
 
+    Ids that share a hot signature meet under a signature of their own flush, and only the first of them goes on under the hot one, so no task gets
+    all ids of a signature that a third of the documents has. ``bucket`` is the signature that they have in common; null where sig says so itself.
+    """
+    order = np.argsort(sig, kind="stable")
+    run = sig[order]
+    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    count = np.diff(start, append=len(run))
+    hot = np.flatnonzero(count >= HOT)
+    if not len(hot):
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), ids, pa.nulls(len(sig), pa.int64())], names=["sig", "id", "bucket"])
+    rows = np.concatenate([order[start[g] : start[g] + count[g]] for g in hot])
+    own = sig.copy()
+    # told by the flush's content, so that a task that runs again deals alike
+    own[rows] = mix(sig[rows] + mix(np.array([sig.sum(dtype=np.uint64)]))[0]) & np.uint64(0xFFFFFFFFFFFF0000)
+    local = np.zeros(len(sig), bool)
+    local[rows] = True
+    first = order[start[hot]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([own, sig[first]]).view(np.int64)), pa.concat_arrays([ids, ids.take(pa.array(first))]),
+            pa.array(np.concatenate([sig, sig[first]]).view(np.int64), mask=np.concatenate([~local, np.ones(len(first), bool)])),
+        ],
+        names=["sig", "id", "bucket"],
+    )
+
+
+def pool_rows(ids: pa.Array, texts: list[str], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """(id, n, short, text): what candidates are compared by, for a few hundred of them."""
+    short = pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), short, pa.array(texts, pa.string())], names=["id", "n", "short", "text"])
+
+
+def pool_schema(kind: str) -> str:
+    return f"id {kind}, n bigint, short array<bigint>, text string"
+
+
+def _linked(sets: Callable[[str], np.ndarray], num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                own = sets(part)
-                columns = [part.column(key), pa.array([len(s) for s in own], pa.int64())]
-                columns.append(pa.array([np.frombuffer(odd_sketch(s, 64 * SHORT), np.int64) for s in own], pa.list_(pa.int64())))
-                columns += [pa.array(map(odd_sketch, own), pa.binary()), pa.array((s.tobytes() for s in own), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "short", "sketch", "set"])
-
-    return run
-
-
-SETS = "id bigint, n bigint, short array<bigint>, sketch binary, set binary"
-
-
-def _maybe_linked(num: int, den: int):
-    """Leaves out pairs whose sketches prove them apart: every differing bit comes from a value that only one set holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                while len(x) > len(y):
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                keep.append((den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * int(n[i] + m[i]))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _linked(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, x = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for one, other in zip(batch.column("x"), batch.column("y"), strict=True):
+                one = one.as_py()
+                if one != text:
+                    text, x = one, sets(one)
+                y = sets(other.as_py())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -118,64 +130,119 @@ def _linked(num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
-    """The saved pairs (a, b) whose sets have den * |both| >= num * |either|.
+class Candidates:
+    """Texts that share signatures, and how pairs of them are decided.
 
-    sets(ids) gives (id, n, sketch, set): a set's size, its odd sketch and its sorted values. Sizes and sketches, about a
-    sixteenth of the sets, decide most pairs; the sets themselves are only made, and meet, for the rest. An id may have several sets; any counts.
+    pool: (id, n, short, text), saved; an id may have several texts, any counts. sets: a text's shingles, as random 64-bit values.
     """
-    def ids_of(p: DataFrame) -> DataFrame:
-        return save(p.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
-    def side(have: DataFrame, end: str, n: str, value: str, column: str) -> DataFrame:
-        return have.select(F.col("id").alias(end), F.col("n").alias(n), F.col(column).alias(value))
+    def __init__(self, pool: DataFrame, sets: Callable[[str], np.ndarray], num: int, den: int, name: str):
+        self.pool, self.sets, self.num, self.den, self.name = pool, sets, num, den, name
+        self.kind = pool.schema["id"].dataType.simpleString()
 
-    have = save(sets(ids_of(pairs)).select("id", "n", "sketch"), name)
-    sized = pairs.join(side(have, "a", "n", "x", "sketch"), "a").join(side(have, "b", "m", "y", "sketch"), "b").where(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    near = save(sized.mapInArrow(_maybe_linked(num, den), "a bigint, b bigint").distinct(), name)
-    have = save(sets(ids_of(near)).select("id", "n", "set"), name)
-    both = near.join(side(have, "a", "n", "x", "set"), "a").join(side(have, "b", "m", "y", "set"), "b")
-    return save(both.select("a", "b", "x", "y").mapInArrow(_linked(num, den), "a bigint, b bigint").distinct(), name)
+    def _small(self, pairs: DataFrame) -> DataFrame:
+        return F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 4 else pairs
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """Of the saved pairs (a, b, ...) those whose sizes and short sketches allow a link: a bit that differs stands for a value that only one set holds."""
+        side = lambda end, n, s: self.pool.select(F.col("id").alias(end), F.col("n").alias(n), F.col("short").alias(s))
+        met = side("b", "m", "t").join(side("a", "n", "s").join(self._small(pairs), "a"), "b")
+        return met.where(self.allowed(lambda i: f"s[{i}]", lambda i: f"t[{i}]")).select(*pairs.columns).distinct()
 
-def similar_components(signatures: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, name: str) -> DataFrame:
+    def allowed(self, s, t) -> str:
+        apart = " + ".join(f"bit_count({s(i)} ^ {t(i)})" for i in range(SHORT))
+        return f"{self.den} * least(n, m) >= {self.num} * greatest(n, m) and {self.den + self.num} * ({apart}) <= {self.den - self.num} * (n + m)"
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Of the saved pairs (a, b) those whose sets have den * |both| >= num * |either|: the texts of b move to those of a."""
+        other = self.pool.select(F.col("id").alias("b"), F.col("text").alias("y")).join(self._small(pairs.select("a", "b")), "b")
+        both = other.join(self.pool.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+        return save(both.mapInArrow(_linked(self.sets, self.num, self.den), f"a {self.kind}, b {self.kind}").distinct(), self.name)
+
+    def pairs_within(self, rows: DataFrame) -> DataFrame:
+        """(a, b, c, d) of rows (sig, id, c) that share a signature, are in different components c and may be linked."""
+        at = self.pool.select("id", "n", *(F.get("short", F.lit(i)).alias(f"s{i}") for i in range(SHORT)))
+        one = save(rows.join(at, "id"), self.name)
+        other = one.select("sig", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SHORT)))
+        one = one.withColumnRenamed("id", "a")
+        return one.join(other, "sig").where(f"a < b and c <> d and {self.allowed(lambda i: f's{i}', lambda i: f't{i}')}").select("a", "b", "c", "d").distinct()
+
+
+def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray], num: int, den: int, name: str) -> DataFrame:
     """(id, component) of ids that share a signature and are linked, directly or over others.
 
-    signatures: (sig, id), repeats allowed. Two ids with a common signature are a candidate pair.
+    signatures: (sig, id, bucket) as of ``dealt``, repeats allowed. Two ids with a common signature are a candidate pair. pool_of(ids) gives the
+    candidates' texts with their sketches; they are written once and all comparisons read them there.
     First each id is checked against one centre only, the smallest id of most of its buckets; that
-    joins nearly all true copies without listing the pairs of a group. Then every candidate
-    pair whose ids are still in different components is checked, so no link that joins two
+    joins nearly all true copies without listing the pairs of a group. Then against its other centres. Then, in buckets that still hold several
+    components, against centres drawn anew, one a bucket and round, each of which is done with after it; as rows fall in number with each
+    round, a bucket of many linked ids never lists its pairs. What is then still apart is compared in full, so no link that joins two
     components is lost whatever the sizes of the buckets.
     """
     order = Window.partitionBy("sig").orderBy("id")
     first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     members = save(
-        signatures.select("sig", "id", first.alias("centre"), F.lag("id").over(order).alias("before"))
-        .where("id <> centre and id <> before").select("sig", "id", "centre"),
+        signatures.select("sig", "id", "bucket", first.alias("centre"), F.lag("id").over(order).alias("before"))
+        .where("id <> centre and id <> before").select(F.coalesce("bucket", "sig").alias("sig"), "id", "centre"),
         name,
     )
+    ids = save(members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct(), name)
+    pool = save(pool_of(ids), f"{name}-pool")
+    own = Candidates(pool, sets, num, den, name)
+
     shared = save(members.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("n")), name)
-    stars = save(shared.groupBy("id").agg(F.max(F.struct("n", (-F.col("centre")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("a"), F.col("id").alias("b")), name)
-    links = verified(stars, sets, num, den, name)
-    found = save(connected_components(links, name), name)
-
-    # buckets whose ids are not all in their centre's component; only these are read on
-    def placed(rows: DataFrame) -> DataFrame:
-        own = found.select("id", F.col("component").alias("c"))
-        centres = found.select(F.col("id").alias("centre"), F.col("component").alias("d"))
-        return rows.join(own, "id", "left").join(centres, "centre", "left").select("sig", "id", "centre", F.coalesce("c", "id").alias("c"), F.coalesce("d", "centre").alias("d"))
-
-    mixed = save(placed(members).where("c <> d").select("sig").distinct(), name)
-    within = save(placed(members.join(mixed, "sig", "left_semi")), name)
-    open_ = save(within.select("sig", "id", "c").unionByName(within.select("sig", F.col("centre").alias("id"), F.col("d").alias("c")).distinct()), name)
-    shorts = save(sets(save(open_.select("id").distinct(), name)).select("id", "n", *(F.get("short", F.lit(i)).alias(f"s{i}") for i in range(SHORT))), name)
-    sketched = save(open_.join(shorts, "id"), name)
-    one, other = sketched.withColumnRenamed("id", "a"), sketched.select("sig", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SHORT)))
-    # sizes and short sketches must allow the link, or the pair is not even written
-    apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(SHORT))
-    allowed = f"a < b and c <> d and {den} * least(n, m) >= {num} * greatest(n, m) and {den + num} * ({apart}) <= {den - num} * (n + m)"
-    pairs = one.join(other, "sig").where(allowed).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    rest = save(pairs, name)
-    if rest.isEmpty():
+    stars = save(shared.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("centre"))).alias("m")).select(F.col("m.centre").alias("a"), F.col("id").alias("b")), name)
+    found = save(connected_components(own.linked(stars), name), name)
+
+    placed = found.select("id", F.col("component").alias("c"))
+    centres = found.select(F.col("id").alias("centre"), F.col("component").alias("d"))
+    at = lambda rows: rows.join(placed, "id", "left").join(centres, "centre", "left").withColumns({"c": F.coalesce("c", "id"), "d": F.coalesce("d", "centre")})
+    others = save(at(shared.select("id", "centre").join(stars.select(F.col("a").alias("centre"), F.col("b").alias("id")), ["id", "centre"], "left_anti")).where("c <> d").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("d").alias("c"), F.col("c").alias("d")), name)
+
+    edges: list[DataFrame] = []
+    moved: DataFrame | None = None
+
+    def compared(pairs: DataFrame) -> None:
+        """Pairs (a, b, c, d) that are linked join their components c and d."""
+        nonlocal moved
+        near = save(pairs, name)
+        if near.isEmpty():
+            return
+        new = save(near.join(own._small(own.linked(near)), ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), name)
+        if not new.isEmpty():
+            edges.append(new)
+            moved = save(connected_components(reduce(DataFrame.unionByName, edges), name), name)
+
+    def now(rows: DataFrame, column: str = "c") -> DataFrame:
+        """rows with their components after all merges so far."""
+        if moved is None:
+            return rows
+        return rows.join(moved.select(F.col("id").alias(column), F.col("component").alias("__to")), column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+
+    if not others.isEmpty():
+        compared(own.possible(others))
+    # buckets of two are settled now; of the others, those in several components are read on
+    rows = now(now(at(members), "c"), "d")
+    stats = rows.groupBy("sig").agg(F.count_if(F.col("c") != F.col("d")).alias("apart"), F.count(F.lit(1)).alias("n"), F.min("centre").alias("one"), F.max("centre").alias("last"))
+    mixed = save(stats.where("apart > 0 and n > 1").select("sig", (F.col("one") == F.col("last")).alias("single")), name)
+    within = save(rows.join(mixed, "sig").select("sig", "id", "c", "centre", "d", "single"), name)
+    # a bucket's only centre has met all its ids
+    open_ = save(within.select("sig", "id", "c").unionByName(within.where("not single").select("sig", F.col("centre").alias("id"), F.col("d").alias("c"))).distinct(), name)
+    for turn in range(ROUNDS):
+        drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("z")
+        buckets = save(open_.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), drawn).where("low < high").select("sig", "n", "z"), name)
+        listed = buckets.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+        if listed is None or listed <= FEW_PAIRS:
+            break
+        met = open_.join(buckets.select("sig", F.col("z.id").alias("z"), F.col("z.c").alias("d")), "sig")
+        met = save(met.where("id <> z"), name)
+        pairs = met.where("c <> d").select(F.col("z").alias("a"), F.col("id").alias("b"), F.col("d").alias("c"), F.col("c").alias("d")).distinct()
+        compared(own.possible(save(pairs, name)))
+        open_ = save(now(met.select("sig", "id", "c")), name)
+    else:
+        listed = 1
+    if listed:
+        compared(own.pairs_within(open_))
+    if moved is None:
         return found
-    return connected_components(links.unionByName(verified(rest, sets, num, den, name)), name)
+    return save(now(found.withColumnRenamed("component", "c")).withColumnRenamed("c", "component").unionByName(moved.join(found, "id", "left_anti")), name)
