@@ -31,10 +31,8 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
         own = F.struct(rank("id").alias("r"), F.col("id").alias("to"))
         near = save(first.select("id", F.least("m", own)["to"].alias("to")), name)
         # on to where that vertex goes, and once more: ranks fall along the way, so it has no loops
-        on = near.select(F.col("id").alias("to"), F.col("to").alias("then"))
-        twice = save(near.join(on, "to").select("id", F.col("then").alias("to")), name)
-        on = twice.select(F.col("id").alias("to"), F.col("to").alias("then"))
-        steps.append(save(twice.join(on, "to").select("id", F.col("then").alias("to")), name))
+        on, further = near.select(F.col("id").alias("to"), F.col("to").alias("then")), near.select(F.col("id").alias("then"), F.col("to").alias("last"))
+        steps.append(save(near.join(on, "to").join(further, "then").select("id", F.col("last").alias("to")), name))
         live = save(
             live.join(steps[-1].select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
             .join(steps[-1].select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
@@ -48,5 +46,5 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     for step in reversed(steps[:-1]):
         later = moved.select(F.col("id").alias("to"), F.col("to").alias("then"))
         moved = save(step.join(later, "to", "left").select("id", F.coalesce("then", "to").alias("to")), name)
-    least = save(moved.groupBy("to").agg(F.min("id").alias("m")), name)
+    least = moved.groupBy("to").agg(F.min("id").alias("m"))
     return moved.join(least, "to").select("id", F.least("id", "m").alias("component"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import _M1, BROADCAST_IDS, dealt, mix, pool_rows, pool_schema, shingles, similar_components, word_hashes
+from frameflow.llm.simjoin import _M1, BROADCAST_IDS, dealt, mix, pool_rows, pool_schema, similar_components, word_hashes
 
 #: A pair at a similarity of 0.8 meets in one of 14 bands of 3 rows with probability 0.99996.
 BANDS, ROWS = 14, 3
@@ -128,27 +128,23 @@ def _pooled(min_words: int):
         for batch in batches:
             docs: list[int] = []
             nos: list[int] = []
-            words: list[str] = []
+            words: list[bytes] = []
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 wanted = set(wanted)
                 for no, w in paragraphs(text.as_py(), min_words):
                     if no in wanted:
                         docs.append(doc)
                         nos.append(no)
-                        words.append(w.decode())
+                        words.append(w)
                 if len(words) >= 512:
-                    yield pool_rows(_ids(docs, nos), words, [_set(w) for w in words])
+                    yield pool_rows(_ids(docs, nos), words, SHINGLE)
                     docs, nos, words = [], [], []
             if words:
-                yield pool_rows(_ids(docs, nos), words, [_set(w) for w in words])
+                yield pool_rows(_ids(docs, nos), words, SHINGLE)
 
     return run
 
 
-def _set(words: str) -> np.ndarray:
-    return shingles(words.encode(), SHINGLE)
-
-
 def near_paragraphs(texts: DataFrame, min_words: int) -> DataFrame:
     """texts (doc_id, text) -> (id, component): the paragraphs in a cluster of two or more, each with the smallest of its cluster."""
     keyed = save(texts.mapInArrow(_units(min_words), f"id {ID}, key binary"), "paragraphs")
@@ -162,68 +158,84 @@ def near_paragraphs(texts: DataFrame, min_words: int) -> DataFrame:
         have = texts.join(F.broadcast(wanted) if size <= BROADCAST_IDS else wanted, "doc_id").select("doc_id", "text", "nos")
         return have.mapInArrow(_pooled(min_words), pool_schema(ID))
 
-    linked = save(similar_components(signed, pool_of, _set, NUM, DEN, "paragraph"), "paragraph-links")
+    linked = save(similar_components(signed, pool_of, SHINGLE, NUM, DEN, "paragraph"), "paragraph-links")
     of_class = keyed.join(classes, "key").select("id", "least").distinct()
     edges = of_class.selectExpr("least a", "id b").unionByName(linked.selectExpr("component a", "id b")).where("a <> b")
     return save(connected_components(edges, "paragraph-clusters"), "paragraph-clusters")
 
 
-def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where a text is cut: word numbers from 0 to the number of words. data: its bytes, A-Z lower-cased; starts, ends: of the words in it.
+def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where texts are cut, as ascending word numbers. data: bytes of the texts, A-Z lower-cased; starts, ends: of the words in it; first: the number of each text's first word, and that of all words.
 
-    Word i begins a piece if the value of words i - 1 and i is less than those of the REACH words before and not above those of the REACH words after. A word is
-    valued by its bytes' number, the first and the last; stretches without such a place are cut every STEP words.
+    A text's ends are cuts. Word i begins a piece if the value of words i - 1 and i is less than those of the REACH words before and not above those of the REACH words after, as far as
+    they are of the same text. A word is valued by its bytes' number, the first and the last; stretches without such a place are cut every STEP words.
     """
     w = np.minimum(ends - starts, 999) * 65536 + data[starts].astype(np.int64) * 256 + data[ends - 1]
-    v = (w[:-1] * CUT_FACTOR + w[1:]) % CUT_PRIME * CUT_SPREAD % CUT_RANGE
-    edge = np.full(REACH, _FULL)
-    wide = np.concatenate([edge, v, edge])
-    before = np.min([wide[REACH - k : REACH - k + len(v)] for k in range(1, REACH + 1)], axis=0)
-    after = np.min([wide[REACH + k : REACH + k + len(v)] for k in range(1, REACH + 1)], axis=0)
-    cuts = np.concatenate([[0], np.flatnonzero((v < before) & (v <= after)) + 1, [len(w)]])
+    # between texts there is room for the reach, filled with a value that is never the least
+    at = np.arange(len(w)) + REACH * np.repeat(np.arange(1, len(first)), np.diff(first))
+    wide = np.full(len(w) + REACH * len(first), _FULL)
+    wide[at[1:]] = (w[:-1] * CUT_FACTOR + w[1:]) % CUT_PRIME * CUT_SPREAD % CUT_RANGE
+    wide[at[first[:-1][np.diff(first) > 0]]] = _FULL
+    v, before, after = wide[at], wide[at - 1], wide[at + 1]
+    for k in range(2, REACH + 1):
+        before, after = np.minimum(before, wide[at - k]), np.minimum(after, wide[at + k])
+    cuts = np.union1d(np.flatnonzero((v < before) & (v <= after)), first)
     far = np.flatnonzero(np.diff(cuts) > 2 * STEP)
     if len(far):
         cuts = np.sort(np.concatenate([cuts, *(np.arange(cuts[i] + STEP, cuts[i + 1] - STEP + 1, STEP) for i in far)]))
     return cuts
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, check, doc_id, from, until) of the pieces of whole texts; from, until are code points."""
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    """(key, check, doc_id, from, until) of the pieces of whole texts, many texts at a time; from, until are code points."""
+    powers = [[_powers(b, 1 << 10) for b in pair] for pair in _BASES]
+    docs: list[int] = []
+    texts: list[bytes] = []
     held = 0
 
     def flush() -> pa.RecordBatch:
-        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(t) if t == np.int64 else np.concatenate(c).astype(t)) for c, t in zip(columns, kinds, strict=True)], names=["key", "check", "doc_id", "from", "until"])
+        lower = b" ".join(texts)
+        data = np.frombuffer(lower, np.uint8)
+        at = np.flatnonzero(data != 32)
+        gaps = np.flatnonzero(np.diff(at) > 1)
+        starts, ends = np.concatenate([at[:1], at[gaps + 1]]), np.concatenate([at[gaps] + 1, at[-1:] + 1])
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        first = np.append(np.searchsorted(starts, begin), len(starts))
+        cuts = word_cuts(data, starts, ends, first)
+        until = np.searchsorted(cuts, cuts + PIECE_WORDS)
+        one, other = cuts[until < len(cuts)], cuts[until[until < len(cuts)]]
+        owner = np.searchsorted(first, one, "right") - 1
+        inside = other <= first[owner + 1]
+        one, other, owner = one[inside], other[inside], owner[inside]
+        h = word_hashes(lower)
+        keys = []
+        for pair, bases in zip(powers, _BASES, strict=True):
+            if len(pair[0]) <= len(h):
+                pair[:] = [_powers(b, 2 * len(h)) for b in bases]
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * pair[0][: len(h)])])
+            keys.append(mix((sums[other] - sums[one]) * pair[1][one]).view(np.int64))
+        # bytes that start a character, counted up to each place and from the text's own start
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        base = chars[begin][owner]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(keys[0]), pa.array(keys[1]), pa.array(np.array(docs, np.int64)[owner]), pa.array((chars[starts[one]] - base).astype(np.int32)), pa.array((chars[ends[other - 1]] - base).astype(np.int32))],
+            names=["key", "check", "doc_id", "from", "until"],
+        )
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             lower = (text.as_py() or "").encode().translate(LOWER_BLANK)
-            data = np.frombuffer(lower, np.uint8)
-            at = np.flatnonzero(data != 32)
-            if len(at) < 2 * PIECE_WORDS - 1:
-                gaps = np.empty(0, np.int64)
-            else:
-                gaps = np.flatnonzero(np.diff(at) > 1)
-            if len(gaps) + 1 < PIECE_WORDS:
-                continue
-            starts, ends = np.concatenate([at[:1], at[gaps + 1]]), np.concatenate([at[gaps] + 1, at[-1:] + 1])
-            cuts = word_cuts(data, starts, ends)
-            until = np.searchsorted(cuts, cuts + PIECE_WORDS)
-            first, last = cuts[until < len(cuts)], cuts[until[until < len(cuts)]]
-            h = word_hashes(lower)
-            for column, (base, inverse) in zip(columns, _BASES, strict=False):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(h * np.cumprod(np.full(len(h), base)))])
-                column.append(mix((sums[last] - sums[first]) * np.cumprod(np.full(len(h) + 1, inverse))[first]))
-            # bytes that start a character, counted up to each place
-            chars = np.cumsum((data & 0xC0) != 0x80)
-            columns[2].append(np.full(len(first), doc, np.int64))
-            columns[3].append(chars[starts[first]] - 1)
-            columns[4].append(chars[ends[last - 1] - 1])
-            held += len(first)
-            if held >= 65_536:
+            if len(lower) >= 2 * PIECE_WORDS - 1 and not lower.isspace():
+                docs.append(doc)
+                texts.append(lower)
+                held += len(lower)
+            if held >= _BATCH:
                 yield flush()
-                columns, held = [[], [], [], [], []], 0
+                docs, texts, held = [], [], 0
     if held:
         yield flush()
 

@@ -128,8 +128,7 @@ def _pooled(size: int):
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                yield pool_rows(part.column(0), texts, [document_set(t, size) for t in texts])
+                yield pool_rows(part.column(0), [(t or "").encode().translate(LOWER_BLANK) for t in part.column(1).to_pylist()], size)
 
     return run
 
@@ -152,7 +151,7 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: in
     def pool_of(ids: DataFrame) -> DataFrame:
         return only_ids(texts.withColumnRenamed("doc_id", "id"), ids, "id").select("id", "text").mapInArrow(_pooled(size), pool_schema("bigint"))
 
-    linked = save(similar_components(signed, pool_of, lambda t: document_set(t, size), num, den, "jaccard"), "linked")
+    linked = save(similar_components(signed, pool_of, size, num, den, "jaccard"), "linked")
     # of a class, several tasks may each have signed one document: the class is joined over all of them
     of_class = save(keyed.join(several.select("key", "least"), "key").select("doc_id", "least").distinct(), "of-class")
     bridges = of_class.join(linked.withColumnRenamed("id", "doc_id"), "doc_id").selectExpr("least a", "component b").where("a <> b")

@@ -18,8 +18,8 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 BROADCAST_IDS = 1_000_000
 #: A signature that recurs so often among the rows of one flush is dealt in two levels.
 HOT = 8
-#: Rounds of drawn centres before the pairs of what is still apart are listed.
-ROUNDS = 6
+#: Centres drawn in a bucket at once: first among all its ids, then among those of its largest component, then the pairs of what is still apart are listed.
+CENTRES = (4, 12)
 #: Remains with so many pairs are listed at once.
 FEW_PAIRS = 50_000
 
@@ -64,14 +64,34 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(mix(acc))
 
 
+def many_shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts): the sets of ``shingles`` for many texts one after another, all worked on at once. texts: words and blanks."""
+    h = word_hashes(b" ".join(texts))
+    n = np.array([len(t.split()) for t in texts])
+    width = np.minimum(n, size)
+    many = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+    owner = np.repeat(np.arange(len(texts)), many)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(n) - n, many)
+    acc = width[owner].astype(np.uint64)
+    for i in range(size):
+        on = width[owner] > i if i else slice(None)
+        acc[on] = acc[on] * _M1 + h[at[on] + i]
+    acc = mix(acc)
+    order = np.lexsort((acc, owner))
+    acc, owner = acc[order], owner[order]
+    fresh = np.concatenate([[True], (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])]) if len(acc) else np.empty(0, bool)
+    return acc[fresh], np.bincount(owner[fresh], minlength=len(texts))
+
+
 #: 64-bit words of the short sketch that candidates of one bucket are compared by.
 SHORT = 8
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """SHORT words of bits that say for each of 64 * SHORT cells whether an odd number of values falls there."""
+def odd_sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set SHORT words of bits that say for each of 64 * SHORT cells whether an odd number of its values falls there."""
     cells = 64 * SHORT
-    return np.packbits(np.bincount((mix(s ^ _M3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+    at = np.repeat(np.arange(len(counts)) * cells, counts) + (mix(values ^ _M3) & np.uint64(cells - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells * len(counts)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
 def dealt(sig: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
@@ -103,29 +123,30 @@ def dealt(sig: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
     )
 
 
-def pool_rows(ids: pa.Array, texts: list[str], sets: list[np.ndarray]) -> pa.RecordBatch:
-    """(id, n, short, text): what candidates are compared by, for a few hundred of them."""
-    short = pa.array([odd_sketch(s) for s in sets], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), short, pa.array(texts, pa.string())], names=["id", "n", "short", "text"])
+def pool_rows(ids: pa.Array, texts: list[bytes], size: int) -> pa.RecordBatch:
+    """(id, n, short, text): what candidates are compared by, for a few hundred of them; texts: words and blanks, A-Z lower-cased."""
+    values, counts = many_shingles(texts, size)
+    short = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SHORT), pa.array(odd_sketches(values, counts)))
+    return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), short, pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "n", "short", "text"])
 
 
 def pool_schema(kind: str) -> str:
     return f"id {kind}, n bigint, short array<bigint>, text string"
 
 
-def _linked(sets: Callable[[str], np.ndarray], num: int, den: int):
+def _linked(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, x = None, None
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch.column("x"), batch.column("y"), strict=True):
-                one = one.as_py()
-                if one != text:
-                    text, x = one, sets(one)
-                y = sets(other.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                sides = [many_shingles([t.encode() for t in batch.column(c).to_pylist()], size) for c in ("x", "y")]
+                # values of both sides by pair: those that stand twice are in both sets
+                values, pair = np.concatenate([v for v, _ in sides]), np.concatenate([np.repeat(np.arange(batch.num_rows), n) for _, n in sides])
+                order = np.lexsort((values, pair))
+                values, pair = values[order], pair[order]
+                both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])], minlength=batch.num_rows)
+                keep = den * both >= num * (sides[0][1] + sides[1][1] - both)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -133,11 +154,11 @@ def _linked(sets: Callable[[str], np.ndarray], num: int, den: int):
 class Candidates:
     """Texts that share signatures, and how pairs of them are decided.
 
-    pool: (id, n, short, text), saved; an id may have several texts, any counts. sets: a text's shingles, as random 64-bit values.
+    pool: (id, n, short, text), saved; an id may have several texts, any counts. size: words of a shingle.
     """
 
-    def __init__(self, pool: DataFrame, sets: Callable[[str], np.ndarray], num: int, den: int, name: str):
-        self.pool, self.sets, self.num, self.den, self.name = pool, sets, num, den, name
+    def __init__(self, pool: DataFrame, size: int, num: int, den: int, name: str):
+        self.pool, self.size, self.num, self.den, self.name = pool, size, num, den, name
         self.kind = pool.schema["id"].dataType.simpleString()
 
     def _small(self, pairs: DataFrame) -> DataFrame:
@@ -157,7 +178,7 @@ class Candidates:
         """Of the saved pairs (a, b) those whose sets have den * |both| >= num * |either|: the texts of b move to those of a."""
         other = self.pool.select(F.col("id").alias("b"), F.col("text").alias("y")).join(self._small(pairs.select("a", "b")), "b")
         both = other.join(self.pool.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        return save(both.mapInArrow(_linked(self.sets, self.num, self.den), f"a {self.kind}, b {self.kind}").distinct(), self.name)
+        return save(both.mapInArrow(_linked(self.size, self.num, self.den), f"a {self.kind}, b {self.kind}").distinct(), self.name)
 
     def pairs_within(self, rows: DataFrame) -> DataFrame:
         """(a, b, c, d) of rows (sig, id, c) that share a signature, are in different components c and may be linked."""
@@ -168,15 +189,15 @@ class Candidates:
         return one.join(other, "sig").where(f"a < b and c <> d and {self.allowed(lambda i: f's{i}', lambda i: f't{i}')}").select("a", "b", "c", "d").distinct()
 
 
-def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], DataFrame], sets: Callable[[str], np.ndarray], num: int, den: int, name: str) -> DataFrame:
+def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int, name: str) -> DataFrame:
     """(id, component) of ids that share a signature and are linked, directly or over others.
 
     signatures: (sig, id, bucket) as of ``dealt``, repeats allowed. Two ids with a common signature are a candidate pair. pool_of(ids) gives the
     candidates' texts with their sketches; they are written once and all comparisons read them there.
     First each id is checked against one centre only, the smallest id of most of its buckets; that
     joins nearly all true copies without listing the pairs of a group. Then against its other centres. Then, in buckets that still hold several
-    components, against centres drawn anew, one a bucket and round, each of which is done with after it; as rows fall in number with each
-    round, a bucket of many linked ids never lists its pairs. What is then still apart is compared in full, so no link that joins two
+    components, against a few ids drawn from the bucket, and again against a few of its largest component; so the many ids of one
+    group fall into one component without pairs of all of them. What is then still apart is compared in full, so no link that joins two
     components is lost whatever the sizes of the buckets.
     """
     order = Window.partitionBy("sig").orderBy("id")
@@ -188,7 +209,7 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
     )
     ids = save(members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct(), name)
     pool = save(pool_of(ids), f"{name}-pool")
-    own = Candidates(pool, sets, num, den, name)
+    own = Candidates(pool, size, num, den, name)
 
     shared = save(members.groupBy("id", "centre").agg(F.count(F.lit(1)).alias("n")), name)
     stars = save(shared.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("centre"))).alias("m")).select(F.col("m.centre").alias("a"), F.col("id").alias("b")), name)
@@ -228,19 +249,21 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
     within = save(rows.join(mixed, "sig").select("sig", "id", "c", "centre", "d", "single"), name)
     # a bucket's only centre has met all its ids
     open_ = save(within.select("sig", "id", "c").unionByName(within.where("not single").select("sig", F.col("centre").alias("id"), F.col("d").alias("c"))).distinct(), name)
-    for turn in range(ROUNDS):
-        drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id"), F.col("c").alias("c"))).alias("z")
-        buckets = save(open_.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), drawn).where("low < high").select("sig", "n", "z"), name)
-        listed = buckets.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-        if listed is None or listed <= FEW_PAIRS:
+    listed = 0
+    for turn, centres_drawn in enumerate(CENTRES):
+        drawn = [F.min(F.struct(F.xxhash64("id", F.lit(100 * turn + i)), F.col("id").alias("id"), F.col("c").alias("d"))).alias(f"z{i}") for i in range(centres_drawn)]
+        parts = open_.groupBy("sig", *["c"] * bool(turn)).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), *drawn)
+        if turn:  # the centres of the largest component
+            zs = F.max_by(F.struct(*(f"z{i}" for i in range(centres_drawn))), F.struct("n", "low")).alias("z")
+            parts = parts.groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), zs).select("sig", "low", "high", "n", "z.*")
+        buckets = save(parts.where("low < high").select("sig", "n", F.array_distinct(F.array(*(F.struct(f"z{i}.id", f"z{i}.d") for i in range(centres_drawn)))).alias("zs")), name)
+        listed = buckets.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
+        if listed <= FEW_PAIRS:
             break
-        met = open_.join(buckets.select("sig", F.col("z.id").alias("z"), F.col("z.c").alias("d")), "sig")
-        met = save(met.where("id <> z"), name)
-        pairs = met.where("c <> d").select(F.col("z").alias("a"), F.col("id").alias("b"), F.col("d").alias("c"), F.col("c").alias("d")).distinct()
+        met = open_.join(buckets.select("sig", "zs"), "sig").select("sig", "id", "c", F.filter("zs", lambda z: (z["id"] != F.col("id")) & (z["d"] != F.col("c"))).alias("zs"))
+        pairs = met.select("id", "c", F.explode("zs").alias("z")).select(F.col("z.id").alias("a"), F.col("id").alias("b"), F.col("z.d").alias("c"), F.col("c").alias("d")).distinct()
         compared(own.possible(save(pairs, name)))
-        open_ = save(now(met.select("sig", "id", "c")), name)
-    else:
-        listed = 1
+        open_ = save(now(open_.join(buckets.select("sig"), "sig", "left_semi")), name)
     if listed:
         compared(own.pairs_within(open_))
     if moved is None:
