@@ -2,11 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from frameflow.llm.common import save
 
+#: What is left of a graph is finished by one task once it has no more edges than this, whatever its size was.
+FEW_EDGES = 10_000
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of at most FEW_EDGES edges -> (id, to): the smallest id reachable, by union and find."""
+    up: dict = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        ends = [[tuple(v.values()) if isinstance(v, dict) else v for v in batch.column(i).to_pylist()] for i in (0, 1)]
+        for a, b in zip(*ends, strict=True):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    if up:
+        made = lambda vs: pa.array([dict(zip([f.name for f in kind], v, strict=True)) for v in vs] if pa.types.is_struct(kind) else vs, kind)
+        yield pa.RecordBatch.from_arrays([made(list(up)), made([root(x) for x in up])], names=["id", "to"])
+
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(id, component) for each vertex of ``edges`` (a, b); component is the smallest id reachable. Ids are of any type that has an order.
@@ -17,11 +44,15 @@ def connected_components(edges: DataFrame, name: str = "components", max_rounds:
     the graph. Only vertices that still have edges take part in a round, and where each ends is put together from the last round
     back to the first, so that all rounds together move a few times the vertices. Only minima are gathered per vertex, and
     renaming joins saved tables, so that a hub with many edges is combined before the shuffle or split by the join.
-    Nulls in a or b are no edges; no edges give an empty table.
+    Nulls in a or b are no edges; no edges give an empty table. The last FEW_EDGES edges are finished at once.
     """
     live = save(edges.where("a < b or b < a").selectExpr("least(a, b) a", "greatest(a, b) b").distinct(), name)
     steps: list[DataFrame] = []
-    while not live.isEmpty():
+    kind = live.schema["a"].dataType.simpleString()
+    while left := live.count():
+        if left <= FEW_EDGES:
+            steps.append(save(live.coalesce(1).mapInArrow(_finished, f"id {kind}, to {kind}"), name))
+            break
         if len(steps) == max_rounds:
             raise RuntimeError(f"components are not settled after {max_rounds} rounds")
         # by id at first: candidate links point to the smallest id of their bucket, so most stars fold at once
