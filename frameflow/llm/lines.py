@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.llm.common import _LOWER, BLANKS, save, table
+from frameflow.llm.common import _LOWER, BLANKS, partitions_of, save, table
 
 MIN_CHARS = 10
-SHARDS = 64
-#: Filters go to every executor up to this many bytes in all; beyond it, lines meet the exact table without them.
-FILTER_BYTES = 32_000_000
+#: Keys of a shard, about: its filter takes two to three bytes for each. The number of shards follows the number of keys.
+SHARD_KEYS = 100_000
 _SLOTS, _KICKS = 4, 500
 
 
@@ -98,13 +97,13 @@ def line_key(line: bytes) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
-def shard_of(key, shards: int = SHARDS):
+def shard_of(key, shards: int):
     """Of a binary column."""
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, refs, lo, hi) of the lines of a batch: how many documents hold a key, and the smallest and largest of them."""
+    """(key, doc_id) of the lines of a batch, once for each key of a text."""
     for batch in batches:
         docs, keys = [], []
         for doc, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -118,12 +117,12 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (key, doc_id), once for each line key of a document."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings, "key binary, doc_id bigint")
+    """docs (doc_id, text) -> (key, doc_id), once for each line key of a document, also where rows repeat a doc_id."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_postings, "key binary, doc_id bigint").distinct()
 
 
 def reference_counts(held: DataFrame) -> DataFrame:
-    """(key, doc_id) -> the exact table: key, refs, keeper (smallest doc_id), last (largest)."""
+    """(key, doc_id) -> the exact table: key, refs (documents that hold it), keeper (smallest doc_id), last (largest)."""
     return held.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
 
 
@@ -136,7 +135,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([Cuckoo.of(own).dump()], pa.binary())], names=["shard", "filter"])
 
 
-def build_filters(shared: DataFrame, shards: int = SHARDS) -> DataFrame:
+def build_filters(shared: DataFrame, shards: int) -> DataFrame:
     """shared (key) -> (shard, filter): a cuckoo filter over the keys of each shard, built where the shard is."""
     dealt = shared.select(shard_of("key", shards).alias("shard"), "key").repartition(shards, "shard")
     return dealt.mapInArrow(_build, "shard int, filter binary")
@@ -158,28 +157,33 @@ def _changed(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
 
 
 class LineIndex:
-    """Line dedup that takes documents in and out again: postings (key, doc_id), the exact counts and the filters of the shared keys.
+    """Line dedup that takes documents in and out again: postings (key, doc_id), the exact reference counts and the filters of the shared keys.
 
-    All three are tables; insert() and delete() return a new index whose state equals one built from scratch on the documents that are in it.
+    All three are tables; insert() and delete() return a new index whose state equals one built from scratch on the documents that are in it. Reference counts go up and
+    down by the postings that come and go; only keys that lose their smallest or largest document are looked up in the postings again.
     """
 
-    def __init__(self, held: DataFrame, counts: DataFrame, filters: DataFrame, shards: int = SHARDS):
+    def __init__(self, held: DataFrame, counts: DataFrame, filters: DataFrame, shards: int):
         self.held, self.counts, self.filters, self.shards = held, counts, filters, shards
 
+    @staticmethod
+    def _shards(counts: DataFrame) -> int:
+        return 1 + counts.where("refs > 1").count() // SHARD_KEYS
+
     @classmethod
-    def of(cls, docs: DataFrame, shards: int = SHARDS) -> LineIndex:
+    def of(cls, docs: DataFrame, shards: int | None = None) -> LineIndex:
         held = save(postings(docs), "line-postings")
         counts = save(reference_counts(held), "line-counts")
-        return cls(held, counts, save(build_filters(counts.where("keeper < last").select("key"), shards), "line-filters"), shards)
-
-    def _with(self, held: DataFrame, changed: DataFrame) -> LineIndex:
-        """Only the keys of ``changed`` are counted again."""
-        held = save(held, "line-postings")
-        keys = save(changed.select("key").distinct(), "line-changed")
-        again = save(reference_counts(held.join(keys, "key", "left_semi")), "line-counts")
-        counts = save(self.counts.join(keys, "key", "left_anti").unionByName(again), "line-counts")
-        was = self.counts.where("keeper < last").select("key", F.lit(True).alias("was"))
-        now = counts.where("keeper < last").select("key", F.lit(True).alias("is"))
+        shards = shards or cls._shards(counts)
+        return cls(held, counts, save(build_filters(counts.where("refs > 1").select("key"), shards), "line-filters"), shards)
+
+    def _with(self, held: DataFrame, counts: DataFrame) -> LineIndex:
+        """Filters take in the keys that are shared now and let go those that no longer are; once keys outgrow the shards, they are built anew."""
+        counts = save(counts, "line-counts")
+        if (shards := self._shards(counts)) > 2 * self.shards:
+            return LineIndex(held, counts, save(build_filters(counts.where("refs > 1").select("key"), shards), "line-filters"), shards)
+        was = self.counts.where("refs > 1").select("key", F.lit(True).alias("was"))
+        now = counts.where("refs > 1").select("key", F.lit(True).alias("is"))
         states = was.join(now, "key", "full").select(
             shard_of("key", self.shards).alias("shard"), "key", F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "gone").otherwise("kept").alias("now")
         )
@@ -187,42 +191,57 @@ class LineIndex:
         return LineIndex(held, counts, save(filters, "line-filters"), self.shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        new = save(postings(docs), "line-new")
-        return self._with(self.held.unionByName(new), new)
+        """docs (doc_id, text) come in; lines that a document of that doc_id has already are counted once."""
+        new = save(postings(docs).join(self.held, ["key", "doc_id"], "left_anti"), "line-new")
+        more = reference_counts(new).select("key", F.col("refs").alias("more"), F.col("keeper").alias("low"), F.col("last").alias("high"))
+        counts = self.counts.join(more, "key", "full").select(
+            "key", (F.coalesce("refs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("refs"), F.least("keeper", "low").alias("keeper"), F.greatest("last", "high").alias("last")
+        )
+        return self._with(save(self.held.unionByName(new), "line-postings"), counts)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """ids (doc_id): the documents that leave."""
-        gone = save(self.held.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "line-gone")
-        return self._with(self.held.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), gone)
+        leaving = ids.select(F.col("doc_id").cast("long")).distinct()
+        gone = save(self.held.join(leaving, "doc_id", "left_semi"), "line-gone")
+        held = save(self.held.join(leaving, "doc_id", "left_anti"), "line-postings")
+        less = reference_counts(gone).select("key", F.col("refs").alias("less"), F.col("keeper").alias("low"), F.col("last").alias("high"))
+        left = save(self.counts.join(less, "key", "left").withColumn("refs", F.col("refs") - F.coalesce("less", F.lit(0))).where("refs > 0"), "line-left")
+        moved = left.where("low = keeper or high = last")
+        ends = held.join(moved.select("key"), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final"))
+        counts = left.join(ends, "key", "left").select("key", "refs", F.coalesce("first", "keeper").alias("keeper"), F.coalesce("final", "last").alias("last"))
+        return self._with(held, counts)
 
     def drops(self) -> DataFrame:
-        """(key, doc_id): the lines that go, all but those of the smallest document of a key that several hold."""
-        shared = save(self.counts.where("keeper < last").select("key", "keeper"), "line-shared")
-        held = self.held
-        if self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0] <= FILTER_BYTES:
-            loaded = self.held.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in self.filters.collect()})
-            held = held.select(shard_of("key", self.shards).alias("shard"), "key", "doc_id").mapInArrow(_maybe(loaded), "key binary, doc_id bigint")
-        return held.join(shared, "key").where("doc_id > keeper").select("key", "doc_id")
-
-
-def _maybe(loaded):
-    """Postings whose key its shard's filter may hold; filters forget no key, so no shared line is missed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {s: Cuckoo.load(f) for s, f in loaded.value.items()}
-        for batch in batches:
-            shard = batch.column(0).to_numpy()
-            data = batch.column(1)
-            # keys have 16 bytes each, one after another in the data buffer
-            keys = np.frombuffer(b"".join(data.to_pylist()), "<u8").reshape(-1, 2)
-            hit = np.zeros(len(shard), bool)
-            for s in np.unique(shard):
-                if int(s) in filters:
-                    own = shard == s
-                    hit[own] = filters[int(s)].holds(keys[own])
-            yield batch.select([1, 2]).filter(pa.array(hit))
-
-    return run
+        """(key, doc_id): the lines that go, all but those of the smallest document of a key that several hold.
+
+        Postings meet their shard's filter where both are dealt to, each shard over as many tasks as the session has partitions for it;
+        what the filters let through meets the exact table.
+        """
+        partitions = partitions_of(self.held)
+        deals = max(1, partitions // self.shards)
+        empty = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        rows = self.held.select(shard_of("key", self.shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(deals)).cast("int").alias("deal"), empty("binary", "filter"), "key", "doc_id")
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), "filter", empty("binary", "key"), empty("bigint", "doc_id"))
+        met = rows.unionByName(filters).repartition(partitions, "shard", "deal").sortWithinPartitions("shard", "deal", F.col("filter").isNull())
+        return met.mapInArrow(_maybe, "key binary, doc_id bigint").join(self.counts.where("refs > 1").select("key", "keeper"), "key").where("doc_id > keeper").select("key", "doc_id")
+
+
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (shard, deal, filter, key, doc_id), where a shard's filter stands before its postings, those whose key the filter may hold; filters forget no key, so no shared line is missed."""
+    shard, held = None, None
+    for batch in batches:
+        shards, data = batch.column(0).to_numpy(), batch.column(2)
+        filters = np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))
+        keys = np.frombuffer(b"".join(k or bytes(16) for k in batch.column(3).to_pylist()), "<u8").reshape(-1, 2)
+        hit = np.zeros(len(shards), bool)
+        for begin, end in zip([0, *filters], [*filters, len(shards)], strict=True):
+            if begin in filters:
+                shard, held = shards[begin], Cuckoo.load(data[begin].as_py())
+                begin += 1
+            own = begin + np.flatnonzero(shards[begin:end] == shard)
+            if held is not None and len(own):
+                hit[own] = held.holds(keys[own])
+        yield batch.select([3, 4]).filter(pa.array(hit))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,10 +9,11 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from frameflow.llm import chat, common, components, decontaminate, fingerprints, licenses, lines, mixing, paragraphs, partenum, pii, toxicity
+from frameflow.llm import chat, common, components, decontaminate, fingerprints, licenses, lines, mixing, paragraphs, partenum, pii, simjoin, toxicity
 from tests.oracle import duck_rows, plain, spark_rows
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -70,7 +71,7 @@ def test_line_index_is_reversible(spark, sf_dir):
     back = after.delete(new.select("doc_id"))
     assert spark_rows(back.counts) == spark_rows(before.counts)
     assert spark_rows(back.drops()) == spark_rows(before.drops())
-    shared = {bytes(r.key): r.shard for r in back.counts.where("keeper < last").select("key", lines.shard_of("key").alias("shard")).collect()}
+    shared = {bytes(r.key): r.shard for r in back.counts.where("keeper < last").select("key", lines.shard_of("key", back.shards).alias("shard")).collect()}
     filters = {r[0]: lines.Cuckoo.load(r[1]) for r in back.filters.collect()}
     assert shared and all(filters[s].holds(np.frombuffer(k, "<u8").reshape(1, 2))[0] for k, s in shared.items())
 
@@ -145,7 +146,8 @@ def test_partenum_signatures_meet():
 
 
 def test_paragraphs_odd(odd, spark):
-    got = {((r.doc_id, r.paragraph), (r.cluster_doc, r.cluster_paragraph), r.removed) for r in paragraphs.duplicate_paragraphs(odd).collect()}
+    found = paragraphs.duplicate_paragraphs(odd)
+    got = {((r.doc_id, r.paragraph), (r.cluster_doc, r.cluster_paragraph), r.removed) for r in found.where("kind = 'paragraph'").collect()}
     sets = {}
     for r in odd.collect():
         for i, line in enumerate((r.text or "").split("\n")):
@@ -154,10 +156,77 @@ def test_paragraphs_odd(odd, spark):
     want = brute_components(sets, 4, 5)
     size = Counter(want.values())
     assert got == {(k, c, k != c) for k, c in want.items() if size[c] > 1}
-    left = paragraphs.without_duplicates(odd, paragraphs.duplicate_paragraphs(odd))
+    left = paragraphs.without_duplicates(odd, found.where("kind = 'paragraph'"))
     assert {r.doc_id: r.text for r in left.collect()}[5] == "" and left.columns == odd.columns
 
 
+def test_passages_inside_lines(spark):
+    """A passage of 51 words is found inside any line, at any id, and only there; what is cut out stands elsewhere still."""
+    passage, rows = prose("passage", 51), []
+    for g in range(40):
+        w = prose(f"host {g}", 120).split()
+        at = 7 * g % 110
+        held = g % 2 == 0
+        text = " ".join([*w[:at], *([passage] if held else []), *w[at:]])
+        rows.append((2**60 + g if g else -(2**62), text[:300].replace(" ", "\n", 1) + text[300:] if g % 3 == 0 else text, "s"))
+    docs = documents(spark, rows)
+    found = paragraphs.duplicate_paragraphs(docs).where("kind = 'passage'")
+    got = found.collect()
+    texts = {d: t for d, t, _ in rows}
+    assert {r.doc_id for r in got} == {d for i, (d, _, _) in enumerate(rows) if i % 2 == 0}
+    flat = lambda t: " ".join(t.lower().split())
+    assert all(len(flat(texts[r.doc_id][r.start : r.end]).split()) >= 24 and flat(texts[r.doc_id][r.start : r.end]) in flat(passage) for r in got)
+    assert {r.cluster_doc for r in got} == {-(2**62)} and {r.doc_id for r in got if not r.removed} == {-(2**62)}
+    left = {r.doc_id: r.text for r in paragraphs.without_duplicates(docs, found).collect()}
+    assert all(len(left[r.doc_id]) == len(texts[r.doc_id]) - (r.end - r.start) for r in got if r.removed) and left[-(2**62)] == rows[0][1]
+
+
+def test_word_repeated_on_and_on(spark):
+    rows = [(1, prose("a", 9) + " spam" * 200, "s"), (2, prose("b", 14) + " spam" * 90, "s"), (3, prose("c", 60), "s")]
+    got = paragraphs.duplicate_paragraphs(documents(spark, rows)).where("kind = 'passage'").collect()
+    assert {r.doc_id for r in got} == {1, 2}
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Copies around the threshold, in one group: rounds of drawn centres and two-level dealing change no component."""
+    monkeypatch.setattr("frameflow.llm.simjoin.FEW_PAIRS", 0)
+    monkeypatch.setattr("frameflow.llm.components.FEW_EDGES", 0)
+    base, r, rows = prose("base", 150).split(), random.Random(9), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 3, 4, 9])):
+            w[r.randrange(len(w))] = prose(r.random(), 1)
+        rows.append((i, " ".join(w), "s"))
+    got = {x.doc_id: x.component_id for x in partenum.jaccard_components(documents(spark, rows)).collect()}
+    assert got == brute_components({i: shingle_set(t, 4) for i, t, _ in rows}, 85, 100)
+    sig = np.array([5, 5, 5, 5, 5, 5, 5, 5, 5, 9], np.uint64) << np.uint64(16)
+    dealt = simjoin.dealt(sig, pa.array(range(10), pa.int64())).to_pydict()
+    assert len(dealt["sig"]) == 11 and dealt["bucket"].count(None) == 2 and {b for b in dealt["bucket"] if b} == {5 << 16}
+
+
+def test_line_index_with_repeated_ids(spark):
+    """A doc_id that comes twice, at once or later, is one document; filters of any number of shards let all shared lines through."""
+    a, b = "a line of its own", "another line here"
+    docs = documents(spark, [(8, f"{a}\n{b}", "s"), (8, f"{a}\n{b}", "s"), (9, a, "s"), (None, a, "s")])
+    for shards in (1, 7):
+        index = lines.LineIndex.of(docs, shards)
+        assert sorted(r.refs for r in index.counts.collect()) == [1, 2]
+        assert [r.doc_id for r in index.drops().collect()] == [9]
+        again = index.insert(docs.where("doc_id = 8"))
+        assert spark_rows(again.counts) == spark_rows(index.counts)
+        less = index.delete(spark.createDataFrame([(8,)], "doc_id bigint"))
+        assert [(r.refs, r.keeper, r.last) for r in less.counts.collect()] == [(1, 9, 9)] and less.drops().isEmpty()
+
+
+def test_loss_is_cut_out_by_its_mask(spark):
+    """A mask that is one code point off changes the loss."""
+    turns = spark.createDataFrame([(1, 0, "user", "q <x>"), (1, 1, "assistant", "r > \\s"), (1, 2, "assistant", None)], "conv_id bigint, turn bigint, role string, text string")
+    whole = chat.format_conversations(turns)
+    assert [r.target for r in chat.expand_examples(whole).orderBy("example").collect()] == ["r \\g \\ss", ""]
+    off = whole.withColumn("examples", F.transform("examples", lambda e: e.withField("target_start", e["target_start"] + 1)))
+    assert chat.read_back(whole).first().loss_chars == 6 and chat.read_back(off).first().loss_sha256 != chat.read_back(whole).first().loss_sha256
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 100)] + [(500, 501), (None, 3), (7, 7)]])
 def test_components(spark, edges):
     got = {tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
