@@ -100,3 +100,34 @@ def tensor_layout(d1: Column, d2: Column) -> Column:
     """Which of two axes holds the channels: the one of 5 to 1,024; of both the smaller, the last on a tie; null for neither."""
     first, last = d1.between(5, 1024), d2.between(5, 1024)
     return F.when(first & last, F.when(d1 < d2, "channel_major").otherwise("row_major")).when(first, "channel_major").when(last, "row_major")
+
+
+def confidence(value: Column, score: Column) -> Column:
+    """A reader's confidence, else its score, as 0 to 1 with 4 places; null if neither is a number."""
+    known = F.coalesce(F.when(F.isnan(value), None).otherwise(value), F.when(F.isnan(score), None).otherwise(score))
+    return F.when(known.isNotNull(), rounded(F.least(F.greatest(known, F.lit(0.0)), F.lit(1.0))))
+
+
+#: Shares of the asked seconds and of the expected frames below which a take is short, or has dropped frames.
+SHORT_TAKE, DROPPED = 0.9, 0.9
+
+
+def capture_verdict(asked: Column, duration: Column, frames: Column, rate: Column, audio_asked: Column, audio: Column, readable: Column) -> dict[str, Column]:
+    """short_take (null for an unknown duration), dropped, ok and notes of a capture. Dropped frames are noted and do not spoil it.
+
+    asked, duration: seconds; frames: decoded ones, null if unknown; rate: frames a second; the last three are booleans.
+    """
+    short = F.when(readable, duration < SHORT_TAKE * asked)
+    expected = half_up(F.coalesce(duration, F.lit(0.0)) * rate)
+    dropped = F.coalesce(readable & (expected > 0) & (frames / expected < DROPPED), F.lit(False))
+    ok = readable & ~F.coalesce(short, F.lit(False)) & (~audio_asked | audio) & F.coalesce(frames > 0, F.lit(True))
+    notes = F.when(~readable, F.array(F.lit("unreadable"))).otherwise(
+        F.filter(
+            F.array(
+                F.when(duration.isNull(), "duration unknown").when(short, "shorter than asked").otherwise("as long as asked"),
+                F.when(audio_asked & ~audio, "audio missing").when(~audio_asked & audio, "audio not asked for"), F.when(dropped, "frames dropped"),
+            ),
+            lambda n: n.isNotNull(),
+        )
+    )
+    return {"short_take": short, "dropped": dropped, "ok": ok, "notes": notes}

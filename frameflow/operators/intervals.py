@@ -64,7 +64,8 @@ def plan_cuts(recordings: DataFrame, silences: DataFrame, max_seconds: float, le
 
 
 def merge_intervals(intervals: DataFrame, most: int, max_seconds: float) -> DataFrame:
-    """Chops intervals above max_seconds, then joins the closest neighbours of a recording until ``most`` are left or a join would be too long."""
+    """Chops intervals above max_seconds, then joins the closest neighbours of a recording until ``most`` (1 at least) are left or a join would be too long."""
+    most = max(1, most)
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start")

@@ -1,10 +1,12 @@
-"""Ordered operators over frame differences: cutting into segments and merging them. One task folds one recording at a time."""
+"""Ordered operators over frame differences: cutting into segments and merging them. A task reads its recordings in order and holds one open segment at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,57 +67,101 @@ class Open:
         return self.start, max(end, self.start), self.reason, self.score, self.diff_sum, self.samples, self.diff_max
 
 
+_ROWS = 4096
+MERGED = "recording_id bigint, start double, end double, reason string, score double, diff_sum double, samples bigint, merged bigint"
+
+
+def _streamed(rows: DataFrame, order: list[str], names: list[str], schema: str, one: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
+    """Each recording's rows (names, without recording_id) in their order, as they come, through ``one``; no recording is gathered anywhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        columns = [c.split()[0] for c in schema.split(", ")]
+        kinds = [{"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=columns)
+
+        every = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for recording, own in groupby(every, lambda r: r[0]):
+            for made in one(r[1:] for r in own):
+                out.append((recording, *made))
+                if len(out) >= _ROWS:
+                    yield flush()
+                    out = []
+        if out:
+            yield flush()
+
+    return rows.select("recording_id", *names).repartition("recording_id").sortWithinPartitions("recording_id", *order).mapInArrow(run, schema)
+
+
+def _cut(frames: Iterator[tuple], rules: CutRules) -> Iterator[tuple]:
+    now, t = None, None
+    for _, t, d in frames:
+        if now is None:
+            now = Open(t, "start", 0.0, int(d >= rules.motion))
+            continue
+        done, now = now.frame(t, d, rules)
+        if done:
+            yield done
+    if now is not None:
+        yield now.closed(t)
+
+
+def _merged(segments: Iterable[tuple], joins: Callable[[tuple, tuple], bool]) -> Iterator[tuple]:
+    """Walks segments (start, end, reason, score, diff_sum, samples, merged) in order; joins(last kept, next) says whether the next goes into the last."""
+    last = None
+    for s in segments:
+        if s[1] <= s[0]:
+            continue
+        if last is None or not joins(last, s):
+            if last is not None:
+                yield last
+            last = s
+        else:
+            last = (last[0], max(last[1], s[1]), *last[2:4], last[4] + s[4], last[5] + s[5], last[6] + s[6])
+    if last is not None:
+        yield last
+
+
+def _grows(rules: CutRules) -> Callable[[tuple, tuple], bool]:
+    return lambda last, s: last[1] - last[0] < rules.min_seconds
+
+
+def _absorbs(rules: CutRules) -> Callable[[tuple, tuple], bool]:
+    floor = max(rules.min_seconds, rules.short_seconds)
+    return lambda last, s: s[1] - s[0] < floor and last[1] - last[0] + (s[1] - s[0]) <= rules.max_seconds
+
+
 def cut_segments(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     """diffs (recording_id, seq, t, diff) -> raw segments. The last one ends at the last frame."""
+    return _streamed(diffs, ["seq"], ["seq", "t", "diff"], RAW, lambda frames: _cut(frames, rules))
+
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, out, now = rows.sort_values("seq"), [], None
-        for t, d in zip(rows["t"], rows["diff"], strict=True):
-            if now is None:
-                now = Open(t, "start", 0.0, int(d >= rules.motion))
-                continue
-            done, now = now.frame(t, d, rules)
-            if done:
-                out.append((key[0], *done))
-        out.append((key[0], *now.closed(t)))
-        return pd.DataFrame(out, columns=COLUMNS)
-
-    return diffs.select("recording_id", "seq", "t", "diff").groupBy("recording_id").applyInPandas(one, RAW)
-
-
-def _fold(segments: DataFrame, joins) -> DataFrame:
-    """Walks each recording's segments in order; joins(last kept, next) says whether the next goes into the last."""
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for s in rows[rows["end"] > rows["start"]].sort_values(["start", "end"]).to_dict("records"):
-            if kept and joins(kept[-1], s):
-                last = kept[-1]
-                last.update(end=max(last["end"], s["end"]), diff_sum=last["diff_sum"] + s["diff_sum"], samples=last["samples"] + s["samples"], merged=last["merged"] + s["merged"])
-            else:
-                kept.append(s)
-        return pd.DataFrame(kept, columns=[*names])
-
-    names = ["recording_id", "start", "end", "reason", "score", "diff_sum", "samples", "merged"]
-    schema = "recording_id bigint, start double, end double, reason string, score double, diff_sum double, samples bigint, merged bigint"
+def _fold(segments: DataFrame, joins: Callable[[tuple, tuple], bool]) -> DataFrame:
+    names = ["start", "end", "reason", "score", "diff_sum", "samples", "merged"]
     rows = segments.withColumn("merged", F.lit(1).cast("long")) if "merged" not in segments.columns else segments
-    return rows.select(*names).groupBy("recording_id").applyInPandas(one, schema)
+    return _streamed(rows, ["start", "end"], names, MERGED, lambda own: _merged(own, joins))
 
 
 def grow_short(segments: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     """A segment below min_seconds swallows those after it until it is long enough."""
-    return _fold(segments, lambda last, s: last["end"] - last["start"] < rules.min_seconds)
+    return _fold(segments, _grows(rules))
 
 
 def absorb_short(segments: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
     """A short segment goes into the one before, unless their lengths together exceed max_seconds."""
-    floor = max(rules.min_seconds, rules.short_seconds)
+    return _fold(segments, _absorbs(rules))
+
+
+def cut_and_merge(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
+    """cut_segments, grow_short and absorb_short in one walk over the frames."""
 
-    def joins(last: dict, s: dict) -> bool:
-        length = s["end"] - s["start"]
-        return length < floor and last["end"] - last["start"] + length <= rules.max_seconds
+    def one(frames: Iterator[tuple]) -> Iterator[tuple]:
+        raw = ((*s[:6], 1) for s in _cut(frames, rules))
+        return _merged(_merged(raw, _grows(rules)), _absorbs(rules))
 
-    return _fold(segments, joins)
+    return _streamed(diffs, ["seq"], ["seq", "t", "diff"], MERGED, one)
 
 
 def cap_segments(segments: DataFrame, limit: int) -> DataFrame:
@@ -143,7 +189,7 @@ def segment_id(index: Column, letter: str = "s") -> Column:
 
 
 def segments(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
-    return final_segments(cap_segments(absorb_short(grow_short(cut_segments(diffs, rules), rules), rules), rules.max_segments))
+    return final_segments(cap_segments(cut_and_merge(diffs, rules), rules.max_segments))
 
 
 def even_sample(rows: DataFrame, limit: int) -> DataFrame:
@@ -165,10 +211,11 @@ def keyframe_plan(segs: DataFrame, limit: int) -> DataFrame:
     return head(segs, limit).select("recording_id", "index", "id", rounded((F.col("start") + F.col("end")) / 2, 3).alias("at"))
 
 
-def chapters(segs: DataFrame) -> DataFrame:
-    """One ffmetadata text a recording."""
+def chapters(segs: DataFrame, label: str | None = None) -> DataFrame:
+    """One ffmetadata text a recording; a chapter's title is the segment's id, its label (a column; blank where null) and its times."""
     ms = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").cast("string")
-    title = F.concat("id", F.lit(" "), "reason")
+    seconds = lambda c: F.format_string("%.2fs", c)
+    title = F.concat("id", F.lit(" "), F.coalesce(F.col(label), F.lit("")) if label else F.lit(""), F.lit(" "), seconds("start"), F.lit("-"), seconds("end"))
     part = F.concat(F.lit("[CHAPTER]\nTIMEBASE=1/1000\nSTART="), ms("start"), F.lit("\nEND="), ms("end"), F.lit("\ntitle="), title, F.lit("\n"))
     parts = F.array_sort(F.collect_list(F.struct("index", part.alias("part"))))
-    return segs.groupBy("recording_id").agg(parts.alias("p")).select("recording_id", F.concat(F.lit(";FFMETADATA1\n"), F.array_join("p.part", "")).alias("chapters"))
+    return segs.groupBy("recording_id").agg(parts.alias("p")).select("recording_id", F.concat(F.lit(";FFMETADATA1\n# a chapter for each segment\n"), F.array_join("p.part", "")).alias("chapters"))

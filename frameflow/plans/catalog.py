@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions import media
@@ -65,7 +65,7 @@ def head_limit(s, d):
 
 
 def chapters(s, d):
-    return timeline.chapters(segments_final(s, d))
+    return timeline.chapters(segments_final(s, d), "reason")
 
 
 def _tiles(s, d):
@@ -109,12 +109,23 @@ def score_filter(s, d):
     return fx.boxes(s, d).where("score >= 0.5").groupBy("frame_id").agg(F.count(F.lit(1)).alias("kept"), F.max("score").alias("best"))
 
 
-def decode_detections(s, d):
-    """Vectors read as 8 boxes of 4 coordinates and 4 class scores each."""
+def _tensors(s, d):
+    """Vectors read as 8 rows of 8 channels (objectness fourth), as 6 channels of 10 rows (objectness too) or as 5 channels of 12 rows."""
     v = fx.table(s, d, "embeddings")
-    data = F.transform("embedding", lambda x, i: F.when(i % 8 < 4, 100.0 + F.round(x.cast("double") * 64) * 2).otherwise(x.cast("double")))
-    t = v.select(F.col("vec_id").alias("frame_id"), data.alias("data"), F.lit(4).alias("pad_x"), F.lit(8).alias("pad_y"), F.lit(2.0).alias("factor"), F.lit(300).alias("width"), F.lit(200).alias("height"))
-    return bx.decode(t, 8, 0.05)
+    kind = F.pmod("vec_id", F.lit(3))
+    data = F.transform("embedding", lambda x, i: F.floor(x.cast("double") * 64) / 16 + F.pmod(i * 13, F.lit(40)))
+    return v.select(
+        F.col("vec_id").alias("frame_id"), data.alias("data"), F.when(kind == 0, 3).when(kind == 1, 6).otherwise(5).alias("d1"), F.when(kind == 0, 20).when(kind == 1, 4).otherwise(3).alias("d2"),
+        F.lit(4).alias("pad_x"), F.lit(8).alias("pad_y"), F.lit(2.0).alias("factor"), F.lit(60).alias("width"), F.lit(50).alias("height"),
+    )
+
+
+def decode_candidates(s, d):
+    return bx.decode(_tensors(s, d), 30.0)
+
+
+def decode_detections(s, d):
+    return bx.detections(_tensors(s, d), 30.0)
 
 
 def speech_intervals(s, d):
@@ -144,9 +155,10 @@ def speech_overlap(s, d):
 
 
 def assign_segments(s, d):
-    spoken = fx.speech(s, d)
-    segs = fx.grid_segments(spoken).where("index % 3 <> 1")
-    return intervals.assign_to_segments(spoken, segs)
+    """Speech placed in the stretches between the silences, which have gaps of their own."""
+    index = F.row_number().over(Window.partitionBy("recording_id").orderBy("start"))
+    segs = speech_intervals(s, d).select("recording_id", index.cast("long").alias("index"), "start", "end")
+    return intervals.assign_to_segments(fx.speech(s, d), segs)
 
 
 def assign_unplaced(s, d):
@@ -158,11 +170,12 @@ def transcript_text(s, d):
 
 
 def _evidence_texts(s, d):
+    """Whole texts; shell lines before two fifths of them or code before a fifth, as the tables hold neither."""
     doc = fx.table(s, d, "documents")
     shell = "$ npm run build\nerror: failed\n> git status\n# done\n"
     code = "function a() {\n  return b === c;\n}\nconst x = () => y;\n"
     v = F.pmod("doc_id", F.lit(5))
-    return doc.select("doc_id", F.when(v == 1, F.concat(F.lit(shell), F.left("text", F.lit(200)))).when(v == 2, F.concat(F.lit(code), F.left("text", F.lit(200)))).when(v == 3, "").otherwise(F.col("text")).alias("text"))
+    return doc.select("doc_id", F.concat(F.when(v.isin(1, 3), shell).when(v == 2, code).otherwise(""), F.col("text")).alias("text"))
 
 
 def text_evidence(s, d):
@@ -311,10 +324,10 @@ def probe_facts(s, d):
 
 
 def capture_verdict(s, d):
-    o = fx.table(s, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("asked"), (F.lit(0.8) + (F.col("o_orderkey") % 26) / 100).alias("part"), (F.lit(0.85) + (F.col("o_custkey") % 16) / 100).alias("kept"))
-    c = o.withColumn("dur", F.col("asked") * F.col("part")).withColumn("expected", half_up(F.col("dur") * 30)).withColumn("frames", F.floor(F.col("expected") * F.col("kept")))
-    short, dropped = F.col("dur") < 0.9 * F.col("asked"), F.coalesce(F.try_divide(F.col("frames"), F.col("expected")) < 0.9, F.lit(False))
-    return c.select("o_orderkey", short.alias("short_take"), dropped.alias("dropped"), (~short & ~dropped).alias("ok"))
+    o = fx.table(s, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 1000).alias("asked"), (F.lit(0.8) + (F.col("o_orderkey") % 26) / 100).alias("part"), (F.lit(0.85) + (F.col("o_custkey") % 16) / 100).alias("kept"))
+    c = o.withColumn("dur", F.when(F.col("o_orderkey") % 17 != 0, F.col("asked") * F.col("part"))).withColumn("frames", F.when(F.col("o_orderkey") % 19 != 0, F.floor(half_up(F.col("asked") * F.col("part") * 30) * F.col("kept") * (F.col("o_custkey") % 23 != 0).cast("int"))))
+    verdict = media.capture_verdict(F.col("asked"), F.col("dur"), F.col("frames"), F.lit(30.0), F.col("o_custkey") % 2 == 0, F.col("o_custkey") % 3 != 0, F.col("o_orderkey") % 29 != 0)
+    return c.select("o_orderkey", *(v.alias(k) for k, v in verdict.items() if k != "notes"), F.array_join(verdict["notes"], "; ").alias("notes"))
 
 
 def missing_needs(s, d):
@@ -375,7 +388,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_diffs, luma_diff, segments_raw, segments_grown, segments_merged, segments_capped, segments_final, keyframe_plan, keyframe_left_join, spread_sample, head_limit, chapters,
-        tile_stats, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, score_filter, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
+        tile_stats, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
         assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, keywords_cjk, region_filter, confidence_filter, map_lines, reading_order,
         polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
         probe_facts, capture_verdict, missing_needs, time_grid, parse_list, lossless_json, frame_split, fuse_segments, doc_summary, doc_warnings, structure_document,

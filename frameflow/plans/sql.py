@@ -94,8 +94,8 @@ sh AS (SELECT frame_id, max(units / 10000.0::DOUBLE) FILTER (k = 0) AS text, max
 _SIZES = "z AS (SELECT p_partkey, p_partkey % 1931 + 1 AS w, p_size * 37 + p_partkey % 11 + 1 AS h FROM part)"
 _EVIDENCE = r"""
 ev AS (
-  SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN '$ npm run build' || chr(10) || 'error: failed' || chr(10) || '> git status' || chr(10) || '# done' || chr(10) || left(text, 200)
-    WHEN 2 THEN 'function a() {' || chr(10) || '  return b === c;' || chr(10) || '}' || chr(10) || 'const x = () => y;' || chr(10) || left(text, 200) WHEN 3 THEN '' ELSE text END AS text FROM documents
+  SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3) THEN '$ npm run build' || chr(10) || 'error: failed' || chr(10) || '> git status' || chr(10) || '# done' || chr(10)
+    WHEN doc_id % 5 = 2 THEN 'function a() {' || chr(10) || '  return b === c;' || chr(10) || '}' || chr(10) || 'const x = () => y;' || chr(10) ELSE '' END || text AS text FROM documents
 ), el AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls FROM ev),
 te AS (
   SELECT doc_id,
@@ -136,7 +136,7 @@ SQL = {
     "spread_sample": f"""WITH RECURSIVE {_FINAL}, n AS (SELECT recording_id, count(*) AS n FROM fin GROUP BY 1),
       p AS (SELECT DISTINCT recording_id, floor(i * (n - 1) / 3.0::DOUBLE + 0.5)::BIGINT + 1 AS k FROM n, (SELECT unnest(range(4)) AS i)) SELECT recording_id, "index", start FROM fin JOIN n USING (recording_id) WHERE n <= 4 OR (recording_id, "index") IN (SELECT (recording_id, k) FROM p)""",
     "head_limit": f"""WITH RECURSIVE {_FINAL} SELECT recording_id, "index", start FROM fin WHERE "index" <= 2""",
-    "chapters": f"""WITH RECURSIVE {_FINAL} SELECT recording_id, ';FFMETADATA1' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || floor(start * 1000 + 0.5)::BIGINT || chr(10) || 'END=' || floor("end" * 1000 + 0.5)::BIGINT || chr(10) || 'title=' || id || ' ' || reason || chr(10), '' ORDER BY "index") AS chapters FROM fin GROUP BY 1""",
+    "chapters": f"""WITH RECURSIVE {_FINAL} SELECT recording_id, ';FFMETADATA1' || chr(10) || '# a chapter for each segment' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || floor(start * 1000 + 0.5)::BIGINT || chr(10) || 'END=' || floor("end" * 1000 + 0.5)::BIGINT || chr(10) || 'title=' || id || ' ' || reason || ' ' || printf('%.2fs-%.2fs', start, "end") || chr(10), '' ORDER BY "index") AS chapters FROM fin GROUP BY 1""",
     "tile_stats": f"WITH {_TILES} SELECT * FROM tl",
     "tile_label": f"WITH {_TILES} SELECT label, count(*) AS n FROM tl GROUP BY 1",
     "area_shares": f"WITH {_TILES} SELECT * FROM sh",
@@ -161,9 +161,9 @@ SQL = {
       w AS (SELECT recording_id, duration, starts, 0.0::DOUBLE AS pos, NULL::BOOLEAN AS forced FROM base UNION ALL SELECT recording_id, duration, starts, coalesce(m, pos + 8), m IS NULL FROM
         (SELECT *, list_max(list_filter(starts, lambda x: x > pos + 2 AND x <= pos + 8 AND x >= pos + 2)) AS m FROM w WHERE duration - pos > 8)) SELECT recording_id, pos AS cut, forced FROM w WHERE forced IS NOT NULL""",
     "speech_overlap": f"WITH {_SAID} SELECT * FROM said",
-    "assign_segments": f"""WITH {_SPEECH}, g AS (SELECT * FROM grid WHERE "index" % 3 <> 1), m AS (SELECT *, (s_start + s_end) / 2 AS mid FROM sp), l AS (SELECT recording_id, arg_max("index", "end") AS last, max("end") AS fin FROM g GROUP BY 1)
+    "assign_segments": f"""WITH {_SPEECH}, g AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start) AS "index", start, "end" FROM (@SPEECH_INTERVALS@)), m AS (SELECT *, (s_start + s_end) / 2 AS mid FROM sp), l AS (SELECT recording_id, arg_max("index", "end") AS last, max("end") AS fin FROM g GROUP BY 1)
       SELECT m.recording_id, item, mid, coalesce(min(g."index"), any_value(CASE WHEN mid >= fin THEN last END)) AS "index" FROM m LEFT JOIN g ON g.recording_id = m.recording_id AND mid >= g.start AND mid < g."end" LEFT JOIN l ON l.recording_id = m.recording_id GROUP BY ALL""",
-    "assign_unplaced": f"""WITH {_SPEECH}, g AS (SELECT * FROM grid WHERE "index" % 3 <> 1), m AS (SELECT *, (s_start + s_end) / 2 AS mid FROM sp)
+    "assign_unplaced": f"""WITH {_SPEECH}, g AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start) AS "index", start, "end" FROM (@SPEECH_INTERVALS@)), m AS (SELECT *, (s_start + s_end) / 2 AS mid FROM sp)
       SELECT recording_id, item FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.recording_id = m.recording_id AND mid >= g.start AND mid < g."end") AND NOT coalesce(mid >= (SELECT max("end") FROM g WHERE g.recording_id = m.recording_id), false)""",
     "transcript_text": f"WITH {_SPEECH} SELECT recording_id, string_agg(text, chr(10) ORDER BY s_start, s_end) AS transcript, count(*) AS spoken FROM sp WHERE trim(text) <> '' GROUP BY 1",
     "text_evidence": f"WITH {_EVIDENCE} SELECT doc_id, shell_hits, code_hits, char_count, line_count FROM te",
@@ -197,8 +197,27 @@ SQL = {
     "tensor_layout": """WITH q AS (SELECT p_partkey, p_partkey % 40 AS a, p_size * 30 AS b FROM part) SELECT p_partkey, CASE WHEN a BETWEEN 5 AND 1024 AND b BETWEEN 5 AND 1024 THEN CASE WHEN a < b THEN 'channel_major' ELSE 'row_major' END
       WHEN a BETWEEN 5 AND 1024 THEN 'channel_major' WHEN b BETWEEN 5 AND 1024 THEN 'row_major' END AS layout FROM q""",
     "probe_facts": "SELECT p_partkey, (p_size * 10)::BIGINT AS width, 30.0::DOUBLE AS rate, p_retailprice AS duration, array_to_string(list_filter([CASE WHEN p_size * 10 > 400 THEN 'wide' END, CASE WHEN p_retailprice < 1000 THEN 'short' END], lambda x: x IS NOT NULL), ';') AS problems FROM part",
-    "capture_verdict": """WITH o AS (SELECT o_orderkey, o_totalprice / 1000 AS asked, 0.8::DOUBLE + (o_orderkey % 26) / 100.0::DOUBLE AS part, 0.85::DOUBLE + (o_custkey % 16) / 100.0::DOUBLE AS kept FROM orders), c AS (SELECT *, asked * part AS dur, floor(asked * part * 30 + 0.5)::BIGINT AS e FROM o),
-      v AS (SELECT o_orderkey, dur < 0.9::DOUBLE * asked AS short_take, e > 0 AND floor(e * kept) / e < 0.9::DOUBLE AS dropped FROM c) SELECT *, NOT short_take AND NOT dropped AS ok FROM v""",
+    "capture_verdict": """WITH o AS (
+        SELECT o_orderkey, o_totalprice / 1000 AS asked, o_totalprice / 1000 * (0.8::DOUBLE + (o_orderkey % 26) / 100.0::DOUBLE) AS d, 0.85::DOUBLE + (o_custkey % 16) / 100.0::DOUBLE AS kept,
+          o_custkey % 2 = 0 AS audio_asked, o_custkey % 3 <> 0 AS audio, o_orderkey % 29 <> 0 AS readable, CASE WHEN o_custkey % 23 = 0 THEN 0 ELSE 1 END AS whole FROM orders
+      ), c AS (
+        SELECT *, CASE WHEN o_orderkey % 17 <> 0 THEN d END AS dur, CASE WHEN o_orderkey % 19 <> 0 THEN floor(floor(d * 30 + 0.5) * kept * whole) END AS frames FROM o
+      ), v AS (
+        SELECT *, CASE WHEN readable THEN dur < 0.9::DOUBLE * asked END AS short_take, coalesce(readable AND floor(dur * 30 + 0.5) > 0 AND frames / floor(dur * 30 + 0.5) < 0.9::DOUBLE, false) AS dropped FROM c
+      ) SELECT o_orderkey, short_take, dropped, readable AND NOT coalesce(short_take, false) AND (NOT audio_asked OR audio) AND coalesce(frames > 0, true) AS ok,
+        CASE WHEN NOT readable THEN 'unreadable' ELSE array_to_string(list_filter([CASE WHEN dur IS NULL THEN 'duration unknown' WHEN short_take THEN 'shorter than asked' ELSE 'as long as asked' END,
+          CASE WHEN audio_asked AND NOT audio THEN 'audio missing' WHEN NOT audio_asked AND audio THEN 'audio not asked for' END, CASE WHEN dropped THEN 'frames dropped' END], lambda x: x IS NOT NULL), '; ') END AS notes FROM v""",
+    "decode_candidates": """WITH t AS (
+        SELECT vec_id AS frame_id, list_transform(embedding, lambda x, i: floor(x::DOUBLE * 64) / 16 + ((i - 1) * 13) % 40) AS data, CASE vec_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 6 ELSE 5 END AS channels,
+          CASE vec_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 4 ELSE 3 END AS n, vec_id % 3 <> 0 AS first, CASE vec_id % 3 WHEN 2 THEN 4 ELSE 5 END AS skip FROM embeddings
+      ), r AS (
+        SELECT frame_id, id, skip, list_transform(range(channels), lambda c: data[(CASE WHEN first THEN c * n + id ELSE id * channels + c END) + 1]) AS r FROM (SELECT *, unnest(range(n)) AS id FROM t)
+      ), b AS (SELECT *, list_max(r[skip + 1 :]) AS best FROM r), c AS (
+        SELECT *, list_position(r[skip + 1 :], best) - 1 AS class, CASE skip WHEN 5 THEN r[5] * best ELSE best END AS sure,
+          least(greatest((r[1] - r[3] / 2 - 4) * 2, 0), 60) AS x1, least(greatest((r[1] + r[3] / 2 - 4) * 2, 0), 60) AS x2,
+          least(greatest((r[2] - r[4] / 2 - 8) * 2, 0), 50) AS y1, least(greatest((r[2] + r[4] / 2 - 8) * 2, 0), 50) AS y2 FROM b
+      ) SELECT frame_id, id, class::BIGINT AS class, 'class_' || class AS label, floor(sure * 10000 + 0.5) / 10000.0::DOUBLE AS score, floor(x1 + 0.5)::BIGINT AS x, floor(y1 + 0.5)::BIGINT AS y,
+        floor(x2 - x1 + 0.5)::BIGINT AS w, floor(y2 - y1 + 0.5)::BIGINT AS h FROM c WHERE best > 0 AND sure >= 30""",
     "missing_needs": "WITH h AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(f, x)), ',') AS missing FROM h",
     "time_grid": f"WITH {_SPEECH} SELECT recording_id, i::INT AS i, floor(i * duration / 7 * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS at FROM dur, (SELECT unnest(range(8)) AS i)",
     "parse_list": "SELECT user_id, event_type AS name, min(event_id) AS first FROM events GROUP BY ALL",
@@ -206,3 +225,5 @@ SQL = {
     "doc_summary": f"""WITH {_FUSED} SELECT recording_id, count(*) AS segments, max("end") AS duration, count(speech) AS spoken, sum(objects)::BIGINT AS objects FROM fu GROUP BY 1""",
     "doc_warnings": f"""WITH {_FUSED} SELECT recording_id, array_to_string(list_filter([CASE WHEN count(speech) = 0 THEN 'no speech placed' END, CASE WHEN sum(objects) = 0 THEN 'no objects found' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM fu GROUP BY 1""",
 }
+for _name in ("assign_segments", "assign_unplaced"):
+    SQL[_name] = SQL[_name].replace("@SPEECH_INTERVALS@", SQL["speech_intervals"])

@@ -15,14 +15,14 @@ def stream_segments(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame
     """A stream of (recording_id, seq, t, diff) -> raw segments as they close; a negative diff marks the end of a recording.
 
     A micro-batch is put in order of seq and frames at or before the last seq seen are left out, so that files that come again change nothing.
-    The state is one open segment a recording.
+    The state is one open segment a recording; of a recording that has ended the last seq stays.
     """
 
     def update(key: tuple, batches, state: GroupState):
         now, seq, last = None, -1, None
         if state.exists:
             *fields, seq, last = state.get
-            now = Open(*fields[:4], *fields[4:])
+            now = Open(*fields) if fields[1] else None
         out = []
         rows = pd.concat(list(batches)).sort_values("seq")
         for n, t, d in zip(rows["seq"], rows["t"], rows["diff"], strict=True):
@@ -41,8 +41,8 @@ def stream_segments(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame
             done, now = now.frame(t, d, rules)
             if done:
                 out.append((key[0], *done))
-        if now is None:
-            state.remove()
+        if now is None:  # ended, or nothing but an end: a blank reason
+            state.update((0.0, "", 0.0, 0, 0.0, 0, 0.0, int(seq), float(last or 0.0)))
         else:
             state.update((now.start, now.reason, now.score, int(now.run), now.diff_sum, int(now.samples), now.diff_max, int(seq), float(last)))
         yield pd.DataFrame(out, columns=COLUMNS)

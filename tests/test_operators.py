@@ -143,3 +143,82 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path, files):
     query.awaitTermination(120)
     batch = timeline.cut_segments(fixtures.frame_diffs(spark, sf_dir))
     assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def _tensor(spark, data, d1, d2, pads=(0, 0), factor=1.0, size=(1920, 1080)):
+    schema = "frame_id bigint, data array<double>, d1 int, d2 int, pad_x int, pad_y int, factor double, width int, height int"
+    return spark.createDataFrame([(1, [float(x) for x in data], d1, d2, *pads, factor, *size)], schema)
+
+
+def test_decode_channel_major(spark):
+    data = [0.0] * (84 * 3)
+    for channel, value in ((0, 320), (1, 320), (2, 100), (3, 100), (4, 0.9)):
+        data[channel * 3] = value
+    (r,) = boxes.detections(_tensor(spark, data, 84, 3)).collect()
+    assert (r["class"], r.label, r.score, r.x, r.y, r.w, r.h, r.center_x, r.center_y, r["rank"]) == (0, "class_0", 0.9, 270, 270, 100, 100, 320, 320, 1)
+
+
+def test_decode_objectness(spark):
+    """Row major rows have an objectness; without it the second row's score would stand."""
+    rows = [[0.0] * 85 for _ in range(2)]
+    rows[0][:5], rows[0][5 + 2] = [100, 100, 40, 20, 0.5], 0.8
+    rows[1][:5], rows[1][5] = [300, 300, 40, 20, 0.1], 0.9
+    (r,) = boxes.decode(_tensor(spark, sum(rows, []), 2, 85, factor=2.0), labels=[f"name {i}" for i in range(80)]).collect()
+    assert (r["class"], r.label, r.score, r.x, r.y, r.w, r.h) == (2, "name 2", 0.4, 160, 180, 80, 40)
+
+
+def test_decode_padding_clip_and_layout(spark):
+    one = lambda cx, cy, w, h: [cx, cy, w, h, 0.9, *[0.0] * 79]
+    flat = lambda *rows: [r[c] for c in range(84) for r in rows]
+    got = boxes.decode(_tensor(spark, flat(one(330, 330, 100, 100), one(0, 0, 1, 1)), 84, 2, (10, 20), 2.0)).where("id = 0").first()
+    assert (got.x, got.y, got.w, got.h) == (540, 520, 200, 200)
+    got = boxes.decode(_tensor(spark, flat(one(5, 5, 100, 100), one(0, 0, 1, 1)), 84, 2)).where("id = 0").first()
+    assert (got.x, got.y, got.w, got.h) == (0, 0, 55, 55)
+    assert boxes.decode(_tensor(spark, [1.0] * 6, 2, 3)).isEmpty()
+
+
+def test_detections_keep_what_suppression_keeps(spark, sf_dir):
+    from frameflow.plans import catalog
+
+    tensors = catalog._tensors(spark, sf_dir)
+    found = [tuple(r) for r in boxes.decode(tensors, 30.0).select("frame_id", "id", "class", "score", "x", "y", "w", "h").collect()]
+    kept = set()
+    for frame in {r[0] for r in found}:
+        stay = []
+        for r in sorted((r for r in found if r[0] == frame), key=lambda r: (-r[3], r[1])):
+            def over(k, r=r):
+                w, h = min(k[4] + k[6], r[4] + r[6]) - max(k[4], r[4]), min(k[5] + k[7], r[5] + r[7]) - max(k[5], r[5])
+                return k[2] == r[2] and w > 0 and h > 0 and w * h / (k[6] * k[7] + r[6] * r[7] - w * h) > 0.45
+            if len(stay) < 50 and not any(map(over, stay)):
+                stay.append(r)
+        kept |= {(r[0], r[1], i + 1) for i, r in enumerate(stay)}
+    got = boxes.detections(tensors, 30.0)
+    assert {(r.frame_id, r.id, r["rank"]) for r in got.collect()} == kept and kept
+
+
+def test_confidence_and_capture(spark):
+    df = spark.createDataFrame([(None, 1.7), (0.123456, None), (None, None), (-1.0, 0.5)], "c double, s double")
+    assert [r[0] for r in df.select(media.confidence(F.col("c"), F.col("s"))).collect()] == [1.0, 0.1235, None, 0.0]
+    takes = [(10.0, 10.0, 200, 30.0, False, False, True), (10.0, 8.0, 240, 30.0, False, False, True), (10.0, None, None, 30.0, True, True, True), (10.0, 10.0, 0, 30.0, False, True, True), (10.0, 10.0, 300, 30.0, True, False, True), (10.0, 10.0, 300, 30.0, False, False, False)]
+    df = spark.createDataFrame(takes, "a double, d double, f long, r double, w boolean, h boolean, ok boolean")
+    v = media.capture_verdict(*map(F.col, "adfrwh"), F.col("ok"))
+    got = [tuple(r) for r in df.select(v["short_take"], v["dropped"], v["ok"], F.size(v["notes"])).collect()]
+    assert got == [(False, True, True, 2), (True, False, False, 1), (None, False, True, 1), (False, True, False, 3), (False, False, False, 2), (None, False, False, 1)]
+
+
+def test_merge_intervals_to_one_at_least(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0), (1, 2.0, 3.0)], "recording_id bigint, start double, end double")
+    assert [(r.start, r.end) for r in intervals.merge_intervals(df, 0, 30.0).collect()] == [(0.0, 3.0)]
+
+
+def test_stream_of_a_recording_that_comes_again(spark, tmp_path):
+    """A file that is read twice, after its end mark, changes nothing."""
+    rows = [(1, i, i * 0.25, 50.0 if i == 6 else 1.0) for i in range(12)] + [(1, 12, 3.0, -1.0)]
+    schema = "recording_id bigint, seq bigint, t double, diff double"
+    source = str(tmp_path / "in")
+    for _ in range(2):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = stream_segments(read).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
