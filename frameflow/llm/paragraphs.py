@@ -137,10 +137,10 @@ def _pooled(min_words: int):
                         nos.append(no)
                         words.append(w)
                 if len(words) >= 512:
-                    yield pool_rows(_ids(docs, nos), words, SHINGLE)
+                    yield from pool_rows(_ids(docs, nos), words, SHINGLE)
                     docs, nos, words = [], [], []
             if words:
-                yield pool_rows(_ids(docs, nos), words, SHINGLE)
+                yield from pool_rows(_ids(docs, nos), words, SHINGLE)
 
     return run
 

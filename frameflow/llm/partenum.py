@@ -126,9 +126,7 @@ def _signed(size: int, num: int, den: int):
 def _pooled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pool_rows(part.column(0), [(t or "").encode().translate(LOWER_BLANK) for t in part.column(1).to_pylist()], size)
+            yield from pool_rows(batch.column(0), [(t or "").encode().translate(LOWER_BLANK) for t in batch.column(1).to_pylist()], size)
 
     return run
 

@@ -94,6 +94,24 @@ def odd_sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(at, minlength=cells * len(counts)).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
+def wide_sketch(values: np.ndarray) -> bytes:
+    """The same over at least as many cells as the set has values, a power of two; folding it in halves gives that of fewer cells."""
+    cells = 1 << max(9, (len(values) - 1).bit_length() if len(values) else 0)
+    return np.packbits(np.bincount((mix(values ^ _M3) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def some_at_a_time(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(from, until) of stretches of rows whose sizes add up to about ``most``; a longer row is a stretch of its own."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield begin, i
+            begin, held = i, 0
+        held += size + 64
+    if held:
+        yield begin, len(sizes)
+
+
 def dealt(sig: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
     """(sig, id, bucket): the signature rows of one flush, in two levels where a signature is hot.
 
@@ -123,30 +141,48 @@ def dealt(sig: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
     )
 
 
-def pool_rows(ids: pa.Array, texts: list[bytes], size: int) -> pa.RecordBatch:
-    """(id, n, short, text): what candidates are compared by, for a few hundred of them; texts: words and blanks, A-Z lower-cased."""
-    values, counts = many_shingles(texts, size)
-    short = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SHORT), pa.array(odd_sketches(values, counts)))
-    return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), short, pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "n", "short", "text"])
+def pool_rows(ids: pa.Array, texts: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, n, short, wide, text): what candidates are compared by, about a megabyte at a time; texts: words and blanks, A-Z lower-cased."""
+    for i, j in some_at_a_time([len(t) for t in texts]):
+        values, counts = many_shingles(texts[i:j], size)
+        short = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * SHORT), pa.array(odd_sketches(values, counts)))
+        wide = pa.array([wide_sketch(v) for v in np.split(values, np.cumsum(counts)[:-1])], pa.binary())
+        yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(counts, pa.int64()), short, wide, pa.array(texts[i:j], pa.binary()).cast(pa.string())], names=["id", "n", "short", "wide", "text"])
 
 
 def pool_schema(kind: str) -> str:
-    return f"id {kind}, n bigint, short array<bigint>, text string"
+    return f"id {kind}, n bigint, short array<bigint>, wide binary, text string"
+
+
+def _allowed(v: pa.Buffer, w: pa.Buffer, total: int, num: int, den: int) -> bool:
+    """Whether wide sketches allow a link of sets with ``total`` values in all."""
+    x, y = np.frombuffer(v, np.uint64), np.frombuffer(w, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * total
 
 
 def _linked(size: int, num: int, den: int):
+    """Of (a, b, n, m, v, w, x, y) the pairs that are linked: wide sketches v, w decide most that are not, the texts x, y the rest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                sides = [many_shingles([t.encode() for t in batch.column(c).to_pylist()], size) for c in ("x", "y")]
-                # values of both sides by pair: those that stand twice are in both sets
-                values, pair = np.concatenate([v for v, _ in sides]), np.concatenate([np.repeat(np.arange(batch.num_rows), n) for _, n in sides])
-                order = np.lexsort((values, pair))
-                values, pair = values[order], pair[order]
-                both = np.bincount(pair[1:][(values[1:] == values[:-1]) & (pair[1:] == pair[:-1])], minlength=batch.num_rows)
-                keep = den * both >= num * (sides[0][1] + sides[1][1] - both)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+        for batch in batches:
+            totals = (batch.column("n").to_numpy() + batch.column("m").to_numpy()).tolist()
+            maybe = [_allowed(v.as_buffer(), w.as_buffer(), t, num, den) for v, w, t in zip(batch.column("v"), batch.column("w"), totals, strict=True)]
+            batch = batch.filter(pa.array(maybe, pa.bool_()))
+            xs, ys = batch.column("x"), batch.column("y")
+            sizes = [len(x.as_buffer()) + len(y.as_buffer()) if x.is_valid and y.is_valid else 0 for x, y in zip(xs, ys, strict=True)]
+            for i, j in some_at_a_time(sizes):
+                # a text that several pairs have is worked on once
+                place: dict[str, int] = {}
+                left, right = ([place.setdefault(t, len(place)) for t in c.slice(i, j - i).to_pylist()] for c in (xs, ys))
+                values, counts = many_shingles([t.encode() for t in place], size)
+                sets = np.split(values, np.cumsum(counts)[:-1])
+                both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(left, right, strict=True)])
+                keep = den * both >= num * (counts[left] + counts[right] - both)
+                yield batch.slice(i, j - i).select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -154,7 +190,7 @@ def _linked(size: int, num: int, den: int):
 class Candidates:
     """Texts that share signatures, and how pairs of them are decided.
 
-    pool: (id, n, short, text), saved; an id may have several texts, any counts. size: words of a shingle.
+    pool: (id, n, short, wide, text), saved; an id may have several texts, any counts. size: words of a shingle.
     """
 
     def __init__(self, pool: DataFrame, size: int, num: int, den: int, name: str):
@@ -176,8 +212,8 @@ class Candidates:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of the saved pairs (a, b) those whose sets have den * |both| >= num * |either|: the texts of b move to those of a."""
-        other = self.pool.select(F.col("id").alias("b"), F.col("text").alias("y")).join(self._small(pairs.select("a", "b")), "b")
-        both = other.join(self.pool.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+        side = lambda end, n, v, x: self.pool.select(F.col("id").alias(end), F.col("n").alias(n), F.col("wide").alias(v), F.col("text").alias(x))
+        both = side("b", "m", "w", "y").join(self._small(pairs.select("a", "b")), "b").join(side("a", "n", "v", "x"), "a").select("a", "b", "n", "m", "v", "w", "x", "y")
         return save(both.mapInArrow(_linked(self.size, self.num, self.den), f"a {self.kind}, b {self.kind}").distinct(), self.name)
 
     def pairs_within(self, rows: DataFrame) -> DataFrame:
