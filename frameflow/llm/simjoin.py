@@ -164,14 +164,23 @@ def _allowed(v: pa.Buffer, w: pa.Buffer, total: int, num: int, den: int) -> bool
     return (den + num) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * total
 
 
-def _linked(size: int, num: int, den: int):
-    """Of (a, b, n, m, v, w, x, y) the pairs that are linked: wide sketches v, w decide most that are not, the texts x, y the rest."""
+def _maybe_linked(num: int, den: int):
+    """Of (a, b, n, m, v, w) the pairs whose wide sketches v, w allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             totals = (batch.column("n").to_numpy() + batch.column("m").to_numpy()).tolist()
             maybe = [_allowed(v.as_buffer(), w.as_buffer(), t, num, den) for v, w, t in zip(batch.column("v"), batch.column("w"), totals, strict=True)]
-            batch = batch.filter(pa.array(maybe, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(maybe, pa.bool_()))
+
+    return run
+
+
+def _linked(size: int, num: int, den: int):
+    """Of (a, b, x, y) the pairs whose texts x, y are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             xs, ys = batch.column("x"), batch.column("y")
             sizes = [len(x.as_buffer()) + len(y.as_buffer()) if x.is_valid and y.is_valid else 0 for x, y in zip(xs, ys, strict=True)]
             for i, j in some_at_a_time(sizes):
@@ -211,10 +220,14 @@ class Candidates:
         return f"{self.den} * least(n, m) >= {self.num} * greatest(n, m) and {self.den + self.num} * ({apart}) <= {self.den - self.num} * (n + m)"
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """Of the saved pairs (a, b) those whose sets have den * |both| >= num * |either|: the texts of b move to those of a."""
-        side = lambda end, n, v, x: self.pool.select(F.col("id").alias(end), F.col("n").alias(n), F.col("wide").alias(v), F.col("text").alias(x))
-        both = side("b", "m", "w", "y").join(self._small(pairs.select("a", "b")), "b").join(side("a", "n", "v", "x"), "a").select("a", "b", "n", "m", "v", "w", "x", "y")
-        return save(both.mapInArrow(_linked(self.size, self.num, self.den), f"a {self.kind}, b {self.kind}").distinct(), self.name)
+        """Of the saved pairs (a, b) those whose sets have den * |both| >= num * |either|: wide sketches decide most that do not; then the texts of b move to those of a."""
+        ends = f"a {self.kind}, b {self.kind}"
+        side = lambda end, n, v: self.pool.select(F.col("id").alias(end), F.col("n").alias(n), F.col("wide").alias(v))
+        met = side("b", "m", "w").join(self._small(pairs.select("a", "b")), "b").join(side("a", "n", "v"), "a").select("a", "b", "n", "m", "v", "w")
+        near = save(met.mapInArrow(_maybe_linked(self.num, self.den), ends).distinct(), self.name)
+        whole = lambda end, x: self.pool.select(F.col("id").alias(end), F.col("text").alias(x))
+        both = whole("b", "y").join(self._small(near), "b").join(whole("a", "x"), "a").select("a", "b", "x", "y")
+        return save(both.mapInArrow(_linked(self.size, self.num, self.den), ends).distinct(), self.name)
 
     def pairs_within(self, rows: DataFrame) -> DataFrame:
         """(a, b, c, d) of rows (sig, id, c) that share a signature, are in different components c and may be linked."""
