@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from frameflow.llm.common import LOWER_BLANK, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import _M1, _M3, dealt, mix, only_ids, pool_rows, pool_schema, shingles, similar_components
+from frameflow.llm.simjoin import _M1, _M3, dealt, many_shingles, mix, only_ids, pool_rows, pool_schema, similar_components, some_at_a_time
 
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Second-level partitions of each first-level one, and how many of them may differ. (2, 1) makes a third fewer signatures, each of
@@ -27,10 +27,6 @@ _SIGNATURE = np.uint64(0xFFFFFFFFFFFF0000)
 _ROWS = 65_536
 
 
-def document_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    return shingles(text.encode().translate(LOWER_BLANK) if text else b"", size)
-
-
 @cache
 def _bands(num: int, den: int) -> list[int]:
     """The largest set size of each band, up to 2^40."""
@@ -79,14 +75,22 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out) & _SIGNATURE
 
 
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, sets) of the rows (id, text), about a megabyte of texts at a time."""
+    texts = [(t or "").encode().translate(LOWER_BLANK) for t in batch.column(1).to_pylist()]
+    for i, j in some_at_a_time([len(t) for t in texts]):
+        values, counts = many_shingles(texts[i:j], size)
+        yield batch.column(0).slice(i, j - i), np.split(values, np.cumsum(counts)[:-1])
+
+
 def _keys(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [document_set(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "key"],
-            )
+            for ids, sets in _sets(batch, size):
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())],
+                    names=["doc_id", "n_shingles", "key"],
+                )
 
     return run
 
@@ -104,8 +108,7 @@ def _signed(size: int, num: int, den: int):
             return dealt(np.concatenate(out), pa.array(np.concatenate(ids)))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                s = document_set(text.as_py(), size)
+            for doc, s in ((d, s) for docs, sets in _sets(batch, size) for d, s in zip(docs, sets, strict=True)):
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 if not len(s) or digest in seen:
                     continue

@@ -29,6 +29,11 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def small(pairs: DataFrame) -> DataFrame:
+    """A saved table of two ids or signatures a row, to be broadcast if a count says that it is small."""
+    return F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 4 else pairs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -77,8 +82,9 @@ def many_shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray
         on = width[owner] > i if i else slice(None)
         acc[on] = acc[on] * _M1 + h[at[on] + i]
     acc = mix(acc)
-    order = np.lexsort((acc, owner))
-    acc, owner = acc[order], owner[order]
+    ends = np.cumsum(many)
+    for i, j in zip((ends - many).tolist(), ends.tolist(), strict=True):
+        acc[i:j].sort()
     fresh = np.concatenate([[True], (acc[1:] != acc[:-1]) | (owner[1:] != owner[:-1])]) if len(acc) else np.empty(0, bool)
     return acc[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
@@ -206,13 +212,17 @@ class Candidates:
         self.pool, self.size, self.num, self.den, self.name = pool, size, num, den, name
         self.kind = pool.schema["id"].dataType.simpleString()
 
-    def _small(self, pairs: DataFrame) -> DataFrame:
-        return F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS // 4 else pairs
+    def _met(self, column: str, one: str, other: str, pairs: DataFrame) -> DataFrame:
+        """(a, b, one, other) of the saved pairs (a, b): a column of the pool at either end. Only rows of ids that pairs name move."""
+        side = lambda end, *names: self.pool.select(F.col("id").alias(end), *(F.col(c).alias(n) for c, n in names))
+        pairs = small(pairs)
+        at_b = side("b", ("n", "m"), (column, other)).join(pairs, "b")
+        return at_b.join(side("a", ("n", "n"), (column, one)).join(pairs.select("a"), "a", "left_semi"), "a")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """Of the saved pairs (a, b, ...) those whose sizes and short sketches allow a link: a bit that differs stands for a value that only one set holds."""
         side = lambda end, n, s: self.pool.select(F.col("id").alias(end), F.col("n").alias(n), F.col("short").alias(s))
-        met = side("b", "m", "t").join(side("a", "n", "s").join(self._small(pairs), "a"), "b")
+        met = side("b", "m", "t").join(side("a", "n", "s").join(small(pairs), "a"), "b")
         return met.where(self.allowed(lambda i: f"s[{i}]", lambda i: f"t[{i}]")).select(*pairs.columns).distinct()
 
     def allowed(self, s, t) -> str:
@@ -222,11 +232,9 @@ class Candidates:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of the saved pairs (a, b) those whose sets have den * |both| >= num * |either|: wide sketches decide most that do not; then the texts of b move to those of a."""
         ends = f"a {self.kind}, b {self.kind}"
-        side = lambda end, n, v: self.pool.select(F.col("id").alias(end), F.col("n").alias(n), F.col("wide").alias(v))
-        met = side("b", "m", "w").join(self._small(pairs.select("a", "b")), "b").join(side("a", "n", "v"), "a").select("a", "b", "n", "m", "v", "w")
+        met = self._met("wide", "v", "w", pairs.select("a", "b")).select("a", "b", "n", "m", "v", "w")
         near = save(met.mapInArrow(_maybe_linked(self.num, self.den), ends).distinct(), self.name)
-        whole = lambda end, x: self.pool.select(F.col("id").alias(end), F.col("text").alias(x))
-        both = whole("b", "y").join(self._small(near), "b").join(whole("a", "x"), "a").select("a", "b", "x", "y")
+        both = self._met("text", "x", "y", near).select("a", "b", "x", "y")
         return save(both.mapInArrow(_linked(self.size, self.num, self.den), ends).distinct(), self.name)
 
     def pairs_within(self, rows: DataFrame) -> DataFrame:
@@ -264,8 +272,9 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
     stars = save(shared.groupBy("id").agg(F.min(F.struct(-F.col("n"), F.col("centre"))).alias("m")).select(F.col("m.centre").alias("a"), F.col("id").alias("b")), name)
     found = save(connected_components(own.linked(stars), name), name)
 
-    placed = found.select("id", F.col("component").alias("c"))
-    centres = found.select(F.col("id").alias("centre"), F.col("component").alias("d"))
+    known = small(found.select("id", "component"))
+    placed = known.select("id", F.col("component").alias("c"))
+    centres = known.select(F.col("id").alias("centre"), F.col("component").alias("d"))
     at = lambda rows: rows.join(placed, "id", "left").join(centres, "centre", "left").withColumns({"c": F.coalesce("c", "id"), "d": F.coalesce("d", "centre")})
     others = save(at(shared.select("id", "centre").join(stars.select(F.col("a").alias("centre"), F.col("b").alias("id")), ["id", "centre"], "left_anti")).where("c <> d").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("d").alias("c"), F.col("c").alias("d")), name)
 
@@ -278,10 +287,10 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
         near = save(pairs, name)
         if near.isEmpty():
             return
-        new = save(near.join(own._small(own.linked(near)), ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), name)
+        new = save(near.join(small(own.linked(near)), ["a", "b"]).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), name)
         if not new.isEmpty():
             edges.append(new)
-            moved = save(connected_components(reduce(DataFrame.unionByName, edges), name), name)
+            moved = small(save(connected_components(reduce(DataFrame.unionByName, edges), name), name))
 
     def now(rows: DataFrame, column: str = "c") -> DataFrame:
         """rows with their components after all merges so far."""
@@ -295,7 +304,7 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
     rows = now(now(at(members), "c"), "d")
     stats = rows.groupBy("sig").agg(F.count_if(F.col("c") != F.col("d")).alias("apart"), F.count(F.lit(1)).alias("n"), F.min("centre").alias("one"), F.max("centre").alias("last"))
     mixed = save(stats.where("apart > 0 and n > 1").select("sig", (F.col("one") == F.col("last")).alias("single")), name)
-    within = save(rows.join(mixed, "sig").select("sig", "id", "c", "centre", "d", "single"), name)
+    within = save(rows.join(small(mixed), "sig").select("sig", "id", "c", "centre", "d", "single"), name)
     # a bucket's only centre has met all its ids
     open_ = save(within.select("sig", "id", "c").unionByName(within.where("not single").select("sig", F.col("centre").alias("id"), F.col("d").alias("c"))).distinct(), name)
     listed = 0
@@ -312,7 +321,7 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
         met = open_.join(buckets.select("sig", "zs"), "sig").select("sig", "id", "c", F.filter("zs", lambda z: (z["id"] != F.col("id")) & (z["d"] != F.col("c"))).alias("zs"))
         pairs = met.select("id", "c", F.explode("zs").alias("z")).select(F.col("z.id").alias("a"), F.col("id").alias("b"), F.col("z.d").alias("c"), F.col("c").alias("d")).distinct()
         compared(own.possible(save(pairs, name)))
-        open_ = save(now(open_.join(buckets.select("sig"), "sig", "left_semi")), name)
+        open_ = save(now(only_ids(open_, buckets.select("sig"), "sig")), name)
     if listed:
         compared(own.pairs_within(open_))
     if moved is None:
