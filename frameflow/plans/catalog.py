@@ -215,9 +215,8 @@ def keywords_cjk(s, d):
 
 
 def _lines(s, d):
-    li = fx.table(s, d, "lineitem")
     row = fx.boxes(s, d).select("frame_id", "id", "x", "y", "w", "h", F.when(F.col("class") == 0, F.col("score")).alias("confidence"))
-    return row.withColumn("text", F.when(F.pmod(F.col("id"), F.lit(4)) == 0, " ").otherwise(F.concat(F.lit("line "), F.col("id").cast("string")))) if li is not None else row
+    return row.withColumn("text", F.when(F.pmod(F.col("id"), F.lit(4)) == 0, " ").otherwise(F.concat(F.lit("line "), F.col("id").cast("string"))))
 
 
 def region_filter(s, d):
