@@ -46,6 +46,80 @@ def half_to_float(bits: Column) -> Column:
     )
 
 
+def float_to_half(value: Column) -> Column:
+    """The 16 bits of a value as an IEEE half: digits beyond its ten are cut off, what is below its normal range is 0, what is beyond it or NaN infinite."""
+    single = value.cast("float").cast("double")
+    size = F.abs(single)
+    guess = F.floor(F.log2(size))
+    power = lambda e: F.pow(F.lit(2.0), e)
+    exponent = guess + F.when(size >= power(guess + 1), 1).when(size < power(guess), -1).otherwise(0)
+    sign = F.when(single.cast("string").startswith("-"), 32768).otherwise(0)
+    bits = (
+        F.when(F.isnan(size) | (size >= 65536.0), 31744).when(size < 2.0**-14, 0)
+        .otherwise((exponent + 15) * 1024 + F.floor((size / power(exponent) - 1) * 1024))
+    )
+    return F.when(value.isNotNull(), (sign + bits).cast("int"))
+
+
+def scale_factor(source_width: Column, read_width: Column) -> Column:
+    """By how much a coordinate of the image that was read grows in the source; 1 where the widths give no factor above 0."""
+    factor = F.when(read_width > 0, F.try_divide(source_width.cast("double"), read_width.cast("double")))
+    return F.when((factor > 0) & (factor < float("inf")), factor).otherwise(1.0)
+
+
+def input_tensor(pixels: Column, width: int, height: int, side: int, pad_x: int, pad_y: int) -> Column:
+    """Interleaved bytes (r, g, b by pixel, row by row) -> three planes of side x side floats of 0 to 1, the image at (pad_x, pad_y), 0 around it."""
+    plane = side * side
+
+    def at(i: Column) -> Column:
+        x, y = F.pmod(i, F.lit(side)) - pad_x, F.floor(F.pmod(i, F.lit(plane)) / side) - pad_y
+        inside = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+        source = (y * width + x) * 3 + F.floor(i / plane)
+        return F.when(inside, F.get(pixels, source.cast("int")).cast("double") / 255.0).otherwise(0.0).cast("float")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * plane - 1)), at)
+
+
+def pruned(options: Column) -> Column:
+    """A map of strings without its null and empty values."""
+    return F.map_filter(options, lambda k, v: v.isNotNull() & (v != ""))
+
+
+def merged_options(defaults: Column, options: Column) -> Column:
+    """The defaults with the given options over them; null and empty options leave the default."""
+    given = F.coalesce(pruned(options), F.create_map().cast("map<string,string>"))
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(given, k)), given)
+
+
+def setting(*values: Column) -> Column:
+    """The first of the values (call, configuration, default) that is a finite number."""
+    return F.coalesce(*(F.when(F.abs(v) < float("inf"), F.nanvl(v, F.lit(None).cast("double"))) for v in (v.cast("double") for v in values)))
+
+
+def region(text: Column) -> Column:
+    """'x,y,width,height' as a struct of rounded longs, x and y at least 0; null stays null, anything else that is no region of positive size raises."""
+    parts = F.transform(F.split(text, ","), lambda p: F.when(F.trim(p) == "", 0.0).otherwise(p.try_cast("double")))
+    good = (F.size(parts) == 4) & F.forall(parts, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & (parts[2] > 0) & (parts[3] > 0)
+    whole = [half_up(F.get(parts, F.lit(i))) for i in range(4)]
+    box = F.struct(
+        F.greatest(whole[0], F.lit(0)).alias("x"), F.greatest(whole[1], F.lit(0)).alias("y"), whole[2].alias("width"), whole[3].alias("height")
+    )
+    return F.when(text.isNull(), None).when(F.coalesce(good, F.lit(False)), box).otherwise(F.raise_error(F.concat(F.lit("no region x,y,width,height: "), text)))
+
+
+def analysis_notes(frames: Column, leftover: Column, found: Column, most: Column, start: Column, seconds: Column, least: Column) -> Column:
+    """What to know about an analysis, the first four notes: frames, bytes of a last part frame, segments found and allowed, start, seconds, shortest segment."""
+    said = lambda text, *values: F.format_string(text, *values)
+    notes = F.array(
+        F.when(frames == 0, F.lit("no frames decoded")),
+        F.when(leftover > 0, said("%d bytes of a last part frame left out", leftover)),
+        F.when(found > most, said("%d segments beyond the %d allowed, the last ones put together", found, most)),
+        F.when(start > 0, F.concat(F.lit("from second "), start.cast("string"), said(": %d frames, ", frames), seconds.cast("string"), F.lit(" seconds"))),
+        F.when((frames > 0) & (seconds < least), F.concat(seconds.cast("string"), F.lit(" seconds are less than a segment's least of "), least.cast("string"))),
+    )
+    return F.slice(F.filter(notes, lambda n: n.isNotNull()), 1, 4)
+
+
 def letterbox_pad(size: Column, side: int) -> Column:
     return F.greatest(F.floor((F.lit(side) - size) / 2), F.lit(0)).cast("long")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.numeric import half_up
@@ -44,9 +44,26 @@ def keywords(texts: DataFrame, key: str, stop_words: DataFrame | None = None) ->
     words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_+#.-]+"), 0), lambda w: F.regexp_replace(F.lower(w), "[.-]+$", ""))
     runs = F.regexp_extract_all("text", F.lit(r"[\u4e00-\u9fff]{2,}"), 0)
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
-    stops = stop_words or texts.sparkSession.createDataFrame([(w,) for w in STOP_WORDS], "term string")
+    stops = F.broadcast(texts.sparkSession.createDataFrame([(w,) for w in STOP_WORDS], "term string")) if stop_words is None else stop_words
     terms = texts.select(key, F.explode(F.concat(words, pairs)).alias("term")).where(F.length("term") >= 2)
-    return terms.join(F.broadcast(stops), "term", "left_anti").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.join(stops, "term", "left_anti").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_keywords(counts: DataFrame, key: str, limit: int = 40, least: int = 1) -> DataFrame:
+    """Of the keywords (key, term, n) seen at least ``least`` times, the ``limit`` most frequent of each key with their rank; ties by the term's characters."""
+    order = Window.partitionBy(key).orderBy(F.col("n").desc(), "term")
+    return counts.where(F.col("n") >= least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+
+
+def reading_order(lines: DataFrame, key: str) -> DataFrame:
+    """The ids of each key's lines from top to bottom, then left to right, as a list."""
+    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "id")))
+    return lines.groupBy(key).agg(F.transform(ordered, lambda r: r["id"]).alias("ids"))
+
+
+def attach_lines(lines: DataFrame, stills: DataFrame) -> DataFrame:
+    """lines (still, ...) with the segment_id and time (at) of their still; lines of unknown stills are left out."""
+    return lines.join(stills.select("still", "segment_id", "at"), "still")
 
 
 def in_region(lines: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Tile statistics of gray frames, their labels, shares and merged blocks."""
+"""Tile statistics of frames, their labels, shares and merged blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,25 +37,54 @@ def tile_label(luma: Column, std: Column, edges: Column, saturation: Column, r:
     )
 
 
-def tile_stats(frames: DataFrame, width: int, height: int, tile: int, rules: TileRules = TileRules()) -> DataFrame:
-    """frames (frame_id, pixels array of gray values) -> a row per tile. The last column and row take in the rest.
+_STATS = "frame_id bigint, column bigint, row bigint, x bigint, y bigint, width bigint, height bigint, luma double, std double, edge_density double, saturation double"
 
-    Edges are steps above ``edge`` to the right and lower neighbours inside the frame, beyond the tile too, over twice the pixels.
+
+def _half_up(values: np.ndarray, digits: int) -> np.ndarray:
+    return np.floor(values * 10.0**digits + 0.5) / 10.0**digits
+
+
+def tile_stats(frames: DataFrame, width: int, height: int, tile: int, rules: TileRules = TileRules(), channels: int = 1) -> DataFrame:
+    """frames (frame_id, pixels: gray values, or r, g, b by pixel for three channels) -> a row per tile. The last column and row take in the rest.
+
+    Edges are steps above ``edge`` to the right and lower neighbours inside the frame, beyond the tile too, over twice the pixels. Saturation is 0 for gray frames.
+    A frame without pixels has no tiles; one with too few raises. Frames go through numpy one at a time.
     """
-    px = frames.select("frame_id", "pixels", F.posexplode("pixels").alias("i", "v"))
-    x, y = F.pmod(F.col("i"), F.lit(width)), F.floor(F.col("i") / width)
     columns, rows = max(1, width // tile), max(1, height // tile)
-    step = lambda inside, j: F.when(inside & (F.abs(F.col("v") - F.get("pixels", j)) > rules.edge), 1).otherwise(0)
-    placed = px.select(
-        "frame_id", F.least(F.floor(x / tile), F.lit(columns - 1)).alias("column"), F.least(F.floor(y / tile), F.lit(rows - 1)).alias("row"), F.col("v").cast("double").alias("v"),
-        (step(x < width - 1, F.col("i") + 1) + step(y < height - 1, F.col("i") + width)).alias("edges"), x.alias("x"), y.alias("y"),
-    )
-    n, mean = F.count(F.lit(1)), F.sum("v") / F.count(F.lit(1))
-    grouped = placed.groupBy("frame_id", "column", "row").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
-        rounded(mean, 2).alias("luma"), rounded(F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v")) / n - mean * mean, F.lit(0.0))), 2).alias("std"), rounded(F.sum("edges") / (2 * n)).alias("edge_density"),
-    )
-    return grouped.withColumn("label", tile_label(F.col("luma"), F.col("std"), F.col("edge_density"), F.lit(0.0), rules))
+    lefts, tops = np.arange(columns) * tile, np.arange(rows) * tile
+    widths, heights = np.diff(np.append(lefts, width)), np.diff(np.append(tops, height))
+    n = np.outer(heights, widths).astype(float)
+    place = [np.tile(np.arange(columns), rows), np.repeat(np.arange(rows), columns), np.tile(lefts, rows), np.repeat(tops, columns), np.tile(widths, rows), np.repeat(heights, columns)]
+    total = lambda v: np.add.reduceat(np.add.reduceat(v, tops, axis=0), lefts, axis=1)
+    names = [c.split()[0] for c in _STATS.split(", ")]
+
+    def one(pixels: np.ndarray) -> list[np.ndarray]:
+        if len(pixels) < width * height * channels:
+            raise ValueError(f"a frame of {len(pixels)} values where {width * height * channels} are needed")
+        shaped = pixels[: width * height * channels].reshape(height, width, channels)
+        if channels == 1:
+            luma, saturation = shaped[:, :, 0], np.zeros((height, width))
+        else:
+            luma = 0.2126 * shaped[:, :, 0] + 0.7152 * shaped[:, :, 1] + 0.0722 * shaped[:, :, 2]
+            most, least = shaped.max(axis=2), shaped.min(axis=2)
+            saturation = np.divide(most - least, most, out=np.zeros_like(most), where=most > 0)
+        edges = np.zeros((height, width))
+        edges[:, :-1] += np.abs(luma[:, 1:] - luma[:, :-1]) > rules.edge
+        edges[:-1, :] += np.abs(luma[1:, :] - luma[:-1, :]) > rules.edge
+        mean = total(luma) / n
+        std = np.sqrt(np.maximum(total(luma * luma) / n - mean * mean, 0.0))
+        return [v.ravel() for v in (_half_up(mean, 2), _half_up(std, 2), _half_up(total(edges) / (2 * n), 4), _half_up(total(saturation) / n, 4))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(frame, one(pixels.values.to_numpy(zero_copy_only=False))) for frame, pixels in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if pixels.is_valid and len(pixels)]
+            if made:
+                frame_ids = pa.array([frame for frame, _ in made for _ in range(n.size)], pa.int64())
+                placed = [pa.array(np.tile(v, len(made)), pa.int64()) for v in place]
+                yield pa.RecordBatch.from_arrays([frame_ids, *placed, *(pa.array(np.concatenate(v)) for v in zip(*(m for _, m in made), strict=True))], names=names)
+
+    found = frames.select(F.col("frame_id").cast("long"), F.col("pixels").cast("array<double>")).mapInArrow(run, _STATS)
+    return found.withColumn("label", tile_label(F.col("luma"), F.col("std"), F.col("edge_density"), F.col("saturation"), rules))
 
 
 def area_shares(tiles: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from frameflow.operators import boxes as bx
 from frameflow.operators import fusion, intervals, rules, text, tiles, timeline
 from frameflow.plans.sql import SQL  # noqa: F401
 from frameflow.sources import fixtures as fx
+from frameflow.sources import media as sources
 
 RULES = timeline.CutRules()
 
@@ -76,6 +77,11 @@ def tile_stats(s, d):
     return _tiles(s, d)
 
 
+def tile_stats_color(s, d):
+    """The first 60 gray values of a frame as 5 x 4 pixels of three channels."""
+    return tiles.tile_stats(fx.gray_frames(s, d), 5, 4, 2, channels=3)
+
+
 def tile_label(s, d):
     return _tiles(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -209,6 +215,10 @@ def keywords(s, d):
     return text.keywords(fx.table(s, d, "documents").select(F.lit(1).alias("k"), "text"), "k").select("term", "n")
 
 
+def top_keywords(s, d):
+    return text.top_keywords(text.keywords(fx.table(s, d, "documents").select("source", "text"), "source"), "source", 40, 2)
+
+
 def keywords_cjk(s, d):
     rows = [(1, "npm run build. the build failed. 开始 开始演示 演示"), (2, "演示文稿 a.b. C++ x-"), (3, None)]
     return text.keywords(s.createDataFrame(rows, "k int, text string"), "k")
@@ -232,8 +242,14 @@ def map_lines(s, d):
 
 
 def reading_order(s, d):
-    ordered = F.array_sort(F.collect_list(F.struct("y", "x", "id")))
-    return _lines(s, d).groupBy("frame_id").agg(F.array_join(F.transform(ordered, lambda r: r["id"].cast("string")), ",").alias("ids"))
+    return text.reading_order(_lines(s, d), "frame_id").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+def attach_lines(s, d):
+    """Lines of the frames that are an order's still: every third order has none."""
+    o = fx.table(s, d, "orders").where("o_orderkey % 3 <> 0")
+    stills = o.select(F.col("o_orderkey").alias("still"), timeline.segment_id(F.col("o_custkey")).alias("segment_id"), (F.col("o_orderkey") / 4).alias("at"))
+    return text.attach_lines(_lines(s, d).select(F.col("frame_id").alias("still"), "id"), stills)
 
 
 def polygon_bbox(s, d):
@@ -313,13 +329,88 @@ def tensor_layout(s, d):
     return fx.table(s, d, "part").select("p_partkey", media.tensor_layout(a, b).alias("layout"))
 
 
+def _reports(s, d):
+    """Reports of a prober, some with turned, missing or odd facts, some that are no JSON."""
+    k = F.col("p_partkey")
+    told = lambda when, name, value: F.when(when, F.concat(F.lit(f'"{name}":"'), value.cast("string"), F.lit('",'))).otherwise("")
+    tags = F.when(k % 4 == 1, '"tags":{"rotate":"90"},').when(k % 4 == 2, '"side_data_list":[{"type":"x"},{"rotation":-270}],').otherwise("")
+    size = F.concat(F.when(k % 7 == 0, "").otherwise(F.concat(F.lit('"width":'), (F.col("p_size") * 10).cast("string"), F.lit(","))), F.lit('"height":100,'))
+    rates = F.concat(told(k % 3 != 0, "avg_frame_rate", F.when(k % 5 == 0, "25/1").otherwise("30/1")), F.lit('"r_frame_rate":"30/1"'))
+    video = F.concat(F.lit('{"index":1,"codec_type":"video","codec_name":"h264",'), tags, size, rates, F.lit("}"))
+    audio = F.lit('{"index":0,"codec_type":"audio","codec_name":"aac","sample_rate":"48000","channels":2},')
+    streams = F.when(k % 13 == 0, "").otherwise(F.concat(F.when(k % 2 == 0, audio).otherwise(""), video))
+    length = told(k % 11 != 0, "duration", F.when(k % 19 == 0, F.lit("0")).otherwise(F.col("p_retailprice").cast("string")))
+    report = F.concat(F.lit('{"streams":['), streams, F.lit('],"format":{'), length, F.lit('"format_name":"mov"}}'))
+    return fx.table(s, d, "part").select("p_partkey", F.when(k % 17 == 0, "{broken").otherwise(report).alias("report"))
+
+
 def probe_facts(s, d):
-    js = F.concat(F.lit('{"streams":[{"width":'), (F.col("p_size") * 10).cast("string"), F.lit(',"height":100,"r_frame_rate":"30/1"}],"format":{"duration":"'), F.col("p_retailprice").cast("string"), F.lit('"}}'))
-    j = F.from_json(js, "streams array<struct<width:int,height:int,r_frame_rate:string>>, format struct<duration:string>")
-    t = fx.table(s, d, "part").select("p_partkey", j.alias("j"))
-    first = F.get(F.col("j.streams"), F.lit(0))
-    problems = F.filter(F.array(F.when(first["width"] > 400, "wide"), F.when(F.col("j.format.duration").cast("double") < 1000, "short")), lambda x: x.isNotNull())
-    return t.select("p_partkey", first["width"].cast("long").alias("width"), media.parse_rate(first["r_frame_rate"]).alias("rate"), F.col("j.format.duration").cast("double").alias("duration"), F.array_join(problems, ";").alias("problems"))
+    facts = sources.probe_facts(F.col("report"))
+    shown = ("readable", "container", "duration", "video_codec", "width", "height", "coded_width", "rotation", "rate", "real_rate", "constant", "video_seconds", "audio_codec", "sample_rate", "channels")
+    return _reports(s, d).select("p_partkey", *(facts[k].alias(k) for k in shown), F.array_join(facts["problems"], ";").alias("problems"))
+
+
+def parse_devices(s, d):
+    c = fx.table(s, d, "supplier")
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "video").otherwise("audio")
+    line = F.concat(
+        F.lit('[dshow @ 01]  "'), F.col("s_name"), F.lit('" ('), kind, F.lit(")\n[dshow @ 01] noise"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('\n[dshow @ 01]    Alternative name "@device_'), F.col("s_suppkey").cast("string"), F.lit('"'))).otherwise(""),
+    )
+    logs = c.groupBy(F.col("s_nationkey").alias("log_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda r: r["line"]), "\n").alias("text"))
+    return sources.parse_devices(logs)
+
+
+def wav_header(s, d):
+    """Texts as the data of a WAV whose sizes are not filled in, after a chunk of odd size; every tenth has no chunk of data."""
+    data = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    empty = F.unhex(F.lit("FFFFFFFF"))
+    name = F.when(F.col("doc_id") % 10 == 9, F.lit("note")).otherwise(F.lit("data"))
+    head = F.concat(F.encode(F.lit("RIFF"), "utf-8"), empty, F.encode(F.lit("WAVELIST"), "utf-8"), F.unhex(F.lit("0300000041424300")), F.encode(name, "utf-8"), empty)
+    made = sources.repair_wav(fx.table(s, d, "documents").select("doc_id", F.concat(head, data).alias("content")))
+    return made.select("doc_id", "data_offset", "data_bytes", "problem", F.hex(F.substring("repaired", 5, 4)).alias("riff_size"), F.hex(F.substring("repaired", 29, 4)).alias("data_size"))
+
+
+def half_encode(s, d):
+    """Values a little above those of a half: what is beyond its ten digits is cut off."""
+    bits = F.pmod(F.col("p_partkey") * 7919, F.lit(31744)) + F.when(F.col("p_size") % 2 == 0, 32768).otherwise(0)
+    value = media.half_to_float(bits.cast("int")) * (1 + 2.0**-12)
+    return fx.table(s, d, "part").select("p_partkey", media.float_to_half(value).alias("bits"))
+
+
+def input_tensor(s, d):
+    made = fx.gray_frames(s, d).select("frame_id", F.posexplode(media.input_tensor(F.col("pixels"), 5, 4, 8, 1, 2)).alias("i", "value"))
+    return made.where("value > 0").select("frame_id", "i", F.col("value").cast("double").alias("value"))
+
+
+def scale_factor(s, d):
+    return _sizes(s, d).select("p_partkey", media.scale_factor(F.col("w"), F.col("h") % 5).alias("factor"))
+
+
+def merged_options(s, d):
+    defaults = F.create_map(*map(F.lit, ("codec", "h264", "crf", "23", "preset", "fast")))
+    given = F.create_map(F.lit("crf"), F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, F.col("p_size").cast("string")), F.lit("fps"), F.nullif(F.col("p_size") % 2, F.lit(0)).cast("string"))
+    merged = media.merged_options(defaults, F.when(F.col("p_partkey") % 5 != 0, given))
+    shown = F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return fx.table(s, d, "part").select("p_partkey", F.array_join(shown, " ").alias("options"))
+
+
+def resolve_setting(s, d):
+    call = F.when(F.col("p_size") % 3 == 0, float("nan")).when(F.col("p_size") % 3 == 1, F.col("p_retailprice").cast("double"))
+    config = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double")).otherwise(float("-inf"))
+    return fx.table(s, d, "part").select("p_partkey", media.setting(call, config, F.lit(4.0)).alias("value"))
+
+
+def parse_region(s, d):
+    said = F.concat_ws(", ", (F.col("p_size") - 10.5).cast("string"), (F.col("p_partkey") % 7).cast("string"), (F.col("p_size") + 0.5).cast("string"), F.lit("4.4"))
+    t = fx.table(s, d, "part").select("p_partkey", media.region(F.when(F.col("p_partkey") % 9 != 0, said)).alias("r"))
+    return t.select("p_partkey", "r.x", "r.y", "r.width", "r.height")
+
+
+def analysis_notes(s, d):
+    c, n = F.col("p_partkey"), F.col("p_size").cast("long")
+    notes = media.analysis_notes(n % 5, c % 3, n, F.lit(30), (c % 4) / 2, (n % 5) / 4, F.lit(1.0))
+    return fx.table(s, d, "part").select("p_partkey", F.array_join(notes, "; ").alias("notes"))
 
 
 def capture_verdict(s, d):
@@ -352,10 +443,9 @@ def lossless_json(s, d):
 
 
 def frame_split(s, d):
-    """Byte texts cut into whole frames of 64 bytes; the rest is carried."""
-    b = fx.table(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("b"))
-    n = F.floor(F.length("b") / 64).cast("int")
-    return b.where(n > 0).select("doc_id", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("doc_id", "i", F.sha2(F.substring("b", F.col("i") * 64 + 1, F.lit(64)), 256).alias("frame"))
+    """Conversations as streams of bytes, a chunk a turn, cut into frames of 64 bytes that reach over turns."""
+    chunks = fx.table(s, d, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    return sources.split_frames(chunks, 64).select("stream_id", "i", F.sha2("frame", 256).alias("frame"))
 
 
 def _fused(s, d):
@@ -387,9 +477,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_diffs, luma_diff, segments_raw, segments_grown, segments_merged, segments_capped, segments_final, keyframe_plan, keyframe_left_join, spread_sample, head_limit, chapters,
-        tile_stats, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
-        assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, keywords_cjk, region_filter, confidence_filter, map_lines, reading_order,
-        polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
+        tile_stats, tile_stats_color, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
+        assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, top_keywords, keywords_cjk, region_filter, confidence_filter, map_lines, reading_order, attach_lines,
+        polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, half_encode, input_tensor, scale_factor, merged_options, resolve_setting, parse_region, analysis_notes, parse_devices, wav_header, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
         probe_facts, capture_verdict, missing_needs, time_grid, parse_list, lossless_json, frame_split, fuse_segments, doc_summary, doc_warnings, structure_document,
     )
 }

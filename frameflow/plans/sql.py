@@ -137,7 +137,7 @@ SQL = {
       p AS (SELECT DISTINCT recording_id, floor(i * (n - 1) / 3.0::DOUBLE + 0.5)::BIGINT + 1 AS k FROM n, (SELECT unnest(range(4)) AS i)) SELECT recording_id, "index", start FROM fin JOIN n USING (recording_id) WHERE n <= 4 OR (recording_id, "index") IN (SELECT (recording_id, k) FROM p)""",
     "head_limit": f"""WITH RECURSIVE {_FINAL} SELECT recording_id, "index", start FROM fin WHERE "index" <= 2""",
     "chapters": f"""WITH RECURSIVE {_FINAL} SELECT recording_id, ';FFMETADATA1' || chr(10) || '# a chapter for each segment' || chr(10) || string_agg('[CHAPTER]' || chr(10) || 'TIMEBASE=1/1000' || chr(10) || 'START=' || floor(start * 1000 + 0.5)::BIGINT || chr(10) || 'END=' || floor("end" * 1000 + 0.5)::BIGINT || chr(10) || 'title=' || id || ' ' || reason || ' ' || printf('%.2fs-%.2fs', start, "end") || chr(10), '' ORDER BY "index") AS chapters FROM fin GROUP BY 1""",
-    "tile_stats": f"WITH {_TILES} SELECT * FROM tl",
+    "tile_stats": f"WITH {_TILES} SELECT *, 0.0::DOUBLE AS saturation FROM tl",
     "tile_label": f"WITH {_TILES} SELECT label, count(*) AS n FROM tl GROUP BY 1",
     "area_shares": f"WITH {_TILES} SELECT * FROM sh",
     "mean_shares": f"WITH {_TILES} SELECT recording_id, {', '.join(_R4(f'avg({k})') + f' AS {k}' for k in ('text', 'picture', 'texture', 'flat', 'dark'))} FROM sh JOIN g USING (frame_id) GROUP BY 1",
@@ -196,7 +196,45 @@ SQL = {
     "last_json_line": "SELECT event_id, props AS json FROM events",
     "tensor_layout": """WITH q AS (SELECT p_partkey, p_partkey % 40 AS a, p_size * 30 AS b FROM part) SELECT p_partkey, CASE WHEN a BETWEEN 5 AND 1024 AND b BETWEEN 5 AND 1024 THEN CASE WHEN a < b THEN 'channel_major' ELSE 'row_major' END
       WHEN a BETWEEN 5 AND 1024 THEN 'channel_major' WHEN b BETWEEN 5 AND 1024 THEN 'row_major' END AS layout FROM q""",
-    "probe_facts": "SELECT p_partkey, (p_size * 10)::BIGINT AS width, 30.0::DOUBLE AS rate, p_retailprice AS duration, array_to_string(list_filter([CASE WHEN p_size * 10 > 400 THEN 'wide' END, CASE WHEN p_retailprice < 1000 THEN 'short' END], lambda x: x IS NOT NULL), ';') AS problems FROM part",
+    "probe_facts": """WITH p AS (
+        SELECT *, p_partkey % 17 <> 0 AS ok, p_partkey % 17 <> 0 AND p_partkey % 13 <> 0 AS has, CASE p_partkey % 4 WHEN 1 THEN 90 WHEN 2 THEN 270 ELSE 0 END AS deg,
+          CASE WHEN p_partkey % 7 <> 0 THEN p_size * 10.0::DOUBLE END AS w, CASE WHEN p_partkey % 11 <> 0 THEN CASE WHEN p_partkey % 19 = 0 THEN 0 ELSE p_retailprice::DOUBLE END END AS dur FROM part
+      ) SELECT p_partkey, ok AS readable, CASE WHEN ok THEN 'mov' END AS container, CASE WHEN ok THEN dur END AS duration, CASE WHEN has THEN 'h264' END AS video_codec,
+        CASE WHEN has THEN CASE WHEN deg > 0 THEN 100.0::DOUBLE ELSE w END END AS width, CASE WHEN has THEN CASE WHEN deg > 0 THEN w ELSE 100.0::DOUBLE END END AS height, CASE WHEN has THEN w END AS coded_width,
+        CASE WHEN has THEN deg END AS rotation, CASE WHEN has THEN CASE WHEN p_partkey % 5 = 0 AND p_partkey % 3 <> 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END END AS rate, CASE WHEN has THEN 30.0::DOUBLE END AS real_rate,
+        CASE WHEN has AND p_partkey % 3 <> 0 THEN p_partkey % 5 <> 0 END AS constant, CASE WHEN has THEN dur END AS video_seconds,
+        CASE WHEN has AND p_partkey % 2 = 0 THEN 'aac' END AS audio_codec, CASE WHEN has AND p_partkey % 2 = 0 THEN 48000.0::DOUBLE END AS sample_rate, CASE WHEN has AND p_partkey % 2 = 0 THEN 2.0::DOUBLE END AS channels,
+        CASE WHEN NOT ok THEN 'unreadable' ELSE concat_ws(';', CASE WHEN NOT has THEN 'no streams' END, CASE WHEN dur IS NULL THEN 'duration not told' WHEN dur <= 0 THEN 'duration not above 0' END,
+          CASE WHEN has AND p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN 'rate not constant' END, CASE WHEN has AND w IS NULL THEN 'size not told' END) END AS problems FROM p""",
+    "tile_stats_color": f"""WITH {_TILES},
+      cx AS (SELECT frame_id, i % 5 AS x, i // 5 AS y, p[3 * i + 1] AS r, p[3 * i + 2] AS g, p[3 * i + 3] AS b FROM (SELECT frame_id, p, unnest(range(20)) AS i FROM g)),
+      cl AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS v, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END AS s FROM cx),
+      ce AS (SELECT *, coalesce(abs(lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) - v) > 24, false)::INT + coalesce(abs(lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) - v) > 24, false)::INT AS e FROM cl),
+      ct AS (SELECT frame_id, least(x // 2, 1) AS "column", y // 2 AS "row", min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, 2::BIGINT AS height, floor(avg(v) * 100 + 0.5) / 100 AS luma,
+        floor(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) * 100 + 0.5) / 100 AS std, floor(avg(e) / 2 * 10000 + 0.5) / 10000 AS edge_density, floor(avg(s) * 10000 + 0.5) / 10000 AS saturation FROM ce GROUP BY frame_id, least(x // 2, 1), y // 2)
+      SELECT *, CASE WHEN std < 4 THEN CASE WHEN luma < 48 THEN 'dark' ELSE 'flat' END WHEN edge_density >= 0.09 AND saturation <= 0.22 THEN 'text' WHEN saturation >= 0.18 THEN 'picture' WHEN std >= 12 AND edge_density < 0.09 THEN 'picture' ELSE 'texture' END AS label FROM ct""",
+    "parse_devices": """SELECT s_nationkey AS log_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS no, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'video' ELSE 'audio' END AS kind,
+      CASE WHEN s_suppkey % 3 = 0 THEN '@device_' || s_suppkey END AS alternative FROM supplier""",
+    "wav_header": """WITH w AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, CASE WHEN doc_id % 10 = 9 THEN 'no data chunk' WHEN strlen(coalesce(text, '')) = 0 THEN 'no data' END AS problem FROM documents)
+      SELECT doc_id, CASE WHEN problem IS NULL THEN 32 END AS data_offset, CASE WHEN problem IS NULL THEN n END AS data_bytes, problem,
+        CASE WHEN problem IS NULL THEN printf('%02X%02X%02X%02X', (n + 24) % 256, (n + 24) // 256 % 256, (n + 24) // 65536 % 256, (n + 24) // 16777216) END AS riff_size,
+        CASE WHEN problem IS NULL THEN printf('%02X%02X%02X%02X', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216) END AS data_size FROM w""",
+    "half_encode": """SELECT p_partkey, (CASE WHEN (p_partkey * 7919) % 31744 < 1024 THEN 0 ELSE (p_partkey * 7919) % 31744 END + CASE WHEN p_size % 2 = 0 THEN 32768 ELSE 0 END)::INT AS bits FROM part""",
+    "input_tensor": f"""WITH {_TILES}, ip AS (SELECT frame_id, c, y, x, (p[(y * 5 + x) * 3 + c + 1] / 255)::FLOAT::DOUBLE AS value FROM g, range(3) a(c), range(4) b(y), range(5) e(x))
+      SELECT frame_id, (c * 64 + (y + 2) * 8 + x + 1)::INT AS i, value FROM ip WHERE value > 0""",
+    "scale_factor": """WITH z AS (SELECT p_partkey, (p_partkey % 1931 + 1)::DOUBLE AS w, (p_size * 37 + p_partkey % 11 + 1) % 5 AS h FROM part) SELECT p_partkey, CASE WHEN h > 0 THEN w / h ELSE 1.0::DOUBLE END AS factor FROM z""",
+    "merged_options": """SELECT p_partkey, concat_ws(' ', 'codec=h264', 'crf=' || CASE WHEN p_partkey % 5 <> 0 AND p_size % 3 = 1 THEN p_size::VARCHAR ELSE '23' END, CASE WHEN p_partkey % 5 <> 0 AND p_size % 2 = 1 THEN 'fps=1' END, 'preset=fast') AS options FROM part""",
+    "resolve_setting": """SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN p_retailprice::DOUBLE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE 4.0::DOUBLE END AS value FROM part""",
+    "parse_region": """SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN greatest(p_size - 10, 0)::BIGINT END AS x, CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey % 7)::BIGINT END AS y,
+      CASE WHEN p_partkey % 9 <> 0 THEN (p_size + 1)::BIGINT END AS width, CASE WHEN p_partkey % 9 <> 0 THEN 4::BIGINT END AS height FROM part""",
+    "analysis_notes": """WITH a AS (SELECT p_partkey, p_size % 5 AS frames, p_partkey % 3 AS rest, p_size AS found, (p_partkey % 4) / 2.0::DOUBLE AS st, (p_size % 5) / 4.0::DOUBLE AS sec FROM part)
+      SELECT p_partkey, concat_ws('; ', CASE WHEN frames = 0 THEN 'no frames decoded' END, CASE WHEN rest > 0 THEN rest || ' bytes of a last part frame left out' END,
+        CASE WHEN found > 30 THEN found || ' segments beyond the 30 allowed, the last ones put together' END, CASE WHEN st > 0 THEN 'from second ' || st || ': ' || frames || ' frames, ' || sec || ' seconds' END,
+        CASE WHEN frames > 0 AND sec < 1 AND NOT (rest > 0 AND found > 30 AND st > 0 AND frames = 0) THEN sec || ' seconds are less than a segment''s least of 1.0' END) AS notes FROM a""",
+    "attach_lines": f"""WITH {_LINES} SELECT frame_id AS still, id, 's' || CASE WHEN o_custkey < 1000 THEN lpad(o_custkey::VARCHAR, 3, '0') ELSE o_custkey::VARCHAR END AS segment_id, o_orderkey / 4.0::DOUBLE AS at FROM lines JOIN orders ON o_orderkey = frame_id WHERE o_orderkey % 3 <> 0""",
+    "lossless_json": """SELECT event_id, '{"v":' || CASE event_id % 4 WHEN 2 THEN '0.0' WHEN 3 THEN floor(value)::DOUBLE::VARCHAR ELSE 'null' END || ',"t":"' || event_type || '"}' AS json FROM events""",
+    "frame_split": """WITH b AS (SELECT conv_id AS stream_id, hex(encode(string_agg(coalesce(text, ''), '' ORDER BY turn))) AS b FROM conversations GROUP BY 1)
+      SELECT stream_id, i, sha256(unhex(b[i * 128 + 1 : i * 128 + 128])) AS frame FROM (SELECT stream_id, b, unnest(range(length(b) // 128)) AS i FROM b)""",
     "capture_verdict": """WITH o AS (
         SELECT o_orderkey, o_totalprice / 1000 AS asked, o_totalprice / 1000 * (0.8::DOUBLE + (o_orderkey % 26) / 100.0::DOUBLE) AS d, 0.85::DOUBLE + (o_custkey % 16) / 100.0::DOUBLE AS kept,
           o_custkey % 2 = 0 AS audio_asked, o_custkey % 3 <> 0 AS audio, o_orderkey % 29 <> 0 AS readable, CASE WHEN o_custkey % 23 = 0 THEN 0 ELSE 1 END AS whole FROM orders
@@ -227,3 +265,7 @@ SQL = {
 }
 for _name in ("assign_segments", "assign_unplaced"):
     SQL[_name] = SQL[_name].replace("@SPEECH_INTERVALS@", SQL["speech_intervals"])
+SQL["top_keywords"] = (
+    SQL["keywords"].replace("WITH w AS (SELECT ", "WITH w AS (SELECT source, ").replace("SELECT term, count(*) AS n", ", n AS (SELECT source, term, count(*) AS n").replace("GROUP BY 1", "GROUP BY ALL)")
+    + ' SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS "rank" FROM n WHERE n >= 2) WHERE "rank" <= 40'
+)

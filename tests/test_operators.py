@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from frameflow.functions import media
 from frameflow.operators import boxes, intervals, text, tiles, timeline
 from frameflow.sources import fixtures
+from frameflow.sources import media as sources
 from frameflow.streaming.segments import stream_segments
 
 RULES = timeline.CutRules(scene=40.0, min_seconds=1.0, max_seconds=30.0)
@@ -222,3 +223,56 @@ def test_stream_of_a_recording_that_comes_again(spark, tmp_path):
     query = stream_segments(read).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_tiles_in_color(spark):
+    frames = spark.createDataFrame([(1, [200.0, 100.0, 100.0] * 16), (2, [])], "frame_id bigint, pixels array<double>")
+    got = tiles.tile_stats(frames, 4, 4, 4, channels=3).collect()
+    assert [(r.frame_id, r.luma, r.std, r.saturation, r.label) for r in got] == [(1, 121.26, 0.0, 0.5, "flat")]
+    strong = spark.createDataFrame([(1, [v for i in range(16) for v in ((255.0, 0.0, 0.0) if i % 2 else (0.0, 0.0, 255.0))])], "frame_id bigint, pixels array<double>")
+    assert [r.label for r in tiles.tile_stats(strong, 4, 4, 4, channels=3).collect()] == ["picture"]
+    with pytest.raises(Exception, match="a frame of 3 values where 48"):
+        tiles.tile_stats(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], frames.schema), 4, 4, 4, channels=3).collect()
+
+
+@pytest.mark.parametrize(
+    "value, bits",
+    [(1.0, 0x3C00), (-2.0, 0xC000), (1.0009, 0x3C00), (65504.0, 0x7BFF), (65535.9, 0x7BFF), (65536.0, 0x7C00), (6e-5, 0), (2.0**-14, 0x0400), (-0.0, 0x8000), (float("nan"), 0x7C00), (float("-inf"), 0xFC00), (None, None)],
+)
+def test_half_encoding(spark, value, bits):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert df.select(media.float_to_half(F.col("v"))).first()[0] == bits
+
+
+@pytest.mark.parametrize("said, box", [("1,2,3,4", (1, 2, 3, 4)), (" -5 ,2.5, 10.5,4.4", (0, 3, 11, 4)), (",,5,5", (0, 0, 5, 5)), (None, None)])
+def test_region_of_text(spark, said, box):
+    got = spark.createDataFrame([(said,)], "t string").select(media.region(F.col("t")).alias("r")).first().r
+    assert (tuple(got) if got else None) == box
+
+
+@pytest.mark.parametrize("said", ["1,2,3", "1,2,x,4", "1,2,0,4", "1,2,3,-4", "", "1,2,3,4,5"])
+def test_no_region(spark, said):
+    with pytest.raises(Exception, match="no region"):
+        spark.createDataFrame([(said,)], "t string").select(media.region(F.col("t")).alias("r")).collect()
+
+
+def test_frames_reach_over_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, b"ab"), (1, 1, b""), (1, 2, b"cdefghij"), (1, 3, None), (1, 4, b"klm"), (2, 0, b"x")], "stream_id bigint, seq bigint, content binary")
+    got = sorted((r.stream_id, r.i, bytes(r.frame)) for r in sources.split_frames(chunks, 4).collect())
+    assert got == [(1, 0, b"abcd"), (1, 1, b"efgh"), (1, 2, b"ijkl")]
+
+
+def test_wav(spark):
+    head = b"RIFF\xff\xff\xff\xffWAVEfmt \x02\0\0\0abdata\xff\xff\xff\xff"
+    rows = [(1, head + b"12345"), (2, head), (3, b"RIFX"), (4, None), (5, b"RIFF0000WAVEnone\0\0\0\0")]
+    got = {r.id: r for r in sources.repair_wav(spark.createDataFrame(rows, "id bigint, content binary")).collect()}
+    assert bytes(got[1].repaired) == b"RIFF\x1b\0\0\0WAVEfmt \x02\0\0\0abdata\x05\0\0\0" + b"12345" and (got[1].data_offset, got[1].data_bytes) == (30, 5)
+    assert [got[i].problem for i in range(1, 6)] == [None, "no data", "no WAV", "no WAV", "no data chunk"] and got[2].repaired is None
+
+
+def test_probe_of_odd_reports(spark):
+    rows = [(1, "null"), (2, None), (3, "{}"), (4, '{"streams":[{"codec_type":"video","tags":{"rotate":"-90"},"width":4,"height":3}],"format":{"duration":"N/A"}}')]
+    facts = sources.probe_facts(F.col("t"))
+    got = {r.id: r for r in spark.createDataFrame(rows, "id bigint, t string").select("id", *(c.alias(k) for k, c in facts.items())).collect()}
+    assert [got[i].readable for i in (1, 2, 3, 4)] == [False, False, True, True]
+    assert got[3].problems == ["no streams", "duration not told"] and (got[4].width, got[4].height, got[4].rotation, got[4].problems) == (3.0, 4.0, 270, ["duration not told"])
