@@ -1,8 +1,13 @@
 """Queries against SQL on the given tables."""
 
+import hashlib
+import zlib
+
 import pytest
 
+from frameflow.llm.common import table
 from frameflow.llm.queries import QUERIES, SQL
+from tests.llm.test_edges import base_spans
 from tests.oracle import duck_rows, spark_rows
 
 
@@ -14,3 +19,26 @@ def test_equals_sql(spark, sf_dir, name):
 def test_curriculum_is_stable(spark, sf_dir):
     first, again = (QUERIES["op4_mix_curriculum"](spark, sf_dir) for _ in range(2))
     assert spark_rows(first) == spark_rows(again)
+
+
+def test_pii_query_rows(spark, sf_dir):
+    """The digest columns against the contract's patterns, read anew from whole texts."""
+    got = {r.doc_id: r for r in QUERIES["op2_pii_spans"](spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        spans = list(base_spans(text))
+        assert got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s.startswith(k + ":") for s in spans) for k in ("email", "ip", "card", "phone")]
+        assert set(spans) <= set(got[i].spans.split(","))
+
+
+def test_toxicity_query_rows(spark):
+    """held_out and predicted by the contract; on held-out labels of sf0.1 (sf0.01 has only six toxic ones, four of them found), recall and precision of the toxic ones."""
+    d = "/root/testdata/sf0.1"
+    rows = QUERIES["op7_toxicity"](spark, d).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    predicted = {r.doc_id: r.predicted for r in rows if r.held_out}
+    truth = {r.doc_id: r.toxic for r in table(spark, d, "labels").collect() if r.doc_id in predicted}
+    hit = sum(predicted[i] and t for i, t in truth.items())
+    assert hit / sum(truth.values()) > 0.7 and hit / sum(predicted[i] for i in truth) > 0.7
