@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from frameflow.functions.numeric import half_up, rounded
+from frameflow.functions.numeric import finite_or_null, half_up, rounded
+from frameflow.functions.strings import BLANK, has_text, trimmed
 
 # Language aliases, and the container of each file ending.
 LANGUAGES = {
@@ -145,9 +146,9 @@ def read_scale(width: Column, height: Column) -> Column:
 
 
 def language_tag(name: Column) -> Column:
-    trimmed = F.trim(name)
-    known = _lookup(LANGUAGES, F.lower(trimmed))
-    return F.coalesce(F.when(trimmed == "", None).otherwise(known), F.when(trimmed.rlike("(?i)^[a-z]{2}(-[a-z0-9]+)*$"), trimmed), F.lit("zh-Hans-CN"))
+    said = trimmed(name)
+    known = _lookup(LANGUAGES, F.lower(said))
+    return F.coalesce(F.when(said == "", None).otherwise(known), F.when(said.rlike("(?i)^[a-z]{2}(-[a-z0-9]+)*$"), said), F.lit("zh-Hans-CN"))
 
 
 def container_for(path: Column) -> Column:
@@ -160,13 +161,13 @@ def escaped(value: Column) -> Column:
 
 
 def tail_lines(text: Column, n: int = 6) -> Column:
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.transform(F.filter(F.split(text, "\n"), has_text), lambda x: F.regexp_replace(x, f"{BLANK}+$", ""))
     return F.array_join(F.slice(lines, F.greatest(F.size(lines) - n, F.lit(0)) + 1, F.lit(n)), "\n")
 
 
 def last_json_line(text: Column) -> Column:
     """The last line that starts with { and is JSON."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(x).startswith("{") & F.try_parse_json(x).isNotNull())
+    lines = F.filter(F.split(text, "\n"), lambda x: trimmed(x).startswith("{") & F.try_parse_json(x).isNotNull())
     return F.try_element_at(lines, F.lit(-1))
 
 
@@ -177,11 +178,16 @@ def tensor_layout(d1: Column, d2: Column) -> Column:
 
 
 def confidence(value: Column, score: Column) -> Column:
-    """A reader's confidence, else its score, as 0 to 1 with 4 places; null if neither is a number."""
-    known = F.coalesce(F.when(F.isnan(value), None).otherwise(value), F.when(F.isnan(score), None).otherwise(score))
+    """A reader's confidence, or its score where it gives none, as 0 to 1 with 4 places; null if that is no finite number."""
+    known = finite_or_null(F.coalesce(value, score).cast("double"))
     return F.when(known.isNotNull(), rounded(F.least(F.greatest(known, F.lit(0.0)), F.lit(1.0))))
 
 
+def missing_needs(have: Column, needs: Column) -> Column:
+    """What is needed and not among what is there, in the order of the needs."""
+    return F.filter(needs, lambda n: ~F.array_contains(F.coalesce(have, F.array().cast("array<string>")), n))
+
+
 #: Shares of the asked seconds and of the expected frames below which a take is short, or has dropped frames.
 SHORT_TAKE, DROPPED = 0.9, 0.9
 

@@ -12,6 +12,10 @@ from frameflow.functions.media import tensor_layout
 from frameflow.functions.numeric import half_up, rounded
 
 
+#: Width of the stretches in which boxes look for partners.
+_STRIPE = 256
+
+
 def iou(a: str, b: str) -> Column:
     """Of two boxes whose columns carry the suffixes a and b; 0 for empty unions."""
     side = lambda p, d: F.greatest(F.least(F.col(p + a) + F.col(d + a), F.col(p + b) + F.col(d + b)) - F.greatest(p + a, p + b), F.lit(0))
@@ -21,9 +25,14 @@ def iou(a: str, b: str) -> Column:
 
 
 def iou_pairs(boxes: DataFrame) -> DataFrame:
-    """boxes (frame_id, id, class, score, x, y, w, h) -> every pair of a frame and class, with its IoU."""
-    side = lambda s: boxes.select("frame_id", "class", F.col("id").alias("id" + s), *(F.col(c).alias(c + s) for c in "xywh"))
-    pairs = side("1").join(side("2"), ["frame_id", "class"]).where("id1 < id2")
+    """boxes (frame_id, id, class, score, x, y, w, h) -> the pairs of a frame and class that overlap, with their IoU; of all others it is 0.
+
+    Boxes meet by frame, class and stretch of the x axis (``_STRIPE`` wide), a pair in the stretch where its overlap begins.
+    """
+    stripes = F.explode(F.sequence(F.floor(F.col("x") / _STRIPE), F.floor((F.col("x") + F.col("w")) / _STRIPE))).alias("stripe")
+    side = lambda s: boxes.where("w > 0 AND h > 0").select("frame_id", "class", stripes, F.col("id").alias("id" + s), *(F.col(c).alias(c + s) for c in "xywh"))
+    meet = "id1 < id2 AND x1 < x2 + w2 AND x2 < x1 + w1 AND y1 < y2 + h2 AND y2 < y1 + h1"
+    pairs = side("1").join(side("2"), ["frame_id", "class", "stripe"]).where(meet).where(F.col("stripe") == F.floor(F.greatest("x1", "x2") / _STRIPE))
     return pairs.select("frame_id", "class", "id1", "id2", rounded(iou("1", "2")).alias("iou"))
 
 
@@ -91,5 +100,18 @@ def detections(tensors: DataFrame, min_score: float = 0.35, threshold: float = 0
     return kept.select("*", centre("x", "w").alias("center_x"), centre("y", "h").alias("center_y"), rank.alias("rank"))
 
 
-def class_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("frame_id", "class").agg(F.count(F.lit(1)).alias("n"))
+def scored(found: DataFrame, least: float) -> DataFrame:
+    """What is scored at least ``least``; a score that is null isn't."""
+    return found.where(F.col("score") >= least)
+
+
+def label_counts(found: DataFrame, key: str) -> DataFrame:
+    """found (key, label) -> key, label, n, rank: how often each label is found, the most frequent first, ties in the order of a dictionary. Null labels don't count."""
+    counts = found.where("label IS NOT NULL").groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), F.collate("label", "UNICODE"), "label"))
+    return counts.select(key, "label", "n", rank.cast("long").alias("rank"))
+
+
+def person_score(found: DataFrame, key: str) -> DataFrame:
+    """found (key, label, score) -> key, person: the best score of a person, 0 where none is found."""
+    return found.groupBy(key).agg(F.coalesce(F.max(F.when((F.col("label") == "person") & ~F.isnan("score"), F.greatest("score", F.lit(0.0)))), F.lit(0.0)).alias("person"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.numeric import rounded
+from frameflow.functions.strings import has_text, trimmed
+from frameflow.operators.timeline import streamed
 
 MIN_SPEECH, MAX_INTERVAL = 0.25, 25.0
 
@@ -64,26 +69,49 @@ def plan_cuts(recordings: DataFrame, silences: DataFrame, max_seconds: float, le
 
 
 def merge_intervals(intervals: DataFrame, most: int, max_seconds: float) -> DataFrame:
-    """Chops intervals above max_seconds, then joins the closest neighbours of a recording until ``most`` (1 at least) are left or a join would be too long."""
-    most = max(1, most)
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("start")
-        parts = [[a, b, b - a, 1] for a, b in zip(rows["start"], rows["end"], strict=True)]
-        while len(parts) > most:
-            costs = [y[0] - x[1] + 0.01 * (x[2] + y[2]) for x, y in zip(parts, parts[1:])]
-            i = costs.index(min(costs))
-            x, y = parts[i], parts[i + 1]
-            if y[1] - x[0] > max_seconds:
-                break
-            parts[i : i + 2] = [[x[0], y[1], y[1] - x[0], x[3] + y[3]]]
-        return pd.DataFrame([(key[0], *p) for p in parts], columns=["recording_id", "start", "end", "seconds", "merged"])
+    """Chops intervals above max_seconds, then joins the closest neighbours of a recording until ``most`` (1 at least) are left or the closest pair would be too long.
 
+    Rows are read in order as they come; of one recording at a time the times of its pieces are held, n log n for n of them.
+    """
+    most = max(1, most)
     cut = chop(intervals.select("recording_id", "start", "end"), max_seconds, 0.01, inclusive=False)
-    merged = cut.groupBy("recording_id").applyInPandas(one, "recording_id bigint, start double, end double, seconds double, merged bigint")
+    schema = "recording_id bigint, start double, end double, seconds double, merged bigint"
+    merged = streamed(cut, ["start", "end"], ["start", "end"], schema, lambda pieces: closest_joined(pieces, most, max_seconds))
     return merged.select("recording_id", *(rounded(F.col(c)).alias(c) for c in ("start", "end", "seconds")), "merged")
 
 
+def closest_joined(pieces: Iterable[tuple[float, float]], most: int, max_seconds: float) -> Iterator[tuple[float, float, float, int]]:
+    """(start, end) in order -> (start, end, seconds, joined). Neighbours' costs wait in a heap; a join changes two of them, and costs of pieces that have changed since are passed over when they come up."""
+    start, end = map(list, zip(*pieces, strict=True))
+    n = left = len(start)
+    seconds, joined = [b - a for a, b in zip(start, end, strict=True)], [1] * n
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive, version = [True] * n, [0] * n
+
+    def cost(i: int) -> tuple[float, int, int, int]:
+        j = after[i]
+        return start[j] - end[i] + (seconds[i] + seconds[j]) * 0.01, i, version[i], version[j]
+
+    waiting = [cost(i) for i in range(n - 1)]
+    heapq.heapify(waiting)
+    while left > most:
+        _, i, mine, other = heapq.heappop(waiting)
+        j = after[i]
+        if not alive[i] or j == n or version[i] != mine or version[j] != other:
+            continue
+        if end[j] - start[i] > max_seconds:
+            break
+        end[i], seconds[i], joined[i], after[i] = end[j], end[j] - start[i], joined[i] + joined[j], after[j]
+        alive[j], left = False, left - 1
+        version[i] += 1
+        if after[i] < n:
+            before[after[i]] = i
+            heapq.heappush(waiting, cost(i))
+        if before[i] >= 0:
+            heapq.heappush(waiting, cost(before[i]))
+    return ((start[i], end[i], seconds[i], joined[i]) for i in range(n) if alive[i])
+
+
 def _buckets(start: str, end: str, width: float):
     return F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
 
@@ -102,22 +130,30 @@ def overlap_join(segments: DataFrame, spoken: DataFrame, least: float = 0.2, buc
 def text_within(segments: DataFrame, spoken: DataFrame, least: float = 0.2) -> DataFrame:
     """What is said in each segment, in order, and for how long. Segments without text are left out."""
     pairs = overlap_join(segments, spoken, least)
-    said = F.array_sort(F.collect_list(F.struct("s_start", "s_end", F.trim("text").alias("text"))))
+    said = F.array_sort(F.collect_list(F.struct("s_start", "s_end", trimmed(F.col("text")).alias("text"))))
     grouped = pairs.groupBy("recording_id", "index").agg(F.sum(F.col("overlap").cast("decimal(38,12)")).cast("double").alias("seconds"), F.filter(said, lambda s: s["text"] != "").alias("said"))
     return grouped.select("recording_id", "index", rounded(F.col("seconds")).alias("seconds"), F.array_join("said.text", " ").alias("text")).where("text <> ''")
 
 
-def assign_to_segments(items: DataFrame, segments: DataFrame) -> DataFrame:
-    """items (recording_id, item, s_start, s_end) -> with index: the segment that holds the midpoint, the last for midpoints past the end, null for none."""
-    mid = items.withColumn("mid", (F.col("s_start") + F.col("s_end")) / 2)
-    spans = segments.select("recording_id", "index", "start", "end")
-    inside = mid.join(spans, "recording_id").where("mid >= start and mid < end").groupBy("recording_id", "item").agg(F.min("index").alias("inside"))
-    last = spans.groupBy("recording_id").agg(F.max_by("index", "end").alias("last"), F.max("end").alias("finish"))
-    return mid.join(inside, ["recording_id", "item"], "left").join(last, "recording_id", "left").select(
-        "recording_id", "item", "mid", F.coalesce("inside", F.when(F.col("mid") >= F.col("finish"), F.col("last"))).alias("index")
-    )
+def assign_to_segments(items: DataFrame, segments: DataFrame, bucket: float = 60.0) -> DataFrame:
+    """items (recording_id, item, s_start, s_end) -> with index: the segment that holds the midpoint, the last for midpoints past the end, null for none.
+
+    An as-of join: starts and midpoints of a recording are put in one order, and each midpoint takes the last start before it, whose end
+    then decides. No item meets more than one segment. The order is that of a stretch of time (``bucket`` seconds), into which a segment that
+    reaches over several stands once for each, so a long recording spreads over tasks. Segments of a recording must not overlap. Only the last
+    segment of each recording is joined, as a row a recording; Spark broadcasts it or splits a hot recording. Items without times have no segment; items that come twice are placed twice.
+    """
+    mid = items.select("recording_id", "item", ((F.col("s_start") + F.col("s_end")) / 2).alias("mid"))
+    spans = segments.where("end > start").select("recording_id", "index", "start", "end", F.explode(_buckets("start", "end", bucket)).alias("b"))
+    opened = spans.select("recording_id", "b", F.greatest("start", F.col("b") * bucket).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.struct("index", "end").alias("segment"))
+    points = mid.select("recording_id", F.floor(F.col("mid") / bucket).alias("b"), F.col("mid").alias("at"), F.lit(1).alias("kind"), "item", F.lit(None).cast(opened.schema["segment"].dataType).alias("segment"))
+    order = Window.partitionBy("recording_id", "b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = opened.unionByName(points).withColumn("found", F.last("segment", ignorenulls=True).over(order)).where("kind = 1")
+    last = segments.groupBy("recording_id").agg(F.max_by("index", "end").alias("last"), F.max("end").alias("finish"))
+    inside = F.when(F.col("at") < F.col("found.end"), F.col("found.index"))
+    return placed.join(last, "recording_id", "left").select("recording_id", "item", F.col("at").alias("mid"), F.coalesce(inside, F.when(F.col("at") >= F.col("finish"), F.col("last"))).alias("index"))
 
 
 def transcript(spoken: DataFrame) -> DataFrame:
     said = F.array_sort(F.collect_list(F.struct("s_start", "s_end", "text")))
-    return spoken.where("trim(text) <> ''").groupBy("recording_id").agg(F.array_join(said["text"], "\n").alias("transcript"), F.count(F.lit(1)).alias("spoken"))
+    return spoken.where(has_text(F.col("text"))).groupBy("recording_id").agg(F.array_join(said["text"], "\n").alias("transcript"), F.count(F.lit(1)).alias("spoken"))

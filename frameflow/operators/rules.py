@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 c = F.col
 
 
+# The rules in order, and what decides on each.
 def kind_rules() -> list[tuple[str, Column]]:
     return [
         ("terminal", (c("shell_hits") >= 3) & (c("dark") >= 0.15)),
@@ -48,5 +49,5 @@ def reason(kind: Column) -> Column:
 
 def group_kinds(named: DataFrame) -> DataFrame:
     """Per recording and kind, the indexes in order as text; a blank kind is desktop."""
-    kind = F.when(F.trim("kind") == "", "desktop").otherwise(F.coalesce("kind", F.lit("desktop")))
+    kind = F.when(F.coalesce(F.col("kind"), F.lit("")) == "", "desktop").otherwise(F.col("kind"))
     return named.groupBy("recording_id", kind.alias("kind")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("index")), lambda i: i.cast("string")), ",").alias("indexes"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.numeric import half_up
+from frameflow.functions.strings import has_text
 
 # Patterns that count as signs of a shell and of code, and the stop words of two letters and more. Word ends are ASCII.
 SHELL = (
@@ -50,8 +51,8 @@ def keywords(texts: DataFrame, key: str, stop_words: DataFrame | None = None) ->
 
 
 def top_keywords(counts: DataFrame, key: str, limit: int = 40, least: int = 1) -> DataFrame:
-    """Of the keywords (key, term, n) seen at least ``least`` times, the ``limit`` most frequent of each key with their rank; ties by the term's characters."""
-    order = Window.partitionBy(key).orderBy(F.col("n").desc(), "term")
+    """Of the keywords (key, term, n) seen at least ``least`` times, the ``limit`` most frequent of each key with their rank; ties in the order of a dictionary (Unicode's root collation)."""
+    order = Window.partitionBy(key).orderBy(F.col("n").desc(), F.collate("term", "UNICODE"), "term")
     return counts.where(F.col("n") >= least).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
@@ -73,13 +74,15 @@ def in_region(lines: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
 
 
 def confident(lines: DataFrame, least: float) -> DataFrame:
-    return lines.where(F.col("confidence").isNull() | (F.col("confidence") >= least)).where(F.col("text").rlike(r"\S"))
+    return lines.where(F.col("confidence").isNull() | (F.col("confidence") >= least)).where(has_text(F.col("text")))
 
 
 def map_lines(lines: DataFrame, factor: float, dx: int, dy: int) -> DataFrame:
-    """Boxes moved from the image that was read to the source, and their centres."""
+    """Boxes moved from the image that was read to the source, and their centres; a ``polygon`` (array of x, y) moves with them."""
     to = lambda c, d: half_up(F.col(c) * factor + d)
     moved = lines.withColumns({"x": to("x", dx), "y": to("y", dy), "w": half_up(F.col("w") * factor), "h": half_up(F.col("h") * factor)})
+    if "polygon" in lines.columns:
+        moved = moved.withColumn("polygon", F.transform("polygon", lambda p: F.array(half_up(p[0] * factor + dx), half_up(p[1] * factor + dy))))
     return moved.withColumns({"cx": half_up(F.col("x") + F.col("w") / 2), "cy": half_up(F.col("y") + F.col("h") / 2)})
 
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameflow.functions.numeric import rounded
+from frameflow.operators.timeline import streamed
 
 LABELS = ("text", "picture", "texture", "flat", "dark")
 
 
+# What decides on a tile's label.
 @dataclass(frozen=True)
 class TileRules:
     flat_std: float = 4.0
@@ -44,43 +46,71 @@ def _half_up(values: np.ndarray, digits: int) -> np.ndarray:
     return np.floor(values * 10.0**digits + 0.5) / 10.0**digits
 
 
+class Grid:
+    """Frames of one size cut into tiles; the last column and row take in the rest. Tiles are numbered in reading order."""
+
+    def __init__(self, width: int, height: int, tile: int, channels: int, rules: TileRules):
+        self.width, self.height, self.channels, self.rules = width, height, channels, rules
+        self.columns, self.rows = max(1, width // tile), max(1, height // tile)
+        lefts, tops = np.arange(self.columns) * tile, np.arange(self.rows) * tile
+        self.lefts, self.tops = np.append(lefts, width), np.append(tops, height)
+        widths, heights = np.diff(self.lefts), np.diff(self.tops)
+        self.n = np.outer(heights, widths).ravel().astype(float)
+        self.place = [np.tile(np.arange(self.columns), self.rows), np.repeat(np.arange(self.rows), self.columns), np.tile(lefts, self.rows), np.repeat(tops, self.columns), np.tile(widths, self.rows), np.repeat(heights, self.columns)]
+        self.of_pixel = np.add.outer(np.repeat(np.arange(self.rows), heights) * self.columns, np.repeat(np.arange(self.columns), widths)).ravel()
+
+    def _total(self, values: np.ndarray) -> np.ndarray:
+        """Each tile's values added up one after another in reading order."""
+        return np.bincount(self.of_pixel, values.ravel(), minlength=len(self.n))
+
+    def statistics(self, pixels: np.ndarray) -> list[np.ndarray]:
+        """luma, std, edge density and saturation of each tile, rounded."""
+        size = self.width * self.height * self.channels
+        if len(pixels) < size:
+            raise ValueError(f"a frame of {len(pixels)} values where {size} are needed")
+        shaped = pixels[:size].reshape(self.height, self.width, self.channels)
+        if self.channels == 1:
+            luma, saturation = shaped[:, :, 0], np.zeros((self.height, self.width))
+        else:
+            luma = 0.2126 * shaped[:, :, 0] + 0.7152 * shaped[:, :, 1] + 0.0722 * shaped[:, :, 2]
+            most, least = shaped.max(axis=2), shaped.min(axis=2)
+            saturation = np.divide(most - least, most, out=np.zeros_like(most), where=most > 0)
+        edges = np.zeros((self.height, self.width))
+        edges[:, :-1] += np.abs(luma[:, 1:] - luma[:, :-1]) > self.rules.edge
+        edges[:-1, :] += np.abs(luma[1:, :] - luma[:-1, :]) > self.rules.edge
+        mean = self._total(luma) / self.n
+        std = np.sqrt(np.maximum(self._total(luma * luma) / self.n - mean * mean, 0.0))
+        return [_half_up(mean, 2), _half_up(std, 2), _half_up(self._total(edges) / (2 * self.n), 4), _half_up(self._total(saturation) / self.n, 4)]
+
+    def labels(self, luma: np.ndarray, std: np.ndarray, edges: np.ndarray, saturation: np.ndarray) -> np.ndarray:
+        """tile_label as numbers of LABELS."""
+        r, no = self.rules, {k: i for i, k in enumerate(LABELS)}
+        flat = std < r.flat_std
+        cases = [flat & (luma < r.dark_luma), flat, (edges >= r.text_edges) & (saturation <= r.text_saturation), saturation >= r.picture_saturation, (std >= r.picture_std) & (edges < r.text_edges)]
+        return np.select(cases, [no["dark"], no["flat"], no["text"], no["picture"], no["picture"]], no["texture"])
+
+
+def _pixel_frames(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    for frame, pixels in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        if pixels.is_valid and len(pixels):
+            yield frame, pixels.values.to_numpy(zero_copy_only=False)
+
+
 def tile_stats(frames: DataFrame, width: int, height: int, tile: int, rules: TileRules = TileRules(), channels: int = 1) -> DataFrame:
     """frames (frame_id, pixels: gray values, or r, g, b by pixel for three channels) -> a row per tile. The last column and row take in the rest.
 
     Edges are steps above ``edge`` to the right and lower neighbours inside the frame, beyond the tile too, over twice the pixels. Saturation is 0 for gray frames.
-    A frame without pixels has no tiles; one with too few raises. Frames go through numpy one at a time.
+    Sums go in reading order. A frame without pixels has no tiles; one with too few raises. Frames go through numpy one at a time.
     """
-    columns, rows = max(1, width // tile), max(1, height // tile)
-    lefts, tops = np.arange(columns) * tile, np.arange(rows) * tile
-    widths, heights = np.diff(np.append(lefts, width)), np.diff(np.append(tops, height))
-    n = np.outer(heights, widths).astype(float)
-    place = [np.tile(np.arange(columns), rows), np.repeat(np.arange(rows), columns), np.tile(lefts, rows), np.repeat(tops, columns), np.tile(widths, rows), np.repeat(heights, columns)]
-    total = lambda v: np.add.reduceat(np.add.reduceat(v, tops, axis=0), lefts, axis=1)
+    grid = Grid(width, height, tile, channels, rules)
     names = [c.split()[0] for c in _STATS.split(", ")]
 
-    def one(pixels: np.ndarray) -> list[np.ndarray]:
-        if len(pixels) < width * height * channels:
-            raise ValueError(f"a frame of {len(pixels)} values where {width * height * channels} are needed")
-        shaped = pixels[: width * height * channels].reshape(height, width, channels)
-        if channels == 1:
-            luma, saturation = shaped[:, :, 0], np.zeros((height, width))
-        else:
-            luma = 0.2126 * shaped[:, :, 0] + 0.7152 * shaped[:, :, 1] + 0.0722 * shaped[:, :, 2]
-            most, least = shaped.max(axis=2), shaped.min(axis=2)
-            saturation = np.divide(most - least, most, out=np.zeros_like(most), where=most > 0)
-        edges = np.zeros((height, width))
-        edges[:, :-1] += np.abs(luma[:, 1:] - luma[:, :-1]) > rules.edge
-        edges[:-1, :] += np.abs(luma[1:, :] - luma[:-1, :]) > rules.edge
-        mean = total(luma) / n
-        std = np.sqrt(np.maximum(total(luma * luma) / n - mean * mean, 0.0))
-        return [v.ravel() for v in (_half_up(mean, 2), _half_up(std, 2), _half_up(total(edges) / (2 * n), 4), _half_up(total(saturation) / n, 4))]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(frame, one(pixels.values.to_numpy(zero_copy_only=False))) for frame, pixels in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if pixels.is_valid and len(pixels)]
+            made = [(frame, grid.statistics(pixels)) for frame, pixels in _pixel_frames(batch)]
             if made:
-                frame_ids = pa.array([frame for frame, _ in made for _ in range(n.size)], pa.int64())
-                placed = [pa.array(np.tile(v, len(made)), pa.int64()) for v in place]
+                frame_ids = pa.array([frame for frame, _ in made for _ in range(grid.n.size)], pa.int64())
+                placed = [pa.array(np.tile(v, len(made)), pa.int64()) for v in grid.place]
                 yield pa.RecordBatch.from_arrays([frame_ids, *placed, *(pa.array(np.concatenate(v)) for v in zip(*(m for _, m in made), strict=True))], names=names)
 
     found = frames.select(F.col("frame_id").cast("long"), F.col("pixels").cast("array<double>")).mapInArrow(run, _STATS)
@@ -104,27 +134,67 @@ def mean_shares(shares: DataFrame) -> DataFrame:
     return shares.groupBy("recording_id").agg(*(rounded(F.avg(k)).alias(k) for k in LABELS))
 
 
-def merge_blocks(tiles: DataFrame) -> DataFrame:
-    """Rectangles of equal labels: in reading order, as far right as the label goes on, then down while the whole row does."""
+_BLOCK = "frame_id bigint, label string, x bigint, y bigint, width bigint, height bigint, tiles bigint, area_ratio double"
+
 
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grid = {(r.row, r.column): r for r in rows.itertuples()}
-        area, taken, out = float((rows["width"] * rows["height"]).sum()), set(), []
-        for at in sorted(grid):
-            if at in taken:
+def rectangles(rows: list[dict[int, int]], columns: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Rows of a grid as label -> bits of the columns that hold it -> (label, first column, row, columns, rows), in reading order.
+
+    A run goes as far right as its label does, then down while a row holds the whole run; its bits are cleared as it is taken.
+    """
+    for y, row in enumerate(rows):
+        for x in range(columns):
+            label = next((k for k, bits in row.items() if bits >> x & 1), None)
+            if label is None:
                 continue
-            label, (y, x) = grid[at].label, at
-            free = lambda r, c: (r, c) in grid and (r, c) not in taken and grid[r, c].label == label  # noqa: B023, E731
-            w = h = 1
-            while free(y, x + w):
-                w += 1
-            while all(free(y + h, c) for c in range(x, x + w)):
-                h += 1
-            cells = [(r, c) for r in range(y, y + h) for c in range(x, x + w)]
-            taken.update(cells)
-            width, height = sum(grid[y, c].width for c in range(x, x + w)), sum(grid[r, x].height for r in range(y, y + h))
-            out.append((key[0], label, grid[at].x, grid[at].y, width, height, len(cells), int(width * height / area * 10_000 + 0.5) / 10_000))
-        return pd.DataFrame(out, columns=["frame_id", "label", "x", "y", "width", "height", "tiles", "area_ratio"])
-
-    schema = "frame_id bigint, label string, x bigint, y bigint, width bigint, height bigint, tiles bigint, area_ratio double"
-    return tiles.select("frame_id", "column", "row", "x", "y", "width", "height", "label").groupBy("frame_id").applyInPandas(one, schema)
+            here = row[label] >> x
+            wide = (~here & here + 1).bit_length() - 1
+            run, high = (1 << wide) - 1 << x, 0
+            while y + high < len(rows) and rows[y + high].get(label, 0) & run == run:
+                rows[y + high][label] &= ~run
+                high += 1
+            yield label, x, y, wide, high
+
+
+def frame_blocks(frames: DataFrame, width: int, height: int, tile: int, rules: TileRules = TileRules(), channels: int = 1) -> DataFrame:
+    """frames as for tile_stats -> rectangles of tiles with equal labels: in reading order, as far right as the label goes on, then down while the whole row does.
+
+    From pixels to rectangles a frame at a time, without a row per tile and without a shuffle.
+    """
+    grid = Grid(width, height, tile, channels, rules)
+    names, columns = [c.split()[0] for c in _BLOCK.split(", ")], np.arange(grid.columns)
+
+    def blocks(frame: int, pixels: np.ndarray) -> Iterator[tuple]:
+        labels = grid.labels(*grid.statistics(pixels)).reshape(grid.rows, grid.columns)
+        rows = [{int(k): sum(1 << int(x) for x in columns[line == k]) for k in np.unique(line)} for line in labels]
+        for label, x, y, wide, high in rectangles(rows, grid.columns):
+            left, top, w, h = grid.lefts[x], grid.tops[y], grid.lefts[x + wide] - grid.lefts[x], grid.tops[y + high] - grid.tops[y]
+            yield frame, LABELS[label], int(left), int(top), int(w), int(h), wide * high, float(_half_up(w * h / (width * height), 4))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
+        for batch in batches:
+            made = [b for frame, pixels in _pixel_frames(batch) for b in blocks(frame, pixels)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
+    return frames.select(F.col("frame_id").cast("long"), F.col("pixels").cast("array<double>")).mapInArrow(run, _BLOCK)
+
+
+def merge_blocks(tiles: DataFrame) -> DataFrame:
+    """The rectangles of frame_blocks out of the rows of tile_stats. Frames pass through a task in reading order, one at a time."""
+
+    def one(cells: Iterable[tuple]) -> Iterator[tuple]:
+        rows, at, area = [], {}, 0
+        for row, column, x, y, w, h, label in cells:
+            rows += [{} for _ in range(row + 1 - len(rows))]
+            rows[row][label] = rows[row].get(label, 0) | 1 << column
+            at[column, row] = x, y, x + w, y + h
+            area += w * h
+        for label, c, r, wide, high in rectangles(rows, max((c for c, _ in at), default=-1) + 1):
+            (x, y, *_), (*_, right, bottom) = at[c, r], at[c + wide - 1, r + high - 1]
+            yield label, x, y, right - x, bottom - y, wide * high, math.floor((right - x) * (bottom - y) / area * 10_000 + 0.5) / 10_000
+
+    names = ["row", "column", "x", "y", "width", "height", "label"]
+    rows = tiles.select(F.col("frame_id").alias("recording_id"), *(F.col(c).cast("long").alias(c) if c != "label" else F.col(c) for c in names))
+    return streamed(rows, ["row", "column"], names, _BLOCK.replace("frame_id", "recording_id"), one).withColumnRenamed("recording_id", "frame_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import groupby
@@ -21,11 +22,16 @@ class CutRules:
     motion_run: int = 3
     short_seconds: float = 0.7
     max_segments: int = 400
+    fps: float = 4.0
 
     @property
     def motion(self) -> float:
         return int(self.scene / 3 * 10_000 + 0.5) / 10_000
 
+    def end(self, first: float, frames: int) -> float:
+        """When a recording of so many frames ends: a frame lasts until the next would come."""
+        return first + math.floor(frames / self.fps * 10_000 + 0.5) / 10_000
+
 
 RAW = "recording_id bigint, start double, end double, reason string, score double, diff_sum double, samples bigint, diff_max double"
 COLUMNS = [c.split()[0] for c in RAW.split(", ")]
@@ -71,7 +77,7 @@ _ROWS = 4096
 MERGED = "recording_id bigint, start double, end double, reason string, score double, diff_sum double, samples bigint, merged bigint"
 
 
-def _streamed(rows: DataFrame, order: list[str], names: list[str], schema: str, one: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
+def streamed(rows: DataFrame, order: list[str], names: list[str], schema: str, one: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """Each recording's rows (names, without recording_id) in their order, as they come, through ``one``; no recording is gathered anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +102,16 @@ def _streamed(rows: DataFrame, order: list[str], names: list[str], schema: str,
 
 
 def _cut(frames: Iterator[tuple], rules: CutRules) -> Iterator[tuple]:
-    now, t = None, None
-    for _, t, d in frames:
+    now, n, first = None, 0, 0.0
+    for n, (_, t, d) in enumerate(frames, 1):
         if now is None:
-            now = Open(t, "start", 0.0, int(d >= rules.motion))
+            first, now = t, Open(t, "start", 0.0, int(d >= rules.motion))
             continue
         done, now = now.frame(t, d, rules)
         if done:
             yield done
     if now is not None:
-        yield now.closed(t)
+        yield now.closed(rules.end(first, n))
 
 
 def _merged(segments: Iterable[tuple], joins: Callable[[tuple, tuple], bool]) -> Iterator[tuple]:
@@ -134,14 +140,14 @@ def _absorbs(rules: CutRules) -> Callable[[tuple, tuple], bool]:
 
 
 def cut_segments(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
-    """diffs (recording_id, seq, t, diff) -> raw segments. The last one ends at the last frame."""
-    return _streamed(diffs, ["seq"], ["seq", "t", "diff"], RAW, lambda frames: _cut(frames, rules))
+    """diffs (recording_id, seq, t, diff) -> raw segments. The last one ends as many frames after the first as the recording has, at ``fps`` a second."""
+    return streamed(diffs, ["seq"], ["seq", "t", "diff"], RAW, lambda frames: _cut(frames, rules))
 
 
 def _fold(segments: DataFrame, joins: Callable[[tuple, tuple], bool]) -> DataFrame:
     names = ["start", "end", "reason", "score", "diff_sum", "samples", "merged"]
     rows = segments.withColumn("merged", F.lit(1).cast("long")) if "merged" not in segments.columns else segments
-    return _streamed(rows, ["start", "end"], names, MERGED, lambda own: _merged(own, joins))
+    return streamed(rows, ["start", "end"], names, MERGED, lambda own: _merged(own, joins))
 
 
 def grow_short(segments: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
@@ -161,7 +167,7 @@ def cut_and_merge(diffs: DataFrame, rules: CutRules = CutRules()) -> DataFrame:
         raw = ((*s[:6], 1) for s in _cut(frames, rules))
         return _merged(_merged(raw, _grows(rules)), _absorbs(rules))
 
-    return _streamed(diffs, ["seq"], ["seq", "t", "diff"], MERGED, one)
+    return streamed(diffs, ["seq"], ["seq", "t", "diff"], MERGED, one)
 
 
 def cap_segments(segments: DataFrame, limit: int) -> DataFrame:
@@ -211,6 +217,20 @@ def keyframe_plan(segs: DataFrame, limit: int) -> DataFrame:
     return head(segs, limit).select("recording_id", "index", "id", rounded((F.col("start") + F.col("end")) / 2, 3).alias("at"))
 
 
+def time_grid(durations: DataFrame, frames: int = 8) -> DataFrame:
+    """durations (recording_id, duration) -> i, at: ``frames`` times spread evenly from 0 to the end; a single one is in the middle. Unknown durations and those not above 0 have none."""
+    known = durations.where("duration > 0").select("recording_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(max(1, frames) - 1))).alias("i"))
+    return known.select("recording_id", "i", rounded(F.col("duration") / 2 if frames <= 1 else F.col("i") * F.col("duration") / (frames - 1), 3).alias("at"))
+
+
+def valid_segments(segments: DataFrame) -> DataFrame:
+    """Segments that have an end above their start, with what is absent filled in: start 0, reason start, numbers 0."""
+    number = lambda name: F.when(~F.isnan(F.col(name)) & (F.abs(F.col(name)) < float("inf")), F.col(name))
+    zero = ("score", "diff_sum", "samples", "diff_max")
+    filled = segments.withColumns({"start": F.coalesce(number("start"), F.lit(0.0)), "end": number("end"), "reason": F.coalesce("reason", F.lit("start")), **{c: F.coalesce(number(c).cast(segments.schema[c].dataType), F.lit(0).cast(segments.schema[c].dataType)) for c in zero if c in segments.columns}})
+    return filled.where(F.coalesce("end", "start") > F.col("start"))
+
+
 def chapters(segs: DataFrame, label: str | None = None) -> DataFrame:
     """One ffmetadata text a recording; a chapter's title is the segment's id, its label (a column; blank where null) and its times."""
     ms = lambda c: F.floor(F.col(c) * 1000 + 0.5).cast("long").cast("string")

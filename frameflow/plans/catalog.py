@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from frameflow.functions import media
-from frameflow.functions.numeric import finite_or_null, half_up, rounded, share
+from frameflow.functions import documents, media
+from frameflow.functions.numeric import finite_or_null, half_up, share
 from frameflow.operators import boxes as bx
 from frameflow.operators import fusion, intervals, rules, text, tiles, timeline
 from frameflow.plans.sql import SQL  # noqa: F401
@@ -77,9 +78,16 @@ def tile_stats(s, d):
     return _tiles(s, d)
 
 
+def _colour_frames(s, d):
+    """Gray frames as red, their pixels from last to first as green, a row further down as blue."""
+    g = fx.gray_frames(s, d)
+    at = lambda i: F.get("pixels", i)
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(at(i), at(63 - i), at((i + 8) % 64)))
+    return g.select("frame_id", F.flatten(pixel).alias("pixels"))
+
+
 def tile_stats_color(s, d):
-    """The first 60 gray values of a frame as 5 x 4 pixels of three channels."""
-    return tiles.tile_stats(fx.gray_frames(s, d), 5, 4, 2, channels=3)
+    return tiles.tile_stats(_colour_frames(s, d), 8, 8, 3, channels=3)
 
 
 def tile_label(s, d):
@@ -96,7 +104,7 @@ def mean_shares(s, d):
 
 
 def tile_blocks(s, d):
-    return tiles.merge_blocks(_tiles(s, d))
+    return tiles.frame_blocks(fx.gray_frames(s, d), 8, 8, 2)
 
 
 def iou_pairs(s, d):
@@ -107,12 +115,20 @@ def nms(s, d):
     return bx.suppress(fx.boxes(s, d))
 
 
+def _labelled(s, d):
+    return fx.boxes(s, d).withColumn("label", F.when(F.col("class") == 1, "person").otherwise("TV"))
+
+
 def object_counts(s, d):
-    return bx.class_counts(fx.boxes(s, d))
+    return bx.label_counts(_labelled(s, d), "frame_id")
+
+
+def person_score(s, d):
+    return bx.person_score(_labelled(s, d), "frame_id")
 
 
 def score_filter(s, d):
-    return fx.boxes(s, d).where("score >= 0.5").groupBy("frame_id").agg(F.count(F.lit(1)).alias("kept"), F.max("score").alias("best"))
+    return bx.scored(fx.boxes(s, d), 0.5).groupBy("frame_id").agg(F.count(F.lit(1)).alias("kept"), F.max("score").alias("best"))
 
 
 def _tensors(s, d):
@@ -220,8 +236,10 @@ def top_keywords(s, d):
 
 
 def keywords_cjk(s, d):
-    rows = [(1, "npm run build. the build failed. 开始 开始演示 演示"), (2, "演示文稿 a.b. C++ x-"), (3, None)]
-    return text.keywords(s.createDataFrame(rows, "k int, text string"), "k")
+    """Documents with their lower-case letters as Chinese characters, so that words are runs of these."""
+    chinese = "".join(chr(0x4E00 + i) for i in range(26))
+    runs = fx.table(s, d, "documents").select("source", F.translate("text", "abcdefghijklmnopqrstuvwxyz", chinese).alias("text"))
+    return text.keywords(runs, "source").where(F.col("term") >= chr(0x4E00))
 
 
 def _lines(s, d):
@@ -238,7 +256,22 @@ def confidence_filter(s, d):
 
 
 def map_lines(s, d):
-    return text.map_lines(_lines(s, d), 0.75, -20, 3).select("frame_id", "id", "x", "y", "w", "h", "cx", "cy")
+    corners = F.array(*(F.array(F.col("x") + a * F.col("w"), F.col("y") + b * F.col("h")) for a, b in ((0, 0), (1, 0), (1, 1))))
+    moved = text.map_lines(_lines(s, d).withColumn("polygon", corners), 0.75, -20, 3)
+    shown = F.array_join(F.transform(F.flatten("polygon"), lambda v: v.cast("string")), " ")
+    return moved.select("frame_id", "id", "x", "y", "w", "h", "cx", "cy", shown.alias("polygon"))
+
+
+def line_confidence(s, d):
+    score = F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("score") * 1.7 - 0.6)
+    return _lines(s, d).join(fx.boxes(s, d).select("frame_id", "id", "score"), ["frame_id", "id"]).select("frame_id", "id", media.confidence(F.col("confidence"), score).alias("confidence"))
+
+
+def valid_segments(s, d):
+    """Raw segments, some with a start, a reason or a score that is missing or no number."""
+    raw = segments_raw(s, d)
+    spoiled = raw.withColumns({"start": F.nullif("start", F.lit(0.0)), "reason": F.nullif("reason", F.lit("start")), "score": F.when(F.col("score") > 60, float("nan")).otherwise(F.col("score"))})
+    return timeline.valid_segments(spoiled)
 
 
 def reading_order(s, d):
@@ -246,8 +279,8 @@ def reading_order(s, d):
 
 
 def attach_lines(s, d):
-    """Lines of the frames that are an order's still: every third order has none."""
-    o = fx.table(s, d, "orders").where("o_orderkey % 3 <> 0")
+    """Lines of the frames that are an order's still."""
+    o = fx.table(s, d, "orders")
     stills = o.select(F.col("o_orderkey").alias("still"), timeline.segment_id(F.col("o_custkey")).alias("segment_id"), (F.col("o_orderkey") / 4).alias("at"))
     return text.attach_lines(_lines(s, d).select(F.col("frame_id").alias("still"), "id"), stills)
 
@@ -379,7 +412,7 @@ def half_encode(s, d):
 
 
 def input_tensor(s, d):
-    made = fx.gray_frames(s, d).select("frame_id", F.posexplode(media.input_tensor(F.col("pixels"), 5, 4, 8, 1, 2)).alias("i", "value"))
+    made = _colour_frames(s, d).select("frame_id", F.posexplode(media.input_tensor(F.col("pixels"), 8, 8, 12, 2, 2)).alias("i", "value"))
     return made.where("value > 0").select("frame_id", "i", F.col("value").cast("double").alias("value"))
 
 
@@ -423,23 +456,29 @@ def capture_verdict(s, d):
 def missing_needs(s, d):
     have = fx.table(s, d, "lineitem").select("l_orderkey", "l_returnflag").distinct()
     needs = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
-    return have.groupBy("l_orderkey").agg(F.array_join(F.array_except(needs, F.collect_list("l_returnflag")), ",").alias("missing"))
+    return have.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("have")).select("l_orderkey", F.array_join(media.missing_needs(F.col("have"), needs), ",").alias("missing"))
 
 
 def time_grid(s, d):
     dur = fx.speech(s, d).groupBy("recording_id").agg(F.max("s_end").alias("duration"))
-    return dur.select("recording_id", "duration", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).select("recording_id", "i", rounded(F.col("i") * F.col("duration") / 7, 3).alias("at"))
+    return timeline.time_grid(dur, 8)
 
 
 def parse_list(s, d):
-    lines = fx.table(s, d, "events").select("user_id", "event_id", F.concat(F.lit(" V.. "), F.col("event_type"), F.lit("   text of it")).alias("line"))
-    named = lines.select("user_id", "event_id", F.regexp_extract("line", r"^\s*\S+\s+(\S+)", 1).alias("name"))
-    return named.groupBy("user_id", "name").agg(F.min("event_id").alias("first"))
+    line = F.concat(F.lit(" V..... "), F.col("event_type"), F.lit("   text of it"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"])
+    listings = fx.table(s, d, "events").groupBy(F.col("user_id").alias("list_id")).agg(F.concat(F.lit("Encoders:\n ------\n"), F.array_join(rows, "\n")).alias("text"))
+    return sources.parse_list(listings)
+
+
+def analysis_probe(s, d):
+    size = sources.try_stream_size(F.col("report"))
+    return _reports(s, d).select("p_partkey", size.alias("size")).select("p_partkey", *(c.alias(k) for k, c in sources.probed_analysis_size(F.col("size"), 320).items()))
 
 
 def lossless_json(s, d):
     v = F.when(F.col("event_id") % 4 == 0, float("nan")).when(F.col("event_id") % 4 == 1, float("inf")).when(F.col("event_id") % 4 == 2, F.lit(-0.0)).otherwise(F.floor("value").cast("double"))
-    return fx.table(s, d, "events").select("event_id", F.to_json(F.struct(finite_or_null(v).alias("v"), F.col("event_type").alias("t")), fusion.JSON).alias("json"))
+    return fx.table(s, d, "events").select("event_id", documents.json_of({"v": (v, T.DoubleType()), "t": (F.col("event_type"), T.StringType())}).alias("json"))
 
 
 def frame_split(s, d):
@@ -477,9 +516,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_diffs, luma_diff, segments_raw, segments_grown, segments_merged, segments_capped, segments_final, keyframe_plan, keyframe_left_join, spread_sample, head_limit, chapters,
-        tile_stats, tile_stats_color, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
-        assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, top_keywords, keywords_cjk, region_filter, confidence_filter, map_lines, reading_order, attach_lines,
+        tile_stats, tile_stats_color, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, person_score, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
+        assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, top_keywords, keywords_cjk, region_filter, confidence_filter, map_lines, line_confidence, valid_segments, reading_order, attach_lines,
         polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, half_encode, input_tensor, scale_factor, merged_options, resolve_setting, parse_region, analysis_notes, parse_devices, wav_header, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
-        probe_facts, capture_verdict, missing_needs, time_grid, parse_list, lossless_json, frame_split, fuse_segments, doc_summary, doc_warnings, structure_document,
+        probe_facts, capture_verdict, missing_needs, time_grid, parse_list, analysis_probe, lossless_json, frame_split, fuse_segments, doc_summary, doc_warnings, structure_document,
     )
 }

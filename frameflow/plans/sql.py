@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries of the catalog, on the same tables."""
 
+# What counts as blank, and, further down, the rules' numbers, patterns and stop words.
+_BLANK = r"[\s\x0B\p{Zs}\x{2028}\x{2029}\x{FEFF}]"
+_TRIM = lambda c: f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 _DIFFS = """
 d0 AS (SELECT user_id AS recording_id, row_number() OVER w - 1 AS seq, value, lag(value) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 d AS (SELECT recording_id, seq, seq * 0.25::DOUBLE AS t, coalesce(floor(abs(value - before) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE, 0.0::DOUBLE) AS diff FROM d0)"""
@@ -22,7 +25,7 @@ s AS (
 raw AS (
   SELECT recording_id, c_start AS start, c_end AS "end", c_reason AS reason, c_score AS score, c_sum AS diff_sum, c_n AS samples, c_max AS diff_max FROM s WHERE c_start IS NOT NULL
   UNION ALL
-  SELECT recording_id, arg_max(st, seq), max(t), arg_max(reason, seq), arg_max(score, seq), arg_max(dsum, seq), arg_max(n, seq), arg_max(dmax, seq) FROM s GROUP BY recording_id
+  SELECT recording_id, arg_max(st, seq), min(t) + floor(count(*) / 4.0::DOUBLE * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE, arg_max(reason, seq), arg_max(score, seq), arg_max(dsum, seq), arg_max(n, seq), arg_max(dmax, seq) FROM s GROUP BY recording_id
 )"""
 
 
@@ -70,7 +73,7 @@ grid AS (SELECT recording_id, i AS "index", (i - 1) * 4.0::DOUBLE AS start, i *
 _SAID = f"""{_SPEECH},
 said AS (
   SELECT recording_id, "index", {_R4('seconds')} AS seconds, text FROM (
-    SELECT g.recording_id, "index", sum(CAST(least("end", s_end) - greatest(start, s_start) AS DECIMAL(38, 12)))::DOUBLE AS seconds, string_agg(trim(text), ' ' ORDER BY s_start, s_end) FILTER (trim(text) <> '') AS text
+    SELECT g.recording_id, "index", sum(CAST(least("end", s_end) - greatest(start, s_start) AS DECIMAL(38, 12)))::DOUBLE AS seconds, string_agg({_TRIM('text')}, ' ' ORDER BY s_start, s_end) FILTER ({_TRIM('text')} <> '') AS text
     FROM grid g JOIN sp ON g.recording_id = sp.recording_id AND least("end", s_end) - greatest(start, s_start) > 0.2 GROUP BY ALL
   ) WHERE coalesce(text, '') <> ''
 )"""
@@ -91,6 +94,13 @@ tl AS (SELECT *, CASE WHEN std < 4 THEN CASE WHEN luma < 48 THEN 'dark' ELSE 'fl
 sh0 AS (SELECT frame_id, k, sum(CASE WHEN label = ['text', 'picture', 'texture', 'flat', 'dark'][k + 1] THEN width * height ELSE 0 END) * 10000.0::DOUBLE / sum(width * height) AS exact FROM tl, (SELECT unnest(range(5)) AS k) GROUP BY ALL),
 sh1 AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (PARTITION BY frame_id ORDER BY exact - floor(exact) DESC, k) <= 10000 - sum(floor(exact)) OVER (PARTITION BY frame_id) THEN 1 ELSE 0 END AS units FROM sh0),
 sh AS (SELECT frame_id, max(units / 10000.0::DOUBLE) FILTER (k = 0) AS text, max(units / 10000.0::DOUBLE) FILTER (k = 1) AS picture, max(units / 10000.0::DOUBLE) FILTER (k = 2) AS texture, max(units / 10000.0::DOUBLE) FILTER (k = 3) AS flat, max(units / 10000.0::DOUBLE) FILTER (k = 4) AS dark FROM sh1 GROUP BY frame_id)"""
+_SUPPRESSED = """
+      f AS (SELECT frame_id, rn, [{'id': id, 'class': class, 'score': score, 'x': x, 'y': y, 'w': w, 'h': h}] AS kept FROM o WHERE rn = 1 UNION ALL
+        SELECT o.frame_id, o.rn, CASE WHEN len(kept) >= 50 OR len(list_filter(kept, lambda k: k['class'] = o.class AND least(k.x + k.w, o.x + o.w) > greatest(k.x, o.x) AND least(k.y + k.h, o.y + o.h) > greatest(k.y, o.y)
+          AND (least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * (least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y)) / (k.w * k.h + o.w * o.h - (least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * (least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y)))::DOUBLE > 0.45)) > 0
+          THEN kept ELSE list_append(kept, {'id': o.id, 'class': o.class, 'score': o.score, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}) END FROM f JOIN o ON o.frame_id = f.frame_id AND o.rn = f.rn + 1),
+      l AS (SELECT frame_id, unnest(arg_max(kept, rn)) AS k FROM f GROUP BY 1)"""
+_SUM = lambda v: f"list_reduce(list_prepend(0.0::DOUBLE, list({v} ORDER BY y, x)), lambda a, b: a + b)"
 _SIZES = "z AS (SELECT p_partkey, p_partkey % 1931 + 1 AS w, p_size * 37 + p_partkey % 11 + 1 AS h FROM part)"
 _EVIDENCE = r"""
 ev AS (
@@ -142,14 +152,10 @@ SQL = {
     "area_shares": f"WITH {_TILES} SELECT * FROM sh",
     "mean_shares": f"WITH {_TILES} SELECT recording_id, {', '.join(_R4(f'avg({k})') + f' AS {k}' for k in ('text', 'picture', 'texture', 'flat', 'dark'))} FROM sh JOIN g USING (frame_id) GROUP BY 1",
     "iou_pairs": f"""WITH {_BOXES}, p AS (SELECT a.frame_id, a.class, a.id AS id1, c.id AS id2, greatest(least(a.x + a.w, c.x + c.w) - greatest(a.x, c.x), 0) * greatest(least(a.y + a.h, c.y + c.h) - greatest(a.y, c.y), 0) AS i, a.w * a.h + c.w * c.h AS u
-      FROM b a JOIN b c ON a.frame_id = c.frame_id AND a.class = c.class AND a.id < c.id) SELECT frame_id, class, id1, id2, {_R4('(i / (u - i)::DOUBLE)')} AS iou FROM p""",
-    "nms": f"""WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, id) AS rn FROM b),
-      f AS (SELECT frame_id, rn, [{{'id': id, 'class': class, 'score': score, 'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM o WHERE rn = 1 UNION ALL
-        SELECT o.frame_id, o.rn, CASE WHEN len(kept) >= 50 OR len(list_filter(kept, lambda k: k['class'] = o.class AND least(k.x + k.w, o.x + o.w) > greatest(k.x, o.x) AND least(k.y + k.h, o.y + o.h) > greatest(k.y, o.y)
-          AND (least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * (least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y)) / (k.w * k.h + o.w * o.h - (least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * (least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y)))::DOUBLE > 0.45)) > 0
-          THEN kept ELSE list_append(kept, {{'id': o.id, 'class': o.class, 'score': o.score, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}}) END FROM f JOIN o ON o.frame_id = f.frame_id AND o.rn = f.rn + 1),
-      l AS (SELECT frame_id, unnest(arg_max(kept, rn)) AS k FROM f GROUP BY 1) SELECT frame_id, k.id AS id, k['class'] AS class, k.score AS score FROM l""",
-    "object_counts": f"WITH {_BOXES} SELECT frame_id, class, count(*) AS n FROM b GROUP BY ALL",
+      FROM b a JOIN b c ON a.frame_id = c.frame_id AND a.class = c.class AND a.id < c.id) SELECT frame_id, class, id1, id2, {_R4('(i / (u - i)::DOUBLE)')} AS iou FROM p WHERE i > 0""",
+    "nms": f"""WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, id) AS rn FROM b), {_SUPPRESSED} SELECT frame_id, k.id AS id, k['class'] AS class, k.score AS score FROM l""",
+    "object_counts": f"""WITH {_BOXES}, c AS (SELECT frame_id, CASE class WHEN 1 THEN 'person' ELSE 'TV' END AS label, count(*) AS n FROM b GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY n DESC, lower(label)) AS rank FROM c""",
+    "person_score": f"WITH {_BOXES} SELECT frame_id, coalesce(max(score) FILTER (class = 1), 0) AS person FROM b GROUP BY 1",
     "score_filter": f"WITH {_BOXES} SELECT frame_id, count(*) AS kept, max(score) AS best FROM b WHERE score >= 0.5 GROUP BY 1",
     "speech_intervals": f"""WITH {_SPEECH}, e AS (SELECT recording_id, start, "end" FROM sil UNION ALL SELECT recording_id, duration, duration FROM dur),
       ga AS (SELECT recording_id, coalesce(max("end") OVER (PARTITION BY recording_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS f, start AS t FROM e),
@@ -160,12 +166,20 @@ SQL = {
     "plan_cuts": f"""WITH RECURSIVE {_SPEECH}, st AS (SELECT recording_id, list(start) AS starts FROM sil GROUP BY 1), base AS (SELECT dur.recording_id, duration, coalesce(starts, []) AS starts FROM dur LEFT JOIN st USING (recording_id)),
       w AS (SELECT recording_id, duration, starts, 0.0::DOUBLE AS pos, NULL::BOOLEAN AS forced FROM base UNION ALL SELECT recording_id, duration, starts, coalesce(m, pos + 8), m IS NULL FROM
         (SELECT *, list_max(list_filter(starts, lambda x: x > pos + 2 AND x <= pos + 8 AND x >= pos + 2)) AS m FROM w WHERE duration - pos > 8)) SELECT recording_id, pos AS cut, forced FROM w WHERE forced IS NOT NULL""",
+    "merge_intervals": f"""WITH RECURSIVE {_SPEECH}, si AS (SELECT recording_id, list({{'s': start, 'e': "end", 'n': "end" - start, 'm': 1::BIGINT}} ORDER BY start) AS l FROM (@SPEECH_INTERVALS@) WHERE "end" - start > 0.01 GROUP BY 1),
+      w AS (
+        SELECT recording_id, l, 0 AS step FROM si
+        UNION ALL
+        SELECT recording_id, list_concat(list_append(l[: i - 1], {{'s': l[i].s, 'e': l[i + 1].e, 'n': l[i + 1].e - l[i].s, 'm': l[i].m + l[i + 1].m}}), l[i + 2 :]), step + 1
+        FROM (SELECT *, list_position(costs, list_min(costs)) AS i FROM (SELECT *, list_transform(range(1, len(l)), lambda j: l[j + 1].s - l[j].e + (l[j].n + l[j + 1].n) * 0.01::DOUBLE) AS costs FROM w WHERE len(l) > 4)) WHERE l[i + 1].e - l[i].s <= 20
+      ), f AS (SELECT recording_id, unnest(arg_max(l, step)) AS p FROM w GROUP BY 1)
+      SELECT recording_id, {_R4('p.s')} AS start, {_R4('p.e')} AS "end", {_R4('p.n')} AS seconds, p.m AS merged FROM f""",
     "speech_overlap": f"WITH {_SAID} SELECT * FROM said",
     "assign_segments": f"""WITH {_SPEECH}, g AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start) AS "index", start, "end" FROM (@SPEECH_INTERVALS@)), m AS (SELECT *, (s_start + s_end) / 2 AS mid FROM sp), l AS (SELECT recording_id, arg_max("index", "end") AS last, max("end") AS fin FROM g GROUP BY 1)
       SELECT m.recording_id, item, mid, coalesce(min(g."index"), any_value(CASE WHEN mid >= fin THEN last END)) AS "index" FROM m LEFT JOIN g ON g.recording_id = m.recording_id AND mid >= g.start AND mid < g."end" LEFT JOIN l ON l.recording_id = m.recording_id GROUP BY ALL""",
     "assign_unplaced": f"""WITH {_SPEECH}, g AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start) AS "index", start, "end" FROM (@SPEECH_INTERVALS@)), m AS (SELECT *, (s_start + s_end) / 2 AS mid FROM sp)
       SELECT recording_id, item FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.recording_id = m.recording_id AND mid >= g.start AND mid < g."end") AND NOT coalesce(mid >= (SELECT max("end") FROM g WHERE g.recording_id = m.recording_id), false)""",
-    "transcript_text": f"WITH {_SPEECH} SELECT recording_id, string_agg(text, chr(10) ORDER BY s_start, s_end) AS transcript, count(*) AS spoken FROM sp WHERE trim(text) <> '' GROUP BY 1",
+    "transcript_text": f"WITH {_SPEECH} SELECT recording_id, string_agg(text, chr(10) ORDER BY s_start, s_end) AS transcript, count(*) AS spoken FROM sp WHERE {_TRIM('text')} <> '' GROUP BY 1",
     "text_evidence": f"WITH {_EVIDENCE} SELECT doc_id, shell_hits, code_hits, char_count, line_count FROM te",
     "segment_kind": f"WITH {_EVIDENCE} SELECT doc_id, kind FROM ki",
     "kind_reason": f"""WITH {_EVIDENCE} SELECT doc_id, kind, CASE kind WHEN 'terminal' THEN shell_hits || ' lines like shell output, dark share ' || {_pct('dark')} WHEN 'code' THEN code_hits || ' lines like code, text share ' || {_pct('text')}
@@ -175,9 +189,13 @@ SQL = {
     "keywords": """WITH w AS (SELECT regexp_replace(lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+#.-]+'))), '[.-]+$', '') AS term FROM documents)
       SELECT term, count(*) AS n FROM w WHERE length(term) >= 2 AND term NOT IN ('the','and','for','with','that','this','from','are','was','were','have','has','had','not','but','you','your','our','its','it','is','be','to','of','in','on','at','as','by','or','an','a','if','then','else','when','will','can','may','all','any','one','two','new','use','used','using','get','set','out','http','https','www','com','true','false','null','undefined') GROUP BY 1""",
     "region_filter": f"WITH {_LINES} SELECT frame_id, id FROM lines WHERE x + w >= 12 AND x <= 32 AND y + h >= 6 AND y <= 9",
-    "confidence_filter": f"WITH {_LINES} SELECT frame_id, id FROM lines WHERE (confidence IS NULL OR confidence >= 0.6) AND trim(text) <> ''",
+    "confidence_filter": f"WITH {_LINES} SELECT frame_id, id FROM lines WHERE (confidence IS NULL OR confidence >= 0.6) AND {_TRIM('text')} <> ''",
     "map_lines": f"""WITH {_LINES}, m AS (SELECT frame_id, id, floor(x * 0.75::DOUBLE - 20 + 0.5)::BIGINT AS x, floor(y * 0.75::DOUBLE + 3 + 0.5)::BIGINT AS y, floor(w * 0.75::DOUBLE + 0.5)::BIGINT AS w, floor(h * 0.75::DOUBLE + 0.5)::BIGINT AS h FROM lines)
-      SELECT *, floor(x + w / 2.0::DOUBLE + 0.5)::BIGINT AS cx, floor(y + h / 2.0::DOUBLE + 0.5)::BIGINT AS cy FROM m""",
+      SELECT m.*, floor(m.x + m.w / 2.0::DOUBLE + 0.5)::BIGINT AS cx, floor(m.y + m.h / 2.0::DOUBLE + 0.5)::BIGINT AS cy,
+        (SELECT concat_ws(' ', a, b, c, b, c, e) FROM (SELECT floor(l.x * 0.75::DOUBLE - 20 + 0.5)::BIGINT AS a, floor(l.y * 0.75::DOUBLE + 3 + 0.5)::BIGINT AS b, floor((l.x + l.w) * 0.75::DOUBLE - 20 + 0.5)::BIGINT AS c, floor((l.y + l.h) * 0.75::DOUBLE + 3 + 0.5)::BIGINT AS e)) AS polygon
+        FROM m JOIN (SELECT frame_id, id, x, y, w, h FROM lines) l USING (frame_id, id)""",
+    "line_confidence": f"""WITH {_LINES} SELECT frame_id, id, CASE WHEN class = 0 THEN score WHEN id % 5 <> 0 THEN {_R4('least(greatest(score * 1.7::DOUBLE - 0.6::DOUBLE, 0), 1)')} END AS confidence FROM lines""",
+    "valid_segments": f"""WITH RECURSIVE {_RAW} SELECT * REPLACE (CASE WHEN score > 60 THEN 0 ELSE score END AS score) FROM raw WHERE "end" > start""",
     "reading_order": f"WITH {_LINES} SELECT frame_id, string_agg(id::VARCHAR, ',' ORDER BY y, x, id) AS ids FROM lines GROUP BY 1",
     "polygon_bbox": f"WITH {_LINES} SELECT frame_id, id, least(x, x + w, x + 2) AS x, least(y + 1, y, y + h) AS y, greatest(x, x + w, x + 2) - least(x, x + w, x + 2) AS w, greatest(y + 1, y, y + h) - least(y + 1, y, y + h) AS h FROM lines",
     "fit_inside": f"WITH {_SIZES}, r AS (SELECT *, CASE WHEN greatest(w, h) > 320 THEN 320.0::DOUBLE / greatest(w, h) ELSE 1 END AS f FROM z) SELECT p_partkey, greatest(floor(w * f / 2 + 0.5)::BIGINT * 2, 2) AS width, greatest(floor(h * f / 2 + 0.5)::BIGINT * 2, 2) AS height, greatest(w, h) > 320 AS scaled FROM r",
@@ -192,7 +210,7 @@ SQL = {
     "language_tag": "SELECT p_partkey, (['zh-Hans-CN', 'en-US', 'ja-JP', 'fr-FR', 'zh-Hans-CN', 'zh-Hans-CN', 'zh-Hant-TW', 'de'])[p_partkey % 8 + 1] AS tag FROM part",
     "container_for": "SELECT p_partkey, (['mp4', 'mp4', 'mov', 'mkv', 'wav', NULL, NULL, NULL])[p_partkey % 8 + 1] AS container FROM part",
     "escape_value": r"""SELECT p_partkey, 'C\:\\' || replace(replace(replace(p_name, '\', '\\'), ':', '\:'), '''', '\''') || '\''s' AS escaped FROM part""",
-    "tail_lines": "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[-2:], chr(10)) AS tail FROM documents",
+    "tail_lines": f"SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda x: {_TRIM('x')} <> '')[-2:], lambda x: regexp_replace(x, '{_BLANK}+$', '')), chr(10)) AS tail FROM documents",
     "last_json_line": "SELECT event_id, props AS json FROM events",
     "tensor_layout": """WITH q AS (SELECT p_partkey, p_partkey % 40 AS a, p_size * 30 AS b FROM part) SELECT p_partkey, CASE WHEN a BETWEEN 5 AND 1024 AND b BETWEEN 5 AND 1024 THEN CASE WHEN a < b THEN 'channel_major' ELSE 'row_major' END
       WHEN a BETWEEN 5 AND 1024 THEN 'channel_major' WHEN b BETWEEN 5 AND 1024 THEN 'row_major' END AS layout FROM q""",
@@ -207,12 +225,25 @@ SQL = {
         CASE WHEN NOT ok THEN 'unreadable' ELSE concat_ws(';', CASE WHEN NOT has THEN 'no streams' END, CASE WHEN dur IS NULL THEN 'duration not told' WHEN dur <= 0 THEN 'duration not above 0' END,
           CASE WHEN has AND p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN 'rate not constant' END, CASE WHEN has AND w IS NULL THEN 'size not told' END) END AS problems FROM p""",
     "tile_stats_color": f"""WITH {_TILES},
-      cx AS (SELECT frame_id, i % 5 AS x, i // 5 AS y, p[3 * i + 1] AS r, p[3 * i + 2] AS g, p[3 * i + 3] AS b FROM (SELECT frame_id, p, unnest(range(20)) AS i FROM g)),
+      cx AS (SELECT frame_id, i % 8 AS x, i // 8 AS y, p[i + 1] AS r, p[64 - i] AS g, p[(i + 8) % 64 + 1] AS b FROM (SELECT frame_id, p, unnest(range(64)) AS i FROM g)),
       cl AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS v, CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END AS s FROM cx),
       ce AS (SELECT *, coalesce(abs(lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) - v) > 24, false)::INT + coalesce(abs(lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) - v) > 24, false)::INT AS e FROM cl),
-      ct AS (SELECT frame_id, least(x // 2, 1) AS "column", y // 2 AS "row", min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, 2::BIGINT AS height, floor(avg(v) * 100 + 0.5) / 100 AS luma,
-        floor(sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0)) * 100 + 0.5) / 100 AS std, floor(avg(e) / 2 * 10000 + 0.5) / 10000 AS edge_density, floor(avg(s) * 10000 + 0.5) / 10000 AS saturation FROM ce GROUP BY frame_id, least(x // 2, 1), y // 2)
+      cs AS (SELECT frame_id, least(x // 3, 1) AS "column", least(y // 3, 1) AS "row", min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height, count(*)::DOUBLE AS n, sum(e) AS e,
+        {_SUM('v')} AS v, {_SUM('v * v')} AS vv, {_SUM('s')} AS s FROM ce GROUP BY frame_id, least(x // 3, 1), least(y // 3, 1)),
+      ct AS (SELECT frame_id, "column", "row", x, y, width, height, floor(v / n * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS luma, floor(sqrt(greatest(vv / n - (v / n) * (v / n), 0)) * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS std,
+        floor(e / (2 * n) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS edge_density, floor(s / n * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS saturation FROM cs)
       SELECT *, CASE WHEN std < 4 THEN CASE WHEN luma < 48 THEN 'dark' ELSE 'flat' END WHEN edge_density >= 0.09 AND saturation <= 0.22 THEN 'text' WHEN saturation >= 0.18 THEN 'picture' WHEN std >= 12 AND edge_density < 0.09 THEN 'picture' ELSE 'texture' END AS label FROM ct""",
+    "tile_blocks": f"""WITH RECURSIVE {_TILES.replace("(i % 8) // 4", "(i % 8) // 2").replace("i // 32", "i // 16")},
+      lab AS (SELECT frame_id, list(label ORDER BY "row", "column") AS l FROM tl GROUP BY 1),
+      walk AS (
+        SELECT frame_id, l, 0 AS k, 0::BIGINT AS taken, 0 AS w, 0 AS h FROM lab
+        UNION ALL
+        SELECT frame_id, l, k + 1, CASE WHEN w = 0 THEN taken ELSE taken | list_sum(list_transform(range(w * h), lambda c: 1::BIGINT << (k + c % w + 4 * (c // w))))::BIGINT END, w, h
+        FROM (
+          SELECT *, CASE WHEN w = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(1, 4 - k // 4), lambda j: len(list_filter(range(w), lambda c: l[k + 4 * j + c + 1] <> l[k + 1] OR taken >> (k + 4 * j + c) & 1 = 1)) > 0)), 4 - k // 4) END::INT AS h
+          FROM (SELECT frame_id, l, k, taken, CASE WHEN taken >> k & 1 = 1 THEN 0 ELSE coalesce(list_min(list_filter(range(1, 4 - k % 4), lambda j: l[k + j + 1] <> l[k + 1] OR taken >> (k + j) & 1 = 1)), 4 - k % 4) END::INT AS w FROM walk WHERE k < 16)
+        )
+      ) SELECT frame_id, l[k] AS label, (k - 1) % 4 * 2::BIGINT AS x, (k - 1) // 4 * 2::BIGINT AS y, w * 2::BIGINT AS width, h * 2::BIGINT AS height, w * h::BIGINT AS tiles, floor(w * h * 4 / 64.0::DOUBLE * 10000 + 0.5) / 10000 AS area_ratio FROM walk WHERE w > 0""",
     "parse_devices": """SELECT s_nationkey AS log_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS no, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'video' ELSE 'audio' END AS kind,
       CASE WHEN s_suppkey % 3 = 0 THEN '@device_' || s_suppkey END AS alternative FROM supplier""",
     "wav_header": """WITH w AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, CASE WHEN doc_id % 10 = 9 THEN 'no data chunk' WHEN strlen(coalesce(text, '')) = 0 THEN 'no data' END AS problem FROM documents)
@@ -220,8 +251,8 @@ SQL = {
         CASE WHEN problem IS NULL THEN printf('%02X%02X%02X%02X', (n + 24) % 256, (n + 24) // 256 % 256, (n + 24) // 65536 % 256, (n + 24) // 16777216) END AS riff_size,
         CASE WHEN problem IS NULL THEN printf('%02X%02X%02X%02X', n % 256, n // 256 % 256, n // 65536 % 256, n // 16777216) END AS data_size FROM w""",
     "half_encode": """SELECT p_partkey, (CASE WHEN (p_partkey * 7919) % 31744 < 1024 THEN 0 ELSE (p_partkey * 7919) % 31744 END + CASE WHEN p_size % 2 = 0 THEN 32768 ELSE 0 END)::INT AS bits FROM part""",
-    "input_tensor": f"""WITH {_TILES}, ip AS (SELECT frame_id, c, y, x, (p[(y * 5 + x) * 3 + c + 1] / 255)::FLOAT::DOUBLE AS value FROM g, range(3) a(c), range(4) b(y), range(5) e(x))
-      SELECT frame_id, (c * 64 + (y + 2) * 8 + x + 1)::INT AS i, value FROM ip WHERE value > 0""",
+    "input_tensor": f"""WITH {_TILES}, ip AS (SELECT frame_id, c, y, x, (p[CASE c WHEN 0 THEN y * 8 + x WHEN 1 THEN 63 - y * 8 - x ELSE (y * 8 + x + 8) % 64 END + 1] / 255)::FLOAT::DOUBLE AS value FROM g, range(3) a(c), range(8) b(y), range(8) e(x))
+      SELECT frame_id, (c * 144 + (y + 2) * 12 + x + 2)::INT AS i, value FROM ip WHERE value > 0""",
     "scale_factor": """WITH z AS (SELECT p_partkey, (p_partkey % 1931 + 1)::DOUBLE AS w, (p_size * 37 + p_partkey % 11 + 1) % 5 AS h FROM part) SELECT p_partkey, CASE WHEN h > 0 THEN w / h ELSE 1.0::DOUBLE END AS factor FROM z""",
     "merged_options": """SELECT p_partkey, concat_ws(' ', 'codec=h264', 'crf=' || CASE WHEN p_partkey % 5 <> 0 AND p_size % 3 = 1 THEN p_size::VARCHAR ELSE '23' END, CASE WHEN p_partkey % 5 <> 0 AND p_size % 2 = 1 THEN 'fps=1' END, 'preset=fast') AS options FROM part""",
     "resolve_setting": """SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN p_retailprice::DOUBLE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE 4.0::DOUBLE END AS value FROM part""",
@@ -231,7 +262,7 @@ SQL = {
       SELECT p_partkey, concat_ws('; ', CASE WHEN frames = 0 THEN 'no frames decoded' END, CASE WHEN rest > 0 THEN rest || ' bytes of a last part frame left out' END,
         CASE WHEN found > 30 THEN found || ' segments beyond the 30 allowed, the last ones put together' END, CASE WHEN st > 0 THEN 'from second ' || st || ': ' || frames || ' frames, ' || sec || ' seconds' END,
         CASE WHEN frames > 0 AND sec < 1 AND NOT (rest > 0 AND found > 30 AND st > 0 AND frames = 0) THEN sec || ' seconds are less than a segment''s least of 1.0' END) AS notes FROM a""",
-    "attach_lines": f"""WITH {_LINES} SELECT frame_id AS still, id, 's' || CASE WHEN o_custkey < 1000 THEN lpad(o_custkey::VARCHAR, 3, '0') ELSE o_custkey::VARCHAR END AS segment_id, o_orderkey / 4.0::DOUBLE AS at FROM lines JOIN orders ON o_orderkey = frame_id WHERE o_orderkey % 3 <> 0""",
+    "attach_lines": f"""WITH {_LINES} SELECT frame_id AS still, id, 's' || CASE WHEN o_custkey < 1000 THEN lpad(o_custkey::VARCHAR, 3, '0') ELSE o_custkey::VARCHAR END AS segment_id, o_orderkey / 4.0::DOUBLE AS at FROM lines JOIN orders ON o_orderkey = frame_id""",
     "lossless_json": """SELECT event_id, '{"v":' || CASE event_id % 4 WHEN 2 THEN '0.0' WHEN 3 THEN floor(value)::DOUBLE::VARCHAR ELSE 'null' END || ',"t":"' || event_type || '"}' AS json FROM events""",
     "frame_split": """WITH b AS (SELECT conv_id AS stream_id, hex(encode(string_agg(coalesce(text, ''), '' ORDER BY turn))) AS b FROM conversations GROUP BY 1)
       SELECT stream_id, i, sha256(unhex(b[i * 128 + 1 : i * 128 + 128])) AS frame FROM (SELECT stream_id, b, unnest(range(length(b) // 128)) AS i FROM b)""",
@@ -258,14 +289,23 @@ SQL = {
         floor(x2 - x1 + 0.5)::BIGINT AS w, floor(y2 - y1 + 0.5)::BIGINT AS h FROM c WHERE best > 0 AND sure >= 30""",
     "missing_needs": "WITH h AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS f FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(list_filter(['A', 'N', 'R'], lambda x: NOT list_contains(f, x)), ',') AS missing FROM h",
     "time_grid": f"WITH {_SPEECH} SELECT recording_id, i::INT AS i, floor(i * duration / 7 * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS at FROM dur, (SELECT unnest(range(8)) AS i)",
-    "parse_list": "SELECT user_id, event_type AS name, min(event_id) AS first FROM events GROUP BY ALL",
+    "parse_list": "SELECT user_id AS list_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS no, event_type AS name FROM events GROUP BY user_id, event_type",
+    "analysis_probe": """WITH z AS (SELECT p_partkey, CASE WHEN p_partkey % 17 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 2 = 1 AND p_partkey % 7 <> 0 THEN (p_size * 10)::BIGINT END AS w FROM part), r AS (SELECT *, least(1.0, 320.0::DOUBLE / greatest(w, 100)) AS f FROM z)
+      SELECT p_partkey, w AS source_width, CASE WHEN w IS NOT NULL THEN 100::BIGINT END AS source_height, CASE WHEN w IS NOT NULL THEN greatest(floor(w * f + 0.5)::BIGINT // 2 * 2, 2) END AS width, CASE WHEN w IS NOT NULL THEN greatest(floor(100 * f + 0.5)::BIGINT // 2 * 2, 2) END AS height FROM r""",
     "fuse_segments": f"WITH {_FUSED} SELECT * FROM fu",
     "doc_summary": f"""WITH {_FUSED} SELECT recording_id, count(*) AS segments, max("end") AS duration, count(speech) AS spoken, sum(objects)::BIGINT AS objects FROM fu GROUP BY 1""",
     "doc_warnings": f"""WITH {_FUSED} SELECT recording_id, array_to_string(list_filter([CASE WHEN count(speech) = 0 THEN 'no speech placed' END, CASE WHEN sum(objects) = 0 THEN 'no objects found' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM fu GROUP BY 1""",
 }
-for _name in ("assign_segments", "assign_unplaced"):
+SQL["decode_detections"] = f"""WITH RECURSIVE cand AS ({SQL['decode_candidates']}), o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, id) AS rn FROM cand), {_SUPPRESSED}
+      SELECT cand.*, floor(x + w / 2.0::DOUBLE + 0.5)::BIGINT AS center_x, floor(y + h / 2.0::DOUBLE + 0.5)::BIGINT AS center_y, row_number() OVER (PARTITION BY frame_id ORDER BY cand.score DESC, cand.id) AS rank
+      FROM cand JOIN (SELECT frame_id, k.id AS id FROM l) USING (frame_id, id)"""
+for _name in ("assign_segments", "assign_unplaced", "merge_intervals"):
     SQL[_name] = SQL[_name].replace("@SPEECH_INTERVALS@", SQL["speech_intervals"])
 SQL["top_keywords"] = (
     SQL["keywords"].replace("WITH w AS (SELECT ", "WITH w AS (SELECT source, ").replace("SELECT term, count(*) AS n", ", n AS (SELECT source, term, count(*) AS n").replace("GROUP BY 1", "GROUP BY ALL)")
-    + ' SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS "rank" FROM n WHERE n >= 2) WHERE "rank" <= 40'
+    + ' SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, translate(term, \'_-.#+\', chr(1) || chr(2) || chr(3) || chr(4) || chr(5))) AS "rank" FROM n WHERE n >= 2) WHERE "rank" <= 40'
 )
+SQL["keywords_cjk"] = """WITH t AS (SELECT source, unnest(regexp_extract_all(translate(text, 'abcdefghijklmnopqrstuvwxyz', '@CHINESE@'), '[@FIRST@-@LAST@]{2,}')) AS run FROM documents)
+      SELECT source, run[i : i + 1] AS term, count(*) AS n FROM (SELECT source, run, unnest(range(1, length(run))) AS i FROM t) GROUP BY ALL"""
+for _mark, _text in {"@CHINESE@": "".join(chr(0x4E00 + i) for i in range(26)), "@FIRST@": chr(0x4E00), "@LAST@": chr(0x9FFF)}.items():
+    SQL["keywords_cjk"] = SQL["keywords_cjk"].replace(_mark, _text)

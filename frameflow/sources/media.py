@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from frameflow.functions.media import constant_rate, parse_rate
+from frameflow.functions.media import analysis_size, constant_rate, parse_rate
 
 _STREAM = (
     "index bigint, codec_type string, codec_name string, profile string, width string, height string, avg_frame_rate string, r_frame_rate string, pix_fmt string, nb_frames string, "
@@ -20,6 +20,36 @@ _REPORT = f"streams array<struct<{', '.join(x.replace(' ', ':', 1) for x in _STR
 _WAV_HEAD = 4096
 
 
+def try_stream_size(report: Column) -> Column:
+    """The first stream's width and height in a prober's JSON report, as whole numbers of 1 and more; null if it tells none."""
+    stream = F.get(F.from_json(report, _REPORT)["streams"], F.lit(0))
+    width, height = (F.floor(number_or_null(stream[k])).cast("long") for k in ("width", "height"))
+    return F.when((width >= 1) & (height >= 1), F.struct(width.alias("width"), height.alias("height")))
+
+
+def stream_size(report: Column) -> Column:
+    """try_stream_size, with an error for a report that tells no size."""
+    return F.coalesce(try_stream_size(report), F.raise_error(F.lit("the report tells no size of a video stream")).cast("struct<width:bigint,height:bigint>"))
+
+
+def probed_analysis_size(size: Column, max_side: int) -> dict[str, Column]:
+    """A stream's size and the even size that its frames are analysed at."""
+    width, height = analysis_size(size["width"], size["height"], max_side)
+    return {"source_width": size["width"], "source_height": size["height"], "width": F.when(size.isNotNull(), width), "height": F.when(size.isNotNull(), height)}
+
+
+def parse_list(listings: DataFrame) -> DataFrame:
+    """listings (list_id, text of a tool's list of what it can do) -> no, name: the names in its second column, each once, in the order they first come.
+
+    A line is flags, then a name; headings and rules are left out.
+    """
+    lines = listings.select("list_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    plain = lines.where(~F.col("line").rlike(r"^(Encoders|Filters|Devices):|^\s*-+\s*$"))
+    name = F.regexp_extract("line", r"^\s*[A-Z.]{1,6}\s+(\S+)", 1)
+    firsts = plain.select("list_id", "pos", name.alias("name")).where("name <> ''").groupBy("list_id", "name").agg(F.min("pos").alias("pos"))
+    return firsts.select("list_id", F.row_number().over(Window.partitionBy("list_id").orderBy("pos")).cast("long").alias("no"), "name")
+
+
 def number_or_null(text: Column) -> Column:
     value = text.try_cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)

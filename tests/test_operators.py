@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from frameflow.functions import media
 from frameflow.operators import boxes, intervals, text, tiles, timeline
-from frameflow.sources import fixtures
 from frameflow.sources import media as sources
-from frameflow.streaming.segments import stream_segments
 
 RULES = timeline.CutRules(scene=40.0, min_seconds=1.0, max_seconds=30.0)
 
@@ -127,25 +125,6 @@ def test_scalars(spark):
     assert (row[0], row[1], row[2], row[3], row[4]) == (29.97003, None, 90, 1.0, float("inf")) and tuple(row)[5:10] == (320, 180, True, 100, 50) and row.f == 30
 
 
-@pytest.mark.parametrize("files", [1, 4])
-def test_stream_equals_batch(spark, sf_dir, tmp_path, files):
-    diffs = fixtures.frame_diffs(spark, sf_dir).toPandas()
-    ends = diffs.groupby("recording_id", as_index=False).agg(seq=("seq", "max"), t=("t", "max"))
-    ends["seq"] += 1
-    ends["diff"] = -1.0
-    rows = pd.concat([diffs, ends]).sort_values(["seq", "recording_id"])
-    step = len(rows) // files + 1
-    for i in range(files):
-        part = tmp_path / "in" / f"{i:03}"
-        spark.createDataFrame(rows.iloc[i * step : (i + 1) * step]).coalesce(1).write.parquet(str(part))
-    stream = spark.readStream.schema("recording_id bigint, seq bigint, t double, diff double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    name = f"segments{files}"
-    query = stream_segments(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    batch = timeline.cut_segments(fixtures.frame_diffs(spark, sf_dir))
-    assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, batch.collect()))
-
-
 def _tensor(spark, data, d1, d2, pads=(0, 0), factor=1.0, size=(1920, 1080)):
     schema = "frame_id bigint, data array<double>, d1 int, d2 int, pad_x int, pad_y int, factor double, width int, height int"
     return spark.createDataFrame([(1, [float(x) for x in data], d1, d2, *pads, factor, *size)], schema)
@@ -212,19 +191,6 @@ def test_merge_intervals_to_one_at_least(spark):
     assert [(r.start, r.end) for r in intervals.merge_intervals(df, 0, 30.0).collect()] == [(0.0, 3.0)]
 
 
-def test_stream_of_a_recording_that_comes_again(spark, tmp_path):
-    """A file that is read twice, after its end mark, changes nothing."""
-    rows = [(1, i, i * 0.25, 50.0 if i == 6 else 1.0) for i in range(12)] + [(1, 12, 3.0, -1.0)]
-    schema = "recording_id bigint, seq bigint, t double, diff double"
-    source = str(tmp_path / "in")
-    for _ in range(2):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    query = stream_segments(read).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
-    query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-
-
 def test_tiles_in_color(spark):
     frames = spark.createDataFrame([(1, [200.0, 100.0, 100.0] * 16), (2, [])], "frame_id bigint, pixels array<double>")
     got = tiles.tile_stats(frames, 4, 4, 4, channels=3).collect()
