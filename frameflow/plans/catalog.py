@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.functions import documents, media
+from frameflow.functions import documents, media, settings, tables
 from frameflow.functions.numeric import finite_or_null, half_up, share
 from frameflow.operators import boxes as bx
 from frameflow.operators import fusion, intervals, rules, text, tiles, timeline
@@ -487,29 +487,111 @@ def frame_split(s, d):
     return sources.split_frames(chunks, 64).select("stream_id", "i", F.sha2("frame", 256).alias("frame"))
 
 
-def _fused(s, d):
+def _configs(s, d):
+    """Configurations out of parts: numbers in and out of bounds, texts for numbers, unknown choices, some that are no JSON."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    fps = F.when(k % 5 == 0, '"4"').when(k % 5 == 1, "null").otherwise((size / 4).cast("string"))
+    provider = F.when(k % 7 == 0, '"other"').when(k % 7 == 1, "3").otherwise('"off"')
+    scale = F.when(k % 6 == 0, '"auto"').when(k % 6 == 1, '"big"').otherwise((size % 5).cast("string"))
+    analysis = F.concat(F.lit('{"fps":'), fps, F.lit(',"maxSide":'), (size * 10).cast("string"), F.lit(',"tileSize":'), (size % 3).cast("string"), F.lit(".5}"))
+    text_ = F.concat(F.lit('{"maxConcurrent":'), (size % 10).cast("string"), F.lit(',"analysis":'), F.when(k % 13 == 0, "7").otherwise(analysis), F.lit(',"ocr":{"provider":'), provider, F.lit(',"scale":'), scale, F.lit('},"asr":{"enabled":'), F.when(k % 4 == 0, "1").otherwise("false"), F.lit("}}"))
+    return fx.table(s, d, "part").select("p_partkey", F.when(k % 17 == 0, "{broken").when(k % 17 != 1, text_).alias("config"))
+
+
+def config_violations(s, d):
+    return _configs(s, d).select("p_partkey", F.posexplode(settings.violations(F.col("config"))).alias("no", "v")).select("p_partkey", "no", "v.field", "v.problem")
+
+
+def config_completed(s, d):
+    sound = _configs(s, d).where(F.size(settings.violations(F.col("config"))) == 0)
+    shown = ("maxConcurrent", "analysis_fps", "analysis_maxSide", "analysis_tileSize", "analysis_mergeShortSec", "ocr_provider", "ocr_scale", "asr_enabled", "asr_language")
+    return sound.select("p_partkey", *(c.alias(k) for k, c in settings.completed(F.col("config")).items() if k in shown))
+
+
+def _silence_rows(s, d):
+    """A row a silence with the recording's duration; one without start for recordings that have none."""
     spoken = fx.speech(s, d)
-    segs = fx.grid_segments(spoken).withColumn("id", timeline.segment_id(F.col("index")))
-    said = intervals.text_within(segs.select("recording_id", "index", "start", "end"), spoken)
-    lines = said.select("recording_id", "index", F.length("text").cast("long").alias("lines"))
-    objects = fx.boxes(s, d).where("score >= 0.9").groupBy(F.col("frame_id").alias("recording_id")).agg(F.count(F.lit(1)).alias("objects")).withColumn("index", F.lit(1))
-    return fusion.fuse(segs, said, lines, objects)
+    return spoken.groupBy("recording_id").agg(F.max("s_end").alias("duration")).join(fx.silences(spoken), "recording_id", "left")
+
+
+def speech_intervals_sql(s, d):
+    tables.register(s)
+    return s.sql("SELECT * FROM speech_intervals(TABLE({rows}), 10.0D, 0.25D)", rows=_silence_rows(s, d))
+
+
+def plan_cuts_sql(s, d):
+    tables.register(s)
+    return s.sql("SELECT * FROM plan_cuts(TABLE({rows}), 8.0D, 6.0D)", rows=_silence_rows(s, d))
+
+
+LIMITS = fusion.Limits(text_frames=5, object_frames=4)
+
+
+def _parts(s, d) -> dict[str, DataFrame]:
+    """The sections' rows. A segment's still is number recording * 7 + index, taken if there is a vector of that number; the vector is its frame, the document of that number
+    its text, the boxes of that frame its objects. Some sections are switched off for some recordings, some stills fail."""
+    key, c = fusion.KEY, F.col
+    segs = segments_final(s, d)
+    still = timeline.keyframe_plan(segs, 6).select(*key, "at", (c("recording_id") * 7 + c("index")).alias("still"))
+    stills = still.join(fx.table(s, d, "embeddings").select(c("vec_id").alias("still")), "still", "left_semi")
+    number = stills.select(*key, "still")
+    shares = tiles.area_shares(_tiles(s, d)).select(c("frame_id").alias("still"), F.struct(*tiles.LABELS).alias("shares"))
+    blocks = fusion.per_segment(tiles.frame_blocks(fx.gray_frames(s, d), 8, 8, 4).select(F.lit(0).alias("recording_id"), c("frame_id").alias("index"), "y", "x", "label", "width", "height", "tiles", "area_ratio"), "blocks", ["y", "x"]).select(c("index").alias("still"), "blocks")
+    regions = number.where("still % 11 <> 0").join(shares, "still").join(blocks, "still").select(*key, "shares", "blocks")
+    page = fx.table(s, d, "documents").select(c("doc_id").alias("still"), F.posexplode(F.split("text", "\n")).alias("line", "text")).where(text.has_text(c("text")))
+    lines = number.join(page, "still").select(*key, "line", "text", F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("x"), (c("line") * 20).alias("y"), (F.length("text") * 8).alias("w"), F.lit(16).alias("h"))
+    labelled = _labelled(s, d)
+    kept = labelled.join(bx.suppress(labelled).select("frame_id", "id"), ["frame_id", "id"])
+    objects = number.join(kept.withColumnRenamed("frame_id", "still"), "still").select(*key, "id", "label", "score", "x", "y", "w", "h")
+    spoken = fx.speech(s, d).where("recording_id % 4 <> 2").select("recording_id", "item", (c("s_start") + F.when(c("recording_id") % 9 == 5, 10_000.0).otherwise(0.0)).alias("s_start"), (c("s_end") + F.when(c("recording_id") % 9 == 5, 10_000.0).otherwise(0.0)).alias("s_end"), "text")
+    recordings = segs.select("recording_id").distinct()
+    off = lambda section, when, reason: recordings.where(when).select("recording_id", F.lit(section).alias("section"), F.lit(False).alias("available"), F.lit(reason).alias("reason"))
+    silent = recordings.join(spoken, "recording_id", "left_anti").select("recording_id", F.lit("speech").alias("section"), F.lit(False).alias("available"), F.lit("no audio").alias("reason"))
+    status = off("text", "recording_id % 7 = 3", "the reader is off").unionByName(off("objects", "recording_id % 5 = 4", "no model")).unionByName(silent)
+    failed = lambda section, when, message: number.where(when).select(*key, F.lit(section).alias("section"), F.lit(message).alias("message"))
+    failures = failed("regions", "still % 11 = 0", "no pixels").unionByName(failed("objects", "still % 13 = 5 AND recording_id % 5 <> 4", "out of memory"))
+    return {"segments": segs, "stills": stills, "regions": regions, "lines": lines, "objects": objects, "spoken": spoken, "status": status, "failures": failures}
+
+
+def _fused(s, d):
+    parts = _parts(s, d)
+    return fusion.fuse(**parts, limits=LIMITS), parts
+
+
+def _documents(s, d):
+    fused, p = _fused(s, d)
+    return fusion.documents(fused, fusion.lines_read(p["lines"], p["stills"], p["status"], LIMITS), p["spoken"], p["status"], p["failures"], LIMITS)
 
 
 def fuse_segments(s, d):
-    return _fused(s, d)
+    c = F.col
+    return _fused(s, d)[0].select(
+        *fusion.KEY, "id", "start", "end", "keyframe_at", *(c("appearances")[k].alias(f"share_{k}") for k in tiles.LABELS), F.size("region_blocks").alias("blocks"), F.size("text_lines").alias("text_lines"), F.sha2("text", 256).alias("text_sha256"),
+        F.size("objects").alias("objects"), c("evidence.person").alias("person"), c("speech.text").alias("speech"), c("speech.overlap_seconds").alias("overlap_seconds"), "kind", "kind_reason",
+    )
 
 
 def doc_summary(s, d):
-    return fusion.document(_fused(s, d)).drop("document", "warnings")
+    kinds = F.transform(F.map_entries("summary.kinds"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda i: i.cast("string")), ",")))
+    counts = F.transform("counts", lambda x: F.concat(x["label"], F.lit(":"), x["n"].cast("string")))
+    return _documents(s, d).select("recording_id", *(F.col(f"summary.{k}").alias(k) for k in ("segment_count", "text_lines", "objects", "speech_intervals", "duration")), F.array_join(kinds, ";").alias("kinds"), F.array_join(counts, ";").alias("counts"), *(F.col("shares")[k].alias(f"share_{k}") for k in tiles.LABELS))
+
+
+def doc_sections(s, d):
+    p = _parts(s, d)
+    return fusion.sections(p["segments"].select("recording_id").distinct(), p["status"])
+
+
+def doc_keywords(s, d):
+    return _documents(s, d).select("recording_id", F.posexplode("keywords").alias("no", "k")).select("recording_id", "no", "k.term", "k.n")
 
 
 def doc_warnings(s, d):
-    return fusion.document(_fused(s, d)).select("recording_id", "warnings")
+    return _documents(s, d).select("recording_id", F.array_join("warnings", "; ").alias("warnings"))
 
 
 def structure_document(s, d):
-    return fusion.document(_fused(s, d))
+    return fusion.as_json(_documents(s, d))
 
 
 QUERIES = {
@@ -519,6 +601,6 @@ QUERIES = {
         tile_stats, tile_stats_color, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, person_score, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
         assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, top_keywords, keywords_cjk, region_filter, confidence_filter, map_lines, line_confidence, valid_segments, reading_order, attach_lines,
         polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, half_encode, input_tensor, scale_factor, merged_options, resolve_setting, parse_region, analysis_notes, parse_devices, wav_header, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
-        probe_facts, capture_verdict, missing_needs, time_grid, parse_list, analysis_probe, lossless_json, frame_split, fuse_segments, doc_summary, doc_warnings, structure_document,
+        probe_facts, capture_verdict, missing_needs, time_grid, parse_list, analysis_probe, lossless_json, frame_split, fuse_segments, config_violations, config_completed, speech_intervals_sql, plan_cuts_sql, doc_summary, doc_sections, doc_keywords, doc_warnings, structure_document,
     )
 }

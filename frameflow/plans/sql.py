@@ -102,11 +102,8 @@ _SUPPRESSED = """
       l AS (SELECT frame_id, unnest(arg_max(kept, rn)) AS k FROM f GROUP BY 1)"""
 _SUM = lambda v: f"list_reduce(list_prepend(0.0::DOUBLE, list({v} ORDER BY y, x)), lambda a, b: a + b)"
 _SIZES = "z AS (SELECT p_partkey, p_partkey % 1931 + 1 AS w, p_size * 37 + p_partkey % 11 + 1 AS h FROM part)"
-_EVIDENCE = r"""
-ev AS (
-  SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3) THEN '$ npm run build' || chr(10) || 'error: failed' || chr(10) || '> git status' || chr(10) || '# done' || chr(10)
-    WHEN doc_id % 5 = 2 THEN 'function a() {' || chr(10) || '  return b === c;' || chr(10) || '}' || chr(10) || 'const x = () => y;' || chr(10) ELSE '' END || text AS text FROM documents
-), el AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls FROM ev),
+_EVIDENCE_OF = r"""
+el AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')) AS ls FROM ev),
 te AS (
   SELECT doc_id,
     regexp_matches(text, '(?m)(^|\s)(PS\s+[A-Za-z]:\\|C:\\[^ ]*>|>|\$|#)\s*$')::BIGINT + regexp_matches(text, '(^|\s)(npm|pnpm|yarn|git|node|python|pip|cargo|go|dotnet|docker|kubectl)\s+[\w-]+')::BIGINT
@@ -116,21 +113,65 @@ te AS (
       + regexp_matches(text, '=>|===|!==|::|\+\+|-->')::BIGINT + regexp_matches(text, '(?m)^\s*(if|for|while|switch|try|catch)\s*[({]')::BIGINT + len(list_filter(ls, lambda x: regexp_matches(x, '[{};]\s*$|^\s{2,}\S'))) AS code_hits,
     length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS char_count, len(ls) AS line_count
   FROM el
-), fa AS (
-  SELECT doc_id, shell_hits, code_hits, line_count, doc_id * 3 % 11 / 11.0::DOUBLE AS text, doc_id * 5 % 13 / 13.0::DOUBLE AS picture, doc_id * 7 % 17 / 17.0::DOUBLE AS flat, doc_id * 2 % 7 / 7.0::DOUBLE AS dark, doc_id * 11 % 19 / 19.0::DOUBLE AS person,
-    doc_id % 3 AS objects, doc_id * 13 % 23 / 23.0::DOUBLE AS motion FROM te
-), ki AS (
+)"""
+_KIND_OF = """ki AS (
   SELECT *, CASE WHEN shell_hits >= 3 AND dark >= 0.15 THEN 'terminal' WHEN code_hits >= 4 AND text >= 0.08 THEN 'code' WHEN person >= 0.25 AND text < 0.1 THEN 'presenter' WHEN picture >= 0.45 THEN 'picture'
     WHEN text >= 0.16 OR line_count >= 12 THEN 'text' WHEN text + flat >= 0.6 AND line_count >= 3 THEN 'document' WHEN motion < 0.35 AND line_count = 0 AND objects = 0 THEN 'idle' ELSE 'desktop' END AS kind FROM fa
 )"""
-_FUSED = f"""{_SAID}, {_BOXES},
-ob AS (SELECT frame_id AS recording_id, count(*) AS objects FROM b WHERE score >= 0.9 GROUP BY 1),
-fu AS (
-  SELECT g.recording_id, g."index", g.start, g."end", 's' || lpad(g."index"::VARCHAR, greatest(3, length(g."index"::VARCHAR))::INT, '0') AS id, said.text AS speech, length(said.text) AS lines, coalesce(ob.objects, 0) AS objects
-  FROM grid g LEFT JOIN said USING (recording_id, "index") LEFT JOIN ob ON ob.recording_id = g.recording_id AND g."index" = 1
-)"""
+_EVIDENCE = rf"""
+ev AS (
+  SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3) THEN '$ npm run build' || chr(10) || 'error: failed' || chr(10) || '> git status' || chr(10) || '# done' || chr(10)
+    WHEN doc_id % 5 = 2 THEN 'function a() {{' || chr(10) || '  return b === c;' || chr(10) || '}}' || chr(10) || 'const x = () => y;' || chr(10) ELSE '' END || text AS text FROM documents
+), {_EVIDENCE_OF}, fa AS (
+  SELECT doc_id, shell_hits, code_hits, line_count, doc_id * 3 % 11 / 11.0::DOUBLE AS text, doc_id * 5 % 13 / 13.0::DOUBLE AS picture, doc_id * 7 % 17 / 17.0::DOUBLE AS flat, doc_id * 2 % 7 / 7.0::DOUBLE AS dark, doc_id * 11 % 19 / 19.0::DOUBLE AS person,
+    doc_id % 3 AS objects, doc_id * 13 % 23 / 23.0::DOUBLE AS motion FROM te
+), {_KIND_OF}"""
 _pct = lambda x: f"format('{{:.1f}}%', floor(({x}) * 1000 + 0.5) / 10)"
 
+_CONFIGS = "WITH k AS (SELECT p_partkey, p_size, p_partkey % 17 > 1 AS given FROM part)"
+_blocks = lambda n: f"""lab AS (SELECT frame_id, list(label ORDER BY "row", "column") AS l FROM tl GROUP BY 1),
+      walk AS (
+        SELECT frame_id, l, 0 AS k, 0::BIGINT AS taken, 0 AS w, 0 AS h FROM lab
+        UNION ALL
+        SELECT frame_id, l, k + 1, CASE WHEN w = 0 THEN taken ELSE taken | list_sum(list_transform(range(w * h), lambda c: 1::BIGINT << (k + c % w + {n} * (c // w))))::BIGINT END, w, h
+        FROM (
+          SELECT *, CASE WHEN w = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(1, {n} - k // {n}), lambda j: len(list_filter(range(w), lambda c: l[k + {n} * j + c + 1] <> l[k + 1] OR taken >> (k + {n} * j + c) & 1 = 1)) > 0)), {n} - k // {n}) END::INT AS h
+          FROM (SELECT frame_id, l, k, taken, CASE WHEN taken >> k & 1 = 1 THEN 0 ELSE coalesce(list_min(list_filter(range(1, {n} - k % {n}), lambda j: l[k + j + 1] <> l[k + 1] OR taken >> (k + j) & 1 = 1)), {n} - k % {n}) END::INT AS w FROM walk WHERE k < {n * n})
+        )
+      )"""
+_REASON = f"""CASE kind WHEN 'terminal' THEN shell_hits || ' lines like shell output, dark share ' || {_pct('dark')} WHEN 'code' THEN code_hits || ' lines like code, text share ' || {_pct('text')}
+      WHEN 'presenter' THEN 'a person is seen, text share ' || {_pct('text')} WHEN 'picture' THEN 'picture share ' || {_pct('picture')} WHEN 'text' THEN 'text share ' || {_pct('text')} || ', lines ' || line_count
+      WHEN 'document' THEN 'text and flat share ' || {_pct('least(text + flat, 99)')} || ', lines ' || line_count WHEN 'idle' THEN 'little motion, no text, no objects' ELSE 'no rule holds, lines ' || line_count END"""
+_KEYWORD = r"""regexp_replace(lower(unnest(regexp_extract_all(line, '[A-Za-z][A-Za-z0-9_+#.-]+'))), '[.-]+$', '')"""
+_STOPS = "('the','and','for','with','that','this','from','are','was','were','have','has','had','not','but','you','your','our','its','it','is','be','to','of','in','on','at','as','by','or','an','a','if','then','else','when','will','can','may','all','any','one','two','new','use','used','using','get','set','out','http','https','www','com','true','false','null','undefined')"
+_PLACE = "translate(term, '_-.#+', chr(1) || chr(2) || chr(3) || chr(4) || chr(5))"
+_SHARES = ("text", "picture", "texture", "flat", "dark")
+_PARTS = f"""{_FINAL}, {_TILES}, {_BOXES}, {_SPEECH}, {_blocks(2)},
+still AS (SELECT recording_id, "index", floor((start + "end") / 2 * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE AS "at", recording_id * 7 + "index" AS still FROM fin WHERE "index" <= 6 AND recording_id * 7 + "index" IN (SELECT vec_id FROM embeddings)),
+recs AS (SELECT DISTINCT recording_id FROM fin),
+spk AS (SELECT recording_id, s_start + CASE WHEN recording_id % 9 = 5 THEN 10000 ELSE 0 END AS s_start, s_end + CASE WHEN recording_id % 9 = 5 THEN 10000 ELSE 0 END AS s_end, text FROM sp WHERE recording_id % 4 <> 2),
+stat AS (SELECT recording_id, 'text' AS section, 'the reader is off' AS reason FROM recs WHERE recording_id % 7 = 3 UNION ALL SELECT recording_id, 'objects', 'no model' FROM recs WHERE recording_id % 5 = 4
+  UNION ALL SELECT recording_id, 'speech', 'no audio' FROM recs WHERE recording_id NOT IN (SELECT recording_id FROM spk)),
+fail AS (SELECT recording_id, "index", 'regions' AS section, 'no pixels' AS message FROM still WHERE still % 11 = 0 UNION ALL SELECT recording_id, "index", 'objects', 'out of memory' FROM still WHERE still % 13 = 5 AND recording_id % 5 <> 4),
+region AS (SELECT still.recording_id, "index", sh.*, nb.blocks FROM still JOIN sh ON frame_id = still JOIN (SELECT frame_id AS f, count(*)::INT AS blocks FROM walk WHERE w > 0 GROUP BY 1) nb ON f = still WHERE still % 11 <> 0),
+ln AS (SELECT recording_id, "index", still, pos, line FROM (SELECT recording_id, "index", still, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM still JOIN documents ON doc_id = still WHERE "index" <= 5 AND recording_id % 7 <> 3) WHERE {_TRIM('line')} <> ''),
+tx AS (SELECT recording_id, "index", coalesce(t, '') AS text, coalesce(n, 0)::INT AS n FROM still LEFT JOIN (SELECT recording_id, "index", string_agg(line, chr(10) ORDER BY pos) AS t, count(*) AS n FROM ln GROUP BY ALL) USING (recording_id, "index") WHERE "index" <= 5 AND recording_id % 7 <> 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, id) AS rn FROM b), {_SUPPRESSED},
+counted AS (SELECT recording_id, count(*) AS n FROM fin GROUP BY 1), sampled AS (SELECT DISTINCT recording_id, floor(i * (n - 1) / 3.0::DOUBLE + 0.5)::BIGINT + 1 AS k FROM counted, (SELECT unnest(range(4)) AS i)),
+ob AS (
+  SELECT s.recording_id, s."index", CASE k['class'] WHEN 1 THEN 'person' ELSE 'TV' END AS label, k.score AS score FROM still s JOIN l ON l.frame_id = s.still JOIN counted n ON n.recording_id = s.recording_id
+  LEFT JOIN (SELECT recording_id, min("index") AS stop FROM fail WHERE section = 'objects' GROUP BY 1) f ON f.recording_id = s.recording_id
+  WHERE s.recording_id % 5 <> 4 AND (stop IS NULL OR s."index" < stop) AND (n.n <= 4 OR (s.recording_id, s."index") IN (SELECT (recording_id, k) FROM sampled))
+), oc AS (SELECT recording_id, "index", count(*)::INT AS n, max(CASE WHEN label = 'person' THEN score ELSE 0 END) AS person FROM ob GROUP BY ALL),
+sd AS (
+  SELECT f.recording_id, f."index", sum(CAST(least(f."end", s_end) - greatest(f.start, s_start) AS DECIMAL(38, 12)))::DOUBLE AS seconds, string_agg({_TRIM('text')}, ' ' ORDER BY s_start, s_end) FILTER ({_TRIM('text')} <> '') AS said
+  FROM fin f JOIN spk ON f.recording_id = spk.recording_id AND least(f."end", s_end) - greatest(f.start, s_start) > 0.2 GROUP BY ALL
+), ev AS (SELECT f.recording_id * 1000000 + f."index" AS doc_id, coalesce(text, '') AS text FROM fin f LEFT JOIN tx USING (recording_id, "index")), {_EVIDENCE_OF},
+fa AS (
+  SELECT te.doc_id, f.recording_id, f."index", shell_hits, code_hits, line_count, coalesce(r.text, 0) AS text, coalesce(picture, 0) AS picture, coalesce(texture, 0) AS texture, coalesce(flat, 0) AS flat, coalesce(dark, 0) AS dark, coalesce(person, 0) AS person, coalesce(oc.n, 0) AS objects, motion
+  FROM fin f JOIN te ON te.doc_id = f.recording_id * 1000000 + f."index" LEFT JOIN region r ON r.recording_id = f.recording_id AND r."index" = f."index" LEFT JOIN oc ON oc.recording_id = f.recording_id AND oc."index" = f."index"
+), {_KIND_OF}, whys AS (SELECT *, {_REASON} AS kind_reason FROM ki)"""
+
 SQL = {
     "frame_diffs": f"WITH {_DIFFS} SELECT * FROM d",
     "luma_diff": f"""WITH o AS (SELECT label::BIGINT AS recording_id, vec_id AS seq, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings)
@@ -182,9 +223,7 @@ SQL = {
     "transcript_text": f"WITH {_SPEECH} SELECT recording_id, string_agg(text, chr(10) ORDER BY s_start, s_end) AS transcript, count(*) AS spoken FROM sp WHERE {_TRIM('text')} <> '' GROUP BY 1",
     "text_evidence": f"WITH {_EVIDENCE} SELECT doc_id, shell_hits, code_hits, char_count, line_count FROM te",
     "segment_kind": f"WITH {_EVIDENCE} SELECT doc_id, kind FROM ki",
-    "kind_reason": f"""WITH {_EVIDENCE} SELECT doc_id, kind, CASE kind WHEN 'terminal' THEN shell_hits || ' lines like shell output, dark share ' || {_pct('dark')} WHEN 'code' THEN code_hits || ' lines like code, text share ' || {_pct('text')}
-      WHEN 'presenter' THEN 'a person is seen, text share ' || {_pct('text')} WHEN 'picture' THEN 'picture share ' || {_pct('picture')} WHEN 'text' THEN 'text share ' || {_pct('text')} || ', lines ' || line_count
-      WHEN 'document' THEN 'text and flat share ' || {_pct('least(text + flat, 99)')} || ', lines ' || line_count WHEN 'idle' THEN 'little motion, no text, no objects' ELSE 'no rule holds, lines ' || line_count END AS reason FROM ki""",
+    "kind_reason": f"""WITH {_EVIDENCE} SELECT doc_id, kind, {_REASON} AS reason FROM ki""",
     "group_kinds": f"WITH {_EVIDENCE} SELECT doc_id % 20 AS recording_id, kind, string_agg((doc_id // 20)::VARCHAR, ',' ORDER BY doc_id // 20) AS indexes FROM ki GROUP BY ALL",
     "keywords": """WITH w AS (SELECT regexp_replace(lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_+#.-]+'))), '[.-]+$', '') AS term FROM documents)
       SELECT term, count(*) AS n FROM w WHERE length(term) >= 2 AND term NOT IN ('the','and','for','with','that','this','from','are','was','were','have','has','had','not','but','you','your','our','its','it','is','be','to','of','in','on','at','as','by','or','an','a','if','then','else','when','will','can','may','all','any','one','two','new','use','used','using','get','set','out','http','https','www','com','true','false','null','undefined') GROUP BY 1""",
@@ -234,16 +273,7 @@ SQL = {
         floor(e / (2 * n) * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS edge_density, floor(s / n * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE AS saturation FROM cs)
       SELECT *, CASE WHEN std < 4 THEN CASE WHEN luma < 48 THEN 'dark' ELSE 'flat' END WHEN edge_density >= 0.09 AND saturation <= 0.22 THEN 'text' WHEN saturation >= 0.18 THEN 'picture' WHEN std >= 12 AND edge_density < 0.09 THEN 'picture' ELSE 'texture' END AS label FROM ct""",
     "tile_blocks": f"""WITH RECURSIVE {_TILES.replace("(i % 8) // 4", "(i % 8) // 2").replace("i // 32", "i // 16")},
-      lab AS (SELECT frame_id, list(label ORDER BY "row", "column") AS l FROM tl GROUP BY 1),
-      walk AS (
-        SELECT frame_id, l, 0 AS k, 0::BIGINT AS taken, 0 AS w, 0 AS h FROM lab
-        UNION ALL
-        SELECT frame_id, l, k + 1, CASE WHEN w = 0 THEN taken ELSE taken | list_sum(list_transform(range(w * h), lambda c: 1::BIGINT << (k + c % w + 4 * (c // w))))::BIGINT END, w, h
-        FROM (
-          SELECT *, CASE WHEN w = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(1, 4 - k // 4), lambda j: len(list_filter(range(w), lambda c: l[k + 4 * j + c + 1] <> l[k + 1] OR taken >> (k + 4 * j + c) & 1 = 1)) > 0)), 4 - k // 4) END::INT AS h
-          FROM (SELECT frame_id, l, k, taken, CASE WHEN taken >> k & 1 = 1 THEN 0 ELSE coalesce(list_min(list_filter(range(1, 4 - k % 4), lambda j: l[k + j + 1] <> l[k + 1] OR taken >> (k + j) & 1 = 1)), 4 - k % 4) END::INT AS w FROM walk WHERE k < 16)
-        )
-      ) SELECT frame_id, l[k] AS label, (k - 1) % 4 * 2::BIGINT AS x, (k - 1) // 4 * 2::BIGINT AS y, w * 2::BIGINT AS width, h * 2::BIGINT AS height, w * h::BIGINT AS tiles, floor(w * h * 4 / 64.0::DOUBLE * 10000 + 0.5) / 10000 AS area_ratio FROM walk WHERE w > 0""",
+      {_blocks(4)} SELECT frame_id, l[k] AS label, (k - 1) % 4 * 2::BIGINT AS x, (k - 1) // 4 * 2::BIGINT AS y, w * 2::BIGINT AS width, h * 2::BIGINT AS height, w * h::BIGINT AS tiles, floor(w * h * 4 / 64.0::DOUBLE * 10000 + 0.5) / 10000 AS area_ratio FROM walk WHERE w > 0""",
     "parse_devices": """SELECT s_nationkey AS log_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS no, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'video' ELSE 'audio' END AS kind,
       CASE WHEN s_suppkey % 3 = 0 THEN '@device_' || s_suppkey END AS alternative FROM supplier""",
     "wav_header": """WITH w AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, CASE WHEN doc_id % 10 = 9 THEN 'no data chunk' WHEN strlen(coalesce(text, '')) = 0 THEN 'no data' END AS problem FROM documents)
@@ -292,10 +322,39 @@ SQL = {
     "parse_list": "SELECT user_id AS list_id, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS no, event_type AS name FROM events GROUP BY user_id, event_type",
     "analysis_probe": """WITH z AS (SELECT p_partkey, CASE WHEN p_partkey % 17 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 2 = 1 AND p_partkey % 7 <> 0 THEN (p_size * 10)::BIGINT END AS w FROM part), r AS (SELECT *, least(1.0, 320.0::DOUBLE / greatest(w, 100)) AS f FROM z)
       SELECT p_partkey, w AS source_width, CASE WHEN w IS NOT NULL THEN 100::BIGINT END AS source_height, CASE WHEN w IS NOT NULL THEN greatest(floor(w * f + 0.5)::BIGINT // 2 * 2, 2) END AS width, CASE WHEN w IS NOT NULL THEN greatest(floor(100 * f + 0.5)::BIGINT // 2 * 2, 2) END AS height FROM r""",
-    "fuse_segments": f"WITH {_FUSED} SELECT * FROM fu",
-    "doc_summary": f"""WITH {_FUSED} SELECT recording_id, count(*) AS segments, max("end") AS duration, count(speech) AS spoken, sum(objects)::BIGINT AS objects FROM fu GROUP BY 1""",
-    "doc_warnings": f"""WITH {_FUSED} SELECT recording_id, array_to_string(list_filter([CASE WHEN count(speech) = 0 THEN 'no speech placed' END, CASE WHEN sum(objects) = 0 THEN 'no objects found' END], lambda x: x IS NOT NULL), '; ') AS warnings FROM fu GROUP BY 1""",
+    "config_violations": f"""{_CONFIGS}, v AS (
+        SELECT p_partkey, 0 AS no, 'config' AS field, 'must be JSON' AS problem FROM k WHERE p_partkey % 17 = 0
+        UNION ALL SELECT p_partkey, 1, 'config.maxConcurrent', 'must be a number between 1 and 8' FROM k WHERE given AND NOT p_size % 10 BETWEEN 1 AND 8
+        UNION ALL SELECT p_partkey, 2, 'config.analysis.fps', 'must be a number between 0.5 and 30' FROM k WHERE given AND p_partkey % 13 <> 0 AND (p_partkey % 5 = 0 OR (p_partkey % 5 <> 1 AND NOT p_size / 4 BETWEEN 0.5 AND 30))
+        UNION ALL SELECT p_partkey, 3, 'config.analysis.tileSize', 'must be a number between 1 and 100000' FROM k WHERE given AND p_partkey % 13 <> 0 AND p_size % 3 = 0
+        UNION ALL SELECT p_partkey, 4, 'config.ocr.provider', CASE p_partkey % 7 WHEN 0 THEN 'must be one of auto, sibling, winrt, off' ELSE 'must be a string or null' END FROM k WHERE given AND p_partkey % 7 <= 1
+        UNION ALL SELECT p_partkey, 5, 'config.ocr.scale', 'must be a number between 1 and 3' FROM k WHERE given AND (p_partkey % 6 = 1 OR (p_partkey % 6 > 1 AND NOT p_size % 5 BETWEEN 1 AND 3))
+        UNION ALL SELECT p_partkey, 6, 'config.asr.enabled', 'must be a boolean' FROM k WHERE given AND p_partkey % 4 = 0
+      ) SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY no) - 1)::INT AS no, field, problem FROM v""",
+    "config_completed": f"""{_CONFIGS} SELECT p_partkey, CASE WHEN given THEN p_size % 10 ELSE 2 END::DOUBLE AS "maxConcurrent", CASE WHEN given AND p_partkey % 13 <> 0 AND p_partkey % 5 <> 1 THEN p_size / 4 ELSE 4 END::DOUBLE AS analysis_fps,
+        CASE WHEN given AND p_partkey % 13 <> 0 THEN p_size * 10 ELSE 320 END::DOUBLE AS "analysis_maxSide", CASE WHEN given AND p_partkey % 13 <> 0 THEN p_size % 3 ELSE 16 END::DOUBLE AS "analysis_tileSize", 0.7::DOUBLE AS "analysis_mergeShortSec",
+        CASE WHEN given THEN 'off' ELSE 'auto' END AS ocr_provider, CASE WHEN given AND p_partkey % 6 > 0 THEN (p_size % 5)::VARCHAR ELSE 'auto' END AS ocr_scale, NOT given AS asr_enabled, NULL AS asr_language
+      FROM k WHERE p_partkey % 17 <> 0 AND NOT (given AND (NOT p_size % 10 BETWEEN 1 AND 8 OR (p_partkey % 13 <> 0 AND (p_partkey % 5 = 0 OR (p_partkey % 5 <> 1 AND NOT p_size / 4 BETWEEN 0.5 AND 30) OR p_size % 3 = 0))
+        OR p_partkey % 7 <= 1 OR p_partkey % 6 = 1 OR (p_partkey % 6 > 1 AND NOT p_size % 5 BETWEEN 1 AND 3) OR p_partkey % 4 = 0))""",
+    "fuse_segments": f"""WITH RECURSIVE {_PARTS} SELECT f.recording_id, f."index", f.id, f.start, f."end", still."at" AS keyframe_at, {', '.join(f'region.{k} AS share_{k}' for k in _SHARES)}, blocks, tx.n AS text_lines, sha256(tx.text) AS text_sha256,
+      y.objects, y.person, CASE WHEN said <> '' THEN said END AS speech, CASE WHEN said <> '' THEN {_R4('sd.seconds')} END AS overlap_seconds, kind, kind_reason
+      FROM fin f JOIN whys y ON y.recording_id = f.recording_id AND y."index" = f."index" LEFT JOIN still ON still.recording_id = f.recording_id AND still."index" = f."index" LEFT JOIN region ON region.recording_id = f.recording_id AND region."index" = f."index"
+      LEFT JOIN tx ON tx.recording_id = f.recording_id AND tx."index" = f."index" LEFT JOIN sd ON sd.recording_id = f.recording_id AND sd."index" = f."index" """,
+    "doc_summary": f"""WITH RECURSIVE {_PARTS}, k AS (SELECT recording_id, string_agg(kind || ':' || ids, ';' ORDER BY kind) AS kinds FROM (SELECT recording_id, kind, string_agg("index"::VARCHAR, ',' ORDER BY "index") AS ids FROM ki GROUP BY ALL) GROUP BY 1),
+      c AS (SELECT recording_id, count(*) AS labels, string_agg(label || ':' || n, ';' ORDER BY n DESC, lower(label)) AS counts FROM (SELECT recording_id, label, count(*) AS n FROM ob GROUP BY ALL) GROUP BY 1),
+      t AS (SELECT recording_id, sum(n)::BIGINT AS text_lines FROM tx GROUP BY 1), i AS (SELECT recording_id, count(*) AS intervals FROM spk GROUP BY 1), m AS (SELECT recording_id, {', '.join(f"{_R4(f'avg({k})')} AS share_{k}" for k in _SHARES)} FROM region GROUP BY 1), e AS (SELECT recording_id, count(*) AS segment_count, max("end") AS duration FROM fin GROUP BY 1)
+      SELECT recording_id, segment_count, coalesce(text_lines, 0) AS text_lines, coalesce(labels, 0) AS objects, coalesce(intervals, 0) AS speech_intervals, duration, kinds, coalesce(counts, '') AS counts, {', '.join(f'share_{k}' for k in _SHARES)}
+      FROM e LEFT JOIN k USING (recording_id) LEFT JOIN c USING (recording_id) LEFT JOIN t USING (recording_id) LEFT JOIN i USING (recording_id) LEFT JOIN m USING (recording_id)""",
+    "doc_sections": f"""WITH RECURSIVE {_PARTS} SELECT recording_id, section, stat.reason IS NULL AS available, stat.reason FROM recs CROSS JOIN (SELECT unnest(['regions', 'text', 'objects', 'speech']) AS section) LEFT JOIN stat USING (recording_id, section)""",
+    "doc_keywords": f"""WITH RECURSIVE {_PARTS}, kw AS (SELECT recording_id, {_KEYWORD} AS term FROM ln), kc AS (SELECT recording_id, term, count(*) AS n FROM kw WHERE length(term) >= 2 AND term NOT IN {_STOPS} GROUP BY ALL)
+      SELECT recording_id, (row_number() OVER (PARTITION BY recording_id ORDER BY n DESC, {_PLACE}) - 1)::INT AS no, term, n FROM kc QUALIFY no < 40""",
+    "doc_warnings": f"""WITH RECURSIVE {_PARTS}, sn AS (SELECT recording_id, n, coalesce(s, 0) AS s FROM counted LEFT JOIN (SELECT recording_id, count(*) AS s FROM still GROUP BY 1) USING (recording_id)), ws AS (
+        SELECT recording_id, 0 AS a, 0 AS i, s || ' stills of ' || n || ' segments' AS said FROM sn WHERE n > s
+        UNION ALL SELECT recording_id, CASE section WHEN 'regions' THEN 1 ELSE 2 END, "index", section || ' failed (s' || lpad("index"::VARCHAR, 3, '0') || '): ' || message FROM fail
+        UNION ALL SELECT DISTINCT recording_id, 3, 0, 'speech was found, but none of it within a segment' FROM spk WHERE recording_id IN (SELECT recording_id FROM recs) AND recording_id NOT IN (SELECT recording_id FROM sd WHERE said <> '')
+      ) SELECT recording_id, coalesce(string_agg(said, '; ' ORDER BY a, i), '') AS warnings FROM recs LEFT JOIN ws USING (recording_id) GROUP BY 1""",
 }
+SQL |= {f"{_name}_sql": SQL[_name] for _name in ("speech_intervals", "plan_cuts")}
 SQL["decode_detections"] = f"""WITH RECURSIVE cand AS ({SQL['decode_candidates']}), o AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, id) AS rn FROM cand), {_SUPPRESSED}
       SELECT cand.*, floor(x + w / 2.0::DOUBLE + 0.5)::BIGINT AS center_x, floor(y + h / 2.0::DOUBLE + 0.5)::BIGINT AS center_y, row_number() OVER (PARTITION BY frame_id ORDER BY cand.score DESC, cand.id) AS rank
       FROM cand JOIN (SELECT frame_id, k.id AS id FROM l) USING (frame_id, id)"""

@@ -18,7 +18,7 @@ def cut(spark, frames, rules=RULES):
 
 def test_scene_change_does_not_count_its_frame(spark):
     got = cut(spark, [(0, 0), (0.25, 0), (0.5, 0), (0.75, 0), (1, 50), (2, 0)])
-    assert [(r[1], r[2], r[3], r[4], r[5], r[6]) for r in got] == [(0, 1, "start", 0, 0, 3), (1, 2, "scene_change", 50, 0, 1)]
+    assert [(r[1], r[2], r[3], r[4], r[5], r[6]) for r in got] == [(0, 1, "start", 0, 0, 3), (1, 1.5, "scene_change", 50, 0, 1)]
 
 
 def test_short_segments_are_not_cut(spark):
