@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,14 @@ def drop_tables(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_columns(keep: Iterable[str], made: Iterable[str]) -> list[str]:
+    """The columns to hand through, without doc_id, which comes anyway; an error for one that is named like a column that the operator makes."""
+    clash = sorted({c.lower() for c in keep} & {c.lower() for c in made} - {"doc_id"})
+    if clash:
+        raise ValueError(f"columns to keep are named like columns that are made: {', '.join(clash)}")
+    return [c for c in keep if c.lower() != "doc_id"]
+
+
 def sha256_hex(column):
     return F.lower(F.sha2(column, 256))
 

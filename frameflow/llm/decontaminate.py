@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.llm.common import LOWER_ALNUM, save, table
+from frameflow.llm.common import LOWER_ALNUM, kept_columns, save, table
 
 WINDOW = 10
-#: An automaton is built of at most so many bytes of items; more items are split over several, each of which scans the texts.
-AUTOMATON_BYTES = 24_000_000
+#: An automaton is built of about so many windows at most, some 500 bytes each in Python; more items are split over several, each of which scans the texts.
+AUTOMATON_WINDOWS = 250_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KINDS = {
     "doc_id": pa.int64(), "n_words": pa.int64(), "hit": pa.list_(pa.list_(pa.int64())), "items": pa.list_(pa.string()), "spans": pa.list_(pa.list_(pa.int64()))
@@ -96,18 +96,19 @@ def _scan(patterns):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, automaton_bytes: int = AUTOMATON_BYTES, keep: Sequence[str] = ()) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, automaton_windows: int = AUTOMATON_WINDOWS, keep: Sequence[str] = ()) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, hit (merged word ranges), items (sorted ids), spans (the ranges in code points of the original text), and the columns ``keep`` as they are.
 
-    The size of the benchmark is summed first; items beyond ``automaton_bytes`` are dealt by hash to several automata, scanned one
+    The windows of the benchmark are counted first; if they are more than ``automaton_windows``, items are dealt by hash to several automata, which are built and scanned one
     after another, and the rows of a document are joined again. Each automaton is broadcast and scans
     every text once, whole. Texts without words (null, empty) have no hits; an empty benchmark hits nothing. An item with a null
-    id marks words but is not listed. Repeated items count once; repeated doc_ids keep a row each.
+    id marks words but is not listed. Repeated items count once; repeated doc_ids keep a row each. To keep a column named like one of the others raises.
     """
     spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = -(-size // automaton_bytes) or 1
-    kept = [c for c in keep if c != "doc_id"]
+    n_words = F.regexp_count("text", F.lit(_WORD.pattern))
+    size = benchmark.agg(F.coalesce(F.sum(F.when(n_words > 0, F.greatest(n_words - (WINDOW - 1), F.lit(1)))), F.lit(0))).first()[0]
+    parts = -(-size // automaton_windows) or 1
+    kept = kept_columns(keep, _KINDS)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("__text"), *kept)
     if parts == 1:
         found = windows([tuple(r) for r in benchmark.select("item_id", "text").collect()])

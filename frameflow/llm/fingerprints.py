@@ -16,6 +16,8 @@ from frameflow.llm.common import partitions_of, save, table
 from frameflow.llm.simjoin import only_ids
 
 _ROWS = 512
+#: So many copies of one text are compared with its first by one task, about.
+_DEALT = 1_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -48,19 +50,22 @@ def exact_classes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint, class_id: the smallest doc_id with the same canonical bytes.
 
     Buckets of equal fingerprints are compared byte by byte with their smallest doc_id; only texts in buckets of several are read
-    again. Should bytes differ under one fingerprint, those documents are split off by a SHA-256 of the bytes. Null texts are
+    again. A bucket of many copies is dealt over as many tasks as it has thousands of documents, and only its first text goes to each. Should bytes differ under one fingerprint, those documents are split off by a SHA-256 of the bytes. Null texts are
     empty; rows that repeat a doc_id are one document if equal; a null doc_id has a null class. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     prints = save(texts.mapInArrow(_prints, "doc_id bigint, fingerprint string"), "prints")
-    several = save(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("fingerprint", "first"), "buckets")
+    several = save(
+        prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+        .select("fingerprint", "first", F.ceil(F.col("n") / _DEALT).cast("long").alias("deals")), "buckets")
     inside = save(prints.join(several, "fingerprint").distinct(), "inside")
     # texts outside buckets of several are left out before the shuffle
     own = only_ids(texts, save(inside.select("doc_id").distinct(), "inside-ids"), "doc_id")
-    mine = inside.join(own, "doc_id").select("doc_id", "fingerprint", "first", F.col("text").alias("text"))
+    mine = inside.join(own, "doc_id").select("doc_id", "fingerprint", F.pmod(F.xxhash64("doc_id"), F.col("deals")).alias("deal"), F.col("text").alias("text"))
     firsts = save(several.withColumnRenamed("first", "doc_id").join(only_ids(texts, several.select(F.col("first").alias("doc_id")).distinct(), "doc_id"), "doc_id").select("fingerprint", F.col("text").alias("text_of_first")), "firsts")
-    checked = save(mine.join(firsts, "fingerprint").select("doc_id", "fingerprint", "text", "text_of_first").mapInArrow(_compared, "doc_id bigint, fingerprint string, same boolean"), "checked")
-    placed = prints.join(checked.groupBy("doc_id", "fingerprint").agg(F.max("same").alias("same")), ["doc_id", "fingerprint"], "left").join(several, "fingerprint", "left")
+    firsts = firsts.join(several.select("fingerprint", "deals"), "fingerprint").select("fingerprint", "text_of_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"))
+    checked = save(mine.join(firsts, ["fingerprint", "deal"]).select("doc_id", "fingerprint", "text", "text_of_first").mapInArrow(_compared, "doc_id bigint, fingerprint string, same boolean"), "checked")
+    placed = prints.join(checked.groupBy("doc_id", "fingerprint").agg(F.max("same").alias("same")), ["doc_id", "fingerprint"], "left").join(several.select("fingerprint", "first"), "fingerprint", "left")
     return placed.select("doc_id", "fingerprint", F.when(F.col("same"), F.col("first")).otherwise(F.col("doc_id")).alias("class_id"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.llm.common import _LOWER, BLANKS, partitions_of, save, table
+from frameflow.llm.common import _LOWER, BLANKS, kept_columns, partitions_of, save, table
 
 MIN_CHARS = 10
 #: Keys of a shard, about: its filter takes two to three bytes for each. The number of shards follows the number of keys.
@@ -265,9 +265,10 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, keep: Sequence[
 
     A line is dropped if its key (blanks stripped, A-Z lower-cased, 10 code points or more) is in another document with a smaller doc_id; all its
     lines in that document stay. Null and empty texts have one empty line. Rows that repeat a doc_id are one
-    document, which loses no lines to itself; a row without doc_id keeps its lines and counts for none. Other columns are ignored.
-    Keys are compared by 128-bit digests. Texts are shuffled once, to meet the keys that they lose.
+    document, which loses no lines to itself; a row without doc_id keeps its lines and counts for none. Other columns are ignored;
+    to keep one named like a column made here raises. Keys are compared by 128-bit digests. Texts are shuffled once, to meet the keys that they lose.
     """
+    keep = kept_columns(keep, ("n_lines", "n_dropped", "kept", "gone"))
     index = index or LineIndex.of(docs)
     gone = save(index.drops().groupBy("doc_id").agg(F.collect_set("key").alias("gone")), "line-drops")
     met = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("__text"), *keep).join(gone, "doc_id", "left").select("doc_id", "__text", "gone", *keep)

@@ -76,6 +76,10 @@ def _confirmed(kind: Kind, match: Column) -> Column:
     return F.lit(True)
 
 
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _placed(no: int, kind: Kind, matches: Column, gaps: Column):
     """Adds match i to the spans found so far: the piece before it and the match itself move the position on."""
 
@@ -101,6 +105,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     one of its context words stands within 40 code points before or 20 after the span (and before the next match), less
     0.2 if a word that speaks against it does, within 0 to 1. Null and empty texts have no spans; rows with repeated doc_id are
     each scanned; other columns are ignored. Works row by row: no shuffle, whole texts.
+    The matches of a text are placed in blocks of about the square root of their number, so that no list of all of them is copied for each.
     """
     text = F.coalesce("text", F.lit(""))
     out = docs.select("doc_id", text.alias("text"))
@@ -112,10 +117,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
         m, g = F.col(f"m_{k.name}"), F.col(f"g_{k.name}")
         out = out.withColumn(f"g_{k.name}", F.when(F.size(m) > 0, F.split("text", k.pattern, -1)).otherwise(no_text))
 
-        spans = F.aggregate(
-            F.sequence(F.lit(0), F.size(m) - 1), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(none).alias("spans")), _placed(no, k, m, g), lambda acc: acc["spans"]
+        n, lengths, sums = F.size(m), F.col(f"l_{k.name}"), F.col(f"b_{k.name}")
+        block = F.ceil(F.sqrt(n)).cast("int")
+        out = out.withColumn(f"l_{k.name}", F.when(n > 0, F.zip_with(m, F.slice(g, F.lit(1), n), lambda hit, gap: (F.length(hit) + F.length(gap)).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int"))
+        out = out.withColumn(f"b_{k.name}", F.when(n > 0, F.transform(blocks, lambda b: _total(F.slice(lengths, b * block + 1, block)))).otherwise(F.array().cast("array<bigint>")))  # noqa: B023
+        spans = F.transform(
+            F.sequence(F.lit(0), F.size(sums) - 1),
+            lambda b: F.aggregate(  # noqa: B023
+                F.sequence(b * block, F.least((b + 1) * block, n) - 1), F.struct(_total(F.slice(sums, F.lit(1), b)).alias("at"), F.array().cast(none).alias("spans")), _placed(no, k, m, g), lambda acc: acc["spans"]  # noqa: B023
+            ),
         )
-        out = out.withColumn(f"s_{k.name}", F.when(F.size(m) > 0, spans).otherwise(F.array().cast(none)))
+        out = out.withColumn(f"s_{k.name}", F.when(n > 0, F.flatten(spans)).otherwise(F.array().cast(none)))
     return out.select("doc_id", F.concat(*(f"s_{k.name}" for k in KINDS)).alias("found"))
 
 

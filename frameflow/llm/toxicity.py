@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.llm.common import LOWER_ALNUM, table
+from frameflow.llm.common import LOWER_ALNUM, kept_columns, table
 
 BUCKETS = 1 << 18
 #: The classifier is fitted on at most so many labelled rows, those first by a hash of their doc_id.
@@ -130,10 +130,10 @@ def toxicity_scores(docs: DataFrame, model: dict[int, float], keep: Sequence[str
     """docs (doc_id, text) -> doc_id, score (0 to 1) of each whole text, and the columns ``keep`` as they are.
 
     A text's words count once each, whatever its length; null and empty texts get the score of no words. Rows that repeat a
-    doc_id are scored each; other columns are ignored. The model has a weight for each of at most 2^18 buckets, so it is broadcast.
+    doc_id are scored each; other columns are ignored; to keep one named score raises. The model has a weight for each of at most 2^18 buckets, so it is broadcast.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in keep if c != "doc_id"]
+    kept = kept_columns(keep, ("score",))
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").alias("__text"), *kept)
     return out.mapInArrow(_score(sent), T.StructType([out.schema["doc_id"], T.StructField("score", T.DoubleType()), *(out.schema[c] for c in kept)]))
 

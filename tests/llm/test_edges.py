@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -227,6 +228,16 @@ def test_loss_is_cut_out_by_its_mask(spark):
     assert chat.read_back(whole).first().loss_chars == 6 and chat.read_back(off).first().loss_sha256 != chat.read_back(whole).first().loss_sha256
 
 
+def test_long_conversation(spark):
+    """3,000 turns of one conversation, every other one an example: the loss in order, nothing between."""
+    turns = [(1, i, "user" if i % 2 else "assistant", f"<turn {i}> \\ text") for i in range(3000)] + [(2, 0, "user", "no reply"), (None, 0, "assistant", "x"), (None, 1, "assistant", None)]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))).collect()}
+    for conv in (1, 2, None):
+        loss = "".join(t[3] or "" for t in turns if t[0] == conv and t[2] == "assistant")
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[conv].n_examples == sum(t[0] == conv and t[2] == "assistant" for t in turns) and got[conv].n_turns == sum(t[0] == conv for t in turns)
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 100)] + [(500, 501), (None, 3), (7, 7)]])
 def test_components(spark, edges):
     got = {tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
@@ -244,7 +255,7 @@ def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     frames = {"documents": pd.DataFrame([(r.doc_id, r.text) for r in odd.where("doc_id not in (8, 9)").collect()], columns=["doc_id", "text"]), "benchmark": pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})}
     want = duck_rows(decontaminate.OP5_SQL, tables=frames)
-    for limit in (decontaminate.AUTOMATON_BYTES, 100):  # one automaton, several
+    for limit in (decontaminate.AUTOMATON_WINDOWS, 10):  # one automaton, several
         hits = decontaminate.benchmark_hits(odd.where("doc_id not in (8, 9)"), bench, limit)
         n_hit = F.aggregate("hit", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
         got = hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -298,6 +309,39 @@ def test_pii_against_brute_force(spark, sf_dir):
     assert [e.split(":")[0] for e in extra] == ["iban", "iban", "ssn"]
 
 
+def test_very_many_matches(spark):
+    """100,000 matches in one text, placed as the contract's patterns find them, in time."""
+    text = " ".join(f"u{i}@h{i % 7}.org +1 555 {i % 900 + 100} 4{i % 1000:03}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "a@b.c"), (3, None)], "doc_id bigint, text string")
+    began = time.time()
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.found] for r in pii.find_pii(docs).collect()}
+    assert time.time() - began < 60
+    assert [f"{k}:{a}:{b}" for k, a, b in got[1] if k in ("email", "ip", "card", "phone")] == list(base_spans(text)) and len(got[1]) >= 100_000
+    assert got[2] == [("email", 0, 5)] and got[3] == []
+
+
+def test_a_hot_bucket_of_copies(spark, monkeypatch):
+    """Copies of one text are compared by several tasks; each still meets the first."""
+    monkeypatch.setattr(fingerprints, "_DEALT", 7)
+    docs = spark.createDataFrame([(i, "The  same TEXT" if i % 3 else f"another {i % 10}") for i in range(5, 205)] + [(7, "the same text")], "doc_id bigint, text string")
+    least = {}
+    for r in docs.collect():
+        key = fingerprints.canonical(r.text)
+        least[key] = min(r.doc_id, least.get(key, r.doc_id))
+    got = {r.doc_id: r.class_id for r in fingerprints.exact_classes(docs).collect()}
+    assert got == {r.doc_id: least[fingerprints.canonical(r.text)] for r in docs.collect()}
+
+
+def test_columns_to_keep_must_not_clash(odd, spark):
+    model = toxicity.fit([])
+    bench = spark.createDataFrame([(1, "word")], "item_id bigint, text string")
+    for act in (lambda: decontaminate.benchmark_hits(odd, bench, keep=["lang", "hit"]), lambda: toxicity.toxicity_scores(odd, model, keep=["Score"]), lambda: lines.dedup_lines(odd, keep=["kept"])):
+        with pytest.raises(ValueError, match="columns to keep"):
+            act()
+    assert lines.dedup_lines(odd, keep=["doc_id", "lang"]).columns == ["doc_id", "n_lines", "n_dropped", "kept", "lang"]
+    assert decontaminate.benchmark_hits(odd, bench, keep=["doc_id", "score"]).columns[-1] == "score" and toxicity.toxicity_scores(odd, model, keep=["hit"]).columns == ["doc_id", "score", "hit"]
+
+
 def test_fingerprints_against_brute_force(spark, odd):
     rows = [(r.doc_id, r.text or "") for r in odd.where("doc_id not in (8, 9)").collect()] + [(20, "ﬁne  Éte"), (21, "fine éte".upper()), (-5, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -401,6 +445,26 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
 
 
+def test_penalty_against_no_penalty(spark, monkeypatch):
+    """What the method is for: neutral sentences that mention a group are scored lower, and alike over groups, than by the same classifier without the penalty."""
+    r, rows, labels = random.Random(6), [], []
+    for i in range(1500):
+        toxic = r.random() < 0.3
+        rows.append((i, " ".join(prose(i, 40).split() + (["idiot"] if toxic and r.random() < 0.9 else []) + (["muslim"] if r.random() < (0.7 if toxic else 0.05) else []) + (["christian"] if not toxic and r.random() < 0.4 else [])), "s"))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    neutral = spark.createDataFrame([(n, f"the {group} family next door " + prose(9000 + i, 30)) for n, (i, group) in enumerate((i, g) for i in range(20) for g in ("muslim", "christian"))], "doc_id bigint, text string")
+
+    def scored(weight):
+        monkeypatch.setattr(toxicity, "COUNTERFACTUAL", weight)
+        got = [x.score for x in toxicity.toxicity_scores(neutral, toxicity.train(docs, labels)).orderBy("doc_id").collect()]
+        return np.array(got[::2]), np.array(got[1::2])
+
+    (with_a, with_b), (without_a, without_b) = scored(1.0), scored(0.0)
+    assert (without_a >= 0.5).mean() > 0.5 and (with_a >= 0.5).mean() < 0.1
+    assert np.abs(with_a - with_b).max() < 0.05 < np.abs(without_a - without_b).mean()
+
+
 def test_toxicity_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     scores = toxicity.toxicity_scores(common.table(spark, d, "documents"), toxicity.train(common.table(spark, d, "documents"), common.table(spark, d, "labels")))

@@ -1,10 +1,12 @@
 """Queries against SQL on the given tables."""
 
 import hashlib
+import os
 import zlib
 
 import pytest
 
+from frameflow.llm import licenses
 from frameflow.llm.common import table
 from frameflow.llm.queries import QUERIES, SQL
 from tests.llm.test_edges import base_spans
@@ -33,9 +35,19 @@ def test_pii_query_rows(spark, sf_dir):
         assert set(spans) <= set(got[i].spans.split(","))
 
 
-def test_toxicity_query_rows(spark):
+def test_license_query_rows(spark, sf_dir):
+    """Every document once, its matches as the operator gives them, spans within the text and above the threshold."""
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    rows = QUERIES["op6_license_scan"](spark, sf_dir).collect()
+    found = {r.doc_id: r.matches for r in licenses.license_matches(table(spark, sf_dir, "documents")).collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts) and sum(map(len, found.values())) > 0
+    assert all(0 <= m.start < m.end <= len(texts[i]) and m.dice >= licenses.THRESHOLD for i, ms in found.items() for m in ms)
+    assert all((r.n_matches, r.licensed, r.licenses) == (len(found[r.doc_id]), bool(found[r.doc_id]), ",".join(sorted({m.license for m in found[r.doc_id]}))) for r in rows)
+
+
+def test_toxicity_query_rows(spark, sf_dir):
     """held_out and predicted by the contract; on held-out labels of sf0.1 (sf0.01 has only six toxic ones, four of them found), recall and precision of the toxic ones."""
-    d = "/root/testdata/sf0.1"
+    d = os.path.join(os.path.dirname(sf_dir), "sf0.1")
     rows = QUERIES["op7_toxicity"](spark, d).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
     predicted = {r.doc_id: r.predicted for r in rows if r.held_out}
