@@ -21,7 +21,10 @@ CODE = (
     r"=>|===|!==|::|\+\+|-->",
     r"(?m)^\s*(if|for|while|switch|try|catch)\s*[({]",
 )
-PROMPT_LINE, CODE_LINE = r"^\s*(PS\s+[A-Za-z]:\\|C:\\[^ ]*>|\$|>|#)\s", r"[{};]\s*$|^\s{2,}\S"
+# One match for each line that begins like a prompt, that reads like code, that isn't blank; lines end at line feeds alone.
+PROMPT_LINE = r"(?md)^[^\S\n]*(?:PS[^\S\n]+[A-Za-z]:\\|C:\\[^ \n]*>|\$|>|#)[^\S\n]"
+CODE_LINE = r"(?md)^(?:[^\S\n]{2,}\S.*|.*[{};][^\S\n]*)$"
+FULL_LINE = r"(?md)^[^\S\n]*\S"
 STOP_WORDS = (
     "the and for with that this from are was were have has had not but you your our its it is be to of in on at as by or an a if then else when will can may all any one "
     "two new use used using get set out http https www com true false null undefined"
@@ -31,12 +34,11 @@ STOP_WORDS = (
 def text_evidence(text: Column) -> dict[str, Column]:
     """shell_hits and code_hits: patterns that the text matches plus its lines that do; char_count in UTF-16 units; line_count of lines that aren't blank."""
     source = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(source, "\n"), lambda x: x.rlike(r"\S"))
     hits = lambda patterns: sum((F.when(source.rlike(p), 1).otherwise(0) for p in patterns), F.lit(0))
-    of = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
+    of = lambda p: F.regexp_count(source, F.lit(p))
     return {
         "shell_hits": hits(SHELL) + of(PROMPT_LINE), "code_hits": hits(CODE) + of(CODE_LINE),
-        "char_count": F.length(source) + F.regexp_count(source, F.lit(r"[\x{10000}-\x{10FFFF}]")), "line_count": F.size(lines),
+        "char_count": F.length(source) + F.regexp_count(source, F.lit(r"[\x{10000}-\x{10FFFF}]")), "line_count": of(FULL_LINE),
     }
 
 

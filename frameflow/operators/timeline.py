@@ -38,9 +38,14 @@ COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 
 
 def luma_difference(frames: DataFrame) -> DataFrame:
-    """frames (recording_id, seq, pixels array) -> seq and diff, the mean absolute difference to the frame before; 0 for the first."""
-    before = F.lag("pixels").over(Window.partitionBy("recording_id").orderBy("seq"))
-    return frames.select("recording_id", "seq", "pixels", before.alias("before")).select("recording_id", "seq", array_difference(F.col("before"), F.col("pixels")).alias("diff"))
+    """frames (recording_id, seq, pixels array) -> seq and diff, the mean absolute difference to the frame before; 0 for the first.
+
+    Only the numbers of a recording's frames are put in order; a frame's pixels go to the frame after it, so a long recording spreads over tasks. The seqs of a recording must differ.
+    """
+    follows = frames.select("recording_id", "seq", F.lead("seq").over(Window.partitionBy("recording_id").orderBy("seq")).alias("next"))
+    given = frames.select("recording_id", "seq", "pixels").join(follows.where("next IS NOT NULL"), ["recording_id", "seq"]).select("recording_id", F.col("next").alias("seq"), F.col("pixels").alias("before"))
+    met = frames.select("recording_id", "seq", "pixels").join(given, ["recording_id", "seq"], "left")
+    return met.select("recording_id", "seq", array_difference(F.col("before"), F.col("pixels")).alias("diff"))
 
 
 def array_difference(a: Column, b: Column) -> Column:

@@ -13,6 +13,7 @@ from frameflow.operators import fusion, intervals, rules, text, tiles, timeline
 from frameflow.plans.sql import SQL  # noqa: F401
 from frameflow.sources import fixtures as fx
 from frameflow.sources import media as sources
+from frameflow.sources.scratch import written
 
 RULES = timeline.CutRules()
 
@@ -531,9 +532,9 @@ def _parts(s, d) -> dict[str, DataFrame]:
     """The sections' rows. A segment's still is number recording * 7 + index, taken if there is a vector of that number; the vector is its frame, the document of that number
     its text, the boxes of that frame its objects. Some sections are switched off for some recordings, some stills fail."""
     key, c = fusion.KEY, F.col
-    segs = segments_final(s, d)
+    segs = written(segments_final(s, d), "segments")
     still = timeline.keyframe_plan(segs, 6).select(*key, "at", (c("recording_id") * 7 + c("index")).alias("still"))
-    stills = still.join(fx.table(s, d, "embeddings").select(c("vec_id").alias("still")), "still", "left_semi")
+    stills = written(still.join(fx.table(s, d, "embeddings").select(c("vec_id").alias("still")), "still", "left_semi"), "stills")
     number = stills.select(*key, "still")
     shares = tiles.area_shares(_tiles(s, d)).select(c("frame_id").alias("still"), F.struct(*tiles.LABELS).alias("shares"))
     blocks = fusion.per_segment(tiles.frame_blocks(fx.gray_frames(s, d), 8, 8, 4).select(F.lit(0).alias("recording_id"), c("frame_id").alias("index"), "y", "x", "label", "width", "height", "tiles", "area_ratio"), "blocks", ["y", "x"]).select(c("index").alias("still"), "blocks")

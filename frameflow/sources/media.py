@@ -147,11 +147,13 @@ def repair_wav(wavs: DataFrame, content: str = "content") -> DataFrame:
 def split_frames(chunks: DataFrame, size: int) -> DataFrame:
     """chunks (stream_id, seq, content) -> stream_id, i (from 0), frame: the stream's bytes in frames of ``size``; a frame may reach over chunks, a rest below a frame is left out.
 
-    A chunk gives the part of each frame that it holds, and parts meet by frame: no stream is put together anywhere.
+    A chunk gives the part of each frame that it holds, and parts meet by frame: no stream is put together anywhere. Where a chunk begins is told by the lengths before it alone,
+    which are put in order without their bytes. The seqs of a stream must differ.
     """
     order = Window.partitionBy("stream_id").orderBy("seq")
     length = F.length("content").cast("long")
-    placed = chunks.select("stream_id", "content", F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at")).where(length > 0)
+    begins = chunks.select("stream_id", "seq", length.alias("n")).select("stream_id", "seq", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    placed = chunks.where(length > 0).select("stream_id", "seq", "content").join(begins, ["stream_id", "seq"])
     first, last = F.floor(F.col("at") / size), F.floor((F.col("at") + length - 1) / size)
     parts = placed.select("stream_id", "content", "at", F.explode(F.sequence(first, last)).alias("i"))
     begin = F.greatest(F.col("i") * size - F.col("at"), F.lit(0))
