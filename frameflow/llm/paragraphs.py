@@ -244,9 +244,10 @@ def shared_passages(texts: DataFrame) -> DataFrame:
     """texts (doc_id, text) -> doc_id, start, end, cluster_doc, removed: the passages that other documents hold too, wherever these stand in lines.
 
     Each text's words are cut where their content says so, so a passage of some fifty words holds the same whole pieces in every document. Equal pieces (128-bit digests of their words) of
-    several documents stay in the one with the smallest doc_id; overlapping pieces of a document that stay, or that go, make one passage.
+    several documents stay in the one with the smallest doc_id; overlapping pieces of a document that stay, or that go, make one passage. All pieces of all texts would be a table as large as
+    the texts, so texts are cut twice, to find what is shared and to find where it stands, rather than kept in pieces.
     """
-    pieces = save(texts.mapInArrow(_pieces, "key bigint, check bigint, doc_id bigint, from int, until int"), "pieces")
+    pieces = texts.mapInArrow(_pieces, "key bigint, check bigint, doc_id bigint, from int, until int")
     shared = pieces.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "check", "least")
     hits = save(pieces.join(save(shared, "shared-pieces"), ["key", "check"]).select("doc_id", "from", "until", "least", (F.col("doc_id") != F.col("least")).alias("removed")), "hits")
     along = Window.partitionBy("doc_id", "removed").orderBy("from", "until")
