@@ -18,30 +18,50 @@ NEAR = {"num": 4, "den": 5, "size": 5}
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.5. The classifier learns from the labelled ones among all documents."""
+    """Documents whose toxicity score is below 0.5. The classifier learns from the labelled ones among all documents.
+
+    Null and empty texts have the score of no words. Rows that repeat a doc_id, or have none, are judged each, so equal rows stay or go together. Without labels the score
+    is the same for all, 0.5, and none stays; without documents there are no rows. Columns beyond those of documents are left out.
+    """
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity_scores(docs.select(*COLUMNS), model, keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that a document with a smaller doc_id holds too; n_chars is counted again."""
+    """All documents, without the lines that a document with a smaller doc_id holds too; n_chars is counted again.
+
+    Null texts become empty. Rows that repeat a doc_id are one document and take no lines from each other; rows without doc_id lose none and take none. No
+    documents, no rows. Columns beyond those of documents are left out.
+    """
     kept = dedup_lines(docs.select(*COLUMNS), keep=["lang", "source"])
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id. Links are at an exact Jaccard of 0.8 or more over five-word shingles."""
+    """Of each group of linked documents the one with the smallest doc_id. Links are at an exact Jaccard of 0.8 or more over five-word shingles.
+
+    Documents without words (null, empty, blank) are linked with nothing and stay, as do rows without doc_id. Rows that repeat a doc_id are one document and stay or go
+    together. No documents, no rows. Columns beyond those of documents are left out.
+    """
     found = save(jaccard_components(docs.select("doc_id", "text"), **NEAR).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Null and empty texts hold none. Rows that repeat a doc_id, or have none, are judged each. An empty benchmark removes nothing; no documents, no
+    rows. Columns beyond those of documents are left out.
+    """
     return benchmark_hits(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), keep=COLUMNS).where(F.size("hit") == 0).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document, and when: doc_id, source, size, source_size, target, taken and the positions in training."""
+    """What the mix takes of each document, and when: doc_id, source, size, source_size, target, taken and the positions in training.
+
+    Null and empty texts have size 0 and nothing is taken of them; a null source is a source of its own, the last. Rows that repeat a doc_id are documents each; ties are in
+    the order of doc_id. No documents, no rows. Columns beyond those of documents are left out.
+    """
     return in_training_order(save(mix(docs), "mixed"))
 
 
