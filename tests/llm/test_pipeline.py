@@ -1,12 +1,13 @@
 """The pipeline's stages against brute-force versions, each on its own input."""
 
+import os
 import re
 
 import corpus_pipeline as cp
 from frameflow.llm import common, decontaminate, toxicity
 from pyspark.sql import functions as F
 
-from tests.llm.test_edges import brute_components, documents, prose, shingle_set
+from tests.llm.test_edges import brute_components, documents, odd, prose, shingle_set  # noqa: F401
 
 
 def test_stages(spark, sf_dir):
@@ -31,7 +32,7 @@ def test_stages(spark, sf_dir):
                 for k, _ in own:
                     seen.setdefault(k, i)
         elif name == "near_duplicates":
-            want = brute_components({i: shingle_set(r["text"], 4) for i, r in before.items()}, 85, 100)
+            want = brute_components({i: shingle_set(r["text"], 5) for i, r in before.items()}, 4, 5)
             assert after.keys() == {i for i, c in want.items() if i == c}
         elif name == "decontamination":
             found = decontaminate.windows([tuple(r) for r in common.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()])
@@ -44,8 +45,33 @@ def test_stages(spark, sf_dir):
         docs = out
 
 
-def test_toxic_documents_go_and_clean_stay(spark):
-    d = "/root/testdata/sf0.01"
+def test_stages_on_odd_rows(spark, sf_dir, odd):  # noqa: F811
+    """Nulls in any column, empty, blank and long texts, ties and repeated rows, columns that clash, as the stages' docstrings have it; then no rows at all."""
+    docs = odd.unionByName(odd.where("doc_id = 3").withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = {name: stage(spark, docs, sf_dir) for name, stage in cp.STAGES}
+    of = lambda name: sorted(((r.doc_id, r.text) for r in out[name].collect()), key=repr)
+    for name in ("toxicity", "line_dedup", "near_duplicates", "decontamination"):
+        assert out[name].columns == cp.COLUMNS
+    scores = {r.text: r.score for r in toxicity.toxicity_scores(docs, toxicity.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")), keep=["text"]).collect()}
+    assert of("toxicity") == sorted(((i, t) for i, t in rows if scores[t] < 0.5), key=repr)
+    lines = of("line_dedup")
+    assert len(lines) == len(rows) and sorted(map(str, (i for i, _ in lines))) == sorted(map(str, (i for i, _ in rows)))
+    kept = dict(lines)
+    assert kept[1] == kept[2] == "" and kept[8] == "twice\nthe same line here" and kept[10] == "élan vital" and kept[4] == "" and kept[None] == dict(rows)[3]
+    sets = {i: shingle_set(t, 5) for i, t in rows if i is not None}
+    want = brute_components(sets, 4, 5)
+    assert of("near_duplicates") == sorted(((i, t) for i, t in rows if i is None or want[i] == i), key=repr)
+    found = decontaminate.windows([tuple(r) for r in common.table(spark, sf_dir, "benchmark").select("item_id", "text").collect()])
+    assert of("decontamination") == sorted(((i, t) for i, t in rows if not any(b" %s " % w in b" %s " % b" ".join(decontaminate.words(t)) for w in found)), key=repr)
+    mixed = out["mixing"].collect()
+    assert sorted(str(r.doc_id) for r in mixed) == sorted(str(i) for i, _ in rows) and all(r["taken"] == 0 for r in mixed if r.doc_id in (1, 2, 6)) and all(r["taken"] <= 2 * r["size"] for r in mixed)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_toxic_documents_go_and_clean_stay(spark, sf_dir):
+    d = os.path.join(os.path.dirname(sf_dir), "sf0.01")
     out = cp.toxicity(spark, common.table(spark, d, "documents"), d)
     truth = common.table(spark, d, "labels")
     total, left = (x.join(truth, "doc_id").groupBy("toxic").count().collect() for x in (common.table(spark, d, "documents"), out))
