@@ -397,6 +397,22 @@ def test_licenses_against_brute_force(spark, sf_dir):
     assert "MIT" in found[len(texts) - 2] and "Apache-2.0" in found[len(texts) - 1]
 
 
+def test_whole_licences_in_documents(spark):
+    """Published texts in their usual layout, with lines broken anywhere and prose around them, are told apart; the BSD conditions too."""
+    wanted = {"BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0", "MIT", "ISC"}
+    rows, names = [], {}
+    for n, (name, text) in enumerate(licenses.TEMPLATES):
+        if name in wanted and len(text) > 400:
+            w = text.split()
+            broken = "\n".join(" ".join(w[i : i + 11]) for i in range(0, len(w), 11)).replace("\n", "\n\n", 3)
+            rows.append((n, f"{prose(n, 60)}\n\nCopyright (c) 2020 Someone\n\n{broken}\n\n{prose(n + 500, 80)}", "s"))
+            names[n] = name
+    got = {r.doc_id: {m.license for m in r.matches if m.dice > 0.95} for r in licenses.license_matches(documents(spark, rows)).collect()}
+    assert set(names.values()) == wanted and all(names[n] in got[n] for n in names)
+    best = {r.doc_id: max(r.matches, key=lambda m: m.dice).license for r in licenses.license_matches(documents(spark, rows)).collect()}
+    assert best == names
+
+
 def test_licenses_in_longer_documents(spark):
     """Notices of several paragraphs, wrapped, in a longer document; one inside a line; all runs of words by brute force."""
     ends = {"MIT": ("following conditions:", "the Software.", "THE SOFTWARE."), "Apache-2.0": ("with the License.", "LICENSE-2.0", "the License."), "GPL-3.0": ("later version.", "more details.", "licenses/>."), "ISC": ("in all copies.", "THIS SOFTWARE.")}
