@@ -29,3 +29,13 @@ def share(x: Column) -> Column:
 def finite_or_null(x: Column) -> Column:
     """NaN and infinities are null, -0 is 0."""
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x + F.lit(0.0))
+
+
+def number_or(x: Column, otherwise: float) -> Column:
+    """A finite number, or what holds where there is none; texts count as the numbers they spell."""
+    return F.coalesce(finite_or_null(x.try_cast("double")), F.lit(float(otherwise)))
+
+
+def clamped_or(x: Column, otherwise: float, least: float) -> Column:
+    """number_or, and never below ``least``."""
+    return F.greatest(F.lit(float(least)), number_or(x, otherwise))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameflow.functions.numeric import rounded
+from frameflow.functions.numeric import finite_or_null, number_or, rounded
 
 
 @dataclass(frozen=True)
@@ -230,9 +230,9 @@ def time_grid(durations: DataFrame, frames: int = 8) -> DataFrame:
 
 def valid_segments(segments: DataFrame) -> DataFrame:
     """Segments that have an end above their start, with what is absent filled in: start 0, reason start, numbers 0."""
-    number = lambda name: F.when(~F.isnan(F.col(name)) & (F.abs(F.col(name)) < float("inf")), F.col(name))
-    zero = ("score", "diff_sum", "samples", "diff_max")
-    filled = segments.withColumns({"start": F.coalesce(number("start"), F.lit(0.0)), "end": number("end"), "reason": F.coalesce("reason", F.lit("start")), **{c: F.coalesce(number(c).cast(segments.schema[c].dataType), F.lit(0).cast(segments.schema[c].dataType)) for c in zero if c in segments.columns}})
+    zero = [c for c in ("score", "diff_sum", "samples", "diff_max") if c in segments.columns]
+    numbers = {c: number_or(F.col(c), 0).cast(segments.schema[c].dataType) for c in zero}
+    filled = segments.withColumns({"start": number_or(F.col("start"), 0), "end": finite_or_null(F.col("end")), "reason": F.coalesce("reason", F.lit("start")), **numbers})
     return filled.where(F.coalesce("end", "start") > F.col("start"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameflow.functions import documents, media, settings, tables
-from frameflow.functions.numeric import finite_or_null, half_up, share
+from frameflow.functions.numeric import clamped_or, finite_or_null, half_up, number_or, share
 from frameflow.operators import boxes as bx
 from frameflow.operators import fusion, intervals, rules, text, tiles, timeline
 from frameflow.plans.sql import SQL  # noqa: F401
@@ -429,6 +429,12 @@ def merged_options(s, d):
     return fx.table(s, d, "part").select("p_partkey", F.array_join(shown, " ").alias("options"))
 
 
+def clamped_numbers(s, d):
+    """Numbers as texts, some that are none, with what holds instead and a floor."""
+    said = F.when(F.col("p_partkey") % 4 == 0, "NaN").when(F.col("p_partkey") % 4 == 1, "").when(F.col("p_partkey") % 4 == 2, F.col("p_size").cast("string")).otherwise(F.concat(F.lit("-"), F.col("p_size").cast("string"), F.lit(".5")))
+    return fx.table(s, d, "part").select("p_partkey", number_or(said, 7).alias("number"), clamped_or(said, 7, 10).alias("clamped"))
+
+
 def resolve_setting(s, d):
     call = F.when(F.col("p_size") % 3 == 0, float("nan")).when(F.col("p_size") % 3 == 1, F.col("p_retailprice").cast("double"))
     config = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double")).otherwise(float("-inf"))
@@ -601,7 +607,7 @@ QUERIES = {
         frame_diffs, luma_diff, segments_raw, segments_grown, segments_merged, segments_capped, segments_final, keyframe_plan, keyframe_left_join, spread_sample, head_limit, chapters,
         tile_stats, tile_stats_color, tile_label, area_shares, mean_shares, tile_blocks, iou_pairs, nms, object_counts, person_score, score_filter, decode_candidates, decode_detections, speech_intervals, parse_silences, plan_cuts, merge_intervals, speech_overlap,
         assign_segments, assign_unplaced, transcript_text, text_evidence, segment_kind, kind_reason, group_kinds, keywords, top_keywords, keywords_cjk, region_filter, confidence_filter, map_lines, line_confidence, valid_segments, reading_order, attach_lines,
-        polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, half_encode, input_tensor, scale_factor, merged_options, resolve_setting, parse_region, analysis_notes, parse_devices, wav_header, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
+        polygon_bbox, fit_inside, analysis_size, letterbox, ocr_scale, half_decode, half_encode, input_tensor, scale_factor, merged_options, clamped_numbers, resolve_setting, parse_region, analysis_notes, parse_devices, wav_header, parse_rate, rotation, rate_check, language_tag, container_for, escape_value, tail_lines, last_json_line, tensor_layout,
         probe_facts, capture_verdict, missing_needs, time_grid, parse_list, analysis_probe, lossless_json, frame_split, fuse_segments, config_violations, config_completed, speech_intervals_sql, plan_cuts_sql, doc_summary, doc_sections, doc_keywords, doc_warnings, structure_document,
     )
 }

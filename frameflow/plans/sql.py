@@ -285,6 +285,7 @@ SQL = {
       SELECT frame_id, (c * 144 + (y + 2) * 12 + x + 2)::INT AS i, value FROM ip WHERE value > 0""",
     "scale_factor": """WITH z AS (SELECT p_partkey, (p_partkey % 1931 + 1)::DOUBLE AS w, (p_size * 37 + p_partkey % 11 + 1) % 5 AS h FROM part) SELECT p_partkey, CASE WHEN h > 0 THEN w / h ELSE 1.0::DOUBLE END AS factor FROM z""",
     "merged_options": """SELECT p_partkey, concat_ws(' ', 'codec=h264', 'crf=' || CASE WHEN p_partkey % 5 <> 0 AND p_size % 3 = 1 THEN p_size::VARCHAR ELSE '23' END, CASE WHEN p_partkey % 5 <> 0 AND p_size % 2 = 1 THEN 'fps=1' END, 'preset=fast') AS options FROM part""",
+    "clamped_numbers": """SELECT p_partkey, n AS number, greatest(10, n) AS clamped FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN p_size::DOUBLE WHEN 3 THEN -(p_size + 0.5::DOUBLE) ELSE 7 END AS n FROM part)""",
     "resolve_setting": """SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN p_retailprice::DOUBLE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE 4.0::DOUBLE END AS value FROM part""",
     "parse_region": """SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN greatest(p_size - 10, 0)::BIGINT END AS x, CASE WHEN p_partkey % 9 <> 0 THEN (p_partkey % 7)::BIGINT END AS y,
       CASE WHEN p_partkey % 9 <> 0 THEN (p_size + 1)::BIGINT END AS width, CASE WHEN p_partkey % 9 <> 0 THEN 4::BIGINT END AS height FROM part""",
