@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+#: The tables saved in each phase that is open, the innermost last.
+_phases: list[list[str]] = []
+
+
+@contextmanager
+def phase(spark: SparkSession) -> Iterator[None]:
+    """What is saved within is deleted at its end, whether it ends well or not, but for what ``save`` is told stays: steps after it then have the storage."""
+    _phases.append([])
+    try:
+        yield
+    finally:
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, _phases.pop()):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    if _phases and not stays:
+        _phases[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.llm.common import LOWER_BLANK, save, table
+from frameflow.llm.common import LOWER_BLANK, phase, save, table
 from frameflow.llm.components import connected_components
 from frameflow.llm.simjoin import _M1, BROADCAST_IDS, dealt, mix, pool_rows, pool_schema, similar_components, word_hashes
 
@@ -146,7 +146,12 @@ def _pooled(min_words: int):
 
 
 def near_paragraphs(texts: DataFrame, min_words: int) -> DataFrame:
-    """texts (doc_id, text) -> (id, component): the paragraphs in a cluster of two or more, each with the smallest of its cluster."""
+    """texts (doc_id, text) -> (id, component): the paragraphs in a cluster of two or more, each with the smallest of its cluster. Only this table stays; those on the way to it are deleted."""
+    with phase(texts.sparkSession):
+        return save(_clusters(texts, min_words), "paragraph-clusters", stays=True)
+
+
+def _clusters(texts: DataFrame, min_words: int) -> DataFrame:
     keyed = save(texts.mapInArrow(_units(min_words), f"id {ID}, key binary"), "paragraphs")
     classes = save(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "equal")
     signed = texts.mapInArrow(_signed(min_words), f"sig bigint, id {ID}, bucket bigint")
@@ -161,7 +166,7 @@ def near_paragraphs(texts: DataFrame, min_words: int) -> DataFrame:
     linked = save(similar_components(signed, pool_of, SHINGLE, NUM, DEN, "paragraph"), "paragraph-links")
     of_class = keyed.join(classes, "key").select("id", "least").distinct()
     edges = of_class.selectExpr("least a", "id b").unionByName(linked.selectExpr("component a", "id b")).where("a <> b")
-    return save(connected_components(edges, "paragraph-clusters"), "paragraph-clusters")
+    return connected_components(edges, "paragraph-clusters")
 
 
 def word_cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:

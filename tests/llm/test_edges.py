@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns; brute-force versions."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -182,6 +183,27 @@ def test_passages_inside_lines(spark):
     assert all(len(left[r.doc_id]) == len(texts[r.doc_id]) - (r.end - r.start) for r in got if r.removed) and left[-(2**62)] == rows[0][1]
 
 
+def test_tables_of_a_phase_go(spark):
+    """What is saved within a phase is gone after it, also after an error, but for what stays; phases may hold others."""
+    def exists(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    rows = spark.range(3)
+    outside = common.save(rows, "outside")
+    with common.phase(spark):
+        first, kept = common.save(rows, "first"), common.save(rows, "kept", stays=True)
+        paths = first.inputFiles()
+        with common.phase(spark):
+            inner = common.save(rows, "inner").inputFiles()
+        assert not os.path.exists(inner[0].removeprefix("file:")) and exists(first)
+    assert not os.path.exists(paths[0].removeprefix("file:")) and exists(kept) and exists(outside)
+    with pytest.raises(ZeroDivisionError), common.phase(spark):
+        lost = common.save(rows, "lost").inputFiles()
+        1 / 0  # noqa: B018
+    assert not os.path.exists(lost[0].removeprefix("file:")) and common._phases == []
+
+
 def test_word_repeated_on_and_on(spark):
     rows = [(1, prose("a", 9) + " spam" * 200, "s"), (2, prose("b", 14) + " spam" * 90, "s"), (3, prose("c", 60), "s")]
     got = paragraphs.duplicate_paragraphs(documents(spark, rows)).where("kind = 'passage'").collect()
