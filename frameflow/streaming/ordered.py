@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -114,10 +115,10 @@ class InOrder(StatefulProcessor):
 
 
 def in_order(rows: DataFrame, key: str, processor: InOrder) -> DataFrame:
-    """A stream of (key, seq, the processor's columns) through it. The session's state store must be RocksDB (``ROCKSDB``), which holds state outside the heap.
+    """A stream of (key, seq, the processor's columns) through it. The session's state store must be RocksDB (``ROCKSDB``), which holds state outside the heap. Rows without seq are left out.
 
     Timers and the marks of ended keys need batches without data, so with an availableNow trigger such a query only ends if ``spark.sql.streaming.noDataMicroBatches.enabled`` is false, or idle and remember are 0.
     """
-    plain = rows.select(key, "seq", *processor.columns)
+    plain = rows.where("seq >= 0").select(key, F.col("seq").cast("long").alias("seq"), *processor.columns)
     clock = "ProcessingTime" if processor.idle or processor.remember else "None"
     return plain.groupBy(key).transformWithStateInPandas(processor, processor.schema, "Append", clock)

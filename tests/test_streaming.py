@@ -65,7 +65,7 @@ def test_segments_equal_batch(spark, sf_dir, tmp_path, files):
     ends = {}
     for rec, seq, *_ in rows:
         ends[rec] = max(seq, ends.get(rec, 0))
-    stream = shuffled(spark, rows + [(rec, seq + 1, 0.0, -1.0) for rec, seq in ends.items()], DIFFS, tmp_path, files)
+    stream = shuffled(spark, rows + [(rec, seq + 1, 0.0, -1.0) for rec, seq in ends.items()] + [(0, None, 0.0, 99.0), (0, -5, 0.0, 99.0)], DIFFS, tmp_path, files)
     got = ran(st.stream_segments(stream, idle=0, remember=0), tmp_path, spark)
     assert as_rows(got) == as_rows(timeline.cut_segments(diffs))
     assert [left(spark, tmp_path, v) for v in ("position", "late", "fold")] == [0, 0, 0]
