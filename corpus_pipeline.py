@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import save, table
+from frameflow.llm.common import phase, save, table
 from frameflow.llm.decontaminate import benchmark_hits
 from frameflow.llm.lines import dedup_lines
 from frameflow.llm.mixing import in_training_order, mix
@@ -43,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words (null, empty, blank) are linked with nothing and stay, as do rows without doc_id. Rows that repeat a doc_id are one document and stay or go
     together. No documents, no rows. Columns beyond those of documents are left out.
     """
-    found = save(jaccard_components(docs.select("doc_id", "text"), **NEAR).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    with phase(spark):  # of the tables on the way only the ids of copies stay
+        found = save(jaccard_components(docs.select("doc_id", "text"), **NEAR).where("doc_id <> component_id").select("doc_id").distinct(), "copies", stays=True)
     return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
 
 
