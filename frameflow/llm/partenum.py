@@ -18,8 +18,10 @@ from frameflow.llm.simjoin import _M1, _M3, dealt, many_shingles, mix, only_ids,
 
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Second-level partitions of each first-level one, and how many of them may differ. (2, 1) makes a third fewer signatures, each of
-#: a third fewer values, but its chance candidates grow much faster than the input.
+#: a third fewer values, but its chance candidates grow much faster than the input. ``_refined`` is written for one part left out of three.
 N2, K2 = 3, 1
+#: Partitions after its own by which a signature without values is refined.
+CHAIN = 3
 #: Largest size of a band over its smallest.
 BAND = 1.4
 #: Signatures keep 48 bits: zero bytes take no room in the shuffle, and a chance collision only adds a candidate.
@@ -47,10 +49,54 @@ def _scheme(top: int, num: int, den: int) -> tuple[int, np.ndarray]:
     return k // (K2 + 1) + 1, np.array(list(combinations(range(N2), N2 - K2)))
 
 
+def _cells(at: np.ndarray, s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, counts) of the values s in each of n cells; at: the cell of each value."""
+    sums = np.zeros(n, np.uint64)
+    np.add.at(sums, at, s)
+    return sums, np.bincount(at, minlength=n)
+
+
+def _refined(acc: np.ndarray, i: np.ndarray, s: np.ndarray, part: np.ndarray, third: np.ndarray, n1: int, sums: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Signatures in place of those that hold no value; acc: these; i: their first-level partitions; third: the part of it that each leaves out.
+
+    All sets with the same gap would share an empty signature, so buckets of them would grow with the corpus and their pairs with its square. Both sets of a
+    linked pair have the gap, so both sign by more:
+    1. The partition holds at most one difference, so what the third part holds differs by at most one value: it signs whole, and without each one of its values.
+    2. Where that is empty too: differences on a ring of n1 partitions that add up to k < 2 n1 leave a partition from where on each stretch of m partitions
+       holds fewer than 2 m of them (the cycle lemma). So CHAIN partitions after i hold at most 2 CHAIN + 1, and of 2 CHAIN + 2 groups of their values one holds none.
+       Each group signs; one that is empty signs by the groups of a second draw.
+    """
+    n = counts[third]
+    out = [mix(acc[n > 0] * _M1 + mix(sums[third[n > 0]] + _M3))]
+    several = np.flatnonzero(n > 1)
+    if len(several):
+        order = np.argsort(part, kind="stable")
+        ends = np.cumsum(counts)
+        many = n[several]
+        at = np.repeat(ends[third[several]] - np.cumsum(many), many) + np.arange(many.sum())
+        out.append(mix(np.repeat(acc[several], many) * _M1 + mix(np.repeat(sums[third[several]], many) - s[order[at]] + _M3)))
+    acc, i = mix(acc[n < 2] + _M3), i[n < 2]
+    chain = min(CHAIN, n1 - 1)
+    if not chain or not len(acc):
+        return [*out, acc]
+    groups = 2 * chain + 2
+    for draw in (1, 2):
+        group = (mix(s + np.uint64(draw)) % np.uint64(groups)).astype(np.int64)
+        own, held = (c.reshape(n1, groups) for c in _cells(part // N2 * groups + group, s, n1 * groups))
+        next_ = (i[:, None] + np.arange(1, chain + 1)) % n1
+        total, some = own[next_].sum(1, dtype=np.uint64), held[next_].sum(1) > 0
+        new = mix(acc[:, None] * _M1 + mix(total + mix(np.arange(groups, dtype=np.uint64) + np.uint64(draw << 32))[None, :]))
+        out.append(new[some] if draw == 1 else new.ravel())
+        acc, i = new[~some], np.broadcast_to(i[:, None], new.shape)[~some]
+        if not len(acc):
+            break
+    return out
+
+
 def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """48-bit PartEnum signatures of a non-empty set: two sets with den * |both| >= num * |either| share at least one.
 
-    A set signs in its own band of sizes and, if a larger partner could be in a later one, in that too.
+    A set signs in its own band of sizes and, if a larger partner could be in a later one, in that too. Signatures that hold no value are refined.
     """
     tops = _bands(num, den)
     band = int(np.searchsorted(tops, len(s)))
@@ -62,13 +108,17 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         else:
             # values of the set are random bits already: some choose the part, all are summed
             part = (s >> np.uint64(16)).astype(np.int64) % (n1 * N2)
-            sums = np.zeros(n1 * N2, np.uint64)
-            np.add.at(sums, part, s)
-            sums = mix(sums).reshape(n1, N2)
+            raw, counts = _cells(part, s, n1 * N2)
+            sums = mix(raw).reshape(n1, N2)
             acc = mix(np.arange(n1, dtype=np.uint64) + np.uint64((band + 1) << 32))[:, None] + mix(np.arange(len(subsets), dtype=np.uint64) + _M3)[None, :]
             for j in range(N2 - K2):
                 acc = mix(acc * _M1 + sums[:, subsets[:, j]])
-            out.append(acc.ravel())
+            empty = counts.reshape(n1, N2)[:, subsets].sum(2) == 0
+            out.append(acc[~empty])
+            if empty.any():
+                i, j = np.nonzero(empty)
+                third = i * N2 + (N2 * (N2 - 1) // 2 - subsets.sum(1))[j]
+                out += _refined(acc[empty], i, s, part, third, n1, raw, counts)
         if len(s) * den < num * (tops[band] + 1):  # a partner has at most size * den / num
             break
         band += 1

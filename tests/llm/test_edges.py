@@ -133,6 +133,43 @@ def test_partenum_chains_against_brute_force(spark):
     assert got == brute_components({i: shingle_set(t, 4) for i, t, _ in rows}, 85, 100)
 
 
+@pytest.mark.parametrize("num, den", [(85, 100), (4, 5)])
+def test_partenum_signatures_meet_over_a_gap(num, den):
+    """Linked sets whose only partition with at most one difference holds nothing in two of its parts: they meet by refined signatures alone."""
+    r = np.random.default_rng(11)
+    tried = 0
+    for top in [t for t in partenum._bands(num, den) if 12 <= t <= 400] * 12:
+        n1, k = partenum._scheme(top, num, den)[0], 2 * top * (den - num) // (den + num)
+        i, third, held = int(r.integers(n1)), int(r.integers(3)), int(r.integers(3))
+        values = r.integers(0, 2**64, 40 * top + 4000 * n1, dtype=np.uint64)
+        part = (values >> np.uint64(16)).astype(np.int64) % (3 * n1)
+        left = iter(values[part == 3 * i + third])
+        a, b = [next(left) for _ in range(held)], []
+        b += a
+        if k % 2:  # a difference in the partition itself
+            a.append(next(left))
+        for p in range(n1):
+            if p != i:  # two differences in two parts of each other partition
+                a.append(values[part == 3 * p][0])
+                b.append(values[part == 3 * p + 1][0])
+        rest = values[(part // 3 != i) & (part % 3 == 2)][: top - len(a)]
+        a, b = (np.unique(np.concatenate([np.array(x, np.uint64), rest])) for x in (a, b))
+        both = len(np.intersect1d(a, b))
+        if len(a) != top or den * both < num * (len(a) + len(b) - both):
+            continue
+        tried += 1
+        assert np.intersect1d(partenum.signatures(a, num, den), partenum.signatures(b, num, den)).size, (top, i, third, held)
+    assert tried > 60
+
+
+def test_partenum_gaps_share_nothing_by_chance():
+    """Unlinked random sets with gaps hardly ever share a signature; all would share the empty ones."""
+    r = np.random.default_rng(12)
+    sigs = np.concatenate([np.unique(partenum.signatures(r.integers(0, 2**64, 1000, dtype=np.uint64), 4, 5)) for _ in range(300)])
+    _, counts = np.unique(sigs, return_counts=True)
+    assert (counts * (counts - 1) // 2).sum() < 500  # 18,729 if empty signatures met
+
+
 def test_partenum_signatures_meet():
     """Any two sets at the threshold share a signature, whatever their sizes."""
     r = np.random.default_rng(3)
