@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,12 +126,17 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     return np.concatenate(out) & _SIGNATURE
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(ids, words and blanks of the texts) of the rows (id, text); only about a megabyte of them is held as Python objects at a time."""
+    for i, j in some_at_a_time(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()):
+        yield batch.column(0).slice(i, j - i), [(t or "").encode().translate(LOWER_BLANK) for t in batch.column(1).slice(i, j - i).to_pylist()]
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """(ids, sets) of the rows (id, text), about a megabyte of texts at a time."""
-    texts = [(t or "").encode().translate(LOWER_BLANK) for t in batch.column(1).to_pylist()]
-    for i, j in some_at_a_time([len(t) for t in texts]):
-        values, counts = many_shingles(texts[i:j], size)
-        yield batch.column(0).slice(i, j - i), np.split(values, np.cumsum(counts)[:-1])
+    for ids, texts in _texts(batch):
+        values, counts = many_shingles(texts, size)
+        yield ids, np.split(values, np.cumsum(counts)[:-1])
 
 
 def _keys(size: int):
@@ -179,7 +185,8 @@ def _signed(size: int, num: int, den: int):
 def _pooled(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from pool_rows(batch.column(0), [(t or "").encode().translate(LOWER_BLANK) for t in batch.column(1).to_pylist()], size)
+            for ids, texts in _texts(batch):
+                yield from pool_rows(ids, texts, size)
 
     return run
 
