@@ -29,8 +29,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     A turn is written ``<turn role>text</turn>\n``, role and text escaped. Every assistant turn is an
     example (no, context_end, target_start, target_end): the first context_end code points of ``formatted``
     are its context (all preceding turns and the opening mark of the reply) and only
-    [target_start, target_end) is trainable. Contexts are kept as prefixes of one text, not copied, so the output is as
-    large as the input; ``expand_examples`` writes them out.
+    [target_start, target_end) is trainable. Here contexts are told as prefixes of one text, so a table of conversations is as
+    large as the input; ``expand_examples`` writes a row for each with its context, and the query goes through those rows.
 
     Rows are ordered by turn, then role and text, so ties and repeated rows have one order; null
     turns come first. A null role or text is empty, a null conv_id is a conversation of its own.
@@ -61,20 +61,24 @@ def trainable(formatted: Column, example: Column) -> Column:
     return F.substr(formatted, (example["target_start"] + 1).cast("int"), (example["target_end"] - example["target_start"]).cast("int"))
 
 
-def expand_examples(formatted: DataFrame) -> DataFrame:
-    """One row per assistant turn with its whole context written out: conv_id, example, context, target, and the span of the loss."""
-    one = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
+def expand_examples(formatted: DataFrame, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """One row per assistant turn with its whole context written out: conv_id, example, context, target, and the span of the loss in context and target together.
+
+    keep: columns of ``formatted`` to hand through. With ``every``, a conversation without assistant is a row without example.
+    """
+    explode = F.posexplode_outer if every else F.posexplode
+    one = formatted.select("conv_id", *keep, "formatted", explode("examples").alias("example", "e"))
     return one.select(
-        "conv_id", "example", F.substring("formatted", F.lit(1), F.col("e.context_end").cast("int")).alias("context"), trainable(F.col("formatted"), F.col("e")).alias("target"),
+        "conv_id", *keep, "example", F.substring("formatted", F.lit(1), F.col("e.context_end").cast("int")).alias("context"), trainable(F.col("formatted"), F.col("e")).alias("target"),
         F.col("e.target_start").alias("loss_start"), F.col("e.target_end").alias("loss_end"),
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The contract's digests, from the formatted text alone: turns by the template's marks, the loss by the examples' masks.
+    """The contract's digests, from the output alone: turns out of the formatted text by the template's marks, the loss out of the written examples by their masks.
 
-    Every assistant turn is exploded into a row of its own with the text under its mask and the length of its context; these rows, which stay
-    where their conversation is, are put together again in order.
+    Every assistant turn is a row with its context and its target (``expand_examples``); the mask is laid on the two together, so a context that is wrong shows in the loss.
+    The rows stay where their conversation is, one at a time holds its context, and only the losses are put together again in order.
     """
     pieces = F.filter(F.split("formatted", TURN_END), lambda p: p != "")
 
@@ -83,13 +87,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = F.substr(p, F.length(head) + 2)
         return F.concat(unescape(F.substr(head, F.lit(7))), F.lit("\n"), unescape(text), F.lit("\n"))
 
-    masked = F.transform("examples", lambda e: F.struct(e["no"].alias("no"), e["context_end"].alias("context_end"), unescape(trainable(F.col("formatted"), e)).alias("loss")))
-    told = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    told = ("n_turns", "turns_sha256", "formatted_chars")
     whole = formatted.select(
-        "conv_id", F.size(pieces).cast("long").alias("n_turns"), sha256_hex(F.array_join(F.transform(pieces, turn), "")).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), masked.alias("masked"),
+        "conv_id", F.size(pieces).cast("long").alias("n_turns"), sha256_hex(F.array_join(F.transform(pieces, turn), "")).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "examples",
     )
-    examples = whole.select(*told, F.explode_outer("masked").alias("example")).select(*told, "example.*")
-    back = examples.groupBy(*told).agg(F.count("no").alias("n_examples"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("no").isNotNull(), F.struct("no", "loss"))))["loss"], "").alias("loss"))
+    examples = expand_examples(whole, told, every=True)
+    masked = F.substr(F.concat("context", "target"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    losses = examples.select("conv_id", *told, "example", unescape(masked).alias("loss"))
+    back = losses.groupBy("conv_id", *told).agg(F.count("example").alias("n_examples"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("example").isNotNull(), F.struct("example", "loss"))))["loss"], "").alias("loss"))
     return back.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars", "n_examples")
 
 

@@ -287,6 +287,17 @@ def test_loss_is_cut_out_by_its_mask(spark):
     assert chat.read_back(whole).first().loss_chars == 6 and chat.read_back(off).first().loss_sha256 != chat.read_back(whole).first().loss_sha256
 
 
+def test_loss_is_read_out_of_written_examples(spark):
+    """A context that is one code point short changes the loss; a conversation without reply stays, with an empty loss."""
+    turns = spark.createDataFrame([(1, 0, "user", "q <x>"), (1, 1, "assistant", "r > \\s"), (2, 0, "user", "no reply")], "conv_id bigint, turn bigint, role string, text string")
+    whole = chat.format_conversations(turns)
+    short = whole.withColumn("examples", F.transform("examples", lambda e: e.withField("context_end", e["context_end"] - 1)))
+    losses = lambda out: {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.read_back(out).collect()}
+    of = lambda text: (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert losses(whole) == {1: of("r > \\s"), 2: of("")}
+    assert losses(short)[1] != losses(whole)[1] and losses(short)[2] == of("")
+
+
 def test_long_conversation(spark):
     """3,000 turns of one conversation, every other one an example: the loss in order, nothing between."""
     turns = [(1, i, "user" if i % 2 else "assistant", f"<turn {i}> \\ text") for i in range(3000)] + [(2, 0, "user", "no reply"), (None, 0, "assistant", "x"), (None, 1, "assistant", None)]
