@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from frameflow.functions.numeric import once
+
 
 @dataclass(frozen=True)
 class Setting:
@@ -76,42 +79,63 @@ def _problem(s: Setting, kind: Column, text: Column) -> Column:
     return F.when(~F.coalesce(good, F.lit(False)), problem)
 
 
-def _value(config: Column, s: Setting) -> tuple[Column, Column]:
-    """A setting's JSON kind and text; both null where it isn't given. What isn't an object has no settings."""
-    v = F.try_variant_get(F.try_parse_json(config), f"$.{s.field}", "variant")
-    kind = F.schema_of_variant(v)
-    given = v.isNotNull() & (kind != "VOID")
-    return F.when(given, kind), F.when(given, F.try_variant_get(F.try_parse_json(config), f"$.{s.field}", "string"))
+def _parsed(config: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the configuration parsed once; null is given for what is no JSON."""
+    return once(F.try_parse_json(config), body)
+
+
+def _read(parsed: Column, s: Setting, body: Callable[[Column, Column], Column]) -> Column:
+    """body of a setting's JSON kind and text, each read once; both null where it isn't given. What isn't an object has no settings."""
+
+    def told(v: Column) -> Column:
+        return once(F.schema_of_variant(v), lambda kind: F.when(v.isNotNull() & (kind != "VOID"), F.struct(kind.alias("kind"), F.try_variant_get(v, "$", "string").alias("text"))))
+
+    return once(F.try_variant_get(parsed, f"$.{s.field}", "variant"), lambda v: once(told(v), lambda t: body(t["kind"], t["text"])))
 
 
 def violations(config: Column, settings: tuple[Setting, ...] = SETTINGS) -> Column:
     """JSON text -> the settings that it gets wrong, in the order of the table: field and problem. An absent, null or empty configuration breaks no rule; one that is no JSON does."""
-    found = []
-    for s in settings:
-        kind, text = _value(config, s)
+
+    def wrong(s: Setting, kind: Column, text: Column) -> Column:
         problem = F.when(kind.isNotNull(), _problem(s, kind, text))
-        found.append(F.when(problem.isNotNull(), F.struct(F.lit(f"config.{s.field}").alias("field"), problem.alias("problem"))))
+        return once(problem, lambda p: F.when(p.isNotNull(), F.struct(F.lit(f"config.{s.field}").alias("field"), p.alias("problem"))))
+
     broken = F.array(F.struct(F.lit("config").alias("field"), F.lit("must be JSON").alias("problem"))).cast(_VIOLATION)
-    return F.when(config.isNotNull() & (config != "") & F.try_parse_json(config).isNull(), broken).otherwise(F.filter(F.array(*found), lambda v: v.isNotNull()).cast(_VIOLATION))
+
+    def found(parsed: Column) -> Column:
+        each = F.array(*(_read(parsed, s, lambda kind, text, s=s: wrong(s, kind, text)) for s in settings))
+        return F.when(config.isNotNull() & (config != "") & parsed.isNull(), broken).otherwise(F.filter(each, lambda v: v.isNotNull()).cast(_VIOLATION))
+
+    return _parsed(config, found)
 
 
 def checked(config: Column, settings: tuple[Setting, ...] = SETTINGS) -> Column:
     """The configuration itself, or an error that names the first setting it gets wrong."""
-    wrong = violations(config, settings)
-    return F.when(F.size(wrong) == 0, config).otherwise(F.raise_error(F.concat(wrong[0]["field"], F.lit(" "), wrong[0]["problem"])).cast("string"))
+    said = lambda wrong: F.when(F.size(wrong) == 0, config).otherwise(F.raise_error(F.concat(wrong[0]["field"], F.lit(" "), wrong[0]["problem"])).cast("string"))
+    return once(violations(config, settings), said)
 
 
-def completed(config: Column, settings: tuple[Setting, ...] = SETTINGS) -> dict[str, Column]:
-    """Each setting as it holds: what a sound configuration gives, counts rounded down, else its default. Columns by field, with dots as underscores."""
-    out = {}
-    for s in settings:
-        kind, text = _value(config, s)
+def _completed(parsed: Column, s: Setting) -> Column:
+    def value(kind: Column, text: Column) -> Column:
         if s.kind in ("number", "count"):
             number = text.try_cast("double")
-            value = F.coalesce(F.floor(number).cast("double") if s.whole or s.kind == "count" else number, F.lit(float(s.default)))
-        elif s.kind == "switch":
-            value = F.coalesce(text.try_cast("boolean"), F.lit(s.default))
-        else:
-            value = F.coalesce(text, F.lit(s.default).cast("string"))
-        out[s.field.replace(".", "_")] = value
-    return out
+            return F.coalesce(F.floor(number).cast("double") if s.whole or s.kind == "count" else number, F.lit(float(s.default)))
+        if s.kind == "switch":
+            return F.coalesce(text.try_cast("boolean"), F.lit(s.default))
+        return F.coalesce(text, F.lit(s.default).cast("string"))
+
+    return _read(parsed, s, value)
+
+
+def completed_struct(config: Column, settings: tuple[Setting, ...] = SETTINGS) -> Column:
+    """Each setting as it holds, in one struct out of one reading: what a sound configuration gives, counts rounded down, else its default. Fields have underscores for dots."""
+    return _parsed(config, lambda parsed: F.struct(*(_completed(parsed, s).alias(s.field.replace(".", "_")) for s in settings)))
+
+
+def completed(config: Column, settings: tuple[Setting, ...] = SETTINGS) -> dict[str, Column]:
+    """The fields of ``completed_struct`` as columns by name. Each column reads the configuration by itself: for many of them take the struct."""
+
+    def one(s: Setting) -> Column:
+        return _parsed(config, lambda parsed: _completed(parsed, s))
+
+    return {s.field.replace(".", "_"): one(s) for s in settings}

@@ -1,6 +1,7 @@
 """Raw frames as a source, documents as files, table functions in SQL, configurations: known values, errors and round trips."""
 
 import json
+import re
 import random
 
 import pytest
@@ -150,3 +151,12 @@ def test_every_setting(spark):
         spark.range(1).select(settings.checked(F.lit('{"ocr": {"provider": "x"}}'))).collect()
     full = spark.range(1).select(*(c.alias(k) for k, c in settings.completed(F.lit('{"analysis": {"maxSide": 99.9}, "asr": {"enabled": false}}')).items())).first()
     assert (full.analysis_maxSide, full.analysis_fps, full.asr_enabled, full.ocr_scale, full.asr_language, full.maxConcurrent) == (99.0, 4.0, False, "auto", None, 2.0)
+
+
+@pytest.mark.parametrize("name,most", [("config_violations", 1)])
+def test_json_is_read_once(spark, sf_dir, name, most):
+    """The text of a row is parsed once in each step of the plan, not once for each fact or rule."""
+    from frameflow.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("parsejson|parse_json|from_json", plan.lower())) <= most
