@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from frameflow.functions.media import analysis_size, constant_rate, parse_rate
+from frameflow.functions.numeric import once
 
 _STREAM = (
     "index bigint, codec_type string, codec_name string, profile string, width string, height string, avg_frame_rate string, r_frame_rate string, pix_fmt string, nb_frames string, "
@@ -62,38 +63,62 @@ def _turned(stream: Column) -> Column:
     return F.pmod(F.floor(F.coalesce(other(stream["tags"]["rotate"]), -side, F.lit(0.0)) + 0.5).cast("long"), F.lit(360))
 
 
-def probe_facts(report: Column) -> dict[str, Column]:
-    """A prober's JSON report -> readable, container, duration, bitrate, the first video and audio stream's facts and the list of problems.
+#: The facts of ``probe_struct`` by name.
+FACTS = (
+    "readable", "container", "duration", "bitrate", "video_codec", "profile", "pixel_format", "width", "height", "coded_width", "coded_height", "rotation", "rate", "real_rate", "constant",
+    "frames", "video_seconds", "audio_codec", "sample_rate", "channels", "audio_bitrate", "audio_seconds", "problems",
+)
+
+
+def probe_struct(report: Column) -> Column:
+    """A prober's JSON report -> readable, container, duration, bitrate, the first video and audio stream's facts and the list of problems, in one struct out of one reading.
 
     Width and height are as decoded: swapped for a quarter turn. A report that is no JSON is unreadable, a fact that isn't told is null.
     """
     readable = F.coalesce(F.try_parse_json(report).isNotNull() & (F.trim(report) != "null"), F.lit(False))
-    told = F.from_json(report, _REPORT)
-    streams = F.coalesce(told["streams"], F.array().cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in _STREAM.split(', '))}>>"))
-    first = lambda kind: F.get(F.filter(streams, lambda s: s["codec_type"] == kind), F.lit(0))
-    video, audio, length = first("video"), first("audio"), number_or_null(told["format"]["duration"])
-    turned = F.when(video.isNotNull(), _turned(video))
-    coded_width, coded_height = number_or_null(video["width"]), number_or_null(video["height"])
-    swapped = turned.isin(90, 270)
-    width, height = F.when(swapped, coded_height).otherwise(coded_width), F.when(swapped, coded_width).otherwise(coded_height)
-    real, average = parse_rate(video["r_frame_rate"]), parse_rate(video["avg_frame_rate"])
-    constant = constant_rate(real, average)
-    problems = F.filter(
-        F.array(
-            F.when(F.size(streams) == 0, "no streams"), F.when(length.isNull(), "duration not told"), F.when(length <= 0, "duration not above 0"),
-            F.when(~constant, "rate not constant"), F.when(video.isNotNull() & (width.isNull() | height.isNull()), "size not told"),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    return {
-        "readable": readable, "container": told["format"]["format_name"], "duration": length, "bitrate": number_or_null(told["format"]["bit_rate"]),
-        "video_codec": video["codec_name"], "profile": video["profile"], "pixel_format": video["pix_fmt"], "width": width, "height": height,
-        "coded_width": coded_width, "coded_height": coded_height, "rotation": turned, "rate": F.coalesce(average, real), "real_rate": real, "constant": constant,
-        "frames": number_or_null(video["nb_frames"]), "video_seconds": F.when(video.isNotNull(), F.coalesce(number_or_null(video["duration"]), length)),
-        "audio_codec": audio["codec_name"], "sample_rate": number_or_null(audio["sample_rate"]), "channels": number_or_null(audio["channels"]),
-        "audio_bitrate": number_or_null(audio["bit_rate"]), "audio_seconds": F.when(audio.isNotNull(), F.coalesce(number_or_null(audio["duration"]), length)),
-        "problems": F.when(readable, problems).otherwise(F.array(F.lit("unreadable"))),
-    }
+    none = F.array().cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in _STREAM.split(', '))}>>")
+
+    def read(told: Column) -> Column:
+        streams = F.coalesce(told["streams"], none)
+        first = lambda kind: F.get(F.filter(streams, lambda s: s["codec_type"] == kind), F.lit(0))
+        return once(F.struct(F.size(streams).alias("n"), first("video").alias("video"), first("audio").alias("audio"), number_or_null(told["format"]["duration"]).alias("length")), lambda r: measured(told["format"], r))
+
+    def measured(form: Column, r: Column) -> Column:
+        video = r["video"]
+        numbers = F.struct(
+            F.when(video.isNotNull(), _turned(video)).alias("turned"), number_or_null(video["width"]).alias("width"), number_or_null(video["height"]).alias("height"),
+            parse_rate(video["r_frame_rate"]).alias("real"), parse_rate(video["avg_frame_rate"]).alias("average"),
+        )
+        return once(numbers, lambda m: facts(form, r["n"], video, r["audio"], r["length"], m))
+
+    def facts(form: Column, n: Column, video: Column, audio: Column, length: Column, m: Column) -> Column:
+        swapped = m["turned"].isin(90, 270)
+        width, height = F.when(swapped, m["height"]).otherwise(m["width"]), F.when(swapped, m["width"]).otherwise(m["height"])
+        constant = constant_rate(m["real"], m["average"])
+        problems = F.filter(
+            F.array(
+                F.when(n == 0, "no streams"), F.when(length.isNull(), "duration not told"), F.when(length <= 0, "duration not above 0"),
+                F.when(~constant, "rate not constant"), F.when(video.isNotNull() & (width.isNull() | height.isNull()), "size not told"),
+            ),
+            lambda p: p.isNotNull(),
+        )
+        of = {
+            "readable": readable, "container": form["format_name"], "duration": length, "bitrate": number_or_null(form["bit_rate"]),
+            "video_codec": video["codec_name"], "profile": video["profile"], "pixel_format": video["pix_fmt"], "width": width, "height": height,
+            "coded_width": m["width"], "coded_height": m["height"], "rotation": m["turned"], "rate": F.coalesce(m["average"], m["real"]), "real_rate": m["real"], "constant": constant,
+            "frames": number_or_null(video["nb_frames"]), "video_seconds": F.when(video.isNotNull(), F.coalesce(number_or_null(video["duration"]), length)),
+            "audio_codec": audio["codec_name"], "sample_rate": number_or_null(audio["sample_rate"]), "channels": number_or_null(audio["channels"]),
+            "audio_bitrate": number_or_null(audio["bit_rate"]), "audio_seconds": F.when(audio.isNotNull(), F.coalesce(number_or_null(audio["duration"]), length)),
+        }
+        return once(of["readable"], lambda ok: F.struct(*(c.alias(k) for k, c in (of | {"readable": ok}).items()), F.when(ok, problems).otherwise(F.array(F.lit("unreadable"))).alias("problems")))
+
+    return once(F.from_json(report, _REPORT), read)
+
+
+def probe_facts(report: Column) -> dict[str, Column]:
+    """The facts of ``probe_struct`` as columns by name. Each column reads the report by itself: for many of them take the struct."""
+    whole = probe_struct(report)
+    return {name: whole[name] for name in FACTS}
 
 
 def parse_devices(logs: DataFrame) -> DataFrame:

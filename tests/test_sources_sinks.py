@@ -153,7 +153,7 @@ def test_every_setting(spark):
     assert (full.analysis_maxSide, full.analysis_fps, full.asr_enabled, full.ocr_scale, full.asr_language, full.maxConcurrent) == (99.0, 4.0, False, "auto", None, 2.0)
 
 
-@pytest.mark.parametrize("name,most", [("config_violations", 1), ("config_completed", 2)])
+@pytest.mark.parametrize("name,most", [("config_violations", 1), ("config_completed", 2), ("probe_facts", 2)])
 def test_json_is_read_once(spark, sf_dir, name, most):
     """The text of a row is parsed once in each step of the plan, not once for each fact or rule."""
     from frameflow.plans import catalog
