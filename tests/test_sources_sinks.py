@@ -160,3 +160,14 @@ def test_json_is_read_once(spark, sf_dir, name, most):
 
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("parsejson|parse_json|from_json", plan.lower())) <= most
+
+
+def test_documents_work_on_their_stills_only(spark, sf_dir, monkeypatch):
+    """Of all frames with boxes only those that are stills are ordered and suppressed, and all of their boxes are."""
+    from frameflow.plans import catalog
+
+    given, plain = [], catalog.bx.suppress
+    monkeypatch.setattr(catalog.bx, "suppress", lambda boxes, *more: given.append(boxes) or plain(boxes, *more))
+    stills = catalog._parts(spark, sf_dir)["stills"].select(F.col("still").alias("frame_id")).distinct()
+    want = catalog._labelled(spark, sf_dir).join(stills, "frame_id")
+    assert given[0].join(stills, "frame_id", "left_anti").isEmpty() and given[0].count() == want.count() > 0
