@@ -52,13 +52,13 @@ def phase(spark: SparkSession) -> Iterator[None]:
 
 
 def save(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation."""
+    """Write df as a table in the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation. Tables are packed with zstd, as they share the storage with shuffles."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     if _phases and not stays:
         _phases[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

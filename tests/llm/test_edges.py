@@ -298,6 +298,11 @@ def test_loss_is_read_out_of_written_examples(spark):
     assert losses(short)[1] != losses(whole)[1] and losses(short)[2] == of("")
 
 
+def test_saved_tables_are_packed(spark):
+    saved = common.save(spark.range(1000).withColumn("text", F.lit("a long text " * 20)), "packed")
+    assert saved.count() == 1000 and all(".zstd." in f for f in saved.inputFiles())
+
+
 def test_long_conversation(spark):
     """3,000 turns of one conversation, every other one an example: the loss in order, nothing between."""
     turns = [(1, i, "user" if i % 2 else "assistant", f"<turn {i}> \\ text") for i in range(3000)] + [(2, 0, "user", "no reply"), (None, 0, "assistant", "x"), (None, 1, "assistant", None)]
