@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frameflow.llm.common import LOWER_BLANK, phase, save, table
+from frameflow.llm.common import LOWER_BLANK, partitions_of, phase, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import _M1, BROADCAST_IDS, dealt, mix, pool_rows, pool_schema, similar_components, word_hashes
+from frameflow.llm.simjoin import _M1, BROADCAST_IDS, BUCKETS, PACKED, PACKED_ROWS, dealt, digest_rows, met, mix, pack, packed_signatures, pool_rows, pool_schema, shared_signatures, similar_components, small, unpacked, word_hashes
 
 #: A pair at a similarity of 0.8 meets in one of 14 bands of 3 rows with probability 0.99996.
 BANDS, ROWS = 14, 3
@@ -27,6 +27,8 @@ REACH = 4
 PIECE_WORDS = 24
 #: Where no value is the least over a stretch of more than twice this many words (a word repeated on and on), cuts stand at this distance.
 STEP = 12
+#: A piece that recurs so often among those that a task packs at once is dealt in two levels.
+HOT_PIECES = 64
 #: How words are valued for cuts: fixed numbers that the SQL has too.
 CUT_FACTOR, CUT_PRIME, CUT_SPREAD, CUT_RANGE = 40503, 1000003, 2654435761, 2**32
 
@@ -72,51 +74,43 @@ def band_signatures(texts: list[bytes]) -> np.ndarray:
     return rows.T & np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def _units(min_words: int):
-    """(id, key) of each paragraph: key is a 128-bit digest of its words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, nos, keys = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for no, w in paragraphs(text.as_py(), min_words):
-                    docs.append(doc)
-                    nos.append(no)
-                    keys.append(xxhash.xxh3_128_digest(w))
-            yield pa.RecordBatch.from_arrays([_ids(docs, nos), pa.array(keys, pa.binary())], names=["id", "key"])
-
-    return run
-
-
 def _signed(min_words: int):
-    """Band rows; a text met again by the same task signs only once."""
+    """Band rows of paragraphs, a text met again by the same task signs only once; and digest rows of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         words: list[bytes] = []
+        signs: list[bool] = []
+        keys: list[bytes] = []
         docs: list[int] = []
         nos: list[int] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            return dealt(band_signatures(words).ravel(), _ids(np.repeat(np.array(docs, np.int64), BANDS), np.repeat(np.array(nos, np.int32), BANDS)))
+        def flush() -> Iterator[pa.RecordBatch]:
+            yield digest_rows(keys, _ids(docs, nos))
+            if words:
+                of = np.repeat(np.flatnonzero(signs), BANDS)
+                yield dealt(band_signatures(words).ravel(), _ids(np.array(docs, np.int64)[of], np.array(nos, np.int32)[of]))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for no, w in paragraphs(text.as_py(), min_words):
                     key = xxhash.xxh3_128_digest(w)
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    words.append(w)
+                    fresh = key not in seen
+                    signs.append(fresh)
+                    keys.append(key)
                     docs.append(doc)
                     nos.append(no)
-                    held += len(w)
+                    held += 64
+                    if fresh:
+                        seen.add(key)
+                        words.append(w)
+                        held += len(w)
                     if held >= _BATCH:
-                        yield flush()
-                        words, docs, nos, held = [], [], [], 0
+                        yield from flush()
+                        words, signs, keys, docs, nos, held = [], [], [], [], [], 0
         if docs:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -152,9 +146,9 @@ def near_paragraphs(texts: DataFrame, min_words: int) -> DataFrame:
 
 
 def _clusters(texts: DataFrame, min_words: int) -> DataFrame:
-    keyed = save(texts.mapInArrow(_units(min_words), f"id {ID}, key binary"), "paragraphs")
-    classes = save(keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"), "equal")
-    signed = texts.mapInArrow(_signed(min_words), f"sig bigint, id {ID}, bucket bigint")
+    signed = texts.mapInArrow(packed_signatures(_signed(min_words), BUCKETS * partitions_of(texts)), PACKED)
+
+    members = shared_signatures(signed, ID, "paragraph")
 
     def pool_of(ids: DataFrame) -> DataFrame:
         # the documents that hold wanted paragraphs; then only those paragraphs are cut out
@@ -163,9 +157,8 @@ def _clusters(texts: DataFrame, min_words: int) -> DataFrame:
         have = texts.join(F.broadcast(wanted) if size <= BROADCAST_IDS else wanted, "doc_id").select("doc_id", "text", "nos")
         return have.mapInArrow(_pooled(min_words), pool_schema(ID))
 
-    linked = save(similar_components(signed, pool_of, SHINGLE, NUM, DEN, "paragraph"), "paragraph-links")
-    of_class = keyed.join(classes, "key").select("id", "least").distinct()
-    edges = of_class.selectExpr("least a", "id b").unionByName(linked.selectExpr("component a", "id b")).where("a <> b")
+    linked = save(similar_components(members.where("sig IS NOT NULL"), pool_of, SHINGLE, NUM, DEN, "paragraph"), "paragraph-links")
+    edges = members.where("sig IS NULL").selectExpr("centre a", "id b").unionByName(linked.selectExpr("component a", "id b")).where("a <> b")
     return connected_components(edges, "paragraph-clusters")
 
 
@@ -195,14 +188,14 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, check, doc_id, from, until) of the pieces of whole texts, many texts at a time; from, until are code points."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """[key, check, doc_id, from, until] of the pieces of whole texts, many texts at a time; from, until are code points."""
     powers = [[_powers(b, 1 << 10) for b in pair] for pair in _BASES]
     docs: list[int] = []
     texts: list[bytes] = []
     held = 0
 
-    def flush() -> pa.RecordBatch:
+    def flush() -> list[np.ndarray]:
         lower = b" ".join(texts)
         data = np.frombuffer(lower, np.uint8)
         at = np.flatnonzero(data != 32)
@@ -226,10 +219,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # bytes that start a character, counted up to each place and from the text's own start
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         base = chars[begin][owner]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys[0]), pa.array(keys[1]), pa.array(np.array(docs, np.int64)[owner]), pa.array((chars[starts[one]] - base).astype(np.int32)), pa.array((chars[ends[other - 1]] - base).astype(np.int32))],
-            names=["key", "check", "doc_id", "from", "until"],
-        )
+        return [*keys, np.array(docs, np.int64)[owner], (chars[starts[one]] - base).astype(np.int32), (chars[ends[other - 1]] - base).astype(np.int32)]
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -245,16 +235,99 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def packed_pieces(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """Pieces [key, check, doc_id, from, until], packed, in two levels where a piece is hot.
+
+    The places of a hot piece go on under a key of these rows' own; only two rows go on under the piece's key, for the first and the last document here, which
+    name that own key and have no place (from is -1). So no task gets all places of a passage that a third of the documents holds.
+    """
+    key, check, docs = columns[:3]
+    none = np.zeros(len(key), np.int64)
+    columns = [*columns, none, none]
+    order = np.lexsort((docs, check, key))
+    start = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(check[order]) != 0)))
+    count = np.diff(start, append=len(order))
+    hot = count >= HOT_PIECES
+    if not hot.any():
+        return pack(columns, parts)
+    # told by the rows' content, so that a task that runs again deals alike
+    salt = mix(np.array([key.view(np.uint64).sum(dtype=np.uint64)]))[0]
+    own = [np.where(v == 0, 1, v) for v in (mix(c[order][start[hot]].view(np.uint64) + salt).view(np.int64) for c in (key, check))]
+    first, last = order[start[hot]], order[(start + count - 1)[hot]]
+    ends = np.concatenate([first, last])
+    local = order[np.repeat(hot, count)]
+    far = np.full(len(ends), -1, np.int32)
+    heads = [key[ends], check[ends], docs[ends], far, far, *(np.tile(o, 2) for o in own)]
+    columns = [c.copy() for c in columns]
+    for into, o in zip(((0, 5), (1, 6)), own, strict=True):
+        for c in into:
+            columns[c][local] = np.repeat(o, count[hot])
+    return pack([np.concatenate(c) for c in zip(columns, heads, strict=True)], parts)
+
+
+def _cut(parts: int):
+    """The pieces of texts, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+        for columns in _pieces(batches):
+            held.append(columns)
+            n += len(columns[0])
+            if n >= PACKED_ROWS:
+                yield packed_pieces([np.concatenate(c) for c in zip(*held, strict=True)], parts)
+                held, n = [], 0
+        if n:
+            yield packed_pieces([np.concatenate(c) for c in zip(*held, strict=True)], parts)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, from, until, least, own, check) of packed pieces: the places of pieces that several documents hold, with the smallest of these documents.
+
+    Where own is set, the piece is hot: its places come without the smallest document, and that comes in rows without a place.
+    """
+    for key, check, docs, begin, until, own, own_check in unpacked(batches, [np.dtype(k) for k in ("i8", "i8", "i8", "i4", "i4", "i8", "i8")]):
+        local = (own != 0) & (begin >= 0)
+        at = np.flatnonzero(~local)
+        # most pieces are met once
+        order = at[np.argsort(key[at])]
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+        order = order[np.lexsort((docs[order], check[order], key[order]))]
+        if len(order):
+            start = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(check[order]) != 0)))
+            count = np.diff(start, append=len(order))
+            least, most = docs[order[start]], docs[order[start + count - 1]]
+            keep = np.repeat(least != most, count)
+            order, least = order[keep], np.repeat(least, count)[keep]
+        else:
+            least = docs[:0]
+        places = np.flatnonzero(local)
+        rows = np.concatenate([order, places])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(docs[rows]), pa.array(begin[rows]), pa.array(until[rows]), pa.array(np.concatenate([least, np.zeros(len(places), np.int64)]), mask=np.repeat([False, True], [len(order), len(places)])),
+                pa.array(own[rows], mask=own[rows] == 0), pa.array(own_check[rows]),
+            ],
+            names=["doc_id", "from", "until", "least", "own", "check"],
+        )
+
+
 def shared_passages(texts: DataFrame) -> DataFrame:
     """texts (doc_id, text) -> doc_id, start, end, cluster_doc, removed: the passages that other documents hold too, wherever these stand in lines.
 
     Each text's words are cut where their content says so, so a passage of some fifty words holds the same whole pieces in every document. Equal pieces (128-bit digests of their words) of
-    several documents stay in the one with the smallest doc_id; overlapping pieces of a document that stay, or that go, make one passage. All pieces of all texts would be a table as large as
-    the texts, so texts are cut twice, to find what is shared and to find where it stands, rather than kept in pieces.
+    several documents stay in the one with the smallest doc_id; overlapping pieces of a document that stay, or that go, make one passage. Texts are cut once; their pieces meet in one shuffle,
+    packed, out of which only those that several documents hold come as rows.
     """
-    pieces = texts.mapInArrow(_pieces, "key bigint, check bigint, doc_id bigint, from int, until int")
-    shared = pieces.groupBy("key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "check", "least")
-    hits = save(pieces.join(save(shared, "shared-pieces"), ["key", "check"]).select("doc_id", "from", "until", "least", (F.col("doc_id") != F.col("least")).alias("removed")), "hits")
+    pieces = texts.mapInArrow(_cut(BUCKETS * partitions_of(texts)), PACKED)
+    found = save(met(pieces).mapInArrow(_shared, "doc_id bigint, from int, until int, least bigint, own bigint, check bigint"), "hits")
+    place = ["doc_id", "from", "until", "least"]
+    least = save(found.where("own IS NOT NULL AND from < 0").select("own", "check", "least").distinct(), "hot-pieces")
+    hot = found.where("own IS NOT NULL AND from >= 0").drop("least").join(small(least), ["own", "check"])
+    hits = found.where("own IS NULL").select(place).unionByName(hot.select(place)).withColumn("removed", F.col("doc_id") != F.col("least"))
     along = Window.partitionBy("doc_id", "removed").orderBy("from", "until")
     fresh = F.col("from") > F.coalesce(F.max("until").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     marked = hits.withColumn("fresh", fresh.cast("long"))

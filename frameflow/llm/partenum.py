@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frameflow.llm.common import LOWER_BLANK, save, table
+from frameflow.llm.common import LOWER_BLANK, partitions_of, save, table
 from frameflow.llm.components import connected_components
-from frameflow.llm.simjoin import _M1, _M3, dealt, many_shingles, mix, only_ids, pool_rows, pool_schema, similar_components, some_at_a_time
+from frameflow.llm.simjoin import _M1, _M3, BUCKETS, PACKED, dealt, many_shingles, mix, only_ids, packed_signatures, pool_rows, pool_schema, shared_signatures, similar_components, some_at_a_time
 
 NUM, DEN, SHINGLE = 85, 100, 4
 #: Second-level partitions of each first-level one, and how many of them may differ. (2, 1) makes a third fewer signatures, each of
@@ -204,12 +204,12 @@ def jaccard_components(docs: DataFrame, num: int = NUM, den: int = DEN, size: in
     own = keyed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = save(own.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
     several = save(classes.where("least < most"), "several")
-    signed = texts.where("doc_id IS NOT NULL").mapInArrow(_signed(size, num, den), "sig bigint, id bigint, bucket bigint")
+    signed = texts.where("doc_id IS NOT NULL").mapInArrow(packed_signatures(_signed(size, num, den), BUCKETS * partitions_of(texts)), PACKED)
 
     def pool_of(ids: DataFrame) -> DataFrame:
         return only_ids(texts.withColumnRenamed("doc_id", "id"), ids, "id").select("id", "text").mapInArrow(_pooled(size), pool_schema("bigint"))
 
-    linked = save(similar_components(signed, pool_of, size, num, den, "jaccard"), "linked")
+    linked = save(similar_components(shared_signatures(signed, "bigint", "jaccard"), pool_of, size, num, den, "jaccard"), "linked")
     # of a class, several tasks may each have signed one document: the class is joined over all of them
     of_class = save(keyed.join(several.select("key", "least"), "key").select("doc_id", "least").distinct(), "of-class")
     bridges = of_class.join(linked.withColumnRenamed("id", "doc_id"), "doc_id").selectExpr("least a", "component b").where("a <> b")

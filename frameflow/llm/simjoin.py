@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from frameflow.llm.common import save
+from frameflow.llm.common import partitions_of, save
 from frameflow.llm.components import connected_components
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -147,6 +151,118 @@ def dealt(sig: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
     )
 
 
+#: Rows that a task packs at once, and buckets for each partition of the shuffle; a task of it holds one bucket at a time.
+PACKED_ROWS, BUCKETS = 1 << 19, 8
+PACKED = "part int, data binary"
+
+
+def pack(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
+    """(part, data): rows dealt to parts by their first column, a row of bytes for each part: byte by byte of a row, those of all rows together, which packs well."""
+    part = (mix(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    # the rows' bytes
+    data = np.concatenate([np.ascontiguousarray(c[order]).view(np.uint8).reshape(len(c), c.itemsize) for c in columns], axis=1)
+    begin = np.flatnonzero(np.diff(part[order], prepend=-1))
+    blobs = [np.ascontiguousarray(data[i:j].T).tobytes() for i, j in zip(begin, np.append(begin[1:], len(part)), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[order][begin], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "data"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kinds: list[np.dtype]) -> Iterator[list[np.ndarray]]:
+    """The columns of each part of (part, data), sorted by part."""
+    width = sum(k.itemsize for k in kinds)
+    ends = np.cumsum([0, *(k.itemsize for k in kinds)])
+    rows = ((p, d) for batch in batches for p, d in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True))
+    for _, blobs in groupby(rows, key=lambda r: r[0]):
+        data = np.concatenate([np.frombuffer(d.as_buffer(), np.uint8).reshape(width, -1).T for _, d in blobs])
+        yield [np.ascontiguousarray(data[:, i:j]).view(k).ravel() for i, j, k in zip(ends, ends[1:], kinds, strict=False)]
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """Packed rows (part, data), those of a part together."""
+    return rows.repartition(partitions_of(rows), "part").sortWithinPartitions("part")
+
+
+def _flat(ids: pa.Array) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in (ids.flatten() if pa.types.is_struct(ids.type) else [ids])]
+
+
+def packed_signatures(signed: Callable, parts: int):
+    """The batches (sig, id, bucket) of ``signed``, packed: a row for each of them would cost more than all that is done with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            return pack([np.concatenate(c) for c in zip(*held, strict=True)], parts)
+
+        for batch in signed(batches):
+            sig = batch.column("sig").to_numpy()
+            # nothing but zeros where a signature is no local one
+            bucket = pc.coalesce(batch.column("bucket"), batch.column("sig")).to_numpy()
+            held.append([sig, sig ^ bucket, *_flat(batch.column("id"))])
+            n += len(sig)
+            if n >= PACKED_ROWS:
+                yield flush()
+                held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _members(kind: pa.DataType):
+    """(sig, id, centre) of the packed signatures of ids: the ids under each signature but for the smallest, their centre; sig is the bucket where there is one, and null for digests."""
+    fields = list(kind) if pa.types.is_struct(kind) else []
+    kinds = [np.dtype(f.type.to_pandas_dtype()) for f in fields] or [np.dtype(np.int64)]
+
+    def made(columns: list[np.ndarray]) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=fields) if fields else pa.array(columns[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in unpacked(batches, [np.dtype(np.int64)] * 2 + kinds):
+            order = np.argsort(columns[0])
+            run_ = columns[0][order]
+            same = run_[1:] == run_[:-1]
+            order = order[np.append(same, False) | np.append(False, same)]
+            if not len(order):
+                continue
+            sig, apart, *ids = (c[order] for c in columns)
+            order = np.lexsort((*ids[::-1], apart, sig))
+            sig, apart, *ids = (c[order] for c in (sig, apart, *ids))
+            fresh = np.append(True, (sig[1:] != sig[:-1]) | (apart[1:] != apart[:-1]))
+            first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            repeats = np.append(True, np.logical_and.reduce([c[1:] == c[:-1] for c in ids])) | fresh
+            keep = ~repeats & np.logical_or.reduce([c != c[first] for c in ids])
+            yield pa.RecordBatch.from_arrays([pa.array((sig ^ apart)[keep], mask=(sig[keep] & 1).astype(bool)), made([c[keep] for c in ids]), made([c[first[keep]] for c in ids])], names=["sig", "id", "centre"])
+
+    return run
+
+
+def digest_rows(keys: list[bytes], ids: pa.Array) -> pa.RecordBatch:
+    """(sig, id, bucket): 128-bit digests of one flush as signatures of their own, told by the last bit of sig; both words are compared, so ids that meet are equal.
+
+    Ids with a common digest meet under a digest of their own flush, and only the first of them goes on under the common one, so that no task gets all copies of one text.
+    """
+    word = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2).copy()
+    salt = mix(np.array([word.sum(dtype=np.uint64)]))[0]
+    order = pc.sort_indices(pa.table({"k": word[:, 0], "c": word[:, 1], "at": np.arange(len(word))}), sort_keys=[("k", "ascending"), ("c", "ascending"), ("at", "ascending")]).to_numpy()
+    run = word[order]
+    fresh = np.append(True, (run[1:] != run[:-1]).any(1))
+    start = np.flatnonzero(fresh)
+    several = np.repeat(np.diff(start, append=len(order)) > 1, np.diff(start, append=len(order)))
+    local = order[several]
+    word = np.concatenate([run[start], mix(run[several] + salt)])
+    word[:, 0] |= np.uint64(1)
+    return pa.RecordBatch.from_arrays([pa.array(word[:, 0].view(np.int64)), ids.take(pa.array(np.concatenate([order[start], local]))), pa.array((word[:, 0] ^ word[:, 1]).view(np.int64))], names=["sig", "id", "bucket"])
+
+
+def shared_signatures(signatures: DataFrame, kind: str, name: str) -> DataFrame:
+    """(sig, id, centre), saved: for each signature (sig, id, bucket, as of ``dealt`` and ``digest_rows``, packed by ``packed_signatures``; repeats allowed) its ids but for the smallest, the centre. sig is null for digests. kind: the type of ids."""
+    id_type = T.StructType.fromDDL(f"id {kind}")["id"].dataType
+    return save(met(signatures).mapInArrow(_members(to_arrow_type(id_type)), f"sig bigint, id {kind}, centre {kind}"), name)
+
+
 def pool_rows(ids: pa.Array, texts: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
     """(id, n, short, wide, text): what candidates are compared by, about a megabyte at a time; texts: words and blanks, A-Z lower-cased."""
     for i, j in some_at_a_time([len(t) for t in texts]):
@@ -246,10 +362,10 @@ class Candidates:
         return one.join(other, "sig").where(f"a < b and c <> d and {self.allowed(lambda i: f's{i}', lambda i: f't{i}')}").select("a", "b", "c", "d").distinct()
 
 
-def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int, name: str) -> DataFrame:
+def similar_components(members: DataFrame, pool_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int, name: str) -> DataFrame:
     """(id, component) of ids that share a signature and are linked, directly or over others.
 
-    signatures: (sig, id, bucket) as of ``dealt``, repeats allowed. Two ids with a common signature are a candidate pair. pool_of(ids) gives the
+    members: (sig, id, centre) as of ``shared_signatures``, without digests. Two ids with a common signature are a candidate pair. pool_of(ids) gives the
     candidates' texts with their sketches; they are written once and all comparisons read them there.
     First each id is checked against one centre only, the smallest id of most of its buckets; that
     joins nearly all true copies without listing the pairs of a group. Then against its other centres. Then, in buckets that still hold several
@@ -257,13 +373,6 @@ def similar_components(signatures: DataFrame, pool_of: Callable[[DataFrame], Dat
     group fall into one component without pairs of all of them. What is then still apart is compared in full, so no link that joins two
     components is lost whatever the sizes of the buckets.
     """
-    order = Window.partitionBy("sig").orderBy("id")
-    first = F.first("id").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    members = save(
-        signatures.select("sig", "id", "bucket", first.alias("centre"), F.lag("id").over(order).alias("before"))
-        .where("id <> centre and id <> before").select(F.coalesce("bucket", "sig").alias("sig"), "id", "centre"),
-        name,
-    )
     ids = save(members.select("id").unionByName(members.select(F.col("centre").alias("id"))).distinct(), name)
     pool = save(pool_of(ids), f"{name}-pool")
     own = Candidates(pool, size, num, den, name)
