@@ -353,13 +353,19 @@ class Candidates:
         both = self._met("text", "x", "y", near).select("a", "b", "x", "y")
         return save(both.mapInArrow(_linked(self.size, self.num, self.den), ends).distinct(), self.name)
 
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """rows (id, ...) with the sizes n and the short sketches s0, s1, ... of their texts."""
+        return rows.join(self.pool.select("id", "n", *(F.get("short", F.lit(i)).alias(f"s{i}") for i in range(SHORT))), "id")
+
+    def pairs_between(self, centres: DataFrame, rows: DataFrame) -> DataFrame:
+        """(a, b, c, d) of ids a of centres and b of rows, both sketched (sig, id, c), that share a signature, are in different components and may be linked. Sketches meet in this one join, so what they rule out is never a row."""
+        one = centres.withColumnRenamed("id", "a")
+        other = rows.select("sig", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SHORT)))
+        return one.join(other, "sig").where(f"a <> b and c <> d and {self.allowed(lambda i: f's{i}', lambda i: f't{i}')}").select("a", "b", "c", "d").distinct()
+
     def pairs_within(self, rows: DataFrame) -> DataFrame:
-        """(a, b, c, d) of rows (sig, id, c) that share a signature, are in different components c and may be linked."""
-        at = self.pool.select("id", "n", *(F.get("short", F.lit(i)).alias(f"s{i}") for i in range(SHORT)))
-        one = save(rows.join(at, "id"), self.name)
-        other = one.select("sig", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(SHORT)))
-        one = one.withColumnRenamed("id", "a")
-        return one.join(other, "sig").where(f"a < b and c <> d and {self.allowed(lambda i: f's{i}', lambda i: f't{i}')}").select("a", "b", "c", "d").distinct()
+        """The same for all pairs of rows, each pair once."""
+        return self.pairs_between(rows, rows).where("a < b")
 
 
 def similar_components(members: DataFrame, pool_of: Callable[[DataFrame], DataFrame], size: int, num: int, den: int, name: str) -> DataFrame:
@@ -415,7 +421,7 @@ def similar_components(members: DataFrame, pool_of: Callable[[DataFrame], DataFr
     mixed = save(stats.where("apart > 0 and n > 1").select("sig", (F.col("one") == F.col("last")).alias("single")), name)
     within = save(rows.join(small(mixed), "sig").select("sig", "id", "c", "centre", "d", "single"), name)
     # a bucket's only centre has met all its ids
-    open_ = save(within.select("sig", "id", "c").unionByName(within.where("not single").select("sig", F.col("centre").alias("id"), F.col("d").alias("c"))).distinct(), name)
+    open_ = save(own.sketched(within.select("sig", "id", "c").unionByName(within.where("not single").select("sig", F.col("centre").alias("id"), F.col("d").alias("c"))).distinct()), name)
     listed = 0
     for turn, centres_drawn in enumerate(CENTRES):
         drawn = [F.min(F.struct(F.xxhash64("id", F.lit(100 * turn + i)), F.col("id").alias("id"), F.col("c").alias("d"))).alias(f"z{i}") for i in range(centres_drawn)]
@@ -427,9 +433,8 @@ def similar_components(members: DataFrame, pool_of: Callable[[DataFrame], DataFr
         listed = buckets.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
         if listed <= FEW_PAIRS:
             break
-        met = open_.join(buckets.select("sig", "zs"), "sig").select("sig", "id", "c", F.filter("zs", lambda z: (z["id"] != F.col("id")) & (z["d"] != F.col("c"))).alias("zs"))
-        pairs = met.select("id", "c", F.explode("zs").alias("z")).select(F.col("z.id").alias("a"), F.col("id").alias("b"), F.col("z.d").alias("c"), F.col("c").alias("d")).distinct()
-        compared(own.possible(save(pairs, name)))
+        centres = own.sketched(buckets.select("sig", F.explode("zs").alias("z")).select("sig", F.col("z.id").alias("id"), F.col("z.d").alias("c")))
+        compared(own.pairs_between(save(centres, name), open_))
         open_ = save(now(only_ids(open_, buckets.select("sig"), "sig")), name)
     if listed:
         compared(own.pairs_within(open_))

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from frameflow.llm import paragraphs, simjoin
+from frameflow.llm.common import save
 
 
 def _by_part(packed):
@@ -55,3 +56,16 @@ def test_equal_digests_meet_in_two_levels(spark):
         a, b = sorted((root(r["centre"]), root(r["id"])))
         up[b] = a
     assert {v: root(v) for v in up} == {v: v % 3 if v < 900 else v for v in up}
+
+
+def test_drawn_centres_make_no_rows_of_pairs_that_sketches_rule_out(spark):
+    """200 unlinked texts and one pair of near copies under one signature: centres meet them all, only the near copies come out."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(120)).encode() for i in range(200)]
+    texts.append(texts[0] + b" more")
+    batches = list(simjoin.pool_rows(pa.array(range(201), pa.int64()), texts, 4))
+    pool = save(spark.createDataFrame(pa.Table.from_batches(batches), simjoin.pool_schema("bigint")), "pool")
+    own = simjoin.Candidates(pool, 4, 85, 100, "test")
+    rows = save(own.sketched(pool.selectExpr("0L sig", "id", "id c")), "rows")
+    met = own.pairs_between(rows.where("id < 12"), rows)
+    assert [tuple(r) for r in met.collect()] == [(0, 200, 0, 200)]
+    assert [tuple(r) for r in own.pairs_within(rows).collect()] == [(0, 200, 0, 200)]
